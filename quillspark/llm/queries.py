@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontam, kneser_ney, langid, quality, simhash, tokens, warc
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +20,41 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_packages(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+    return decontam.verdicts(found, percent=5).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
+    "op3_tokens": op3_tokens,
+    "op5_kneser_ney": op5_kneser_ney,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_decontam": op9_decontam,
 }
-ORACLES: dict[str, str] = {}
