@@ -140,7 +140,7 @@ def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
             data = np.ascontiguousarray(a).tobytes()
             pad = -len(data) % 8
             out.write(data + bytes(pad))
-            spots.append(f"{key}:{a.dtype.str}:{at}:{len(a)}")
+            spots.append(f"{key}:{a.dtype.str.lstrip('|')}:{at}:{len(a)}")
             at += len(data) + pad
     return f"{folder}/{name}|{'|'.join(spots)}"
 
@@ -318,7 +318,7 @@ def train(docs: DataFrame, work: Workspace, text_col: str = "text", ranges: int
     n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folder, texts = work.path("arrays"), docs.select(F.col(text_col).alias("text"))
     blocks = texts.mapInArrow(partial(_count_words, n=n), _SHUFFLED)
-    words = work.table(blocks.groupBy("bucket").applyInArrow(partial(_merge_words, folder=folder), "bucket long, saved string, n long, total long"), "words")
+    words = work.table(blocks.groupBy("bucket").applyInArrow(lambda rows: _merge_words(rows, folder), "bucket long, saved string, n long, total long"), "words")
     saved: list[str | None] = [None] * n
     sizes, total = [0] * n, 0
     for row in words.collect():  # one row a range
@@ -332,14 +332,14 @@ def train(docs: DataFrame, work: Workspace, text_col: str = "text", ranges: int
         raise ValueError("more than 2**32 different words")
 
     blocks = texts.mapInArrow(partial(_pairs, n=n, model=model), _SHUFFLED)
-    merged = work.table(blocks.groupBy("bucket").applyInArrow(partial(_merge_pairs, folder=folder, n=n, size=size), f"{_SHUFFLED}, saved string, tally array<long>"), "pairs")
+    merged = work.table(blocks.groupBy("bucket").applyInArrow(lambda rows: _merge_pairs(rows, folder, n, size), f"{_SHUFFLED}, saved string, tally array<long>"), "pairs")
     model.pairs, tally = [None] * n, np.zeros(4, np.int64)
     for row in merged.filter("kind = -1").select("bucket", "saved", "tally").collect():  # one row a range
         model.pairs[row.bucket] = row.saved
         tally += row.tally
     model.discounts = discounts(tally.tolist())
 
-    stats = merged.filter("kind >= 0").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(partial(_merge_stats, folder=folder, n=n, size=size), "bucket long, saved string, low long, total long, tally array<long>")
+    stats = merged.filter("kind >= 0").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(lambda rows: _merge_stats(rows, folder, n, size), "bucket long, saved string, low long, total long, tally array<long>")
     found = work.table(stats, "stats").collect()  # one row a range
     work.drop("pairs")
     tally = np.sum([r.tally for r in found], axis=0)
