@@ -13,6 +13,7 @@ empty result; other columns are not looked at.  Texts are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -27,72 +28,168 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .bytetext import span_hashes
 from .sstable import Table, Writer, key_of
 
-#: Pre-token pattern of byte-level BPE vocabularies (fixed value, published with them).
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens that a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 300_000
+#: Endings that byte-level BPE vocabularies keep with an apostrophe (fixed values, published with them).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Distinct pre-tokens that a worker remembers (about 50 bytes each); beyond it, it starts afresh.
+REMEMBERED = 3_000_000
+_LETTER, _DIGIT, _OTHER, _SPACE = range(4)
+_SLICE_CHARS = 4 << 20
+
+
+def _classes() -> np.ndarray:
+    """Class of every code point, as the pre-token rule sees it."""
+    table = np.full(0x110000, _OTHER, np.uint8)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+        for found in regex.finditer(pattern, text):
+            a, b = ord(text[found.start()]), ord(text[found.end() - 1])
+            table[a : b + 1] = kind
+    table[0xD800:0xE000] = _OTHER
+    return table
 
 
 class Encoder:
     """The tokenizers library with a memory of pre-tokens.
 
-    Merges of a byte-level BPE never cross a pre-token, so encoding each distinct pre-token once and
-    joining the ids is the library's own result; where the tokenizer is of another kind, or a text
-    holds one of its added tokens, the library encodes the whole text.
+    Byte-level BPE first cuts a text into pre-tokens: runs of letters, of digits, or of other signs,
+    each with the one blank before it, endings after an apostrophe, and white space.  Merges never
+    cross them, so encoding each distinct pre-token once and joining the ids is the library's own
+    result.  The cut is made with numpy over a few megabytes at a time, pre-tokens are known by a 64-bit
+    hash, and the library sees only those that are new to the worker.  Where the tokenizer is of another
+    kind, or a text holds one of its added tokens, the library encodes the whole text.
     """
 
-    def __init__(self, path: str):
-        import json
+    classes: np.ndarray | None = None
+    kept: dict[str, Encoder] = {}
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder, with what it remembers from earlier tasks."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
-        self.split = regex.compile(BYTE_LEVEL).findall if plain else None
+        self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if self.byte_level and Encoder.classes is None:
+            Encoder.classes = _classes()
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            k, ids = len(self.place), found.ids
-            if k + 2 > len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            at = int(self.bounds[k])
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[at : at + len(ids)] = ids
-            self.bounds[k + 1] = at + len(ids)
-            self.place[piece] = k
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.split is None or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.split(text)
-        known = self.place
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                self._forget()
-                known, new = self.place, list(dict.fromkeys(pieces))
-            self._learn(new)
-        which = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        begin, end = self.bounds[which], self.bounds[which + 1]
-        size = end - begin
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _cut(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Starts of the pre-tokens of texts laid end to end; ``bounds`` are the texts' bounds."""
+        n, kind = len(points), self.classes[points]
+        first = np.zeros(n + 1, bool)
+        first[bounds] = True  # of a text
+        start = first.copy()
+        start[1:n] |= kind[1:] != kind[:-1]
+        start[n] = True
+        runs = np.flatnonzero(start)
+        begin, end = runs[:-1], runs[1:]
+        blank = kind[begin] == _SPACE
+        last = end[blank][~first[end[blank]]]  # ends of white space that something follows
+        start[last - 1] = True
+        start[last[points[last - 1] == 32]] = False
+        sign = begin[(points[begin] == 39) & (end - begin == 1)]
+        sign = sign[start[sign] & ~first[sign + 1]]
+        sign = sign[kind[sign + 1] == _LETTER]
+        if len(sign):
+            stop = runs[np.searchsorted(runs, sign + 1, side="right")]  # end of the letters that follow
+            size = np.zeros(len(sign), np.int64)
+            padded = np.append(points, [0, 0])
+            for ending in reversed(ENDINGS):
+                fits = stop - sign > len(ending)
+                for k, c in enumerate(ending):
+                    fits &= padded[np.minimum(sign + 1 + k, n)] == ord(c)
+                size[fits] = len(ending)
+            sign, stop, size = sign[size > 0], stop[size > 0], size[size > 0]
+            start[sign + 1] = False
+            inner = sign + 1 + size
+            start[inner[inner < stop]] = True
+        return np.flatnonzero(start[:n])
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Append ids; returns where they begin."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pre-tokens (keys in ascending order)."""
+        encode, one_line = self.tokenizer.encode, len(self.newline) == 1
+        plain = np.array([one_line and p.lstrip(" ").isalpha() for p in pieces], bool)
+        begin, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        if plain.any():  # words on lines of their own: the line end is one known id and never part of a word
+            found = np.array(encode("\n".join(p for p, x in zip(pieces, plain) if x), add_special_tokens=False).ids, np.uint32)
+            breaks = np.append(np.flatnonzero(found == self.newline[0]), len(found)) - np.arange(plain.sum())
+            end[plain] = self._store(found[found != self.newline[0]]) + breaks
+            begin[plain] = end[plain] - np.diff(breaks, prepend=0)
+        for k in np.flatnonzero(~plain).tolist():
+            ids = np.array(encode(pieces[k], add_special_tokens=False).ids, np.uint32)
+            begin[k] = self._store(ids)
+            end[k] = begin[k] + len(ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.end = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.end, at, end)
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        starts = self._cut(points, bounds)
+        if not len(starts):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        ends = np.append(starts[1:], len(points))
+        keys, which = np.unique(span_hashes(points, starts, ends), return_inverse=True)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            one = np.empty(len(keys), np.int64)
+            one[which] = np.arange(len(which))
+            new = np.flatnonzero(~known)
+            self._learn(keys[new], [joined[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        begin, size = self.begin[at][which], (self.end - self.begin)[at][which]
         total = np.cumsum(size)
-        if not len(total):
-            return np.zeros(0, np.uint32)
-        spot = np.arange(total[-1]) + np.repeat(begin - (total - size), size)
-        return self.flat[spot]
+        flat = self.flat[np.arange(total[-1]) + np.repeat(begin - (total - size), size)]
+        return np.split(flat, np.concatenate([[0], total])[np.searchsorted(starts, bounds[1:-1])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        out: list = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if self.byte_level and not any(x in t for x in self.added)]
+        for k in set(range(len(texts))) - set(plain):
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        at = 0
+        while at < len(plain):
+            to, held = at, 0
+            while to < len(plain) and (to == at or held + len(texts[plain[to]]) <= _SLICE_CHARS):
+                held += len(texts[plain[to]])
+                to += 1
+            for k, ids in zip(plain[at:to], self._encode_plain([texts[k] for k in plain[at:to]])):
+                out[k] = ids
+            at = to
+        return out
 
 
 _MANIFEST = "path string, shard long, first_key string, last_key string, entries long, tokens long"
@@ -104,7 +201,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     context = TaskContext.get()
     system, base = pafs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    encoder, end = Encoder(tokenizer), np.array([end_id], np.uint32)
+    encoder, end = Encoder.of(tokenizer), np.array([end_id], np.uint32)
     writer = out = None
     done: list[tuple] = []
 
@@ -114,7 +211,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
         done.append((f"{folder}/{name}", len(done), meta["first"], meta["last"], meta["entries"], meta["tokens"]))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
             if writer is not None and len(writer.keys) >= max_entries:
                 close()
                 writer = None
@@ -122,7 +220,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
                 name = f"tokens-{context.partitionId():06d}-{len(done):04d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
                 out = system.open_output_stream(f"{base}/{name}")
                 writer = Writer(out, encoder.width if end_id < 1 << 16 else 4)
-            writer.add(key_of(doc_id), np.concatenate([encoder.encode(text or ""), end]))
+            writer.add(key_of(doc_id), np.concatenate([ids, end]))
     if writer is not None:
         close()
     columns = list(zip(*done)) or [[]] * 6
@@ -164,4 +262,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per entry, read back from the shards: doc_id, start, n_tokens, ids_crc32, shard_path."""
     files = manifest.select("path", "tokens_before")
-    return files.repartition(F.col("path")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_path string")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_path string")

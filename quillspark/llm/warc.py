@@ -170,4 +170,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_packages(packages: DataFrame) -> DataFrame:
     """One row per record, read back by range from the packages."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, sound boolean, package string"
-    return packages.select("path").repartition(F.col("path")).mapInArrow(_read, schema)
+    files = packages.select("path")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(_read, schema)
