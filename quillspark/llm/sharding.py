@@ -10,7 +10,7 @@ these, greedy fills give a lower and an upper bound for each cut, hence for the
 next round looks only between the bounds of the cuts, ``POINTS`` times finer, until the prefix sums
 there are all known and the search is exact.  Each round narrows the part that is looked at more
 than a hundredfold, so a few scans of the slim table do at any size, and the driver holds at most
-``EXACT`` + 2 * ``POINTS`` numbers.
+``EXACT`` + 4 * ``POINTS`` numbers.
 
 Scale: texts are read once, for their size, checksum and digest; what moves is a digest and a few
 numbers a document.  Order comes from range partitions, whose row numbers are made global by the
@@ -121,7 +121,8 @@ def _search(prefix: DataFrame, shards: int) -> list[int]:
     total = prefix.agg(F.max("to_size")).first()[0]
     if total is None:
         return []
-    low, high, spans, known = 0, total, [(0, total)], []
+    points = max(POINTS, 16 * shards * shards)  # the cuts' bounds span about 2 * shards**2 ranges
+    low, high, spans, known, width = 0, total, [(0, total)], [], total
     while True:
         condition = F.lit(False)
         for a, b in spans:
@@ -131,7 +132,7 @@ def _search(prefix: DataFrame, shards: int) -> list[int]:
             exact = [(r[0], r[0], True) for r in wanted.collect()]
         else:
             exact = []
-            width = max(1, sum(b - a + 1 for a, b in spans) // POINTS)
+            width = max(1, min(width // 2, sum(b - a + 1 for a, b in spans) // points))
             found = wanted.groupBy(F.floor(F.col("to_size") / width)).agg(F.min("to_size"), F.max("to_size"), F.count("*")).collect()
             exact = [(r[1], r[2], r[3] <= 2) for r in found]
         seen = Prefix(_clipped(known, spans) + exact if known else exact)
