@@ -6,12 +6,14 @@ shorter one unchanged, at a place that is shifted by a few characters at most.
 puts its own 3 segments into an index (keyed by length, segment number and content) and probes with
 those substrings of itself that can be a segment of a line of its length, one less or two less: by
 the multi-match-aware bounds 12 substrings in all, 3 of them its own segments.  Lines that meet in a
-key are candidates; a banded bit-parallel edit distance (Hyyrö 2003) over whole lines decides.
+key are compared inside the join by their counts of 8 letters: two edits move those by 4 in all at
+most, so this drops no link, and only pairs that pass leave the join.  A banded bit-parallel edit
+distance (Hyyrö 2003) over whole lines decides.
 
 Exact copies collapse first (partial aggregation by the line itself), so a line that a third of the
-documents share is one row a task.  A key that more than ``CROWD`` distinct lines share (variants of
-one boilerplate line) compares letter counts inside its join: two edits change a count vector by 4
-at most, so this drops no link, and only pairs that pass leave the join.
+documents share is one row a task.  A key that very many distinct lines share (variants of one
+boilerplate line) costs comparisons of two numbers each, in a join that Spark splits where a key is
+hot; pairs are not written out.
 
 Links are closed to classes; of each class the first line in (doc_id, line_no) order stays.
 
@@ -23,14 +25,14 @@ gives an empty result; other columns are not looked at.  Lines are never cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 from .components import connected_components
 
-TAU, MIN_CHARS, CROWD = 2, 20, 24
-#: Candidate lines (8 bytes each) up to which their ids are broadcast to fetch the texts.
+TAU, MIN_CHARS = 2, 20
+#: Lines that share a key (8 bytes each) up to which their ids are broadcast to fetch the texts.
 BROADCAST_IDS = 1_000_000
 LETTERS = "eaionrts"
 _LAST = 2**63 - 1
@@ -54,7 +56,7 @@ def probes() -> list[tuple[int, int, int]]:
 
 
 def _keys() -> Column:
-    """Array of (key, own) of a row with ``line`` and ``len``."""
+    """Array of (key, own) of a row with ``line`` and ``len``; the key is null where there is no such place."""
     found = []
     for d, i, shift in probes():
         length = F.col("len") - d
@@ -63,7 +65,7 @@ def _keys() -> Column:
         key = F.xxhash64(length, F.lit(i), F.col("line").substr(at + 1, size))
         usable = (at >= 0) & (at + size <= F.col("len")) & (length >= MIN_CHARS)
         found.append(F.struct(F.when(usable, key).alias("key"), F.lit(d == 0 and shift == 0).alias("own")))
-    return F.filter(F.array(*found), lambda x: x["key"].isNotNull())
+    return F.array(*found)
 
 
 def letter_counts(line: Column) -> Column:
@@ -109,40 +111,29 @@ def banded_distance(a: str, b: str, k: int = TAU) -> Column:
             named_struct('vp', {first_rows}L, 'vn', 0L, 'dist', {k}), (acc, j) -> {step}, acc -> acc.dist))[0])[0])[0]""")
 
 
-def _candidates(lines: DataFrame, work: Workspace) -> DataFrame:
-    """Pairs (u, v) of line ids that meet in a key."""
-    keyed = lines.filter(F.col("len") >= MIN_CHARS).select("id", F.inline(_keys()).alias("key", "own"))
-    sizes = F.count("*").over(_by("key")), F.max("own").over(_by("key"))
-    shared = work.table(keyed.withColumn("met", sizes[0]).withColumn("any_own", sizes[1]).filter("met > 1 and any_own").select("key", "id", "own", "met"), "shared")
-    few, many = shared.filter(F.col("met") <= CROWD), shared.filter(F.col("met") > CROWD)
-
-    def pairs(df: DataFrame, extra: list[str], condition: Column | None) -> DataFrame:
-        left = df.filter("own").select("key", F.col("id").alias("u"), *[F.col(c).alias(f"u_{c}") for c in extra])
-        right = df.select("key", F.col("id").alias("v"), F.col("own").alias("v_own"), *[F.col(c).alias(f"v_{c}") for c in extra])
-        meet = left.join(right, "key").filter((F.col("u") != F.col("v")) & (~F.col("v_own") | (F.col("u") < F.col("v"))))
-        return (meet if condition is None else meet.filter(condition)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-    counted = many.join(lines.select("id", "letters"), "id")
-    apart = letters_apart(F.col("u_letters"), F.col("v_letters")) <= 2 * TAU
-    return work.table(pairs(few, [], None).union(pairs(counted, ["letters"], apart)).distinct(), "candidates")
-
-
-def _by(name: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(name)
+def _shared_keys(lines: DataFrame) -> DataFrame:
+    """key, id, own of the keys that more than one line has and at least one as a segment of its own."""
+    keyed = lines.filter(F.col("len") >= MIN_CHARS).select("id", F.inline(_keys()).alias("key", "own")).filter(F.col("key").isNotNull())
+    same = Window.partitionBy("key")
+    return keyed.withColumn("met", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same)).filter("met > 1 and any_own").select("key", "id", "own")
 
 
 def line_links(lines: DataFrame, work: Workspace) -> DataFrame:
-    """Verified pairs (u, v) of ids of ``lines`` (id, line, len, letters)."""
-    candidates = _candidates(lines, work)
-    ids = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    ids = F.broadcast(ids) if candidates.count() * 2 <= BROADCAST_IDS else ids
-    texts = work.table(lines.join(ids, "id", "left_semi").select("id", "line", "len", "letters"), "texts")
-    both = candidates.join(texts.select(F.col("id").alias("u"), F.struct("line", "len", "letters").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.struct("line", "len", "letters").alias("b")), "v")
-    near = both.filter(letters_apart(F.col("a.letters"), F.col("b.letters")) <= 2 * TAU)
-    ordered = near.select("u", "v", F.when(F.col("a.len") >= F.col("b.len"), F.col("a.line")).otherwise(F.col("b.line")).alias("long_line"), F.when(F.col("a.len") >= F.col("b.len"), F.col("b.line")).otherwise(F.col("a.line")).alias("short_line"))
-    return work.table(ordered.filter(banded_distance("long_line", "short_line") <= TAU).select("u", "v"), "links")
+    """Verified pairs (u, v) of ids of ``lines`` (id, line, len)."""
+    shared = work.table(_shared_keys(lines), "shared")
+    ids = work.table(shared.select("id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = work.table(lines.join(ids, "id", "left_semi").select("id", "line", "len", letter_counts(F.col("line")).alias("letters")), "texts")
+    counted = shared.join(texts.select("id", "letters"), "id")
+    left = counted.filter("own").select("key", F.col("id").alias("u"), F.col("letters").alias("a"))
+    right = counted.select("key", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("letters").alias("b"))
+    once = (F.col("u") != F.col("v")) & (~F.col("v_own") | (F.col("u") < F.col("v")))
+    met = left.join(right, "key").filter(once & (letters_apart(F.col("a"), F.col("b")) <= 2 * TAU))
+    candidates = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = candidates.join(texts.select(F.col("id").alias("u"), F.struct("line", "len").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.struct("line", "len").alias("b")), "v")
+    first_longer = F.col("a.len") >= F.col("b.len")
+    ordered = both.select("u", "v", F.when(first_longer, F.col("a.line")).otherwise(F.col("b.line")).alias("longer"), F.when(first_longer, F.col("b.line")).otherwise(F.col("a.line")).alias("shorter"))
+    return work.table(ordered.filter(banded_distance("longer", "shorter") <= TAU).select("u", "v"), "links")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
@@ -153,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
     split = split.withColumn("place", place.cast("decimal(38,0)"))
     distinct = split.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
-    lines = distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("len"), letter_counts(F.col("line")).alias("letters"), F.xxhash64("line").alias("hash"), "first", "copies")
+    lines = distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("len"), F.xxhash64("line").alias("hash"), "first", "copies")
     path = work.path("lines")
     lines.write.option("compression", "zstd").parquet(path)
     lines = docs.sparkSession.read.schema(lines.schema).parquet(path)
