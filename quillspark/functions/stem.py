@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _VOWEL = "aeiou"
 
@@ -75,7 +76,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stem_words(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in words:
         yield batch.map(lambda ws: None if ws is None else [stem(w) for w in ws])

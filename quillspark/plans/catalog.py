@@ -1,10 +1,478 @@
-"""Catalogue of the library's queries and of the SQL that states the same results."""
+"""Catalogue of the library's queries and of the DuckDB SQL that states the same results.
+
+The tables of the driver stand in for a chunk table: ``documents`` joined with ``embeddings`` on the id
+gives chunks with vectors; line spans, citations and messages that the tables lack are derived from
+ids with the same arithmetic on both sides.  Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import model
+from ..functions import lexical, text
+from ..model import SearchOptions
+from ..operators import chunk_generic, chunking, citations, context, history, index, search, source_window
+from ..sources import config, store, walk
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TERMS, SYMBOL, VECTOR = "thre thin", "the", 7
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- chunks from documents ------------------------------------------------------------------------
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("symbol_name", F.regexp_extract("text", "^([A-Za-z]+)", 1)).withColumn("content", F.col("text")).withColumn("signature", F.lit(None).cast("string"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("repo_source"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file_path"), "symbol_name", F.lit("file").alias("kind"), "signature",
+        F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.lit("markdown").alias("language"), "content",
+        F.filter(lexical.lexemes(F.col("text")), lambda t: t != "").alias("lexemes"),
+    ).withColumn("doc_len", F.size("lexemes"))
+
+
+def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return document_chunks(spark, sf_dir).join(v, "id")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR).first()["embedding"]
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
+_CHUNKS = rf"""c AS (SELECT doc_id AS id, source AS repo_source, source || '/' || doc_id || '.md' AS file_path, regexp_extract(text, '^([A-Za-z]+)', 1) AS symbol_name, text AS content,
+    list_filter(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda t: t NOT IN ({_STOP})) AS lx FROM documents)"""
+_DIST = "1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+
+
+def _legs(words: str, symbol: str, where: str = "true", limit: int = 30) -> str:
+    found = " AND ".join(f"list_contains(lx, '{w}')" for w in words.split() if w not in lexical.STOP_WORDS) or "false"
+    among = ", ".join(f"'{w}'" for w in words.split())
+    exact = f"lower(symbol_name) = '{symbol}'"
+    return rf"""{_CHUNKS}, v AS (SELECT c.*, e.embedding FROM c JOIN embeddings e ON c.id = e.vec_id WHERE {where}),
+    dense AS (SELECT id, d AS dense_distance, row_number() OVER (ORDER BY d, id) AS dense_rank FROM (SELECT e.id, {_DIST} AS d FROM v e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR}) q ORDER BY d, e.id LIMIT {limit})),
+    lex AS (SELECT id, s AS lexical_score, row_number() OVER (ORDER BY s DESC, id) AS lexical_rank FROM (
+        SELECT id, CASE WHEN {found} THEN len(list_filter(lx, lambda t: t IN ({among}))) / (1 + ln(greatest(len(lx), 1)::DOUBLE)) ELSE 0 END + CASE WHEN {exact} THEN 1.0 ELSE 0 END AS s FROM v WHERE ({found}) OR {exact} ORDER BY s DESC, id LIMIT {limit}))"""
+
+
+def _fused(words: str, symbol: str, where: str = "true", dense: str = "1.0", lex: str = "1.0") -> str:
+    return f"""WITH {_legs(words, symbol, where)}, f AS (SELECT coalesce(dense.id, lex.id) AS id, dense_rank, dense_distance, lexical_rank, lexical_score,
+        coalesce({dense} / (60 + dense_rank), 0) + coalesce({lex} / (60 + lexical_rank), 0) AS fused_score FROM dense FULL OUTER JOIN lex ON dense.id = lex.id ORDER BY fused_score DESC, id LIMIT 10)
+    SELECT f.id, v.file_path, dense_rank, lexical_rank, round(dense_distance, 6) AS dense_distance, round(lexical_score, 6) AS lexical_score, round(fused_score, 6) AS fused_score FROM f JOIN v ON f.id = v.id"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, words: str, options: SearchOptions) -> DataFrame:
+    found = search.hybrid_search(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), words, options)
+    return rounded(found.select("id", "file_path", "dense_rank", "lexical_rank", "dense_distance", "lexical_score", "fused_score"), "dense_distance", "lexical_score", "fused_score")
+
+
+@query(_fused(TERMS, TERMS))
+def hybrid_rrf(spark, sf_dir):
+    return _hybrid(spark, sf_dir, TERMS, SearchOptions())
+
+
+@query(_fused(TERMS, TERMS, dense="2.0", lex="0.5"))
+def hybrid_rrf_weighted(spark, sf_dir):
+    return _hybrid(spark, sf_dir, TERMS, SearchOptions(dense_weight=2.0, lexical_weight=0.5))
+
+
+@query(_fused("thin", "thin", where="repo_source = 'src3'"))
+def hybrid_repo_scoped(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "thin", SearchOptions(repo_source="src3"))
+
+
+@query(_fused(SYMBOL, SYMBOL))
+def symbol_boost(spark, sf_dir):
+    return _hybrid(spark, sf_dir, SYMBOL, SearchOptions())
+
+
+@query(f"WITH {_legs(TERMS, TERMS)} SELECT id, round(dense_distance, 6) AS dense_distance, dense_rank FROM dense")
+def dense_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "id")
+    return rounded(search.dense_leg(v, query_vector(spark, sf_dir), model.PER_LEG_LIMIT), "dense_distance")
+
+
+@query(f"WITH {_legs(TERMS, TERMS)}, w AS (SELECT * FROM c), l AS (SELECT id, len(list_filter(lx, lambda t: t IN ('thre', 'thin'))) / (1 + ln(greatest(len(lx), 1)::DOUBLE)) AS s FROM w WHERE list_contains(lx, 'thre') AND list_contains(lx, 'thin') ORDER BY s DESC, id LIMIT 30) SELECT id, round(s, 6) AS lexical_score, row_number() OVER (ORDER BY s DESC, id) AS lexical_rank FROM l")
+def lexical_topk(spark, sf_dir):
+    return rounded(search.lexical_leg(document_chunks(spark, sf_dir), TERMS, model.PER_LEG_LIMIT, model.SYMBOL_BOOST), "lexical_score")
+
+
+@query("WITH t AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id FROM t WHERE list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thin') AND NOT list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thre')")
+def lexical_exclusion(spark, sf_dir):
+    parsed = lexical.parse_query("thin -thre")
+    return document_chunks(spark, sf_dir).filter(lexical.matches(F.col("lexemes"), parsed)).select(F.col("id").alias("doc_id"))
+
+
+# --- scalar expressions ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, ceil(length(text) / 4.0)::INT AS tokens, greatest(0, 2048 - ceil(length(text) / 4.0))::INT AS tokens_left FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"), text.tokens_left("text").alias("tokens_left"))
+
+
+_NAMES = ["a.ts", "b.PY", "c.md", "d.tar.gz", "noext", ".bashrc", "e.hpp", "f.yml", "package-lock.json", "x.min.js", "logo.png", "g.cxx"]
+_NAME_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
+
+
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("doc_id") % len(_NAMES) + 1).cast("int")).alias("name"))
+
+
+@query(f"""WITH n AS (SELECT doc_id, lower(regexp_extract({_NAME_SQL}[doc_id % {len(_NAMES)} + 1], '^.+(\\.[^.]*)$', 1)) AS ext FROM documents)
+SELECT doc_id, CASE {' '.join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in model.LANGUAGES.items())} ELSE 'unknown' END AS language,
+CASE WHEN ext IN ({', '.join(f"'{x}'" for x in model.TSJS_EXTENSIONS)}) THEN 'ts-morph' ELSE 'generic' END AS chunker FROM n""")
+def language_classify(spark, sf_dir):
+    return _names(spark, sf_dir).select("doc_id", text.language_of("name").alias("language"), text.route("name").alias("chunker"))
+
+
+_BINARY = ", ".join(f"'{x}'" for x in model.BINARY_EXTENSIONS)
+
+
+@query(f"""WITH n AS (SELECT doc_id, n_chars * 400 AS size, {_NAME_SQL}[doc_id % {len(_NAMES)} + 1] AS name FROM documents)
+SELECT doc_id, CASE WHEN name IN ({', '.join(f"'{x}'" for x in model.LOCKFILES)}) THEN 'lockfile' WHEN suffix(name, '.min.js') THEN 'minified'
+WHEN lower(regexp_extract(name, '^.+(\\.[^.]*)$', 1)) IN ({_BINARY}) THEN 'binary-extension' WHEN size > 1048576 THEN 'too-large' WHEN doc_id % 7 = 0 THEN 'binary-content' END AS skip_reason FROM n""")
+def skip_rules(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 7 == 0, F.lit(b"hi\x00bye")).otherwise(F.lit(b"hi0bye"))
+    return _names(spark, sf_dir).select("doc_id", walk.skip_reason(F.col("name"), F.col("n_chars") * 400, head).alias("skip_reason"))
+
+
+def _records(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lit("generic").alias("chunker_kind"), F.concat(F.lit("docs/"), F.col("doc_id") % 50, F.lit(".md")).alias("file_path"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s"), F.col("doc_id") % 9)).alias("symbol_name"), F.lit("block").alias("kind"), F.lit(None).cast("string").alias("parent_symbol"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).alias("signature"), F.when(F.col("doc_id") % 5 == 0, F.lit("/** d */")).alias("js_doc"), F.lit(1).alias("part_index"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+
+
+_RECORDS = "r AS (SELECT doc_id, 'docs/' || (doc_id % 50) || '.md' AS file_path, CASE WHEN doc_id % 3 = 0 THEN 's' || (doc_id % 9) END AS symbol_name, CASE WHEN doc_id % 5 = 0 THEN '/** d */' END AS js_doc, len(string_split(text, chr(10))) AS end_line, text AS content FROM documents)"
+
+
+@query(f"WITH {_RECORDS} SELECT doc_id, sha256('generic' || chr(0) || file_path || chr(0) || coalesce(symbol_name, '') || chr(0) || '1' || chr(0) || content) AS content_hash FROM r")
+def content_hash(spark, sf_dir):
+    return _records(spark, sf_dir).select("doc_id", text.content_hash().alias("content_hash"))
+
+
+@query(f"WITH {_RECORDS} SELECT doc_id, md5('file: ' || file_path || chr(10) || 'kind: block' || CASE WHEN symbol_name <> '' THEN chr(10) || 'symbol: ' || symbol_name ELSE '' END || CASE WHEN js_doc <> '' THEN chr(10) || 'jsDoc: ' || js_doc ELSE '' END || chr(10) || chr(10) || content) AS embed_text_md5 FROM r")
+def embed_text(spark, sf_dir):
+    return _records(spark, sf_dir).select("doc_id", F.md5(text.embed_text()).alias("embed_text_md5"))
+
+
+@query(f"WITH {_RECORDS} SELECT doc_id, md5('--- ' || file_path || ':1-' || end_line || CASE WHEN symbol_name <> '' THEN ' (' || symbol_name || ')' ELSE '' END || ' [markdown] ---' || chr(10) || content) AS block_md5 FROM r")
+def context_block(spark, sf_dir):
+    return _records(spark, sf_dir).select("doc_id", F.md5(text.context_block()).alias("block_md5"))
+
+
+_MESSAGES = ["quota exceeded: 429", "RESOURCE_EXHAUSTED PerDay limit", 'status 429 {"retryDelay": "1.5s"}', "bad request", "resource_exhausted perminute", 'code 429 "retryDelay":"37s" x']
+_MESSAGE_SQL = "[" + ", ".join(f"'{m}'" for m in _MESSAGES) + "]"
+
+
+@query(f"""WITH m AS (SELECT event_id, {_MESSAGE_SQL}[event_id % {len(_MESSAGES)} + 1] AS msg FROM events), k AS (SELECT *, nullif(regexp_extract(msg, '"retryDelay"\\s*:\\s*"(\\d+(?:\\.\\d+)?)s"', 1), '') AS sec FROM m)
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'aborted' WHEN NOT regexp_matches(msg, '(?i)429|RESOURCE_EXHAUSTED') THEN 'other' WHEN regexp_matches(msg, '(?i)PerDay') THEN 'daily-quota' ELSE 'rate-limit' END AS kind,
+ceil(sec::DOUBLE * 1000)::BIGINT AS retry_ms, least(coalesce(ceil(sec::DOUBLE * 1000), 500 * pow(2.0, event_id % 12) + 250), 65000)::DOUBLE AS wait_ms FROM k""")
+def error_classify(spark, sf_dir):
+    message = F.element_at(F.array(*[F.lit(m) for m in _MESSAGES]), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))
+    name = F.when(F.col("event_id") % 11 == 0, "AbortError").otherwise("Error")
+    hint = text.retry_delay_ms(message)
+    return table(spark, sf_dir, "events").select("event_id", text.error_class(name, message).alias("kind"), hint.alias("retry_ms"), text.backoff_ms((F.col("event_id") % 12).cast("int"), hint, F.lit(0.5)).alias("wait_ms"))
+
+
+@query("SELECT event_id, 'data: {\"type\":\"' || event_type || '\",\"id\":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events")
+def sse_frames(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.sse_frame(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))).alias("frame"))
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS place, '{\"t\":\"' || event_type || '\"}' AS event FROM events")
+def sse_parse(spark, sf_dir):
+    from ..streaming.answer import parse_frame_table
+
+    frames = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat(F.lit('data: {"t":"'), x["event_type"], F.lit('"}\n\n')))
+    streams = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.array_join(frames, ""), F.lit("data: {cut")).alias("buffer"))
+    return parse_frame_table(streams, "user_id", "buffer")
+
+
+# --- chunking -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, part_index::INT AS part_index, len(ls)::INT AS part_total, ls[part_index] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(part_index)")
+def line_explode(spark, sf_dir):
+    return chunking.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, ls, 1::BIGINT AS k, 1::BIGINT AS s, length(ls[1])::BIGINT AS held FROM l
+ UNION ALL SELECT doc_id, ls, k + 1, CASE WHEN held + 1 + length(ls[k + 1]) > 400 THEN k + 1 ELSE s END, CASE WHEN held + 1 + length(ls[k + 1]) > 400 THEN length(ls[k + 1]) ELSE held + 1 + length(ls[k + 1]) END FROM w WHERE k < len(ls))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s))::INT AS part_index, (count(*) OVER (PARTITION BY doc_id))::INT AS part_total, s::INT AS start_line, max(k)::INT AS end_line, array_to_string(any_value(ls)[s:max(k)], chr(10)) AS content FROM w GROUP BY doc_id, s""")
+def line_windows(spark, sf_dir):
+    return chunking.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
+
+
+def _files(spark, sf_dir, extension: str):
+    return table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.lit(extension)).alias("file_path"), F.col("text").alias("source"))
+
+
+@query()
+def generic_chunks(spark, sf_dir):
+    return chunking.explode_chunks(chunking.chunk_files(_files(spark, sf_dir, ".md"))).select("file_path", "symbol_name", "start_line", "end_line", "part_index", "part_total", "content_hash")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, k, ls[k] AS line, trim(ls[k], ' \t') <> '' AND NOT regexp_matches(ls[k], '^[ \\t]') AS top FROM l, unnest(range(1, len(ls) + 1)) t(k)),
+b AS (SELECT doc_id, k, line, greatest(sum(CASE WHEN top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k), 1) AS block FROM u),
+g AS (SELECT doc_id, block, min(k) AS s, max(k) AS e, string_agg(line, chr(10) ORDER BY k) AS t FROM b GROUP BY ALL)
+SELECT doc_id, count(*)::BIGINT AS blocks, sum(length(t))::BIGINT AS chars FROM g WHERE trim(t, ' \t' || chr(10)) <> '' GROUP BY doc_id""")
+def indent_blocks(spark, sf_dir):
+    @F.pandas_udf("struct<blocks: bigint, chars: bigint>")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        found = [chunk_generic.indent_blocks(t or "") for t in texts]
+        return pd.DataFrame({"blocks": [len(b) for b in found], "chars": [sum(len(x.text) for x in b) for b in found]})
+
+    return table(spark, sf_dir, "documents").select("doc_id", measured("text").alias("m")).select("doc_id", "m.*").filter("blocks > 0")
+
+
+@query()
+def tsjs_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    source = F.concat(F.lit("/** doc */\nexport function f"), "doc_id", F.lit("(a: number): string {\n  return `"), F.regexp_replace("text", r"[`\\$]", ""), F.lit("`;\n}\nexport class C"), "doc_id", F.lit(" { m() { return 1; } }\n"))
+    files = d.select(F.concat("doc_id", F.lit(".ts")).alias("file_path"), source.alias("source"))
+    return chunking.explode_chunks(chunking.chunk_files(files)).select("file_path", "symbol_name", "kind", "signature", "js_doc", "start_line", "end_line", "part_index", "part_total", "is_exported")
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'failed' WHEN n_chars % 5 = 1 THEN 'degraded' WHEN n_chars % 5 = 2 THEN 'no-declarations' ELSE 'chunked' END AS outcome, doc_id % 13 = 0 AS skipped FROM documents)
+SELECT count(*) FILTER (NOT skipped)::BIGINT AS files_seen, count(*) FILTER (NOT skipped AND outcome = 'chunked')::BIGINT AS files_chunked, count(*) FILTER (NOT skipped AND outcome = 'degraded')::BIGINT AS files_degraded,
+count(*) FILTER (NOT skipped AND outcome = 'no-declarations')::BIGINT AS no_declarations, count(*) FILTER (NOT skipped AND outcome = 'failed')::BIGINT AS files_failed, count(*) FILTER (skipped)::BIGINT AS files_skipped FROM f""")
+def ingest_report(spark, sf_dir):
+    kind = F.col("n_chars") % 5
+    outcome = F.when(kind == 0, "failed").when(kind == 1, "degraded").when(kind == 2, "no-declarations").otherwise("chunked")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file_path"), outcome.alias("outcome"), F.lit("e").alias("error"), F.array().alias("chunks"))
+    report = chunking.ingest_report(rows.filter("doc_id % 13 <> 0"), rows.filter("doc_id % 13 = 0"))
+    return report.drop("failures", "commit_sha", "chunks")
+
+
+@query("""WITH b AS (SELECT doc_id % 40 AS f, 1 + (doc_id * 7) % 90 AS s, 1 + (doc_id * 7) % 90 + n_chars % 5 AS e FROM documents), c AS (SELECT DISTINCT f, l FROM b, unnest(range(s, e + 1)) t(l))
+SELECT 'f' || f AS file_path, 100::INT AS n_lines, (100 - count(*))::BIGINT AS uncovered FROM c GROUP BY f""")
+def coverage_gaps(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    start = 1 + (F.col("doc_id") * 7) % 90
+    blocks = d.select(F.concat(F.lit("f"), F.col("doc_id") % 40).alias("file_path"), start.alias("start_line"), (start + F.col("n_chars") % 5).alias("end_line"))
+    return chunking.coverage(blocks, blocks.select("file_path", F.lit(100).alias("n_lines")).distinct())
+
+
+# --- index ----------------------------------------------------------------------------------------
+
+
+def _hashed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("t"), "doc_id").alias("embed_text"))
+
+
+@query("SELECT sha256(text) AS content_hash, 't' || min(doc_id) AS embed_text, count(*)::BIGINT AS copies FROM documents GROUP BY text")
+def hash_dedupe(spark, sf_dir):
+    return index.distinct_contents(_hashed(spark, sf_dir))
+
+
+_CACHED = "h AS (SELECT sha256(text) AS content_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY text)"
+
+
+def _cache(hashed: DataFrame) -> DataFrame:
+    """Every third distinct content is cached, some of them for another model."""
+    firsts = hashed.groupBy("content_hash").agg(F.min("seq").alias("first")).filter("first % 3 = 0")
+    return firsts.select("content_hash", F.when(F.col("first") % 2 == 0, "m").otherwise("old").alias("model"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+
+
+@query(f"WITH {_CACHED} SELECT content_hash, first % 3 = 0 AND first % 2 = 0 AS hit FROM h")
+def cache_hit_miss(spark, sf_dir):
+    hashed = _hashed(spark, sf_dir)
+    return index.with_cache(index.distinct_contents(hashed), _cache(hashed), "m").select("content_hash", F.col("vector").isNotNull().alias("hit"))
+
+
+@query(f"WITH {_CACHED} SELECT sum(copies)::BIGINT AS total_chunks, count(*)::BIGINT AS unique_hashes, count(*) FILTER (first % 6 = 0)::BIGINT AS cache_hits, count(*) FILTER (first % 6 <> 0)::BIGINT AS embedded FROM h")
+def index_report(spark, sf_dir):
+    hashed = _hashed(spark, sf_dir)
+    known = index.with_cache(index.distinct_contents(hashed), _cache(hashed), "m")
+    return known.agg(F.sum("copies").alias("total_chunks"), F.count("*").alias("unique_hashes"), F.count("vector").alias("cache_hits"), F.count(F.when(F.col("vector").isNull(), 1)).alias("embedded"))
+
+
+@query(f"WITH {_CACHED} SELECT doc_id AS seq, sha256(text) AS content_hash FROM documents WHERE sha256(text) IN (SELECT content_hash FROM h WHERE first % 6 = 0)")
+def vector_fanout(spark, sf_dir):
+    hashed = _hashed(spark, sf_dir)
+    return index.attach(hashed, _cache(hashed).filter("model = 'm'")).select("seq", "content_hash")
+
+
+@query("SELECT source, count(*)::BIGINT AS rows_before, count(DISTINCT text)::BIGINT AS inserted FROM documents GROUP BY source")
+def replace_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kept = store.first_wins(d.select("source", "doc_id", F.sha2("text", 256).alias("content_hash")), ["source", "content_hash"], ["doc_id"])
+    return d.groupBy("source").agg(F.count("*").alias("rows_before")).join(kept.groupBy("source").agg(F.count("*").alias("inserted")), "source")
+
+
+@query("WITH e AS (SELECT 'm' || p_size AS name FROM part), a AS (SELECT 'm' || o_custkey % 60 AS name FROM orders WHERE o_custkey % 60 % 7 <> 3) SELECT DISTINCT name FROM e WHERE name NOT IN (SELECT name FROM a)")
+def pending_migrations(spark, sf_dir):
+    expected = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), "p_size").alias("name")).distinct()
+    bucket = F.col("o_custkey") % 60
+    applied = table(spark, sf_dir, "orders").filter(bucket % 7 != 3).select(F.concat(F.lit("m"), bucket).alias("name"))
+    return config.pending_migrations(expected, applied)
+
+
+# --- context --------------------------------------------------------------------------------------
+
+
+def _retrieved(spark, sf_dir):
+    """The longest documents as one request's retrieved rows; a file is a source and a residue."""
+    d = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(40)
+    pos = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))
+    return d.select(pos.alias("pos"), "doc_id", F.concat("source", F.lit(".md")).alias("file_path"), (F.lit(1.0) / (F.lit(60.0) + pos % 7)).alias("fused_score"), F.lit(None).cast("string").alias("symbol_name"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+
+
+_PACKED = """WITH r AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos, doc_id, source || '.md' AS file_path, text AS content FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40),
+s AS (SELECT *, 1.0::DOUBLE / (60 + pos % 7) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, pos) = 1 AS kept, min(pos) OVER (PARTITION BY file_path) AS fp FROM s),
+p AS (SELECT pos, '--- ' || file_path || ':1-9 [markdown] ---' || chr(10) || content AS block, row_number() OVER (ORDER BY score DESC, fp) AS place, sum(ceil(length('--- ' || file_path || ':1-9 [markdown] ---' || chr(10) || content) / 4.0)) OVER (ORDER BY score DESC, fp ROWS UNBOUNDED PRECEDING) AS used FROM k WHERE kept),
+t AS (SELECT k.pos, k.doc_id, k.kept, p.place, p.block, coalesce(p.place = 1 OR p.used <= 20000, false) AS included FROM k LEFT JOIN p USING (pos))"""
+
+
+@query(f"{_PACKED} SELECT pos::INT AS pos, doc_id, place::INT AS place, kept, included, CASE WHEN NOT kept THEN 'duplicate-file' WHEN NOT included THEN 'budget' END AS dropped_as FROM t")
+def trace_included(spark, sf_dir):
+    return context.assemble(_retrieved(spark, sf_dir), 20_000).select("pos", "doc_id", "place", "kept", "included", "dropped_as")
+
+
+@query(f"{_PACKED} SELECT md5(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) AS context_md5, ceil(length(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) / 4.0)::INT AS context_tokens FROM t")
+def budget_pack(spark, sf_dir):
+    return context.context_text(context.assemble(_retrieved(spark, sf_dir), 20_000)).select(F.md5("context_text").alias("context_md5"), "context_tokens")
+
+
+@query("WITH s AS (SELECT *, 1.0::DOUBLE / (60 + doc_id % 7) AS score FROM documents), k AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS n FROM s) SELECT doc_id FROM k WHERE n = 1")
+def best_per_file(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/"), "lang").alias("file_path"), (F.lit(1.0) / (60 + F.col("doc_id") % 7)).alias("fused_score"))
+    return context.best_per_file(d).filter("kept").select(F.col("pos").alias("doc_id"))
+
+
+# --- source windows -------------------------------------------------------------------------------
+
+
+def _spans(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    start = 1 + (F.col("doc_id") * 13) % 300
+    return d.select("doc_id", F.col("lang").alias("repo_source"), F.concat(F.lit("f"), F.col("doc_id") % 25).alias("file_path"), start.alias("start_line"), (start + F.col("n_chars") % 9).alias("end_line"))
+
+
+def _requests(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    start = 1 + F.col("c_custkey") % 250
+    return c.select(F.col("c_custkey").alias("request_id"), F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("c_custkey") % 4 + 1).cast("int")).alias("repo_source"), F.concat(F.lit("f"), F.col("c_custkey") % 25).alias("file_path"), start.alias("start_line"), (start + F.when(F.col("c_custkey") % 10 == 0, 1000).otherwise(40)).alias("end_line"))
+
+
+_SPAN_SQL = """WITH b AS (SELECT doc_id, lang AS repo_source, 'f' || doc_id % 25 AS file_path, 1 + (doc_id * 13) % 300 AS s, 1 + (doc_id * 13) % 300 + n_chars % 9 AS e FROM documents),
+q AS (SELECT c_custkey AS request_id, ['en','fr','de','es'][c_custkey % 4 + 1] AS repo_source, 'f' || c_custkey % 25 AS file_path, 1 + c_custkey % 250 AS f, least(1 + c_custkey % 250 + CASE WHEN c_custkey % 10 = 0 THEN 1000 ELSE 40 END, 1 + c_custkey % 250 + 399) AS t FROM customer),
+m AS (SELECT q.*, b.doc_id, b.s, b.e FROM q JOIN b USING (repo_source, file_path) WHERE b.e >= q.f AND b.s <= q.t),
+l AS (SELECT DISTINCT request_id, f, t FROM m), free AS (SELECT request_id, x FROM l, unnest(range(f, t + 1)) u(x) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.request_id = l.request_id AND x BETWEEN m.s AND m.e)),
+g AS (SELECT request_id, min(x) AS start_line, max(x) AS end_line FROM (SELECT request_id, x, x - row_number() OVER (PARTITION BY request_id ORDER BY x) AS k FROM free) GROUP BY request_id, k)"""
+
+
+@query(f"{_SPAN_SQL} SELECT request_id, doc_id, s AS start_line, e AS end_line FROM m")
+def source_range(spark, sf_dir):
+    return source_window.blocks(_spans(spark, sf_dir), _requests(spark, sf_dir)).select("request_id", "doc_id", "start_line", "end_line")
+
+
+@query(f"{_SPAN_SQL} SELECT request_id, start_line, end_line FROM g")
+def source_gaps(spark, sf_dir):
+    requests = _requests(spark, sf_dir)
+    return source_window.gaps(source_window.blocks(_spans(spark, sf_dir), requests), requests)
+
+
+@query(f"{_SPAN_SQL} SELECT request_id, s AS start_line, e AS end_line, 'block' AS kind FROM m UNION ALL SELECT request_id, start_line, end_line, 'gap' FROM g")
+def blocks_and_gaps(spark, sf_dir):
+    requests = _requests(spark, sf_dir)
+    found = source_window.blocks(_spans(spark, sf_dir), requests)
+    return source_window.merged(found, source_window.gaps(found, requests))
+
+
+# --- citations ------------------------------------------------------------------------------------
+
+
+def _answers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    said = F.concat(F.lit("see src/f"), k % 20, F.lit(".ts:"), 1 + k % 90, F.lit("-"), 5 + k % 90, F.lit(" at 10:30, docs/g"), k % 20, F.lit(".md:"), 1 + k % 50, F.lit(" and src/f"), k % 20, F.lit(".ts:"), 1 + k % 90, F.lit("-"), 5 + k % 90, F.lit("."))
+    return d.select("doc_id", said.alias("answer"))
+
+
+def _included(spark, sf_dir):
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/f"), (k + F.when(k % 3 == 0, 1).otherwise(0)) % 20, F.lit(".ts")).alias("file_path"), (k % 60).cast("int").alias("start_line"), (k % 60 + 40).cast("int").alias("end_line"))
+
+
+_CITED = """WITH a AS (SELECT doc_id, 'src/f' || doc_id % 20 || '.ts' AS f1, (1 + doc_id % 90) AS s1, (5 + doc_id % 90) AS e1, 'docs/g' || doc_id % 20 || '.md' AS f2, (1 + doc_id % 50) AS s2 FROM documents),
+c AS (SELECT doc_id, 0 AS place, f1 || ':' || s1 || '-' || e1 AS raw, f1 AS file_path, s1 AS start_line, e1 AS end_line FROM a UNION ALL SELECT doc_id, 1, f2 || ':' || s2, f2, s2, s2 FROM a UNION ALL SELECT doc_id, 2, f1 || ':' || s1 || '-' || e1, f1, s1, e1 FROM a),
+k AS (SELECT doc_id, 'src/f' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % 20 || '.ts' AS kf, doc_id % 60 AS ks, doc_id % 60 + 40 AS ke FROM documents),
+z AS (SELECT c.*, coalesce(kf = file_path AND start_line >= ks AND end_line <= ke, false) AS valid, kf = file_path AS known FROM c JOIN k USING (doc_id))"""
+
+
+@query(f"{_CITED} SELECT doc_id, place::INT AS place, raw, file_path, start_line::INT AS start_line, end_line::INT AS end_line FROM c")
+def citation_parse(spark, sf_dir):
+    return citations.parse(_answers(spark, sf_dir), "doc_id", "answer")
+
+
+@query(f"{_CITED} SELECT doc_id, place::INT AS place, raw, valid, CASE WHEN NOT valid THEN CASE WHEN known THEN 'range-not-retrieved' ELSE 'unknown-file' END END AS reason FROM z")
+def citation_validate(spark, sf_dir):
+    return citations.validate(citation_parse(spark, sf_dir), _included(spark, sf_dir), "doc_id").select("doc_id", "place", "raw", "valid", "reason")
+
+
+@query(f"{_CITED} SELECT doc_id, raw, any_value(valid) AS valid FROM z GROUP BY doc_id, raw")
+def citation_lookup(spark, sf_dir):
+    checked = citations.validate(citation_parse(spark, sf_dir), _included(spark, sf_dir), "doc_id")
+    return citations.lookup(checked, "doc_id").select("doc_id", "raw", "valid")
+
+
+@query(f"{_CITED}, p AS (SELECT doc_id, place * 2 + 1 AS place, 'citation' AS type, raw AS text FROM c UNION ALL SELECT doc_id, 0, 'text', 'see ' FROM a UNION ALL SELECT doc_id, 2, 'text', ' at 10:30, ' FROM a UNION ALL SELECT doc_id, 4, 'text', ' and ' FROM a UNION ALL SELECT doc_id, 6, 'text', '.' FROM a) SELECT doc_id, place::INT AS place, type, text FROM p")
+def citation_segments(spark, sf_dir):
+    answers = _answers(spark, sf_dir)
+    checked = citations.validate(citations.parse(answers, "doc_id", "answer"), _included(spark, sf_dir), "doc_id")
+    return citations.segments(answers, checked, "doc_id", "answer").select("doc_id", "place", "type", "text")
+
+
+# --- history --------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, max_by(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_message(spark, sf_dir):
+    return history.last_user_message(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3")
+def history_cap(spark, sf_dir):
+    return history.last_turns(table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+@query(f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 8), u AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS q FROM k)
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, CASE WHEN turn = q THEN '{model.CONTEXT_MARKER}' || chr(10) || 'ctx ' || conv_id || chr(10) || chr(10) || text ELSE text END AS text FROM u""")
+def prompt_contents(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    contexts = turns.select("conv_id").distinct().withColumn("context_text", F.concat(F.lit("ctx "), "conv_id"))
+    return history.prompt_contents(turns, contexts)
+
+
+@query("SELECT conv_id, count(*)::INT AS messages, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def chat_history(spark, sf_dir):
+    folded = history.chat_history(table(spark, sf_dir, "conversations"))
+    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return folded.select("conv_id", F.size("messages").alias("messages"), F.md5(joined).alias("digest"))
