@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import model
 from ..operators import citations as cite
@@ -95,7 +96,7 @@ def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequenc
         ranked = [r.asDict() | {"pos": k} for k, r in enumerate(found.collect())]  # at most top_k rows
         trace = []
         if ranked:
-            rows = spark.createDataFrame(ranked, found.schema.add("pos", "int"))
+            rows = spark.createDataFrame(ranked, StructType([*found.schema.fields, StructField("pos", IntegerType())]))
             trace = [r.asDict() for r in context.assemble(rows).collect()]
         included = sorted((r for r in trace if r["included"]), key=lambda r: r["place"])
         joined = "\n\n".join(r["block"] for r in included)
