@@ -38,14 +38,6 @@ LETTERS = "eaionrts"
 _LAST = 2**63 - 1
 
 
-def _segment(length: Column, i: int) -> tuple[Column, Column]:
-    """0-based start and size of segment i of a line: even segments, the longer ones last."""
-    n = TAU + 1
-    base, extra = F.floor(length / n).cast("int"), (length % n).cast("int")
-    long_before = F.greatest(F.lit(0), F.lit(i) - (F.lit(n) - extra))
-    return F.lit(i) * base + long_before, base + F.when(F.lit(i) >= F.lit(n) - extra, 1).otherwise(0)
-
-
 def probes() -> list[tuple[int, int, int]]:
     """(length difference, segment, shift): where a segment of a shorter line can lie in a longer one."""
     out = []
@@ -55,17 +47,17 @@ def probes() -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys() -> Column:
-    """Array of (key, own) of a row with ``line`` and ``len``; the key is null where there is no such place."""
-    found = []
-    for d, i, shift in probes():
-        length = F.col("len") - d
-        start, size = _segment(length, i)
-        at = start + shift
-        key = F.xxhash64(length, F.lit(i), F.col("line").substr(at + 1, size))
-        usable = (at >= 0) & (at + size <= F.col("len")) & (length >= MIN_CHARS)
-        found.append(F.struct(F.when(usable, key).alias("key"), F.lit(d == 0 and shift == 0).alias("own")))
-    return F.array(*found)
+def _keyed(lines: DataFrame) -> DataFrame:
+    """id, key, own for every place where a segment can lie (short generated code: one row a place)."""
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes()])
+    rows = lines.filter(F.col("len") >= MIN_CHARS).select("id", "line", "len", F.inline(places).alias("d", "i", "shift"))
+    length, n = F.col("len") - F.col("d"), TAU + 1
+    base, long_from = F.floor(length / n).cast("int"), F.lit(n) - (length % n).cast("int")
+    at = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - long_from) + F.col("shift")
+    size = base + (F.col("i") >= long_from).cast("int")
+    usable = (at >= 0) & (at + size <= F.col("len")) & (length >= MIN_CHARS)
+    own = (F.col("d") == 0) & (F.col("shift") == 0)
+    return rows.filter(usable).select("id", F.xxhash64(length, F.col("i"), F.col("line").substr(at + 1, size)).alias("key"), own.alias("own"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -108,14 +100,13 @@ def banded_distance(a: str, b: str, k: int = TAU) -> Column:
                 cast(shiftright(h.hp, {edge}) & 1L as int) - cast(shiftright(h.hn, {edge}) & 1L as int))))[0])[0])[0]"""
     return F.expr(f"""transform(array(named_struct('p', split({a}, ''), 's', split({b}, ''))), z ->
         transform(array(z.p), p -> transform(array(z.s), s -> aggregate(sequence(0L, size(s) - 1L),
-            named_struct('vp', {first_rows}L, 'vn', 0L, 'dist', {k}), (acc, j) -> {step}, acc -> acc.dist))[0])[0])[0]""")
+            named_struct('vp', {first_rows}L, 'vn', 0L, 'dist', {k}), (acc, j) -> if(acc.dist > {2 * k} + size(s) - size(p), acc, {step}), acc -> acc.dist))[0])[0])[0]""")
 
 
 def _shared_keys(lines: DataFrame) -> DataFrame:
     """key, id, own of the keys that more than one line has and at least one as a segment of its own."""
-    keyed = lines.filter(F.col("len") >= MIN_CHARS).select("id", F.inline(_keys()).alias("key", "own")).filter(F.col("key").isNotNull())
     same = Window.partitionBy("key")
-    return keyed.withColumn("met", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same)).filter("met > 1 and any_own").select("key", "id", "own")
+    return _keyed(lines).withColumn("met", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same)).filter("met > 1 and any_own").select("key", "id", "own")
 
 
 def line_links(lines: DataFrame, work: Workspace) -> DataFrame:

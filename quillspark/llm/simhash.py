@@ -40,6 +40,8 @@ from .components import connected_components
 BLOCKS, BITS = 4, 16
 #: From so many distinct fingerprints in one block key the ball way is cheaper than pairs.
 CROWD = 24
+#: Ids of documents to drop (8 bytes each) up to which they are broadcast; beyond it, a shuffled join.
+BROADCAST_IDS = 1_000_000
 _GROUP = 1 << 16
 
 
@@ -115,12 +117,16 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id are kept once (they are copies or share the id; the first by text
     stays); rows with a null id have nothing to be told apart by and stay.
     """
-    found = simhash_components(docs, **options)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
-    cols = docs.columns
-    repeated = known.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id")
-    once = known.join(repeated, "doc_id", "left_anti").select(*cols)
-    rest = [c for c in cols if c != "doc_id"]
-    twice = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row")).select("doc_id", "__row.*").select(*cols)
-    return once.union(twice).union(docs.filter(F.col("doc_id").isNull()).select(*cols))
+    spark = docs.sparkSession
+    work = Workspace(spark, "near-duplicates")
+    found = work.table(simhash_components(docs, work=work, **options).select("doc_id", "component_id"), "components")
+    go = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    go = F.broadcast(go) if found.filter("doc_id <> component_id").count() <= BROADCAST_IDS else go
+    known = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    repeated = work.table(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return known
+    once = known.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row")
+    return once.union(known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "__row.*").select(*docs.columns))
