@@ -6,7 +6,7 @@ shorter one unchanged, at a place that is shifted by a few characters at most.
 puts its own 3 segments into an index (keyed by length, segment number and content) and probes with
 those substrings of itself that can be a segment of a line of its length, one less or two less: by
 the multi-match-aware bounds 12 substrings in all, 3 of them its own segments.  Lines that meet in a
-key are compared inside the join by their counts of 8 letters: two edits move those by 4 in all at
+key are compared inside the join by their counts of 24 letters: two edits move those by 4 in all at
 most, so this drops no link, and only pairs that pass leave the join.  A banded bit-parallel edit
 distance (Hyyrö 2003) over whole lines decides.
 
@@ -34,7 +34,7 @@ from .components import connected_components
 TAU, MIN_CHARS = 2, 20
 #: Lines that share a key (8 bytes each) up to which their ids are broadcast to fetch the texts.
 BROADCAST_IDS = 1_000_000
-LETTERS = "eaionrts"
+LETTERS = "abcdefghijklmnopqrstuvwx"
 _LAST = 2**63 - 1
 
 
@@ -61,19 +61,22 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of 8 letters, modulo 128, in the bytes of one long."""
-    out = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((n % 128).cast("long"), 8 * k))
-    return out
+    """Counts of 24 letters, modulo 128, in the bytes of three longs."""
+    words = []
+    for k in range(0, len(LETTERS), 8):
+        word = F.lit(0).cast("long")
+        for j, letter in enumerate(LETTERS[k : k + 8]):
+            n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+            word = word.bitwiseOR(F.shiftleft((n % 128).cast("long"), 8 * j))
+        words.append(word.alias(f"w{k // 8}"))
+    return F.struct(*words)
 
 
 def letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of how far two count vectors are apart (sum over letters, counts modulo 128)."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(127)))
+        d = F.abs(F.shiftright(a[f"w{k // 8}"], 8 * (k % 8)).bitwiseAND(F.lit(127)) - F.shiftright(b[f"w{k // 8}"], 8 * (k % 8)).bitwiseAND(F.lit(127)))
         total = total + F.least(d, F.lit(128) - d)
     return total
 
