@@ -15,6 +15,14 @@ one-bit changes) meet; so each member is hung to every point of its ball and the
 in a point are linked to the smallest of them.  That is 33 rows for a member instead of pairs, and
 a point can be reached from 33 members at most, so no group is unbounded and no link is lost.
 
+``similar_components`` is the form for a similarity threshold.  At a shingle similarity of 0.8 about
+one bit in seven differs, so no 64-bit fingerprint has blocks that close pairs must share.  It takes
+512 bits and ``KEYS`` = 192 blocks of 24 bits (three of the 64 bytes each): a pair of similarity 0.8 shares
+some block with a probability of about 0.97, a closer pair more surely.  Within a block the
+fingerprints stand in the order of their first 128 bits, and each is compared with the one before it:
+first by those bits in place, then by all 512.  So a block gives at most as many candidates as it has
+members, however many copies a group has, and a group is linked along many different orders.
+
 Defined results: a text without words (null, empty, white space) has fingerprint zero, which links
 like any other; fewer words than the shingle length make one shingle of all of them; repeated
 doc_ids give a row each; a null doc_id never becomes a component id unless all ids of its component
@@ -30,39 +38,56 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .bytetext import ASCII_LOWER, slices
+from .bytetext import ASCII_LOWER, mix, slices
 from .components import connected_components
 
 BLOCKS, BITS = 4, 16
 #: From so many distinct fingerprints in one block key the ball way is cheaper than pairs.
 CROWD = 24
+#: Of 512 bits; at a shingle similarity of 0.8 about 72 differ, with a standard deviation of 8.
+DISTANCE, KEYS = 92, 192
 #: Ids of documents to drop (8 bytes each) up to which they are broadcast; beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 _GROUP = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """SimHash of lower-cased words; a shingle counts as often as it occurs; a bit needs over half."""
+def _sums(text: bytes, shingle: int, seed: int, words64: int) -> tuple[np.ndarray, int]:
+    """How many shingle hashes have each bit (64 bits for each of ``words64``), and how many there are."""
     words = text.translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(64 * words64, np.int64), 0
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64 * words64, np.int64)
     for at in range(0, n, _GROUP):  # bounded memory for very long texts
         hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[at : at + _GROUP], ends[at : at + _GROUP])), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if words64 > 1:
+            with np.errstate(over="ignore"):
+                hashes = mix(hashes[:, None] + np.arange(words64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * words64), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones, n
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    """SimHash of lower-cased words; a shingle counts as often as it occurs; a bit needs over half."""
+    ones, n = _sums(text, shingle, seed, 1)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The same with 512 bits, from eight mixes of each hash; as eight signed longs."""
+    ones, n = _sums(text, shingle, seed, 8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<i8")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in slices(batches):
         raw, at = data.tobytes(), offsets.tolist()
@@ -111,6 +136,62 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 2, id_
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in slices(batches):
+        raw, at = data.tobytes(), offsets.tolist()
+        prints = [wide_fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])]
+        flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * 8), flat)], names=["doc_id", "fp"])
+
+
+def _block_bytes() -> list[tuple[int, int, int]]:
+    """The three bytes of each block; every byte is in nine blocks."""
+    steps = ((5, 17), (11, 31), (7, 26))
+    return [(k % 64, (k + steps[k // 64][0]) % 64, (k + steps[k // 64][1]) % 64) for k in range(KEYS)]
+
+
+def _apart(a, b, words: range):
+    total = F.lit(0)
+    for k in words:
+        total = total + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return total
+
+
+def _near(distinct: DataFrame, distance: int) -> DataFrame:
+    """Candidate pairs (u, v) of ids of ``distinct`` (id, fp) from neighbours within blocks."""
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(b).alias(f"b{j}") for j, b in enumerate(three)]) for k, three in enumerate(_block_bytes())])
+    keyed = distinct.select("id", "fp", F.inline(blocks).alias("k", "b0", "b1", "b2"))
+    key = F.col("k").cast("long")
+    for j in range(3):
+        place = F.col(f"b{j}")
+        byte = F.call_function("shiftright", F.get("fp", F.floor(place / 8).cast("int")), (place % 8) * 8).bitwiseAND(F.lit(255))
+        key = F.shiftleft(key, 8).bitwiseOR(byte)
+    rows = keyed.select("id", key.alias("key"), F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1"))
+    order = Window.partitionBy("key").orderBy("c0", "c1", "id")
+    before = rows.select("id", "c0", "c1", *[F.lag(c).over(order).alias(f"p_{c}") for c in ("id", "c0", "c1")])
+    bits = F.bit_count(F.col("c0").bitwiseXOR(F.col("p_c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("p_c1")))
+    # The first quarter of the bits: its share of the distance and some more (about 18 bits differ at a similarity of 0.8).
+    return before.filter(bits <= distance // 4 + 6).select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct()
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
+    """doc_id, fingerprint (128 hex digits), component_id over links of at most ``distance`` of 512 bits."""
+    work = work or Workspace(docs.sparkSession, "similar")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = work.table(slim.mapInArrow(partial(_wide, shingle=shingle), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp array<long>"), "wide")
+    distinct = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "wide-distinct")
+    near = work.table(_near(distinct.select("id", "fp"), distance), "near")
+    fp = distinct.select("id", "fp")
+    both = near.join(fp.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(fp.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
+    links = both.filter(_apart(F.col("a"), F.col("b"), range(8)) <= distance).select("u", "v")
+    roots = connected_components(links, work, "similar")
+    rooted = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = rooted.join(lows, "root").select("fp", "component_id")
+    digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that stay: of each component the row whose id is the component's id.
 
@@ -119,7 +200,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-duplicates")
-    found = work.table(simhash_components(docs, work=work, **options).select("doc_id", "component_id"), "components")
+    found = work.table(similar_components(docs, work=work, **options).select("doc_id", "component_id"), "components")
     go = found.filter("doc_id <> component_id").select("doc_id").distinct()
     go = F.broadcast(go) if found.filter("doc_id <> component_id").count() <= BROADCAST_IDS else go
     known = docs.join(go, "doc_id", "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ def test_stages_one_after_another(spark):
     verdict = {r.doc_id for r in quality.repetition_quality(docs).collect() if r.kept}
     assert verdict and all(len(words(rows[i].text)) >= 20 for i in verdict)
     kept = docs.filter(docs.doc_id.isin(list(verdict)))
-    single = {r.doc_id for r in simhash.simhash_components(kept).collect() if r.doc_id == r.component_id}
+    single = {r.doc_id for r in simhash.similar_components(kept).collect() if r.doc_id == r.component_id}
     kept = kept.filter(kept.doc_id.isin(list(single)))
     found = decontam.verdicts(decontam.find_contamination(kept, spark.read.parquet(f"{SF}/benchmark.parquet"))).collect()
     clean = [r.doc_id for r in found if not r.contaminated]

@@ -72,6 +72,40 @@ def test_odd_inputs(spark):
     assert simhash.simhash_components(odd_docs(spark).limit(0)).collect() == []
 
 
+def test_similar_documents_are_found_and_others_left_alone(spark):
+    rnd, rows, n = random.Random(7), [], 0
+    vocabulary = [f"w{k}" for k in range(3000)]
+    groups = {}
+    for g in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randrange(60, 400))]
+        for copy in range(rnd.choice([1, 2, 3])):
+            w = list(base)
+            for _ in range(len(w) // 60 if copy else 0):  # each change touches 5 shingles: similarity about 0.85
+                w[rnd.randrange(len(w))] = "changed"
+            rows.append((n, " ".join(w)))
+            groups[n] = g
+            n += 1
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i, g in groups.items():
+        first.setdefault(g, i)
+    assert all(groups[c] == groups[i] for i, c in got.items())
+    copies = [i for i, g in groups.items() if first[g] != i]
+    assert sum(got[i] == first[groups[i]] for i in copies) >= 0.95 * len(copies)
+
+
+def test_wide_fingerprint_begins_with_no_bias():
+    assert not simhash.wide_fingerprint(b"  ", 5).any() and len(set(simhash.wide_fingerprint(b"a b c d e f", 5).tolist())) == 8
+    used = [b for three in simhash._block_bytes() for b in three]
+    assert {used.count(b) for b in range(64)} == {9} and len(set(map(frozenset, simhash._block_bytes()))) == simhash.KEYS
+
+
+def test_similar_of_odd_inputs(spark):
+    got = simhash.similar_components(odd_docs(spark)).collect()
+    assert len(got) == odd_docs(spark).count() and {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0} and {r.component_id for r in got if r.doc_id in (7, 8)} == {7}
+    assert simhash.similar_components(odd_docs(spark).limit(0)).collect() == []
+
+
 def test_drop_keeps_one_of_each_group(spark):
     docs = odd_docs(spark)
     kept = simhash.drop_near_duplicates(docs)
