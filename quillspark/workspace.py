@@ -7,6 +7,7 @@ executors are one process, may fall back on a folder of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -40,6 +41,7 @@ class Workspace:
         if "://" not in root:
             root = f"file://{root}" if root.startswith("/") else root
         self.uri = f"{root}/quillspark/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
@@ -49,6 +51,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _at_exit(self) -> None:
+        """Results are lazy and read the folder until the program ends; a session that is gone cannot tidy."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:
+                self.drop()
+
     def drop(self, name: str = "") -> None:
         """Delete a table (or the whole folder) that nothing lazy reads any more."""
         jvm = self.spark.sparkContext._jvm
