@@ -6,10 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, kneser_ney, langid, linededup, mixing, quality, sharding, simhash, tokens, warc
-from .oracles import ORACLES
-
-__all__ = ["ORACLES", "QUERIES"]
+from . import decontam, kneser_ney, langid, linededup, mixing, oracles, quality, sharding, simhash, tokens, warc
 
 
 #: Target weights of the sources; sources that are not named here weigh 1 each.
@@ -78,3 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_line_dedup": op10_line_dedup,
 }
+ORACLES: dict[str, str] = {
+    "op4_mixing": oracles.mixing(WEIGHTS),
+    "op6_sharding": oracles.sharding(8),
+    "op7_warc": oracles.WARC,
+    "op8_quality": oracles.QUALITY,
+    "op9_decontam": oracles.DECONTAMINATION,
+}

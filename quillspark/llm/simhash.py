@@ -179,15 +179,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, distance: int = DISTAN
     work = work or Workspace(docs.sparkSession, "similar")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = work.table(slim.mapInArrow(partial(_wide, shingle=shingle), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp array<long>"), "wide")
-    distinct = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "wide-distinct")
+    ordered = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).orderBy(F.asc_nulls_last("low"), "fp")
+    distinct = work.table(ordered.withColumn("id", F.monotonically_increasing_id()), "wide-distinct")  # ids rise with low
     near = work.table(_near(distinct.select("id", "fp"), distance), "near")
     fp = distinct.select("id", "fp")
     both = near.join(fp.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(fp.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
     links = both.filter(_apart(F.col("a"), F.col("b"), range(8)) <= distance).select("u", "v")
     roots = connected_components(links, work, "similar")
-    rooted = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lows, "root").select("fp", "component_id")
+    moved = roots.join(distinct.select(F.col("id").alias("root"), F.col("low").alias("root_low")), "root").select(F.col("node").alias("id"), F.lit(True).alias("moved"), "root_low")
+    classes = distinct.join(moved, "id", "left").select("fp", F.when(F.col("moved"), F.col("root_low")).otherwise(F.col("low")).alias("component_id"))
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
