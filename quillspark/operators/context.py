@@ -39,3 +39,13 @@ def context_text(assembled: DataFrame, budget: int = model.CONTEXT_BUDGET) -> Da
     blocks = F.transform(F.array_sort(F.collect_list(F.when(F.col("included"), F.struct("place", "block")))), lambda x: x["block"])
     joined = assembled.agg(F.concat_ws("\n\n", blocks).alias("context_text"))
     return joined.withColumn("context_tokens", text.estimate_tokens("context_text")).withColumn("budget_exceeded", F.col("context_tokens") > budget)
+
+
+def trace_table(retrieved: DataFrame) -> DataFrame:
+    """The retrieved rows as a table to read: path:start-end, ranks (a dash for none), score to 3 decimals."""
+
+    def rank(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit("—")).alias(name)
+
+    span = F.concat("file_path", F.lit(":"), "start_line", F.lit("-"), "end_line").alias("span")
+    return retrieved.select(span, rank("dense_rank"), rank("lexical_rank"), F.format_number("fused_score", 3).alias("score"))

@@ -116,11 +116,11 @@ class IndexReport:
     inserted: int
 
 
-def stored_rows(chunks: DataFrame, repo: str) -> DataFrame:
-    """Columns of the chunk table; ids follow ``seq`` (dense enough to order by, unique in a repository)."""
+def stored_rows(chunks: DataFrame, repo: str, first_id: int) -> DataFrame:
+    """Columns of the chunk table; ids follow ``seq`` from ``first_id`` on, so they are unique in the table."""
     words = lexical.lexemes(lexical.indexed_text(), stem_words)
     ready = chunks.withColumn("lexemes", words).withColumn("doc_len", F.size(F.filter("lexemes", lambda t: t != "")))
-    ready = ready.withColumn("norm", norm(F.col("embedding"))).withColumn("created_at", F.current_timestamp()).withColumn("repo_source", F.lit(repo)).withColumn("id", F.col("seq"))
+    ready = ready.withColumn("norm", norm(F.col("embedding"))).withColumn("created_at", F.current_timestamp()).withColumn("repo_source", F.lit(repo)).withColumn("id", F.col("seq") + F.lit(first_id).cast("long"))
     return ready.select(*[f.split(" ")[0] for f in model.STORED.split(", ")])
 
 
@@ -137,7 +137,8 @@ def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embe
         vectors = known.filter(F.col("vector").isNotNull()).select("content_hash", "vector").union(new)
         rows = store.first_wins(attach(chunks, vectors), ["content_hash"], ["seq"])
         counts = known.agg(F.count("*").alias("unique"), F.count("vector").alias("hits"), F.sum("copies").alias("total")).first()
-        deleted, inserted = store.replace_chunks(spark, table, repo, stored_rows(rows, repo))
+        top = store.read_chunks(spark, table).agg(F.max("id")).first()[0]  # one run at a time writes a table
+        deleted, inserted = store.replace_chunks(spark, table, repo, stored_rows(rows, repo, 0 if top is None else top + 1))
         new.withColumn("model", F.lit(embed_model)).select("content_hash", "model", "vector").write.mode("append").parquet(cache_path)
         return IndexReport(counts["total"] or 0, counts["unique"], counts["hits"], counts["unique"] - counts["hits"], deleted, inserted)
     finally:

@@ -360,6 +360,12 @@ def budget_pack(spark, sf_dir):
     return context.context_text(context.assemble(_retrieved(spark, sf_dir), 20_000)).select(F.md5("context_text").alias("context_md5"), "context_tokens")
 
 
+@query(f"WITH x AS ({_fused(TERMS, TERMS)}) SELECT x.file_path || ':1-' || len(string_split(d.text, chr(10))) AS span, coalesce(dense_rank::VARCHAR, '—') AS dense_rank, coalesce(lexical_rank::VARCHAR, '—') AS lexical_rank, format('{{:.3f}}', fused_score) AS score FROM x JOIN documents d ON d.doc_id = x.id")
+def trace_table(spark, sf_dir):
+    found = search.hybrid_search(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), TERMS, SearchOptions())
+    return context.trace_table(found)
+
+
 @query("WITH s AS (SELECT *, 1.0::DOUBLE / (60 + doc_id % 7) AS score FROM documents), k AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS n FROM s) SELECT doc_id FROM k WHERE n = 1")
 def best_per_file(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/"), "lang").alias("file_path"), (F.lit(1.0) / (60 + F.col("doc_id") % 7)).alias("fused_score"))

@@ -23,7 +23,5 @@ def ingest_stream(files: DataFrame, table: str, cache_path: str, checkpoint: str
 
 
 def with_seq(chunks: DataFrame) -> DataFrame:
-    """Number the chunks of a repository by path and place."""
-    from pyspark.sql import Window
-
-    return chunks.withColumn("seq", F.row_number().over(Window.orderBy("file_path", "place")).cast("long")).drop("place")
+    """Number the chunks of a repository in order of path and place (rising, not gapless; no task sees all)."""
+    return chunks.orderBy("file_path", "place").withColumn("seq", F.monotonically_increasing_id()).drop("place")

@@ -182,6 +182,9 @@ def test_replace_semantics(spark, tmp_path):
     files = lambda repo: sorted(r.file_path for r in store.read_chunks(spark, table, repo).collect())
     assert files("test://a") == ["beta.md", "gamma.md"] and files("test://b") == ["alpha.md"]
 
+    ids = [r.id for r in store.read_chunks(spark, table).collect()]
+    assert len(set(ids)) == len(ids) == 3
+
     def failing(_):
         raise index.EmbedError("daily-quota", "429 PerDay")
 
@@ -373,3 +376,43 @@ def test_failed_files_do_not_stop_the_run(spark):
     report = chunking.ingest_report(chunked, files.limit(0), "sha").first()
     assert (report.files_seen, report.files_chunked, report.files_failed, report.commit_sha) == (3, 1, 2, "sha")
     assert [f.reason for f in report.failures] == ["gone", "no text"]
+
+
+# --- HTTP -----------------------------------------------------------------------------------------
+
+
+def test_server(spark, chunks):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quillspark import server
+
+    rows = chunks.withColumn("part_index", F.lit(1))
+    engine = server.Engine(spark, lambda: rows, lambda t: [[1.0, 0.0, 0.0]])
+    http = server.serve(engine, 0, "127.0.0.1")
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_address[1]}"
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, None if body is None else json.dumps(body).encode()), timeout=60) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert call("/health")[0] == call("/ready")[0] == 200
+        status, text_ = call("/api/chat", {"messages": [{"role": "user", "content": "cache"}]})
+        assert status == 200 and [e["type"] for e in answer.parse_frames([text_])][-2:] == ["citations", "done"]
+        for bad in ({"messages": []}, {"messages": [{"role": "x", "content": ""}]}, {"messages": [{"role": "user", "content": "q"}], "topK": 0}, []):
+            assert call("/api/chat", bad)[0] == 400
+        status, found = call("/api/source?repoSource=r&filePath=docs/cache.md&startLine=1&endLine=9")
+        assert status == 200 and json.loads(found)["gaps"] == [{"startLine": 6, "endLine": 9}]
+        assert call("/api/source?repoSource=r&filePath=none&startLine=1&endLine=9")[0] == 404
+        assert call("/api/source?repoSource=r&filePath=x&startLine=0&endLine=9")[0] == 400 and call("/nothing")[0] == 404
+        engine.shutting_down = True
+        assert call("/ready")[0] == 503
+    finally:
+        http.shutdown()
