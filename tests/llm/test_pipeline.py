@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import decontam, mixing, quality, sharding, simhash
+from quillspark.llm import decontam, mixing, quality, simhash
 from quillspark.llm.queries import QUERIES, WEIGHTS
 
 from .helpers import words
