@@ -127,7 +127,10 @@ def line_links(lines: DataFrame, work: Workspace) -> DataFrame:
     both = candidates.join(texts.select(F.col("id").alias("u"), F.struct("line", "len").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.struct("line", "len").alias("b")), "v")
     first_longer = F.col("a.len") >= F.col("b.len")
     ordered = both.select("u", "v", F.when(first_longer, F.col("a.line")).otherwise(F.col("b.line")).alias("longer"), F.when(first_longer, F.col("b.line")).otherwise(F.col("a.line")).alias("shorter"))
-    return work.table(ordered.filter(banded_distance("longer", "shorter") <= TAU).select("u", "v"), "links")
+    links = work.table(ordered.filter(banded_distance("longer", "shorter") <= TAU).select("u", "v"), "links")
+    for done in ("shared", "ids", "texts"):
+        work.drop(done)
+    return links
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:

@@ -107,6 +107,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     cuts = sorted(prefix.filter(F.col("to_size").isin(_search(prefix, shards))).collect(), key=lambda r: r["to_size"])  # under ``shards`` rows
     numbered = _number(base.join(prefix.select("key", "group_no"), "key").select("doc_id", "size", "text_crc32", "group_no", "o"), ["group_no", "o"], work, "ordered")
+    for done in ("rows", "groups", "prefix"):
+        work.drop(done)
     parts = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("mark").alias("low"))
     before = F.broadcast(parts.select("part", "low", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")))  # a row a partition
     number, shard_no, begin = F.col("before") + F.col("mark") - F.col("low"), F.lit(0), F.lit(0).cast("long")

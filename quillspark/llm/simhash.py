@@ -186,6 +186,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, distance: int = DISTAN
     both = near.join(fp.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(fp.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
     links = both.filter(_apart(F.col("a"), F.col("b"), range(8)) <= distance).select("u", "v")
     roots = connected_components(links, work, "similar")
+    work.drop("near")
     moved = roots.join(distinct.select(F.col("id").alias("root"), F.col("low").alias("root_low")), "root").select(F.col("node").alias("id"), F.lit(True).alias("moved"), "root_low")
     classes = distinct.join(moved, "id", "left").select("fp", F.when(F.col("moved"), F.col("root_low")).otherwise(F.col("low")).alias("component_id"))
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
