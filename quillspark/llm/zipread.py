@@ -37,9 +37,9 @@ class ZipRanges:
     def _directory(self) -> list[Member]:
         tail_at = max(0, self.size - 22 - 0xFFFF)
         tail = self._read(tail_at, self.size - tail_at)
-        at = tail.rfind(_EOCD)
+        at = tail.rfind(_EOCD, 0, max(0, len(tail) - 22) + 4)  # a whole record must follow
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(_EOCD, 0, at)
+            at = tail.rfind(_EOCD, 0, at + 3)  # the signature may also stand in the comment
         if at < 0:
             raise ValueError("no end of central directory")
         count, size, offset = struct.unpack_from("<HII", tail, at + 10)
