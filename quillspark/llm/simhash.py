@@ -15,16 +15,25 @@ one-bit changes) meet; so each member is hung to every point of its ball and the
 in a point are linked to the smallest of them.  That is 33 rows for a member instead of pairs, and
 a point can be reached from 33 members at most, so no group is unbounded and no link is lost.
 
-``similar_components`` is the form for a similarity threshold.  At a shingle similarity of 0.8 about
-one bit in seven differs, so no 64-bit fingerprint has blocks that close pairs must share.  It takes
-512 bits and ``KEYS`` = 192 blocks of 24 bits (three of the 64 bytes each): a pair of similarity 0.8 shares
-some block with a probability of about 0.97, a closer pair more surely.  Within a block the
-fingerprints stand in the order of their first 128 bits, and each is compared with the one before it:
-first by those bits in place, then by all 512.  So a block gives at most as many candidates as it has
-members, however many copies a group has, and a group is linked along many different orders.
+``similar_components`` is the form for a similarity threshold: texts whose sets of word shingles have a
+Jaccard similarity of at least ``SIMILARITY`` are linked, no others.  At 0.8 about one bit in seven of
+a fingerprint differs, so no blocks of bits are sure to be shared; candidates come from the shingles:
+
+* All sets are put in one order, rare shingles first (``_common``: classes of frequency from a sample
+  of documents; any order is exact, a good one keeps common passages out of the way).  Two sets that
+  are similar enough have their first common shingle within the first n - ceil(0.8 n) + 1 of each, and
+  at places that leave room for the overlap they need (prefix and positional filter).
+* Members of a key of up to ``PAIRED`` sets are compared with each other.  In a larger key all are
+  compared with one member, in ``PIVOTS`` rounds with another one each; what is linked becomes one
+  component, and after the rounds all pairs that are not yet in one component are compared.  So a
+  large group of copies costs a few comparisons a member, and no pair that could matter is left out.
+* 512 parities (bit i: whether an odd number of shingles falls on i) differ in no more bits than the
+  sets differ in shingles, which drops most false candidates and no link; whole sets decide.
+
+Equal sets collapse first.  Shingles are compared by 64-bit hashes.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, which links
-like any other; fewer words than the shingle length make one shingle of all of them; repeated
+like any other, and an empty set, which is similar to empty sets only; fewer words than the shingle length make one shingle of all of them; repeated
 doc_ids give a row each; a null doc_id never becomes a component id unless all ids of its component
 are null; an empty table gives an empty result; other columns of the input are not looked at.
 """
@@ -42,14 +51,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .bytetext import ASCII_LOWER, mix, slices
+from .bytetext import ASCII_LOWER, LOWER, SPACE, Texts, mix, slices, span_hashes, window_hashes
 from .components import connected_components
 
 BLOCKS, BITS = 4, 16
 #: From so many distinct fingerprints in one block key the ball way is cheaper than pairs.
 CROWD = 24
-#: Of 512 bits; at a shingle similarity of 0.8 about 72 differ, with a standard deviation of 8.
-DISTANCE, KEYS = 92, 192
+KEYS = 192
+#: Jaccard similarity of shingle sets from which texts are near copies, as a fraction.
+SIMILARITY = (4, 5)
+#: Sets of one key up to which all pairs are compared, and rounds of comparing larger keys with one member.
+PAIRED, PIVOTS = 32, 3
+#: Documents (about) whose shingles are counted to find common ones, and how many of these are kept.
+SAMPLE, COMMON = 10_000, 200_000
+PARITIES = 512
 #: Ids of documents to drop (8 bytes each) up to which they are broadcast; beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 _GROUP = 1 << 16
@@ -136,12 +151,49 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 2, id_
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, bytes, list[int], list[np.ndarray]]]:
+    """Rows, their bytes and offsets, and of each the sorted distinct hashes of its shingles."""
     for rows, data, offsets in slices(batches):
-        raw, at = data.tobytes(), offsets.tolist()
-        prints = [wide_fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])]
-        flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * 8), flat)], names=["doc_id", "fp"])
+        texts = Texts(LOWER[data], offsets, SPACE)
+        words, first = texts.hashes(), texts.first
+        windows, short = window_hashes(words, shingle), (texts.n_words > 0) & (texts.n_words < shingle)
+        whole, sets = iter(span_hashes(words, first[:-1][short], first[1:][short])), []
+        for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            sets.append(np.array([next(whole)], np.uint64) if short[k] else np.unique(windows[a : max(a, b - shingle + 1)]))
+        yield rows, data.tobytes(), offsets.tolist(), sets
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The first column and the whole set."""
+    for rows, _, _, sets in _shingle_sets(batches, shingle):
+        yield pa.RecordBatch.from_arrays([rows.column(0), _lists(sets)], names=[rows.schema.names[0], "shingles"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, classes: np.ndarray, similarity: tuple[int, int], wide: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, t0, t1, digest of the set, its size, first shingles in the common order, parities, fingerprint."""
+    for rows, raw, at, sets in _shingle_sets(batches, shingle):
+        digests, firsts, parities, prints = [], [], [], []
+        for k, found in enumerate(sets):
+            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+            often = np.zeros(len(found), np.uint8)
+            if len(common) and len(found):
+                place = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                often = np.where(common[place] == found, classes[place], 0)
+            n = len(found) - -(-similarity[0] * len(found) // similarity[1]) + 1 if len(found) else 0
+            firsts.append(found[np.argsort(often, kind="stable")[:n]])
+            odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+            parities.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64))
+            prints.append(wide_fingerprint(raw[at[k] : at[k + 1]], shingle).view(np.uint64) if wide else np.zeros(0, np.uint64))
+        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        sizes = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
+        columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(d[:, 0]), pa.array(d[:, 1]), sizes, _lists(firsts), _lists(parities), _lists(prints)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "d0", "d1", "n", "firsts", "odd", "fp"])
 
 
 def _block_bytes() -> list[tuple[int, int, int]]:
@@ -150,50 +202,128 @@ def _block_bytes() -> list[tuple[int, int, int]]:
     return [(k % 64, (k + steps[k // 64][0]) % 64, (k + steps[k // 64][1]) % 64) for k in range(KEYS)]
 
 
-def _apart(a, b, words: range):
-    total = F.lit(0)
-    for k in words:
-        total = total + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return total
-
-
-def _near(distinct: DataFrame, distance: int) -> DataFrame:
-    """Candidate pairs (u, v) of ids of ``distinct`` (id, fp) from neighbours within blocks."""
-    blocks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(b).alias(f"b{j}") for j, b in enumerate(three)]) for k, three in enumerate(_block_bytes())])
-    keyed = distinct.select("id", "fp", F.inline(blocks).alias("k", "b0", "b1", "b2"))
-    key = F.col("k").cast("long")
-    for j in range(3):
-        place = F.col(f"b{j}")
-        byte = F.call_function("shiftright", F.get("fp", F.floor(place / 8).cast("int")), (place % 8) * 8).bitwiseAND(F.lit(255))
-        key = F.shiftleft(key, 8).bitwiseOR(byte)
-    rows = keyed.select("id", key.alias("key"), F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1"))
-    order = Window.partitionBy("key").orderBy("c0", "c1", "id")
-    before = rows.select("id", "c0", "c1", *[F.lag(c).over(order).alias(f"p_{c}") for c in ("id", "c0", "c1")])
-    bits = F.bit_count(F.col("c0").bitwiseXOR(F.col("p_c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("p_c1")))
-    # The first quarter of the bits: its share of the distance and some more (about 18 bits differ at a similarity of 0.8).
-    return before.filter(bits <= distance // 4 + 6).select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct()
-
-
-def similar_components(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
-    """doc_id, fingerprint (128 hex digits), component_id over links of at most ``distance`` of 512 bits."""
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample hold, sorted, and the logarithm of how many.
+
+    They decide an order only: what a sample misses costs time and no link.
+    """
+    every = max(1, texts.count() // SAMPLE)
+    sets = texts.filter(F.pmod("t0", F.lit(every)) == 0).select("t0", "text").mapInArrow(partial(_set_rows, shingle=shingle), "t0 long, shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, n = counts["shingle"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], np.log2(n[order]).astype(np.uint8) if len(n) else np.zeros(0, np.uint8)
+
+
+def _enough(overlap, a, b, similarity: tuple[int, int]):
+    """Whether sets of sizes a and b with so many common members are similar enough."""
+    return overlap * sum(similarity) >= similarity[0] * (a + b)
+
+
+def _room(similarity: tuple[int, int]):
+    """Whether u and v can be similar enough if their first common shingle is at places pu and pv."""
+    return _enough(F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")), F.col("nu"), F.col("nv"), similarity)
+
+
+def _shared_firsts(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """key, id, n, p, own, members of the keys where two sets or more meet, one at a place for the shorter set."""
+    keyed = nodes.select("id", "n", F.posexplode("firsts").alias("p", "key"))
+    own = _enough(F.col("n") - F.col("p"), F.col("n"), F.col("n"), similarity)
+    same = Window.partitionBy("key")
+    met = keyed.withColumn("own", own).withColumn("members", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same))
+    return met.filter("members > 1 and any_own").select("key", "id", "n", "p", "own", "members")
+
+
+def _sides(left: DataFrame, right: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", *more)], F.col("id").alias(x)) for df, x in ((left, "u"), (right, "v")))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int], work: Workspace, label: str) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets are similar enough."""
+    slim = nodes.select("id", "n", "odd")
+    both = pairs.join(slim.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("odd").alias("a")), "u").join(slim.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("odd").alias("b")), "v")
+    pairs = work.table(both.filter(_few_odd(F.col("a"), F.col("b"), similarity)).select("u", "v", "nu", "nv"), f"{label}-pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = work.table(nodes.select("id", "text").join(ids, "id", "left_semi").select("id", "text.t0", "text.t1"), f"{label}-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    found = texts.join(few, ["t0", "t1"]).select("id", "text").dropDuplicates(["id"])
+    sets = work.table(found.mapInArrow(partial(_set_rows, shingle=shingle), "id long, shingles array<long>"), f"{label}-sets")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    links = work.table(both.filter(_enough(F.size(F.array_intersect("a", "b")), F.col("nu"), F.col("nv"), similarity)).select("u", "v"), f"{label}-links")
+    for done in ("pairs", "wanted", "sets"):
+        work.drop(f"{label}-{done}")
+    return links
+
+
+def _few_odd(a, b, similarity: tuple[int, int]):
+    """A bound that every link keeps: parities differ in no more bits than sets of nu and nv differ in members."""
+    apart = F.lit(0)
+    for k in range(PARITIES // 64):
+        apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
+    both = F.col("nu") + F.col("nv")
+    return _enough(both - apart, both, both, similarity)  # apart = both - 2 * overlap at most
+
+
+def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int], work: Workspace) -> DataFrame:
+    """(node, root) of the sets in ``nodes`` that are linked to a smaller one."""
+    verify = partial(_verified, nodes=nodes, texts=texts, shingle=shingle, similarity=similarity, work=work)
+    shared = work.table(_shared_firsts(nodes, similarity), "firsts")
+    few = shared.filter(F.col("members") <= PAIRED)
+    left, right = _sides(few.filter("own"), few, "own")
+    once = (F.col("u") != F.col("v")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
+    pairs = left.join(right, "key").filter(once & _room(similarity)).select("u", "v")
+    links = verify(_ordered(pairs), label="paired")
+    roots = connected_components(links, work, "paired")
+    crowd = shared.filter(F.col("members") > PAIRED)
+    if crowd.isEmpty():
+        return roots
+    for k in range(PIVOTS + 1):
+        rooted = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        ends = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by(F.struct("id", "n", "p", "root"), F.xxhash64("id", F.lit(k))).alias("pivot"))
+        rooted = work.table(rooted.join(ends.filter("least <> most").select("key", "pivot"), "key"), f"crowd-{k}")
+        if rooted.isEmpty():
+            return roots
+        if k < PIVOTS:
+            met = rooted.select("root", F.col("pivot.root").alias("pivot_root"), *[F.col(c).alias(f"{x}v") for c, x in (("n", "n"), ("p", "p"))], F.col("id").alias("v"), F.col("pivot.n").alias("nu"), F.col("pivot.p").alias("pu"), F.col("pivot.id").alias("u"))
+            pairs = met.filter((F.col("root") != F.col("pivot_root")) & _room(similarity))
+        else:
+            rows = rooted.drop("pivot").join(nodes.select("id", "odd"), "id")
+            left, right = _sides(rows.filter("own"), rows, "own", "root", "odd")
+            apart = (F.col("rootu") != F.col("rootv")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
+            pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity))
+        links = work.table(links.union(verify(_ordered(pairs), label=f"crowd-{k}")), f"links-{k}")
+        roots = connected_components(links, work, f"roots-{k}")
+    return roots
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str, work: Workspace, wide: bool) -> DataFrame:
+    """doc_id, t0, t1 (hashes of the text), fp, component_id, for every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text"))
+    common, classes = _common(texts, shingle)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    each = partial(_rows, shingle=shingle, common=common, classes=classes, similarity=similarity, wide=wide)
+    rows = work.table(texts.mapInArrow(each, f"doc_id {kind}, t0 long, t1 long, d0 long, d1 long, n long, firsts array<long>, odd array<long>, fp array<long>"), "rows")
+    distinct = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("low"), F.min(F.struct("t0", "t1")).alias("text"), *[F.first(c).alias(c) for c in ("n", "firsts", "odd")])
+    nodes = work.table(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
+    roots = _similar_roots(nodes, texts, shingle, similarity, work)
+    rooted = nodes.select("id", "d0", "d1", "low").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(rooted.join(lows, "root").select("d0", "d1", "component_id"), ["d0", "d1"]).select("doc_id", "t0", "t1", "fp", "component_id")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
+    """doc_id, fingerprint (128 hex digits), component_id over links of texts with so similar shingle sets."""
     work = work or Workspace(docs.sparkSession, "similar")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = work.table(slim.mapInArrow(partial(_wide, shingle=shingle), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp array<long>"), "wide")
-    ordered = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).orderBy(F.asc_nulls_last("low"), "fp")
-    distinct = work.table(ordered.withColumn("id", F.monotonically_increasing_id()), "wide-distinct")  # ids rise with low
-    near = work.table(_near(distinct.select("id", "fp"), distance), "near")
-    fp = distinct.select("id", "fp")
-    both = near.join(fp.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(fp.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
-    links = both.filter(_apart(F.col("a"), F.col("b"), range(8)) <= distance).select("u", "v")
-    roots = connected_components(links, work, "similar")
-    work.drop("near")
-    moved = roots.join(distinct.select(F.col("id").alias("root"), F.col("low").alias("root_low")), "root").select(F.col("node").alias("id"), F.lit(True).alias("moved"), "root_low")
-    classes = distinct.join(moved, "id", "left").select("fp", F.when(F.col("moved"), F.col("root_low")).otherwise(F.col("low")).alias("component_id"))
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-    return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _similar(docs, shingle, similarity, id_col, text_col, work, True).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` that stay: of each component the row whose id is the component's id.
 
     Rows that repeat a doc_id are kept once (they are copies or share the id; the first by text
@@ -201,7 +331,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-duplicates")
-    found = work.table(similar_components(docs, work=work, **options).select("doc_id", "component_id"), "components")
+    found = work.table(_similar(docs, shingle, similarity, "doc_id", "text", work, False).select("doc_id", "component_id"), "components")
     go = found.filter("doc_id <> component_id").select("doc_id").distinct()
     go = F.broadcast(go) if found.filter("doc_id <> component_id").count() <= BROADCAST_IDS else go
     known = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
