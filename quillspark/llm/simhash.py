@@ -23,9 +23,9 @@ a fingerprint differs, so no blocks of bits are sure to be shared; candidates co
   of documents; any order is exact, a good one keeps common passages out of the way).  Two sets that
   are similar enough have their first common shingle within the first n - ceil(0.8 n) + 1 of each, and
   at places that leave room for the overlap they need (prefix and positional filter).
-* Members of a key of up to ``PAIRED`` sets are compared with each other.  In a larger key all are
-  compared with one member, in ``PIVOTS`` rounds with another one each; what is linked becomes one
-  component, and after the rounds all pairs that are not yet in one component are compared.  So a
+* In ``PIVOTS`` rounds all members of a key are compared with one of them, the one that shares the most
+  keys with others (of a group of copies, the one they are made from); what is linked becomes one
+  component.  After the rounds all pairs that are left and not in one component are compared.  So a
   large group of copies costs a few comparisons a member, and no pair that could matter is left out.
 * 512 parities (bit i: whether an odd number of shingles falls on i) differ in no more bits than the
   sets differ in shingles, which drops most false candidates and no link; whole sets decide.
@@ -60,8 +60,8 @@ CROWD = 24
 KEYS = 192
 #: Jaccard similarity of shingle sets from which texts are near copies, as a fraction.
 SIMILARITY = (4, 5)
-#: Sets of one key up to which all pairs are compared, and rounds of comparing larger keys with one member.
-PAIRED, PIVOTS = 32, 3
+#: Rounds in which the members of a key are compared with one of them, before all pairs that are left.
+PIVOTS = 2
 #: Documents (about) whose shingles are counted to find common ones, and how many of these are kept.
 SAMPLE, COMMON = 10_000, 200_000
 PARITIES = 512
@@ -271,33 +271,33 @@ def _few_odd(a, b, similarity: tuple[int, int]):
 def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int], work: Workspace) -> DataFrame:
     """(node, root) of the sets in ``nodes`` that are linked to a smaller one."""
     verify = partial(_verified, nodes=nodes, texts=texts, shingle=shingle, similarity=similarity, work=work)
-    shared = work.table(_shared_firsts(nodes, similarity), "firsts")
-    few = shared.filter(F.col("members") <= PAIRED)
-    left, right = _sides(few.filter("own"), few, "own")
-    once = (F.col("u") != F.col("v")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
-    pairs = left.join(right, "key").filter(once & _room(similarity)).select("u", "v")
-    links = verify(_ordered(pairs), label="paired")
-    roots = connected_components(links, work, "paired")
-    crowd = shared.filter(F.col("members") > PAIRED)
-    if crowd.isEmpty():
-        return roots
+    met = work.table(_shared_firsts(nodes, similarity), "met")
+    weights = met.groupBy("id").agg(F.sum("members").alias("weight"))
+    shared = work.table(met.join(weights, "id").drop("members"), "firsts")
+    work.drop("met")
+    links = roots = None
     for k in range(PIVOTS + 1):
-        rooted = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        ends = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by(F.struct("id", "n", "p", "root"), F.xxhash64("id", F.lit(k))).alias("pivot"))
-        rooted = work.table(rooted.join(ends.filter("least <> most").select("key", "pivot"), "key"), f"crowd-{k}")
+        root = F.coalesce("root", "id") if roots else F.col("id")
+        rooted = (shared.join(roots.withColumnRenamed("node", "id"), "id", "left") if roots else shared).withColumn("root", root)
+        ends = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by(F.struct("id", "n", "p", "root"), F.struct("weight", "id")).alias("pivot"))
+        rooted = work.table(rooted.join(ends.filter("least <> most").select("key", "pivot"), "key"), f"open-{k}")
+        if k:
+            work.drop(f"open-{k - 1}" if k > 1 else "firsts")
         if rooted.isEmpty():
-            return roots
+            break
         if k < PIVOTS:
-            met = rooted.select("root", F.col("pivot.root").alias("pivot_root"), *[F.col(c).alias(f"{x}v") for c, x in (("n", "n"), ("p", "p"))], F.col("id").alias("v"), F.col("pivot.n").alias("nu"), F.col("pivot.p").alias("pu"), F.col("pivot.id").alias("u"))
+            met = rooted.select("root", F.col("pivot.root").alias("pivot_root"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("id").alias("v"), F.col("pivot.n").alias("nu"), F.col("pivot.p").alias("pu"), F.col("pivot.id").alias("u"))
             pairs = met.filter((F.col("root") != F.col("pivot_root")) & _room(similarity))
+            shared = rooted.filter("id <> pivot.id").drop("pivot", "root")  # the pivot has been compared with all
         else:
             rows = rooted.drop("pivot").join(nodes.select("id", "odd"), "id")
             left, right = _sides(rows.filter("own"), rows, "own", "root", "odd")
             apart = (F.col("rootu") != F.col("rootv")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
             pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity))
-        links = work.table(links.union(verify(_ordered(pairs), label=f"crowd-{k}")), f"links-{k}")
+        more = verify(_ordered(pairs), label=f"round-{k}")
+        links = links.union(more) if links else more
         roots = connected_components(links, work, f"roots-{k}")
-    return roots
+    return roots if roots else nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str, work: Workspace, wide: bool) -> DataFrame:
@@ -330,8 +330,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[in
     stays); rows with a null id have nothing to be told apart by and stay.
     """
     spark = docs.sparkSession
-    work = Workspace(spark, "near-duplicates")
-    found = work.table(_similar(docs, shingle, similarity, "doc_id", "text", work, False).select("doc_id", "component_id"), "components")
+    work, passing = Workspace(spark, "near-duplicates"), Workspace(spark, "similar")
+    found = work.table(_similar(docs, shingle, similarity, "doc_id", "text", passing, False).select("doc_id", "component_id"), "components")
+    passing.drop()
     go = found.filter("doc_id <> component_id").select("doc_id").distinct()
     go = F.broadcast(go) if found.filter("doc_id <> component_id").count() <= BROADCAST_IDS else go
     known = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
