@@ -77,3 +77,15 @@ def test_a_large_group_of_copies_and_chains(spark, monkeypatch, pivots):
         texts.append(chain := with_changes(rnd, chain, 2))
     rows = list(enumerate([*texts, "", " \t", "a", "A b", "a B"]))
     assert found(spark, rows) == brute(rows)
+
+
+def test_documents_below_the_similarity_stay(spark):
+    rows = []
+    for g in range(40):
+        w = [f"g{g}w{k}" for k in range(304)]  # 300 shingles
+        v = list(w)
+        for k in range(10, 290, 40):  # 7 changes of 5 shingles each: 265 of 335 are common, 0.79
+            v[k] = f"new{g}x{k}"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    assert all(i == c for i, c in found(spark, rows).items())
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
