@@ -13,10 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-_MASK = (1 << 64) - 1
+#: Moduli and bases of the two polynomials of a span's hash (primes below 2**31; any bases would do).
+_PRIMES, _BASES = (2**31 - 1, 2**31 - 19), (1_597_334_677, 1_183_186_591)
+#: Rolling windows multiply by this modulo 2**64; the entries there are already well mixed.
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
-_tables: dict[int, np.ndarray] = {}
+_CHUNK = 1 << 22
+_tables: dict[tuple[int, int], np.ndarray] = {}
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -33,9 +36,9 @@ LOWER[65:91] += 32
 ASCII_LOWER = bytes(LOWER)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (the table is kept and grown by doubling)."""
-    have = _tables.get(base)
+def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo ``modulus`` (the table is kept and grown by doubling)."""
+    have = _tables.get((base, modulus))
     if have is None or len(have) < n:
         size = 1 << max(12, (n - 1).bit_length())
         have = np.empty(size, np.uint64)
@@ -43,9 +46,11 @@ def powers(base: int, n: int) -> np.ndarray:
         done = 1
         with np.errstate(over="ignore"):
             while done < size:
-                have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
+                have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, modulus))
+                if modulus < 1 << 64:
+                    have[done : 2 * done] %= np.uint64(modulus)
                 done *= 2
-        _tables[base] = have
+        _tables[base, modulus] = have
     return have[:n]
 
 
@@ -61,23 +66,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _residues(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """Sum of (value + 1) * base**place over each values[start:end], modulo a prime below 2**31."""
+    n, p = len(values), np.uint64(prime)
+    prefix, carried = np.zeros(n + 1, np.uint64), np.uint64(0)
+    for at in range(0, n, _CHUNK):  # sums of a chunk stay below 2**64
+        to = min(n, at + _CHUNK)
+        terms = (values[at:to].astype(np.uint64) + np.uint64(1)) * powers(base, n, prime)[at:to]
+        if values.dtype != np.uint8:
+            terms %= p
+        np.cumsum(terms, out=prefix[at + 1 : to + 1])
+        prefix[at + 1 : to + 1] += carried
+        carried = prefix[to] % p
+        prefix[to] = carried
+    out = (prefix[ends] % p + p - prefix[starts] % p) % p
+    return out * powers(pow(base, -1, prime), n + 1, prime)[starts] % p
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent 64-bit polynomial hash of every values[start:end], from one prefix sum."""
-    n = len(values)
+    """Position-independent 64-bit hash of every values[start:end] (bytes or code points).
+
+    Two polynomials modulo primes: unlike one modulo 2**64 they have no texts that meet for every base.
+    Where equality decides a result, use ``distinct_spans``, which compares the values themselves.
+    """
+    one, two = (_residues(values, starts, ends, p, b) for p, b in zip(_PRIMES, _BASES))
     with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=prefix[1:])
-        out = (prefix[ends] - prefix[starts]) * powers(_INV, n + 1)[starts]
-        return mix(out + (ends - starts).astype(np.uint64))
+        return mix((one << np.uint64(32) | two) + mix((ends - starts).astype(np.uint64)))
+
+
+def spans_differ(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, of: np.ndarray | None = None) -> bool:
+    """Whether any values[start:start+size] is not equal to of[other:other+size] (``of``: default values)."""
+    of = values if of is None else of
+    total = np.cumsum(sizes)
+    for a, b in _runs(total):
+        size = sizes[a:b]
+        place = np.arange(total[b - 1] - (total[a] - sizes[a])) - np.repeat(total[a:b] - size - (total[a] - sizes[a]), size)
+        if (values[place + np.repeat(starts[a:b], size)] != of[place + np.repeat(others[a:b], size)]).any():
+            return True
+    return False
+
+
+def _runs(total: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut entries with these running totals into runs of about ``_CHUNK``."""
+    at = 0
+    while at < len(total):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _CHUNK, side="right")))
+        yield at, to
+        at = to
+
+
+def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each kind, and which kind each span is; equal exactly if their values are equal."""
+    sizes = ends - starts
+    _, first, kind = np.unique(span_hashes(values, starts, ends) if hashes is None else hashes, return_index=True, return_inverse=True)
+    copies = np.flatnonzero(first[kind] != np.arange(len(kind)))
+    of = first[kind[copies]]
+    if (sizes[copies] != sizes[of]).any() or spans_differ(values, starts[copies], sizes[copies], starts[of]):
+        kinds: dict[bytes, int] = {}  # two kinds share a hash: tell them apart by their bytes
+        named = [kinds.setdefault(values[a:b].tobytes(), len(kinds)) for a, b in zip(starts.tolist(), ends.tolist())]
+        _, first, kind = np.unique(np.array(named, np.int64), return_index=True, return_inverse=True)
+    return first, kind
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hash of every run of n consecutive entries (length len(hashes) - n + 1, or 0)."""
+    """Rolling hash of every run of n consecutive well-mixed entries (length len(hashes) - n + 1, or 0)."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    start = np.arange(m)
-    return span_hashes(hashes, start, start + n)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers(_BASE, len(hashes)), out=prefix[1:])
+        return mix((prefix[n:] - prefix[:m]) * powers(_INV, m) + np.uint64(n))
 
 
 class Texts:
@@ -106,6 +165,10 @@ class Texts:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind, and which kind each word is, by comparison of their bytes."""
+        return distinct_spans(self.data, self.starts, self.ends)
+
     def per_doc(self, of_bytes: np.ndarray) -> np.ndarray:
         return sums(of_bytes, self.offsets)
 

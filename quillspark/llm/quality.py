@@ -10,12 +10,14 @@ One pass over the documents, no shuffle: every document is judged alone, so no k
 Defined results: a null text counts as a text without words; an empty text or one of white space
 has n_words 0 and fails the base rule; repeated rows give repeated results; an empty table gives an
 empty result; further columns of the input do not matter (the id column is carried as it is, nulls
-included).  Texts are never cut: a slice holds at least one whole document.
+included).  Texts are never cut: a slice holds at least one whole document,
+and a worker needs about 100 bytes for each byte of its longest one.  Words and lines are compared by
+their bytes and windows by their words, so a hash that two of them share changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import SPACE, Texts, byte_class, slices, window_hashes
+from .bytetext import SPACE, Texts, byte_class, mix, slices, window_hashes
 
 #: Largest share of word characters inside later occurrences of an n-gram, by n (limits published for web text).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -40,14 +42,21 @@ SCHEMA = (
 )
 
 
-def _occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: is its key met again anywhere, and was it met before?"""
+def _occurrences(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, exact: Callable[[], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: is its key met again anywhere, and was it met before?
+
+    ``same`` compares entries (by place) that share a key; if a key joins unequal ones, ``exact`` gives
+    keys that do not.
+    """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    met = keys[order][1:] == keys[order][:-1]
+    later, earlier = order[1:][met], order[:-1][met]
+    if same is not None and not same(later, earlier).all():
+        return _occurrences(exact())
     again, before = np.zeros(n, bool), np.zeros(n, bool)
-    before[order[1:][same]] = True
-    again[order[:-1][same]] = True
+    before[later] = True
+    again[earlier] = True
     return again | before, before
 
 
@@ -69,29 +78,35 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float], lin
     np.cumsum(in_word, out=char_prefix[1:])
     word_len = char_prefix[words.ends] - char_prefix[words.starts]
     word_chars = words.per_doc(in_word)
-    doc, hashes = words.doc_of_word(), words.hashes()
-    salt = (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    doc, kind = words.doc_of_word(), words.kinds()[1]
+    hashes, salt = mix(kind.astype(np.uint64) + np.uint64(1)), mix(~doc.astype(np.uint64))
 
-    def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the n-word windows inside one document, and their keys (the document included)."""
+    def windows(n: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the (chosen) n-word windows inside one document; which are met again, which before."""
         if total < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(doc[: total - n + 1] == doc[n - 1 :])
-        return at, window_hashes(hashes, n)[at] ^ salt[at]
+            return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        inside = doc[: total - n + 1] == doc[n - 1 :]
+        at = np.flatnonzero(inside if chosen is None else inside & chosen[: total - n + 1])
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            equal = doc[at[a]] == doc[at[b]]
+            for k in range(n):
+                equal &= kind[at[a] + k] == kind[at[b] + k]
+            return equal
+
+        def exact() -> np.ndarray:
+            return np.unique(np.column_stack([doc[at], *(kind[at + k] for k in range(n))]), axis=0, return_inverse=True)[1].ravel()
+
+        return at, *_occurrences(window_hashes(hashes, n)[at] ^ salt[at], same, exact)
 
-    at, keys = windows(WINDOW)
-    again, _ = _occurrences(keys)
+    at, again, _ = windows(WINDOW)
     n_repeat = words.per_doc_words(_covered(at[again], WINDOW, total))
 
     worst, ngram_bad = np.zeros(n_docs), np.zeros(n_docs, bool)
     safe = np.maximum(word_chars, 1)
     maybe = None  # starts of shorter n-grams met again: a longer one met again begins at one of them
     for n in sorted(limits):
-        at, keys = windows(n)
-        if maybe is not None:
-            chosen = maybe[at]
-            at, keys = at[chosen], keys[chosen]
-        again, before = _occurrences(keys)
+        at, again, before = windows(n, maybe)
         maybe = np.zeros(total, bool)
         maybe[at[again]] = True
         share = words.per_doc_words(_covered(at[before], n, total) * word_len) / safe
@@ -103,8 +118,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float], lin
     np.cumsum(1 - SPACE[data], out=line_prefix[1:])
     has_word = line_prefix[lines.ends] > line_prefix[lines.starts]
     line_doc = lines.doc_of_word()
-    keys = lines.hashes() ^ (line_doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    _, before = _occurrences(keys)
+    _, before = _occurrences(lines.kinds()[1] * n_docs + line_doc)
     repeated = before & has_word
     line_chars = char_prefix[lines.ends] - char_prefix[lines.starts]
     dup_line_chars = lines.per_doc_words(repeated * line_chars)

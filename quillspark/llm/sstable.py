@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -66,20 +67,26 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, n_bits: int) -> Iterator[int]:
+def _hash(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & ((1 << 64) - 1), h >> 64 | 1
-    return (((a + i * b) & ((1 << 64) - 1)) % n_bits for i in range(PROBES))
+    return h & ((1 << 64) - 1), h >> 64 | 1
+
+
+def _probes(first: np.ndarray, step: np.ndarray, n_bits: int) -> np.ndarray:
+    """Filter bits of keys with these hashes (probes x keys)."""
+    with np.errstate(over="ignore"):
+        return (first + np.arange(PROBES, dtype=np.uint64)[:, None] * step) % np.uint64(n_bits)
 
 
 class Writer:
-    """Streams entries in key order to an output; memory is one block, the index and 8 bytes a key."""
+    """Streams entries in key order to an output; memory is one block, the index and 16 bytes a key."""
 
     def __init__(self, out, width: int):
         self.out, self.width = out, width
         self.at = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
+        self.entries, self.first, self.last = 0, b"", b""
         self.n_tokens = 0
         self.pack = zstandard.ZstdCompressor(level=1)
         self._put(MAGIC)
@@ -90,10 +97,10 @@ class Writer:
         self.at += len(data)
 
     def _fresh(self) -> None:
-        self.block, self.restarts, self.in_block, self.last = bytearray(), [], 0, b""
+        self.block, self.restarts, self.in_block = bytearray(), [], 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key < self.keys[-1]:
+        if key < self.last:
             raise ValueError("keys must not go down")
         shared = 0
         if self.in_block % RESTART == 0:
@@ -103,8 +110,9 @@ class Writer:
                 shared += 1
         value = ids.astype(f"<u{self.width}").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        self.last, self.in_block = key, self.in_block + 1
-        self.keys.append(key)
+        self.first = self.first if self.entries else key
+        self.last, self.in_block, self.entries = key, self.in_block + 1, self.entries + 1
+        self.hashes.extend(_hash(key))
         self.n_tokens += len(ids)
         if len(self.block) >= BLOCK_BYTES:
             self._close_block()
@@ -126,13 +134,11 @@ class Writer:
             self._put(data)
 
         section(self.pack.compress(b"".join(struct.pack("<B", len(k)) + k + struct.pack("<QI", off, size) for k, off, size in self.index)))
-        n_bits = max(64, BITS_PER_KEY * len(self.keys))
-        bits = np.zeros(n_bits, bool)
-        for key in self.keys:
-            for p in _probes(key, n_bits):
-                bits[p] = True
+        n_bits = max(64, BITS_PER_KEY * self.entries)
+        bits, hashes = np.zeros(n_bits, bool), np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        bits[_probes(hashes[:, 0], hashes[:, 1], n_bits)] = True
         section(np.packbits(bits, bitorder="little").tobytes())
-        meta = {"entries": len(self.keys), "tokens": self.n_tokens, "width": self.width, "filter_bits": n_bits, "blocks": len(self.index), "first": self.keys[0].hex() if self.keys else "", "last": self.keys[-1].hex() if self.keys else ""}
+        meta = {"entries": self.entries, "tokens": self.n_tokens, "width": self.width, "filter_bits": n_bits, "blocks": len(self.index), "first": self.first.hex(), "last": self.last.hex()}
         section(json.dumps(meta).encode())
         self._put(struct.pack("<6Q", *spots) + MAGIC)
         return meta
@@ -194,7 +200,8 @@ class Table:
     def may_hold(self, doc_id: int | None) -> bool:
         if self._bits is None:
             self._bits = np.unpackbits(np.frombuffer(self._read(*self._filter), np.uint8), bitorder="little")
-        return all(self._bits[p] for p in _probes(key_of(doc_id), self.meta["filter_bits"]))
+        first, step = (np.array([x], np.uint64) for x in _hash(key_of(doc_id)))
+        return bool(self._bits[_probes(first, step, self.meta["filter_bits"])].all())
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The token ids of every entry with this id (none: an empty list)."""

@@ -7,14 +7,16 @@ retried or doubled task leaves at worst a file that nothing refers to.  The list
 a file, gives each shard the number of ids before it.
 
 Defined results: a null text is encoded as an empty one (only the end id); rows with one doc_id
-each get an entry, ordered by text; null doc_ids come first; an empty table gives no shard and an
-empty result; other columns are not looked at.  Texts are encoded whole.
+each get an entry, ordered by a hash of the text (so an id that a third of the rows share is dealt to
+many shards); null doc_ids come first; an empty table gives no shard and an empty result; other columns
+are not looked at.  Texts are encoded whole; a long one in pieces that end where no token can cross.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,25 +30,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .bytetext import span_hashes
+from .bytetext import distinct_spans, span_hashes, spans_differ
 from .sstable import Table, Writer, key_of
 
 #: Endings that byte-level BPE vocabularies keep with an apostrophe (fixed values, published with them).
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Distinct pre-tokens that a worker remembers (about 50 bytes each); beyond it, it starts afresh.
-REMEMBERED = 3_000_000
+#: Distinct pre-tokens, and characters and ids in them, that a worker remembers (under 100 MB); beyond
+#: either, it starts afresh.
+REMEMBERED, REMEMBERED_UNITS = 1_000_000, 8_000_000
 _LETTER, _DIGIT, _OTHER, _SPACE = range(4)
-_SLICE_CHARS = 4 << 20
+_SLICE_CHARS = 512 << 10
+#: Between a small letter and a blank before one, a new pre-token begins whatever stands around.
+_SAFE = re.compile("[a-z](?= [a-z])")
 
 
 def _classes() -> np.ndarray:
     """Class of every code point, as the pre-token rule sees it."""
     table = np.full(0x110000, _OTHER, np.uint8)
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-        for found in regex.finditer(pattern, text):
-            a, b = ord(text[found.start()]), ord(text[found.end() - 1])
-            table[a : b + 1] = kind
+    for low in range(0, 0x110000, 1 << 12):
+        text = "".join(map(chr, range(low, low + (1 << 12)))) if not 0xD800 <= low < 0xE000 else ""
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+            for found in regex.finditer(pattern, text):
+                table[low + found.start() : low + found.end()] = kind
     table[0xD800:0xE000] = _OTHER
     return table
 
@@ -57,8 +62,9 @@ class Encoder:
     Byte-level BPE first cuts a text into pre-tokens: runs of letters, of digits, or of other signs,
     each with the one blank before it, endings after an apostrophe, and white space.  Merges never
     cross them, so encoding each distinct pre-token once and joining the ids is the library's own
-    result.  The cut is made with numpy over a few megabytes at a time, pre-tokens are known by a 64-bit
-    hash, and the library sees only those that are new to the worker.  Where the tokenizer is of another
+    result.  The cut is made with numpy over half a million characters at a time; pre-tokens are found
+    by a hash and compared by their characters, and the library sees only those that are new to the
+    worker.  Where the tokenizer is of another
     kind, or a text holds one of its added tokens, the library encodes the whole text.
     """
 
@@ -89,8 +95,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.points = _Pieces(np.uint16 if self.width == 2 else np.uint32), _Pieces(np.uint32)
 
     def _cut(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Starts of the pre-tokens of texts laid end to end; ``bounds`` are the texts' bounds."""
@@ -124,30 +129,23 @@ class Encoder:
             start[inner[inner < stop]] = True
         return np.flatnonzero(start[:n])
 
-    def _store(self, ids: np.ndarray) -> int:
-        """Append ids; returns where they begin."""
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode new pre-tokens (keys in ascending order)."""
         encode, one_line = self.tokenizer.encode, len(self.newline) == 1
-        plain = np.array([one_line and p.lstrip(" ").isalpha() for p in pieces], bool)
-        begin, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        if plain.any():  # words on lines of their own: the line end is one known id and never part of a word
+        plain = [one_line and p.lstrip(" ").isalpha() for p in pieces]
+        words = iter(())
+        if any(plain):  # words on lines of their own: the line end is one known id and never part of a word
             found = np.array(encode("\n".join(p for p, x in zip(pieces, plain) if x), add_special_tokens=False).ids, np.uint32)
-            breaks = np.append(np.flatnonzero(found == self.newline[0]), len(found)) - np.arange(plain.sum())
-            end[plain] = self._store(found[found != self.newline[0]]) + breaks
-            begin[plain] = end[plain] - np.diff(breaks, prepend=0)
-        for k in np.flatnonzero(~plain).tolist():
-            ids = np.array(encode(pieces[k], add_special_tokens=False).ids, np.uint32)
-            begin[k] = self._store(ids)
-            end[k] = begin[k] + len(ids)
+            breaks = np.flatnonzero(found == self.newline[0])
+            words = iter(np.split(found[found != self.newline[0]], breaks - np.arange(len(breaks))))
+        ids = [next(words) if x else np.array(encode(p, add_special_tokens=False).ids, np.uint32) for p, x in zip(pieces, plain)]
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.end = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.end, at, end)
+        self.keys = np.insert(self.keys, at, keys)
+        self.ids.insert(at, ids)
+        self.points.insert(at, [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pieces])
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
@@ -157,42 +155,89 @@ class Encoder:
         if not len(starts):
             return [np.zeros(0, np.uint32)] * len(texts)
         ends = np.append(starts[1:], len(points))
-        keys, which = np.unique(span_hashes(points, starts, ends), return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        hashes = span_hashes(points, starts, ends)
+        first, which = distinct_spans(points, starts, ends, hashes)
+        order = np.argsort(hashes[first], kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        first, which = first[order], rank[which]
+        keys = hashes[first]
+        if (keys[1:] == keys[:-1]).any():  # two pre-tokens of this slice share a hash
+            return [self._whole(t) for t in texts]
+        if len(self.keys) > REMEMBERED or max(self.ids.used, self.points.used) > REMEMBERED_UNITS:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
+        begin, size, held = starts[first[known]], (ends - starts)[first[known]], at[known]
+        if (size != self.points.size[held]).any() or spans_differ(points, begin, size, self.points.begin[held].astype(np.int64), self.points.flat):
+            self._forget()  # one of them shares its hash with another pre-token of an earlier slice
+            at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         if not known.all():
-            one = np.empty(len(keys), np.int64)
-            one[which] = np.arange(len(which))
             new = np.flatnonzero(~known)
-            self._learn(keys[new], [joined[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+            self._learn(keys[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
-        begin, size = self.begin[at][which], (self.end - self.begin)[at][which]
+        begin, size = self.ids.begin[at][which].astype(np.int64), self.ids.size[at][which].astype(np.int64)
         total = np.cumsum(size)
-        flat = self.flat[np.arange(total[-1]) + np.repeat(begin - (total - size), size)]
+        flat = self.ids.flat[np.arange(total[-1]) + np.repeat(begin - (total - size), size)].astype(np.uint32)
         return np.split(flat, np.concatenate([[0], total])[np.searchsorted(starts, bounds[1:-1])])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        out: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.byte_level and not any(x in t for x in self.added)]
-        for k in set(range(len(texts))) - set(plain):
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+    def _one(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(last piece of the text, piece)."""
         at = 0
-        while at < len(plain):
-            to, held = at, 0
-            while to < len(plain) and (to == at or held + len(texts[plain[to]]) <= _SLICE_CHARS):
-                held += len(texts[plain[to]])
-                to += 1
-            for k, ids in zip(plain[at:to], self._encode_plain([texts[k] for k in plain[at:to]])):
-                out[k] = ids
-            at = to
-        return out
-
-
-_MANIFEST = "path string, shard long, first_key string, last_key string, entries long, tokens long"
+        while len(text) - at > _SLICE_CHARS and (cut := _SAFE.search(text, at + _SLICE_CHARS)):
+            yield False, text[at : cut.end()]
+            at = cut.end()
+        yield True, text[at:]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Token ids of each text, in order; a slice of half a million characters is held at a time."""
+        pieces: list[tuple[bool, str]] = []
+        held, begun = 0, []
+
+        def flush() -> Iterator[np.ndarray]:
+            for (last, _), ids in zip(pieces, self._encode_plain([p for _, p in pieces])):
+                begun.append(ids)
+                if last:
+                    yield np.concatenate(begun)
+                    begun.clear()
+            pieces.clear()
+
+        for text in texts:
+            if not self.byte_level or any(x in text for x in self.added):
+                yield from flush()
+                held = 0
+                yield self._whole(text)
+                continue
+            for last, piece in self._one(text):
+                if held and held + len(piece) > _SLICE_CHARS:
+                    yield from flush()
+                    held = 0
+                pieces.append((last, piece))
+                held += len(piece)
+        yield from flush()
+
+
+class _Pieces:
+    """Short arrays laid end to end, found by place."""
+
+    def __init__(self, kind):
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+
+    def insert(self, at: np.ndarray, pieces: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        added = int(size.sum())
+        if self.used + added > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(added, len(self.flat)), self.flat.dtype)])
+        if added:
+            self.flat[self.used : self.used + added] = np.concatenate(pieces)
+        self.begin = np.insert(self.begin, at, (self.used + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.insert(self.size, at, size)
+        self.used += added
+
+
+_MANIFEST = "path string, part long, shard long, first_key string, last_key string, entries long, tokens long"
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, max_entries: int) -> Iterator[pa.RecordBatch]:
@@ -208,12 +253,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     def close() -> None:
         meta = writer.close()
         out.close()
-        done.append((f"{folder}/{name}", len(done), meta["first"], meta["last"], meta["entries"], meta["tokens"]))
+        done.append((f"{folder}/{name}", context.partitionId(), len(done), meta["first"], meta["last"], meta["entries"], meta["tokens"]))
 
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-            if writer is not None and len(writer.keys) >= max_entries:
+            if writer is not None and writer.entries >= max_entries:
                 close()
                 writer = None
             if writer is None:
@@ -223,18 +268,19 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
             writer.add(key_of(doc_id), np.concatenate([ids, end]))
     if writer is not None:
         close()
-    columns = list(zip(*done)) or [[]] * 6
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "shard", "first_key", "last_key", "entries", "tokens"])
+    columns = list(zip(*done)) or [[]] * 7
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "part", "shard", "first_key", "last_key", "entries", "tokens"])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", max_entries: int = 1_000_000, work: Workspace | None = None) -> DataFrame:
     """Write the shards; returns the manifest: path, key range, entries, tokens, tokens_before."""
     work = work or Workspace(docs.sparkSession, "tokens")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = slim.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    slim = slim.withColumn("digest", F.xxhash64("text"))
+    dealt = slim.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text")
     listed = work.table(dealt.mapInArrow(partial(_write, folder=work.path("shards"), tokenizer=tokenizer, end_id=end_id, max_entries=max_entries), _MANIFEST), "manifest")
-    before = Window.orderBy("first_key", "last_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return listed.withColumn("tokens_before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 

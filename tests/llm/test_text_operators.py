@@ -11,14 +11,23 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import decontam, kneser_ney, langid, quality, sstable, tokens
+from quillspark.llm import bytetext, decontam, kneser_ney, langid, quality, sstable, tokens
 
 from .helpers import LOWER, odd_docs, words
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+def thue_morse():
+    """Two texts of 1,024 letters that meet in every polynomial hash modulo 2**64 with an odd base."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 
@@ -62,6 +71,21 @@ def test_quality_against_plain_version(spark):
         assert r.kept == (not r.base_failed and not bad)
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_quality_compares_what_hashes_join(weak, monkeypatch):
+    a, b = thue_morse()
+    texts = [f"{a}\n{b}", f"{a} x {b}\n{a} x {b}\n" + "q w e r t z u i o p " * 3, " ".join(f"w{k % 23}" for k in range(90))]
+    if weak:
+        monkeypatch.setattr(bytetext, "span_hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+        monkeypatch.setattr(quality, "window_hashes", lambda hashes, n: hashes[: max(0, len(hashes) - n + 1)] % np.uint64(3))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = quality.measure(data, np.cumsum([0, *map(len, texts)]), quality.NGRAM_LIMITS, quality.LINE_LIMIT)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for i, t in enumerate(texts):
+        assert tuple(got[k][i] for k in names) == base_figures(t)
+        assert math.isclose(got["worst_ngram_share"][i], max(repeated_share(t, n) for n in quality.NGRAM_LIMITS))
+
+
 def test_quality_of_odd_inputs(spark):
     docs = odd_docs(spark)
     got = quality.repetition_quality(docs).collect()
@@ -161,14 +185,42 @@ def test_encoder_forgets_and_handles_added_tokens(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     library, encoder = Tokenizer.from_file(BPE), tokens.Encoder(BPE)
     for text in ("one two three four five", "six seven <|endoftext|> eight", "don't we'll 'sabc  x\n\n y ", ""):
-        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert next(encoder.encode([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_is_the_library_on_texts_that_fool_hashes(monkeypatch):
+    library, encoder = Tokenizer.from_file(BPE), tokens.Encoder(BPE)
+    texts = [*thue_morse(), "the cat sat on the mat " * 3, "a cat's  mat\n"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(tokens, "span_hashes", lambda values, starts, ends: (values[starts] % 8).astype(np.uint64))  # many pre-tokens to a hash
+    encoder = tokens.Encoder(BPE)
+    assert [next(encoder.encode([t])).tolist() for t in texts] == want and [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_encoder_cuts_long_texts_where_no_token_crosses(monkeypatch):
+    monkeypatch.setattr(tokens, "_SLICE_CHARS", 50)
+    library, rnd = Tokenizer.from_file(BPE), random.Random(5)
+    texts = ["".join(rnd.choice(["word", " ", "  ", "'s", "\n", "é", "X9", " next"]) for _ in range(n)) for n in (10, 400, 0, 900)] + ["z" * 500]
+    assert [x.tolist() for x in tokens.Encoder(BPE).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_of_a_repeated_id_are_dealt_out(spark):
+    docs = spark.range(3000).selectExpr("cast(7 as long) as doc_id", "concat('text ', id) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        manifest = tokens.write_tokens(docs, BPE, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokens.read_tokens(manifest).orderBy("start").collect()
+    assert manifest.count() > 4 and len(got) == 3000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
 def test_token_files_round_trip(spark):
     docs, library = odd_docs(spark), Tokenizer.from_file(BPE)
     manifest = tokens.write_tokens(docs, BPE, end_id=2, max_entries=3)
     got = tokens.read_tokens(manifest).collect()
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.text is not None, r.text or "") for r in docs.collect())
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.digest, r.text or "") for r in docs.withColumn("digest", F.xxhash64("text")).collect())
     start = 0
     for r, (key, _, text) in zip(sorted(got, key=lambda r: r.start), rows):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
