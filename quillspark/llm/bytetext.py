@@ -11,15 +11,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
-#: Moduli and bases of the two polynomials of a span's hash (primes below 2**31; any bases would do).
-_PRIMES, _BASES = (2**31 - 1, 2**31 - 19), (1_597_334_677, 1_183_186_591)
 #: Rolling windows multiply by this modulo 2**64; the entries there are already well mixed.
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 22
-_tables: dict[tuple[int, int], np.ndarray] = {}
+#: Bytes up to which spans are hashed and compared side by side; longer ones one by one.
+_LONG = 256
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_tables: dict[int, np.ndarray] = {}
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -36,9 +37,9 @@ LOWER[65:91] += 32
 ASCII_LOWER = bytes(LOWER)
 
 
-def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo ``modulus`` (the table is kept and grown by doubling)."""
-    have = _tables.get((base, modulus))
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64 (the table is kept and grown by doubling)."""
+    have = _tables.get(base)
     if have is None or len(have) < n:
         size = 1 << max(12, (n - 1).bit_length())
         have = np.empty(size, np.uint64)
@@ -46,11 +47,9 @@ def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
         done = 1
         with np.errstate(over="ignore"):
             while done < size:
-                have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, modulus))
-                if modulus < 1 << 64:
-                    have[done : 2 * done] %= np.uint64(modulus)
+                have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
                 done *= 2
-        _tables[base, modulus] = have
+        _tables[base] = have
     return have[:n]
 
 
@@ -66,53 +65,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _residues(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, prime: int, base: int) -> np.ndarray:
-    """Sum of (value + 1) * base**place over each values[start:end], modulo a prime below 2**31."""
-    n, p = len(values), np.uint64(prime)
-    prefix, carried = np.zeros(n + 1, np.uint64), np.uint64(0)
-    for at in range(0, n, _CHUNK):  # sums of a chunk stay below 2**64
-        to = min(n, at + _CHUNK)
-        terms = (values[at:to].astype(np.uint64) + np.uint64(1)) * powers(base, n, prime)[at:to]
-        if values.dtype != np.uint8:
-            terms %= p
-        np.cumsum(terms, out=prefix[at + 1 : to + 1])
-        prefix[at + 1 : to + 1] += carried
-        carried = prefix[to] % p
-        prefix[to] = carried
-    out = (prefix[ends] % p + p - prefix[starts] % p) % p
-    return out * powers(pow(base, -1, prime), n + 1, prime)[starts] % p
+def _as_bytes(values: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The eight bytes from every place of ``values`` on, as one number; ``places`` counted in bytes."""
+    raw, width = np.ascontiguousarray(values).view(np.uint8), values.dtype.itemsize
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,)), *(p.astype(np.int64) * width for p in places)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent 64-bit hash of every values[start:end] (bytes or code points).
+    """64-bit hash of every values[start:end] (bytes or code points), eight bytes at a time.
 
-    Two polynomials modulo primes: unlike one modulo 2**64 they have no texts that meet for every base.
     Where equality decides a result, use ``distinct_spans``, which compares the values themselves.
     """
-    one, two = (_residues(values, starts, ends, p, b) for p, b in zip(_PRIMES, _BASES))
-    with np.errstate(over="ignore"):
-        return mix((one << np.uint64(32) | two) + mix((ends - starts).astype(np.uint64)))
+    eights, at, sizes = _as_bytes(values, starts, ends - starts)
+    out, done = mix(sizes.astype(np.uint64) + np.uint64(_BASE)), 0
+    live = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+    while len(live):
+        out[live] = mix(out[live] ^ (eights[at[live] + done] & _LOW[np.minimum(sizes[live] - done, 8)]))
+        done += 8
+        live = live[sizes[live] > done]
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[at[k] : at[k] + sizes[k]])
+    return out
 
 
 def spans_differ(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, of: np.ndarray | None = None) -> bool:
     """Whether any values[start:start+size] is not equal to of[other:other+size] (``of``: default values)."""
-    of = values if of is None else of
-    total = np.cumsum(sizes)
-    for a, b in _runs(total):
-        size = sizes[a:b]
-        place = np.arange(total[b - 1] - (total[a] - sizes[a])) - np.repeat(total[a:b] - size - (total[a] - sizes[a]), size)
-        if (values[place + np.repeat(starts[a:b], size)] != of[place + np.repeat(others[a:b], size)]).any():
+    mine, a, n = _as_bytes(values, starts, sizes)
+    theirs, b = (mine, others.astype(np.int64) * values.dtype.itemsize) if of is None else _as_bytes(of, others)
+    done, live = 0, np.flatnonzero((n > 0) & (n <= _LONG))
+    while len(live):
+        low = _LOW[np.minimum(n[live] - done, 8)]
+        if ((mine[a[live] + done] ^ theirs[b[live] + done]) & low).any():
             return True
-    return False
-
-
-def _runs(total: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cut entries with these running totals into runs of about ``_CHUNK``."""
-    at = 0
-    while at < len(total):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _CHUNK, side="right")))
-        yield at, to
-        at = to
+        done += 8
+        live = live[n[live] > done]
+    of = values if of is None else of
+    return any(not np.array_equal(values[starts[k] : starts[k] + sizes[k]], of[others[k] : others[k] + sizes[k]]) for k in np.flatnonzero(n > _LONG).tolist())
 
 
 def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

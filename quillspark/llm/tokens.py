@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,53 @@ def _classes() -> np.ndarray:
     return table
 
 
+class Traits(NamedTuple):
+    """What the cut needs to know of a tokenizer file."""
+
+    byte_level: bool
+    added: tuple[str, ...]
+    width: int
+
+
+def traits_of(path: str) -> Traits:
+    """Read from the file, so that no worker has to hold its parsed form."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+    added = spec.get("added_tokens", [])
+    largest = max([t["id"] for t in added] + [k for k in (model["vocab"].values() if isinstance(model.get("vocab"), dict) else range(len(model.get("vocab", []))))], default=0)
+    return Traits(bool(byte_level), tuple(t["content"] for t in added), 2 if largest < 1 << 16 else 4)
+
+
+class _Pieces:
+    """Short arrays laid end to end, found by place."""
+
+    def __init__(self, kind):
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+
+    def insert(self, at: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Add pieces that lie in ``flat``, before the places ``at``."""
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), self.flat.dtype)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begin = np.insert(self.begin, at, (self.used + begin).astype(np.int32))
+        self.size = np.insert(self.size, at, size.astype(np.int32))
+        self.used += len(flat)
+
+
+class _Memory:
+    """Pre-tokens known so far: sorted hashes, the characters and the ids of each."""
+
+    def __init__(self, kind: np.dtype, width: int):
+        self.kinds = kind, np.dtype(f"u{width}")
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.points, self.ids = np.zeros(0, np.uint64), *(_Pieces(k) for k in self.kinds)
+
+
 class Encoder:
     """The tokenizers library with a memory of pre-tokens.
 
@@ -72,30 +120,23 @@ class Encoder:
     kept: dict[str, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, traits: Traits | None = None) -> Encoder:
         """The worker's encoder, with what it remembers from earlier tasks."""
         if path not in cls.kept:
-            cls.kept[path] = cls(path)
+            cls.kept[path] = cls(path, traits)
         return cls.kept[path]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, traits: Traits | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.byte_level, self.added, self.width = traits or traits_of(path)
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if self.byte_level and Encoder.classes is None:
             Encoder.classes = _classes()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.ids, self.points = _Pieces(np.uint16 if self.width == 2 else np.uint32), _Pieces(np.uint32)
+        #: By the bytes that a character takes in the slice's narrowest form.
+        self.memory = {np.dtype(k): _Memory(np.dtype(k), self.width) for k in (np.uint8, np.uint16, np.uint32)}
 
     def _cut(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Starts of the pre-tokens of texts laid end to end; ``bounds`` are the texts' bounds."""
@@ -129,20 +170,26 @@ class Encoder:
             start[inner[inner < stop]] = True
         return np.flatnonzero(start[:n])
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pre-tokens (keys in ascending order)."""
-        encode, one_line = self.tokenizer.encode, len(self.newline) == 1
-        plain = [one_line and p.lstrip(" ").isalpha() for p in pieces]
-        words = iter(())
-        if any(plain):  # words on lines of their own: the line end is one known id and never part of a word
-            found = np.array(encode("\n".join(p for p, x in zip(pieces, plain) if x), add_special_tokens=False).ids, np.uint32)
-            breaks = np.flatnonzero(found == self.newline[0])
-            words = iter(np.split(found[found != self.newline[0]], breaks - np.arange(len(breaks))))
-        ids = [next(words) if x else np.array(encode(p, add_special_tokens=False).ids, np.uint32) for p, x in zip(pieces, plain)]
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.ids.insert(at, ids)
-        self.points.insert(at, [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pieces])
+    def _learn(self, memory: _Memory, keys: np.ndarray, joined: str, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Encode new pre-tokens (keys in ascending order) that lie in a slice."""
+        pieces = [joined[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
+        plain = np.array([p.lstrip(" ").isalpha() for p in pieces], bool) & (len(self.newline) == 1)
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if len(words):  # on lines of their own: the line end is one known id and never part of a word
+            found = np.array(self.tokenizer.encode("\n".join(pieces[k] for k in words.tolist()), add_special_tokens=False).ids, np.uint32)
+            breaks = np.append(np.flatnonzero(found == self.newline[0]), len(found))
+            flat.append(found[found != self.newline[0]])
+            sizes.append(np.diff(breaks, prepend=-1) - 1)
+        for k in others.tolist():
+            flat.append(self._whole(pieces[k]))
+            sizes.append(np.array([len(flat[-1])]))
+        sizes, at = np.concatenate(sizes), np.searchsorted(memory.keys, keys)
+        begins, place = np.cumsum(sizes) - sizes, np.argsort(np.concatenate([words, others]))
+        memory.keys = np.insert(memory.keys, at, keys)
+        memory.ids.insert(at, np.concatenate(flat), begins[place], sizes[place])
+        total = np.cumsum(size)
+        memory.points.insert(at, points[np.arange(total[-1]) + np.repeat(begin - (total - size), size)], total - size, size)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -154,7 +201,9 @@ class Encoder:
         starts = self._cut(points, bounds)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * len(texts)
-        ends = np.append(starts[1:], len(points))
+        ends, top = np.append(starts[1:], len(points)), int(points.max())
+        points = points.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+        memory = self.memory[points.dtype]
         hashes = span_hashes(points, starts, ends)
         first, which = distinct_spans(points, starts, ends, hashes)
         order = np.argsort(hashes[first], kind="stable")
@@ -164,22 +213,22 @@ class Encoder:
         keys = hashes[first]
         if (keys[1:] == keys[:-1]).any():  # two pre-tokens of this slice share a hash
             return [self._whole(t) for t in texts]
-        if len(self.keys) > REMEMBERED or max(self.ids.used, self.points.used) > REMEMBERED_UNITS:
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
+        if len(memory.keys) > REMEMBERED or max(memory.ids.used, memory.points.used) > REMEMBERED_UNITS:
+            memory.forget()
+        at = np.searchsorted(memory.keys, keys)
+        known = at < len(memory.keys)
+        known[known] = memory.keys[at[known]] == keys[known]
         begin, size, held = starts[first[known]], (ends - starts)[first[known]], at[known]
-        if (size != self.points.size[held]).any() or spans_differ(points, begin, size, self.points.begin[held].astype(np.int64), self.points.flat):
-            self._forget()  # one of them shares its hash with another pre-token of an earlier slice
+        if (size != memory.points.size[held]).any() or spans_differ(points, begin, size, memory.points.begin[held], memory.points.flat):
+            memory.forget()  # one of them shares its hash with another pre-token of an earlier slice
             at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         if not known.all():
             new = np.flatnonzero(~known)
-            self._learn(keys[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            at = np.searchsorted(self.keys, keys)
-        begin, size = self.ids.begin[at][which].astype(np.int64), self.ids.size[at][which].astype(np.int64)
+            self._learn(memory, keys[new], joined, points, starts[first[new]], (ends - starts)[first[new]])
+            at = np.searchsorted(memory.keys, keys)
+        begin, size = memory.ids.begin[at][which].astype(np.int64), memory.ids.size[at][which].astype(np.int64)
         total = np.cumsum(size)
-        flat = self.ids.flat[np.arange(total[-1]) + np.repeat(begin - (total - size), size)].astype(np.uint32)
+        flat = memory.ids.flat[np.arange(total[-1]) + np.repeat(begin - (total - size), size)].astype(np.uint32)
         return np.split(flat, np.concatenate([[0], total])[np.searchsorted(starts, bounds[1:-1])])
 
     def _one(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -218,35 +267,16 @@ class Encoder:
         yield from flush()
 
 
-class _Pieces:
-    """Short arrays laid end to end, found by place."""
-
-    def __init__(self, kind):
-        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, kind), 0
-
-    def insert(self, at: np.ndarray, pieces: list[np.ndarray]) -> None:
-        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        added = int(size.sum())
-        if self.used + added > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(added, len(self.flat)), self.flat.dtype)])
-        if added:
-            self.flat[self.used : self.used + added] = np.concatenate(pieces)
-        self.begin = np.insert(self.begin, at, (self.used + np.cumsum(size) - size).astype(np.int32))
-        self.size = np.insert(self.size, at, size)
-        self.used += added
-
-
 _MANIFEST = "path string, part long, shard long, first_key string, last_key string, entries long, tokens long"
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, max_entries: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, traits: Traits, end_id: int, max_entries: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
     system, base = pafs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    encoder, end = Encoder.of(tokenizer), np.array([end_id], np.uint32)
+    encoder, end = Encoder.of(tokenizer, traits), np.array([end_id], np.uint32)
     writer = out = None
     done: list[tuple] = []
 
@@ -279,7 +309,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = slim.withColumn("digest", F.xxhash64("text"))
     dealt = slim.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text")
-    listed = work.table(dealt.mapInArrow(partial(_write, folder=work.path("shards"), tokenizer=tokenizer, end_id=end_id, max_entries=max_entries), _MANIFEST), "manifest")
+    listed = work.table(dealt.mapInArrow(partial(_write, folder=work.path("shards"), tokenizer=tokenizer, traits=traits_of(tokenizer), end_id=end_id, max_entries=max_entries), _MANIFEST), "manifest")
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return listed.withColumn("tokens_before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
