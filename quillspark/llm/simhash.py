@@ -25,17 +25,22 @@ a fingerprint differs, so no blocks of bits are sure to be shared; candidates co
   at places that leave room for the overlap they need (prefix and positional filter).
 * In ``PIVOTS`` rounds all members of a key are compared with one of them, the one that shares the most
   keys with others (of a group of copies, the one they are made from); what is linked becomes one
-  component.  After the rounds all pairs that are left and not in one component are compared.  So a
-  large group of copies costs a few comparisons a member, and no pair that could matter is left out.
+  component.  After the rounds all pairs that are left and not in one component are compared, at the
+  first key that both have (``EARLIER``), so a pair leaves the join once.  A large group of copies costs
+  a few comparisons a member, and no pair that could matter is left out; sets that share keys with a
+  large group and belong to none (similarity a little under the threshold) still cost a comparison of
+  two bit strings with each member.
 * 512 parities (bit i: whether an odd number of shingles falls on i) differ in no more bits than the
   sets differ in shingles, which drops most false candidates and no link; whole sets decide.
 
 Equal sets collapse first.  Shingles are compared by 64-bit hashes.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, which links
-like any other, and an empty set, which is similar to empty sets only; fewer words than the shingle length make one shingle of all of them; repeated
-doc_ids give a row each; a null doc_id never becomes a component id unless all ids of its component
-are null; an empty table gives an empty result; other columns of the input are not looked at.
+like any other, and an empty set, which is similar to empty sets only; fewer words than the shingle
+length make one shingle of all of them; repeated doc_ids give a row each; a null doc_id never becomes a
+component id unless all ids of its component are null; an empty table gives an empty result; other
+columns of the input are not looked at.  Texts are read whole: fingerprints take a worker a few bytes
+for each byte of its longest text, shingle sets about 60.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
@@ -57,7 +62,6 @@ from .components import connected_components
 BLOCKS, BITS = 4, 16
 #: From so many distinct fingerprints in one block key the ball way is cheaper than pairs.
 CROWD = 24
-KEYS = 192
 #: Jaccard similarity of shingle sets from which texts are near copies, as a fraction.
 SIMILARITY = (4, 5)
 #: Rounds in which the members of a key are compared with one of them, before all pairs that are left.
@@ -65,8 +69,10 @@ PIVOTS = 2
 #: Documents (about) whose shingles are counted to find common ones, and how many of these are kept.
 SAMPLE, COMMON = 10_000, 200_000
 PARITIES = 512
-#: Ids of documents to drop (8 bytes each) up to which they are broadcast; beyond it, a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Keys before the one that two sets meet in which the last join looks for an earlier meeting.
+EARLIER = 64
+#: Keys of rows (24 bytes each) up to which they are broadcast; beyond it, a shuffled join.
+BROADCAST_IDS = 500_000
 _GROUP = 1 << 16
 
 
@@ -196,12 +202,6 @@ def _rows(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, c
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "d0", "d1", "n", "firsts", "odd", "fp"])
 
 
-def _block_bytes() -> list[tuple[int, int, int]]:
-    """The three bytes of each block; every byte is in nine blocks."""
-    steps = ((5, 17), (11, 31), (7, 26))
-    return [(k % 64, (k + steps[k // 64][0]) % 64, (k + steps[k // 64][1]) % 64) for k in range(KEYS)]
-
-
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample hold, sorted, and the logarithm of how many.
 
@@ -290,56 +290,69 @@ def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             pairs = met.filter((F.col("root") != F.col("pivot_root")) & _room(similarity))
             shared = rooted.filter("id <> pivot.id").drop("pivot", "root")  # the pivot has been compared with all
         else:
-            rows = rooted.drop("pivot").join(nodes.select("id", "odd"), "id")
-            left, right = _sides(rows.filter("own"), rows, "own", "root", "odd")
+            before = F.slice("firsts", 1, F.least(F.col("p"), F.lit(EARLIER))).alias("before")
+            rows = rooted.drop("pivot").join(nodes.select("id", "odd", "firsts"), "id").select("key", "id", "n", "p", "own", "root", "odd", before)
+            left, right = _sides(rows.filter("own"), rows, "own", "root", "odd", "before")
             apart = (F.col("rootu") != F.col("rootv")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
-            pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity))
+            first = ~F.arrays_overlap("beforeu", "beforev")  # at a later key the pair has been met already
+            pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity) & first)
         more = verify(_ordered(pairs), label=f"round-{k}")
         links = links.union(more) if links else more
         roots = connected_components(links, work, f"roots-{k}")
     return roots if roots else nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
 
 
-def _similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str, work: Workspace, wide: bool) -> DataFrame:
-    """doc_id, t0, t1 (hashes of the text), fp, component_id, for every row."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What a row is known by: doc_id, and two hashes of the text (null: empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text"))
+    return [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1")]
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str, work: Workspace, wide: bool) -> DataFrame:
+    """doc_id, t0, t1, fp of every row, and ``head``: the smallest (id is null, doc_id, t0, t1) of its component."""
+    texts = docs.select(*_named(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     common, classes = _common(texts, shingle)
     kind = texts.schema["doc_id"].dataType.simpleString()
     each = partial(_rows, shingle=shingle, common=common, classes=classes, similarity=similarity, wide=wide)
     rows = work.table(texts.mapInArrow(each, f"doc_id {kind}, t0 long, t1 long, d0 long, d1 long, n long, firsts array<long>, odd array<long>, fp array<long>"), "rows")
-    distinct = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("low"), F.min(F.struct("t0", "t1")).alias("text"), *[F.first(c).alias(c) for c in ("n", "firsts", "odd")])
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t0", "t1")
+    distinct = rows.groupBy("d0", "d1").agg(F.min(row).alias("low"), F.min(F.struct("t0", "t1")).alias("text"), *[F.first(c).alias(c) for c in ("n", "firsts", "odd")])
     nodes = work.table(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
     roots = _similar_roots(nodes, texts, shingle, similarity, work)
     rooted = nodes.select("id", "d0", "d1", "low").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(rooted.join(lows, "root").select("d0", "d1", "component_id"), ["d0", "d1"]).select("doc_id", "t0", "t1", "fp", "component_id")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("head"))
+    return rows.select("doc_id", "t0", "t1", "fp", "d0", "d1").join(rooted.join(lows, "root").select("d0", "d1", "head"), ["d0", "d1"]).select("doc_id", "t0", "t1", "fp", "head")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """doc_id, fingerprint (128 hex digits), component_id over links of texts with so similar shingle sets."""
     work = work or Workspace(docs.sparkSession, "similar")
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-    return _similar(docs, shingle, similarity, id_col, text_col, work, True).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _similar(docs, shingle, similarity, id_col, text_col, work, True).select("doc_id", digits.alias("fingerprint"), F.col("head.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the row whose id is the component's id.
+    """Rows of ``docs`` (all columns, as they are): of each component of similar texts one row stays.
 
-    Rows that repeat a doc_id are kept once (they are copies or share the id; the first by text
-    stays); rows with a null id have nothing to be told apart by and stay.
+    That is the row with the smallest doc_id (nulls last; of one id the smallest hash of the text).
+    Rows that repeat both id and text are copies, of which the first by the other columns stays; rows
+    that share an id only are told apart by their texts.
     """
     spark = docs.sparkSession
     work, passing = Workspace(spark, "near-duplicates"), Workspace(spark, "similar")
-    found = work.table(_similar(docs, shingle, similarity, "doc_id", "text", passing, False).select("doc_id", "component_id"), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("t0") == F.col("head.t0")) & (F.col("t1") == F.col("head.t1"))
+    found = work.table(_similar(docs, shingle, similarity, "doc_id", "text", passing, False).select("doc_id", "t0", "t1", stays.alias("stays")), "decisions")
     passing.drop()
-    go = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    go = F.broadcast(go) if found.filter("doc_id <> component_id").count() <= BROADCAST_IDS else go
-    known = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    repeated = work.table(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return rows.join(few, rows["doc_id"].eqNullSafe(few["doc_id"]) & (rows["t0"] == few["t0"]) & (rows["t1"] == few["t1"]), how)
+
+    go = work.table(found.filter("not stays").select("doc_id", "t0", "t1").distinct(), "go")
+    repeated = work.table(found.filter("stays").groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "t0", "t1"), "repeated")
+    packed = docs.select(*_named(docs, "doc_id", "text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    known = matching(packed, go, "left_anti")
     if repeated.isEmpty():
-        return known
-    once = known.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row")
-    return once.union(known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "__row.*").select(*docs.columns))
+        return known.select("row.*")
+    once = matching(known, repeated, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return matching(known, repeated, "left_anti").select("row.*").union(once.select("row.*"))

@@ -79,6 +79,17 @@ def test_a_large_group_of_copies_and_chains(spark, monkeypatch, pivots):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("earlier", [0, 4, 64])
+def test_pairs_leave_the_last_join_once(spark, monkeypatch, earlier):
+    """Members of a group that are all a little under the threshold to one another, and a few that are not."""
+    monkeypatch.setattr(simhash, "PIVOTS", 0)
+    monkeypatch.setattr(simhash, "EARLIER", earlier)
+    rnd = random.Random(9)
+    base = " ".join(f"w{k}" for k in range(150))
+    rows = list(enumerate(with_changes(rnd, base, rnd.choice([1, 2, 3, 4])) for _ in range(120)))
+    assert found(spark, rows) == brute(rows)
+
+
 def test_documents_below_the_similarity_stay(spark):
     rows = []
     for g in range(40):
