@@ -23,15 +23,17 @@ a fingerprint differs, so no blocks of bits are sure to be shared; candidates co
   of documents; any order is exact, a good one keeps common passages out of the way).  Two sets that
   are similar enough have their first common shingle within the first n - ceil(0.8 n) + 1 of each, and
   at places that leave room for the overlap they need (prefix and positional filter).
-* In ``PIVOTS`` rounds all members of a key are compared with one of them, the one that shares the most
-  keys with others (of a group of copies, the one they are made from); what is linked becomes one
-  component.  After the rounds all pairs that are left and not in one component are compared, at the
-  first key that both have (``EARLIER``), so a pair leaves the join once.  A large group of copies costs
-  a few comparisons a member, and no pair that could matter is left out; sets that share keys with a
-  large group and belong to none (similarity a little under the threshold) still cost a comparison of
-  two bit strings with each member.
-* 512 parities (bit i: whether an odd number of shingles falls on i) differ in no more bits than the
-  sets differ in shingles, which drops most false candidates and no link; whole sets decide.
+* In ``PIVOTS`` rounds the members of a key are compared with one member of each class of sizes that
+  could be similar (three classes for each member): the one with the fewest rarer shingles, which is, of
+  a group of copies, the one they are made from.  What is linked becomes one component.  After the rounds
+  all pairs that are left and not in one component are compared, at the first key that both have
+  (``EARLIER``), so a pair leaves the join once.  A large group of copies costs a few comparisons a
+  member, and no pair that could matter is left out; sets that share keys with a large group and belong
+  to none (similarity a little under the threshold) still cost a comparison of two bit strings with each
+  member.
+* The fingerprint of a set is ``PARITIES`` bits or more, in proportion to its size (bit i: whether an odd
+  number of shingles falls on i).  Those of two sets, folded to one length, differ in no more bits than
+  the sets differ in shingles: the Hamming check drops most false candidates and no link; whole sets decide.
 
 Equal sets collapse first.  Shingles are compared by 64-bit hashes.
 
@@ -193,7 +195,8 @@ def _rows(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, c
                 often = np.where(common[place] == found, classes[place], 0)
             n = len(found) - -(-similarity[0] * len(found) // similarity[1]) + 1 if len(found) else 0
             firsts.append(found[np.argsort(often, kind="stable")[:n]])
-            odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+            bits = max(PARITIES, 1 << (2 * len(found) - 1).bit_length()) if len(found) else PARITIES
+            odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             parities.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64))
             prints.append(wide_fingerprint(raw[at[k] : at[k + 1]], shingle).view(np.uint64) if wide else np.zeros(0, np.uint64))
         d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -226,18 +229,34 @@ def _room(similarity: tuple[int, int]):
 
 
 def _shared_firsts(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """key, id, n, p, own, members of the keys where two sets or more meet, one at a place for the shorter set."""
+    """key, id, n, p, own of the keys where two sets or more meet, one at a place for the shorter set."""
     keyed = nodes.select("id", "n", F.posexplode("firsts").alias("p", "key"))
     own = _enough(F.col("n") - F.col("p"), F.col("n"), F.col("n"), similarity)
     same = Window.partitionBy("key")
     met = keyed.withColumn("own", own).withColumn("members", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same))
-    return met.filter("members > 1 and any_own").select("key", "id", "n", "p", "own", "members")
+    return met.filter("members > 1 and any_own").select("key", "id", "n", "p", "own")
 
 
 def _sides(left: DataFrame, right: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", *more)], F.col("id").alias(x)) for df, x in ((left, "u"), (right, "v")))
 
 
+def _class(n: Column, similarity: tuple[int, int]) -> Column:
+    """Class of a size; sizes of sets that are similar enough are in the same or neighbouring classes."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.01 * similarity[1] / similarity[0]))).cast("int")
+
+
+def _with_pivots(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Rows of the keys whose members are in several components, each with the pivots of its neighbouring classes."""
+    rows = rows.withColumn("class", _class(F.col("n"), similarity))
+    chosen = rows.groupBy("key", "class").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by(F.struct("id", "n", "p", "root"), F.struct(-F.col("p"), "id")).alias("pivot"))
+    by_key = chosen.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.map_from_entries(F.collect_list(F.struct("class", "pivot"))).alias("chosen"))  # as many entries as classes
+    met = rows.join(by_key.filter("least <> most").select("key", "chosen"), "key")
+    own = F.col("chosen")[F.col("class")]["id"] == F.col("id")
+    near = F.filter(F.array(*[F.col("chosen")[F.col("class") + d] for d in (-1, 0, 1)]), lambda x: x.isNotNull() & (x["root"] != F.col("root")))
+    return met.select("key", "id", "n", "p", "own", "root", own.alias("is_pivot"), near.alias("pivots"))
+
+
 def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -259,46 +278,57 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return links
 
 
-def _few_odd(a, b, similarity: tuple[int, int]):
+def _folded(odd: Column, longs: Column) -> Column:
+    """Parities of fewer bits: the words that fall on one place, combined by exclusive or."""
+    return F.when(F.size(odd) <= longs, odd).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), lambda k: F.aggregate(F.sequence(k, F.size(odd) - 1, longs), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(odd, j)))))
+
+
+def _few_odd(a: Column, b: Column, similarity: tuple[int, int], longs: int | None = None) -> Column:
     """A bound that every link keeps: parities differ in no more bits than sets of nu and nv differ in members."""
-    apart = F.lit(0)
-    for k in range(PARITIES // 64):
-        apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
+    if longs:
+        apart = F.lit(0)
+        for k in range(longs):
+            apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
+    else:
+        least = F.least(F.size(a), F.size(b))
+        apart = F.aggregate(F.zip_with(_folded(a, least), _folded(b, least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     both = F.col("nu") + F.col("nv")
     return _enough(both - apart, both, both, similarity)  # apart = both - 2 * overlap at most
 
 
+def _contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Links between the components known so far, and what makes up these."""
+    if roots is None:
+        return links
+    named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
+    both = links.join(named[0], "u", "left").join(named[1], "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    return both.filter("u <> v").distinct().union(roots.select("node", "root"))
+
+
 def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int], work: Workspace) -> DataFrame:
     """(node, root) of the sets in ``nodes`` that are linked to a smaller one."""
     verify = partial(_verified, nodes=nodes, texts=texts, shingle=shingle, similarity=similarity, work=work)
-    met = work.table(_shared_firsts(nodes, similarity), "met")
-    weights = met.groupBy("id").agg(F.sum("members").alias("weight"))
-    shared = work.table(met.join(weights, "id").drop("members"), "firsts")
-    work.drop("met")
-    links = roots = None
+    shared, roots = work.table(_shared_firsts(nodes, similarity), "firsts"), None
     for k in range(PIVOTS + 1):
         root = F.coalesce("root", "id") if roots else F.col("id")
         rooted = (shared.join(roots.withColumnRenamed("node", "id"), "id", "left") if roots else shared).withColumn("root", root)
-        ends = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by(F.struct("id", "n", "p", "root"), F.struct("weight", "id")).alias("pivot"))
-        rooted = work.table(rooted.join(ends.filter("least <> most").select("key", "pivot"), "key"), f"open-{k}")
-        if k:
-            work.drop(f"open-{k - 1}" if k > 1 else "firsts")
+        rooted = work.table(_with_pivots(rooted, similarity), f"open-{k}")
+        work.drop(f"open-{k - 1}" if k else "firsts")
         if rooted.isEmpty():
             break
         if k < PIVOTS:
-            met = rooted.select("root", F.col("pivot.root").alias("pivot_root"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("id").alias("v"), F.col("pivot.n").alias("nu"), F.col("pivot.p").alias("pu"), F.col("pivot.id").alias("u"))
-            pairs = met.filter((F.col("root") != F.col("pivot_root")) & _room(similarity))
-            shared = rooted.filter("id <> pivot.id").drop("pivot", "root")  # the pivot has been compared with all
+            each = rooted.select("n", "p", "id", F.explode("pivots").alias("x"))
+            met = each.select(F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("id").alias("v"), F.col("x.n").alias("nu"), F.col("x.p").alias("pu"), F.col("x.id").alias("u"))
+            pairs = met.filter(_room(similarity))
+            shared = rooted.filter("not is_pivot").select("key", "id", "n", "p", "own")  # the pivot has been compared with all that are near
         else:
-            before = F.slice("firsts", 1, F.least(F.col("p"), F.lit(EARLIER))).alias("before")
-            rows = rooted.drop("pivot").join(nodes.select("id", "odd", "firsts"), "id").select("key", "id", "n", "p", "own", "root", "odd", before)
+            before, odd = F.slice("firsts", 1, F.least(F.col("p"), F.lit(EARLIER))), _folded(F.col("odd"), F.lit(PARITIES // 64))
+            rows = rooted.join(nodes.select("id", "odd", "firsts"), "id").select("key", "id", "n", "p", "own", "root", odd.alias("odd"), before.alias("before"))
             left, right = _sides(rows.filter("own"), rows, "own", "root", "odd", "before")
             apart = (F.col("rootu") != F.col("rootv")) & (~F.col("ownv") | (F.col("u") < F.col("v")))
             first = ~F.arrays_overlap("beforeu", "beforev")  # at a later key the pair has been met already
-            pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity) & first)
-        more = verify(_ordered(pairs), label=f"round-{k}")
-        links = links.union(more) if links else more
-        roots = connected_components(links, work, f"roots-{k}")
+            pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity, PARITIES // 64) & first)
+        roots = connected_components(_contracted(verify(_ordered(pairs), label=f"round-{k}"), roots), work, f"roots-{k}")
     return roots if roots else nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
 
 
