@@ -8,133 +8,179 @@ any slot, a source is less than one block away from its share.
 
 No block is dropped or repeated: when a source is used up the others go on with their weights scaled
 to one.  The time between such events is cut at whole rounds (a round: each source gives as many
-blocks as its integer weight says, all are level again), so the schedule is a few patterns, each no
-longer than a round, and how often each repeats.  The earliest-deadline-first run over a pattern is
-one SQL expression; a block then finds its slot from its number by division.
+blocks as its integer weight says, all are level again), so the schedule is a list of segments, each
+a pattern no longer than a round, and how often it repeats.  Sources of equal weight are one class:
+the class is scheduled with their common weight and serves them in turn.  A member's block j then lies
+inside its own window too (its j-th job of the class is released no earlier and due no later), and
+a pattern is made by choosing among classes, however many sources there are.  The earliest-deadline-
+first run over a pattern is one SQL expression a segment; a block finds its segment and its slot by
+lookups in small tables.
 
 Scale: nothing is ordered globally.  A document's rank in its source comes from a digest bucket (about
 ``BUCKET_ROWS`` documents, so the bucket of a source with a third of all rows is as small as any) and
-the counts of the buckets before it.  Only one row a source reaches the driver; the number of sources
-times the weights' sum is checked against ``MAX_PATTERN``, which bounds the broadcast pattern table.
+the counts of the buckets before it; a bucket that many rows of one id crowd is dealt out by the
+digest and the row's place in the input (so ``docs`` must read the same twice, as files do).  One row
+a size and weight that sources have reaches the driver; tables of sources, segments and patterns stay in
+Spark and are broadcast up to ``BROADCAST_ROWS`` rows, joined by shuffles beyond.
 
 Defined results: rows with a null source are a source of their own, named ``(null)``; null and
 repeated doc_ids are ordered like any other (full ties in any order); sources without a weight get
 ``default_weight``; weights of absent sources are ignored; an empty table gives an empty result.  Rows
-are carried as one struct, so no name of the input can clash.
+are carried as one struct, so no name of the input can clash; texts are not looked at, however long.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
-MAX_PATTERN = 500_000
+#: Buckets of so many times ``BUCKET_ROWS`` are dealt out.
+CROWDED = 8
+BROADCAST_ROWS = 500_000
+#: Bytes of rows that one file of the mixed result holds, about.
+FILE_BYTES = 128 << 20
 
 
-def segments(blocks: list[int], weights: list[int]) -> list[tuple[int, list[int]]]:
-    """(repeats, blocks of each source) from start to end; sources in the order given.
+def segments(shapes: list[tuple[int, int, int]]) -> list[tuple[int, dict[int, tuple[int, int]]]]:
+    """From (weight, blocks, sources that have both): (repeats, {weight: (sources, blocks of each)}), start to end.
 
     Rounds are the unit of time: source s has given floor(weight * t) blocks at time t and is used up
     at blocks / weight.  Time is cut at these ends and at the whole rounds next to them.
     """
-    ends = {Fraction(n, w) for n, w in zip(blocks, weights) if n}
+    ends = {Fraction(n, w) for w, n, _ in shapes if n}
     if not ends:
         return []
-    cuts = sorted({Fraction(0), *ends, *(Fraction(int(e)) for e in ends), *(Fraction(-int(-e // 1)) for e in ends if -int(-e // 1) <= max(ends))})
+    last = max(ends)
+    cuts = sorted({Fraction(0), *ends, *(Fraction(int(e)) for e in ends), *(Fraction(-int(-e // 1)) for e in ends if -int(-e // 1) <= last)})
+    longest: dict[int, list[tuple[int, int]]] = {}
+    for w, n, k in sorted(shapes):
+        longest.setdefault(w, []).append((n, k))
+    sizes = {w: [n for n, _ in found] for w, found in longest.items()}
+    left = {w: [*accumulate((k for _, k in reversed(found)), initial=0)][::-1] for w, found in longest.items()}
     out = []
     for a, b in zip(cuts, cuts[1:]):
         whole = a.denominator == b.denominator == 1
-        repeats = int(b - a) if whole else 1
-        given = [(w if whole else int(w * b) - int(w * a)) if n and Fraction(n, w) >= b else 0 for n, w in zip(blocks, weights)]
-        if sum(given):
-            out.append((repeats, given))
+        each = {}
+        for w in sizes:
+            members = left[w][bisect_left(sizes[w], -(-w * b // 1))]  # those with at least w * b blocks
+            given = w if whole else int(w * b) - int(w * a)
+            if members and given:
+                each[w] = (members, given)
+        if each:
+            out.append((int(b - a) if whole else 1, each))
     return out
 
 
 def _pattern() -> Column:
-    """Earliest deadline first over one repeat of a segment: column ``given`` -> source of each slot."""
+    """Earliest deadline first over one repeat of a segment: column ``given`` -> class of each slot."""
     length = "aggregate(given, 0L, (a, g) -> a + g)"
-    job = f"""named_struct('deadline', ((acc.done[i] + 1) * {length} + g - 1) div greatest(g, 1), 'source', i,
+    job = f"""named_struct('deadline', ((acc.done[i] + 1) * {length} + g - 1) div greatest(g, 1), 'class', i,
               'release', (acc.done[i] * {length}) div greatest(g, 1), 'left', g - acc.done[i])"""
-    pick = f"array_min(filter(transform(given, (g, i) -> {job}), x -> x.left > 0 and x.release <= t)).source"
+    pick = f"array_min(filter(transform(given, (g, i) -> {job}), x -> x.left > 0 and x.release <= t)).class"
     return F.expr(f"""aggregate(sequence(0L, {length} - 1),
         named_struct('done', transform(given, g -> 0L), 'out', cast(array() as array<int>)),
         (acc, t) -> transform(array({pick}), p -> named_struct(
             'done', transform(acc.done, (d, i) -> if(i = p, d + 1, d)), 'out', concat(acc.out, array(p))))[0]).out""")
 
 
-def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def _rows_of(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
+    """A table from the driver: one literal, whatever its length."""
+    one = docs.sparkSession.range(0, 1, 1, 1)
+    return one.select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast where its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _inside(rows: DataFrame, value: Column, on: list[str], spans: DataFrame) -> DataFrame:
+    """Rows with the columns of the span ``begin`` <= value < ``end`` (among those equal in ``on``).
+
+    A span is listed under every stretch of values that it touches; stretches are about as many as spans.
+    """
+    n, top = spans.agg(F.count("*"), F.max("end")).first()
+    width = max(1, (top or 1) // max(1, 16 * n))
+    listed = spans.withColumn("__stretch", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"(end - 1) div {width}"))))
+    asked = rows.withColumn("__value", value.cast("long")).withColumn("__stretch", F.expr(f"__value div {width}"))
+    met = asked.join(_small(listed), [*on, "__stretch"])
+    return met.filter((F.col("__value") >= F.col("begin")) & (F.col("__value") < F.col("end"))).drop("__value", "__stretch", "begin", "end")
+
+
+def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", work: Workspace | None = None) -> DataFrame:
     """row (struct of the input row), source, block, slot, position (0 ..: the order to read in)."""
-    spark = docs.sparkSession
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"), F.col(id_col).alias("id"))
-    counts = sorted((r["source"], r["n"]) for r in packed.groupBy("source").agg(F.count("*").alias("n")).collect())  # one row a source
-    if not counts:
-        zero = F.lit(0).cast("long")
-        return packed.select("row", "source", zero.alias("block"), zero.alias("slot"), zero.alias("position"))
-    names, rows = [s for s, _ in counts], [n for _, n in counts]
-    share = [int(weights.get(s, default_weight)) for s in names]
-    if any(w < 1 for w in share):
+    if any(w < 1 for w in [default_weight, *weights.values()]):
         raise ValueError("weights are integers of at least 1")
-    if 3 * len(names) * sum(share) > MAX_PATTERN:
-        raise ValueError("too many sources for these weights; use smaller integers or group sources")
-    blocks = [-(-n // block_rows) for n in rows]
-    plan = segments(blocks, share)
-
-    one = spark.range(0, 1, 1, 1)
-
-    def literal(values: list[int]) -> Column:
-        return F.array(*[F.lit(v).cast("long") for v in values])
-
-    def table(columns: list[str], values: list[tuple[Column, ...]]) -> DataFrame:
-        """A few literal rows."""
-        return one.select(F.inline(F.array(*[F.struct(*[v.alias(c) for c, v in zip(columns, row)]) for row in values])))
-
-    lines = [(F.lit(k), literal(given)) for k, (_, given) in enumerate(plan)]
-    pattern = table(["segment", "given"], lines).repartition("segment").select("segment", F.posexplode(_pattern()).alias("place", "source_no"))
-    pattern = pattern.withColumn("turn", F.row_number().over(Window.partitionBy("segment", "source_no").orderBy("place")) - 1)
-
-    slot, done = 0, [0] * len(names)
-    starts: list[list[Column]] = [[] for _ in names]
-    for k, (repeats, given) in enumerate(plan):
-        for s, g in enumerate(given):
-            if g:
-                starts[s].append(F.struct(F.lit(done[s]).cast("long").alias("block"), F.lit(k).alias("segment"), F.lit(g).cast("long").alias("given"), F.lit(slot).cast("long").alias("slot"), F.lit(sum(given)).cast("long").alias("length")))
-                done[s] += g * repeats
-        slot += sum(given) * repeats
-    columns = ["source", "source_no", "n_buckets", "last_block", "missing", "starts"]
-    per_source = table(columns, [(F.lit(n), F.lit(s), F.lit(-(-rows[s] // BUCKET_ROWS)).cast("long"), F.lit(blocks[s] - 1).cast("long"), F.lit(blocks[s] * block_rows - rows[s]).cast("long"), F.array(*starts[s])) for s, n in enumerate(names)])
-    per_source, pattern = F.broadcast(per_source), F.broadcast(pattern)  # both bounded by MAX_PATTERN
+    work = work or Workspace(docs.sparkSession, "mixing")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
+
+    wanted = _rows_of(docs, [{"source": s, "w": w} for s, w in weights.items()] or [{"source": None, "w": None}], "source: string, w: bigint")
+    counts = packed.groupBy("source").agg(F.count("*").alias("n")).join(_small(wanted), "source", "left")
+    sources = counts.select("source", "n", F.coalesce("w", F.lit(default_weight)).cast("long").alias("weight"), F.expr(f"(n + {block_rows - 1}) div {block_rows}").alias("blocks"))
+    sources = sources.withColumn("member", F.row_number().over(Window.partitionBy("weight").orderBy(F.desc("blocks"), "source")).cast("long") - 1)  # a row a source
+    sources = work.table(sources.withColumn("n_buckets", F.expr(f"(n + {BUCKET_ROWS - 1}) div {BUCKET_ROWS}")), "sources")
+    shapes = [tuple(r) for r in sources.groupBy("weight", "blocks").agg(F.count("*").alias("k")).collect()]  # a row a size at most
+    classes, plan = sorted({w for w, _, _ in shapes}, reverse=True), segments(shapes)
+
+    lines, patterns, slot, done = [], [], 0, dict.fromkeys(classes, 0)
+    for no, (repeats, each) in enumerate(plan):
+        length = sum(k * g for k, g in each.values())
+        patterns.append({"segment": no, "given": [k * g for k, g in (each.get(w, (0, 0)) for w in classes)]})
+        for w, (k, g) in each.items():
+            lines.append({"segment": no, "weight": w, "members": k, "given": g, "begin": done[w], "end": done[w] + g * repeats, "first": slot, "length": length})
+            done[w] += g * repeats
+        slot += length * repeats
+    spans = _rows_of(docs, lines, "segment: int, weight: bigint, members: bigint, given: bigint, begin: bigint, end: bigint, first: bigint, length: bigint")
+    runs = _rows_of(docs, patterns, "segment: int, given: array<bigint>")
+    runs = runs.repartition(min(len(plan), 1000) or 1, "segment").select("segment", F.posexplode(_pattern()).alias("at", "class"))
+    turn = F.row_number().over(Window.partitionBy("segment", "class").orderBy("at")).cast("long") - 1
+    weight_of = F.element_at(F.lit(classes or [0]), F.col("class") + 1).cast("long")
+    pattern = _small(work.table(runs.select("segment", weight_of.alias("weight"), turn.alias("turn"), "at"), "patterns"))
 
     def slots(df: DataFrame) -> DataFrame:
-        """Add ``slot`` to rows with source_no, starts and block."""
-        at = F.element_at(F.filter("starts", lambda x: x["block"] <= F.col("block")), -1)
-        df = df.withColumn("at", at).withColumn("past", F.col("block") - F.col("at.block"))
-        df = df.withColumn("segment", F.col("at.segment")).withColumn("turn", (F.col("past") % F.col("at.given")).cast("int"))
-        df = df.join(pattern, ["segment", "source_no", "turn"])
-        return df.withColumn("slot", F.col("at.slot") + F.floor(F.col("past") / F.col("at.given")) * F.col("at.length") + F.col("place"))
-
-    short = slots(per_source.filter("missing > 0").withColumnRenamed("last_block", "block")).select("slot", "missing").collect()  # a row a source at most
-
-    placed = packed.join(per_source.select("source", "source_no", "n_buckets", "starts"), "source")
+        """Add ``slot`` to rows with weight, member and block."""
+        df = _inside(df.withColumn("__block", F.col("block")), F.col("block"), ["weight"], spans.withColumn("start", F.col("begin")))
+        past = F.col("__block") - F.col("start")
+        df = df.withColumn("turn", past % F.col("given") * F.col("members") + F.col("member")).withColumn("repeat", F.floor(past / F.col("given")))
+        df = df.join(pattern, ["segment", "weight", "turn"]).withColumn("slot", F.col("first") + F.col("repeat") * F.col("length") + F.col("at"))
+        return df.drop("__block", "start", "segment", "turn", "repeat", "at", "given", "members", "first", "length")
+
+    missing = F.col("blocks") * block_rows - F.col("n")
+    short = slots(sources.withColumn("block", F.col("blocks") - 1).select("weight", "member", "block", missing.alias("missing"))).filter("missing > 0").select("slot", "missing")
+    upwards = Window.orderBy("slot")  # a row a source at most
+    none = _rows_of(docs, [{"slot": -1, "missing": 0}], "slot: bigint, missing: bigint")
+    steps = work.table(short.union(none).select((F.col("slot") + 1).alias("begin"), F.coalesce(F.lead("slot").over(upwards) + 1, F.lit(slot + 1)).cast("long").alias("end"), F.sum("missing").over(upwards).alias("gaps")).filter("begin < end"), "gaps")
+
+    placed = packed.join(_small(sources.select("source", "weight", "member", "n_buckets")), "source")
     placed = placed.withColumn("bucket", F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("n_buckets"), 32))
-    sizes = placed.groupBy("source_no", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("source_no", "bucket", (F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("source_no", "bucket").orderBy("digest", "id"))
-    ranked = placed.withColumn("rank", rank).join(before, ["source_no", "bucket"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    ranked = slots(ranked.withColumn("block", F.floor(F.col("rank") / block_rows)))
-    gaps = F.lit(0).cast("long")
-    for r in short:
-        gaps = gaps + F.when(F.col("slot") > r["slot"], r["missing"]).otherwise(0)
-    return ranked.select("row", "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows - gaps).alias("position"))
-
-
-def mix(docs: DataFrame, weights: dict[str, int], **options) -> DataFrame:
+    crowded = placed.groupBy("source", "bucket").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > CROWDED * BUCKET_ROWS)
+    crowded = work.table(crowded, "crowded")  # rows where very many rows have one id: none as a rule
+    part = ["source", "bucket"]
+    if not crowded.isEmpty():
+        placed = placed.join(_small(crowded), ["source", "bucket"], "left").withColumn("deal", F.when(F.col("crowd").isNull(), "").otherwise(F.col("digest")))
+        placed = placed.withColumn("sub", F.when(F.col("crowd").isNull(), 0).otherwise(F.pmod(F.xxhash64("place"), F.expr(f"crowd div {BUCKET_ROWS} + 1")))).drop("crowd")
+        part += ["deal", "sub"]
+    sizes = placed.groupBy(*part).agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy(*part[1:])) - F.col("size")).drop("size")
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("digest", "id"))
+    ranked = placed.withColumn("rank", rank).join(before, part).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    ranked = slots(ranked.withColumn("block", F.expr(f"rank div {block_rows}")))
+    ranked = _inside(ranked, F.col("slot"), [], steps)
+    return ranked.select("row", "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows - F.col("gaps")).alias("position"))
+
+
+def mix(docs: DataFrame, weights: dict[str, int], file_bytes: int = FILE_BYTES, **options) -> DataFrame:
     """The rows of ``docs`` in mixed order: files and rows within them follow the positions."""
-    spark = docs.sparkSession
-    placed = schedule(docs, weights, **options)
-    n, parts = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed, widths = schedule(docs, weights, **options), [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in docs.dtypes if kind in ("string", "binary")]
+    n, size = docs.agg(F.count("*"), F.sum(sum(widths, F.lit(0).cast("long")))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // file_bytes + 1)
     part = F.floor(F.col("position") * parts / max(n, 1)).cast("int")
     return placed.select("row", "position").repartitionById(parts, part).sortWithinPartitions("position").select("row.*")

@@ -64,12 +64,13 @@ WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(null)') AS source FROM do
      cut AS (SELECT v, max_by(p, -q) AS p, min(q) AS q FROM (SELECT p / q AS v, p, q FROM (
          SELECT 0 AS p, 1 AS q UNION ALL SELECT blocks, w FROM src UNION ALL SELECT blocks // w, 1 FROM src UNION ALL SELECT (blocks + w - 1) // w, 1 FROM src)) WHERE v <= (SELECT max(blocks / w) FROM src) GROUP BY v),
      seg AS (SELECT * FROM (SELECT v AS v0, p AS p0, q AS q0, lead(v) OVER o AS v1, lead(p) OVER o AS p1, lead(q) OVER o AS q1 FROM cut WINDOW o AS (ORDER BY v)) WHERE v1 IS NOT NULL),
-     giv AS (SELECT v0, source, CASE WHEN q0 = 1 AND q1 = 1 THEN p1 - p0 ELSE 1 END AS reps, CASE WHEN blocks / w < v1 THEN 0 WHEN q0 = 1 AND q1 = 1 THEN w ELSE (w * p1) // q1 - (w * p0) // q0 END AS g FROM seg, src),
+     giv AS (SELECT v0, source, w, blocks, CASE WHEN q0 = 1 AND q1 = 1 THEN p1 - p0 ELSE 1 END AS reps, CASE WHEN blocks / w < v1 THEN 0 WHEN q0 = 1 AND q1 = 1 THEN w ELSE (w * p1) // q1 - (w * p0) // q0 END AS g FROM seg, src),
      len_ AS (SELECT v0, reps, l, coalesce(sum(l * reps) OVER (ORDER BY v0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM (SELECT v0, any_value(reps) AS reps, sum(g) AS l FROM giv GROUP BY v0)),
-     due AS (SELECT source, coalesce(sum(g * giv.reps) OVER (PARTITION BY source ORDER BY v0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, g, l, begin, giv.reps FROM giv JOIN len_ USING (v0)),
-     job AS (SELECT source, (done + r * g + i)::BIGINT AS block, (begin + r * l + (i * l) // g)::BIGINT AS release, (begin + r * l + ((i + 1) * l + g - 1) // g)::BIGINT AS deadline
+     due AS (SELECT source, w, coalesce(sum(g * giv.reps) OVER (PARTITION BY source ORDER BY v0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, g, l, begin, giv.reps,
+                    sum((g > 0)::INT) OVER (PARTITION BY v0, w) AS k, row_number() OVER (PARTITION BY v0, w ORDER BY g = 0, blocks DESC, source) - 1 AS m FROM giv JOIN len_ USING (v0)),
+     job AS (SELECT source, w, begin + r * l AS round, i * k + m AS x, (done + r * g + i)::BIGINT AS block, (begin + r * l + ((i * k + m) * l) // (k * g))::BIGINT AS release, (begin + r * l + ((i * k + m + 1) * l + k * g - 1) // (k * g))::BIGINT AS deadline
              FROM due, unnest(range(0, reps::BIGINT)) AS a(r), unnest(range(0, g::BIGINT)) AS b(i) WHERE g > 0),
-     jobs AS (SELECT list({{'deadline': deadline, 'source': source, 'block': block, 'release': release}} ORDER BY deadline, source) AS todo, count(*) AS n FROM job),
+     jobs AS (SELECT list({{'deadline': deadline, 'source': source, 'block': block, 'release': release}} ORDER BY deadline, w DESC, round, x) AS todo, count(*) AS n FROM job),
      run AS (SELECT -1::BIGINT AS slot, NULL::STRUCT(deadline BIGINT, source VARCHAR, block BIGINT, "release" BIGINT) AS pick, todo, n FROM jobs
              UNION ALL SELECT slot + 1, list_filter(todo, lambda x: x.release <= slot + 1)[1], list_filter(todo, lambda x: x <> list_filter(todo, lambda y: y.release <= slot + 1)[1]), n FROM run WHERE slot + 1 < n),
      placed AS (SELECT pick.source AS source, pick.block AS block, slot FROM run WHERE slot >= 0),

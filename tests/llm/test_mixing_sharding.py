@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -20,11 +21,25 @@ def docs_of(spark, counts, seed=1):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def plain_segments(blocks, weights):
+    """(repeats, blocks of each source) from start to end, source by source."""
+    ends = {Fraction(n, w) for n, w in zip(blocks, weights) if n}
+    cuts = sorted({Fraction(0), *ends, *(Fraction(int(e)) for e in ends), *(Fraction(-int(-e // 1)) for e in ends if -int(-e // 1) <= max(ends))})
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        whole = a.denominator == b.denominator == 1
+        given = [(w if whole else int(w * b) - int(w * a)) if n and Fraction(n, w) >= b else 0 for n, w in zip(blocks, weights)]
+        if sum(given):
+            out.append((int(b - a) if whole else 1, given))
+    return out
+
+
 @pytest.mark.parametrize("counts,weights", [
     ({"a": 300, "b": 40, "c": 7}, {"a": 1, "b": 1, "c": 1}),
     ({"a": 100, "b": 210, None: 33, "d": 1}, {"a": 5, "b": 3, "d": 2}),
     ({"only": 37}, {"only": 9}),
     ({"a": 2, "b": 500}, {"a": 7, "b": 2}),
+    ({"a": 90, "b": 61, "c": 33, "d": 33, "e": 5, "f": 77}, {"a": 3, "b": 3, "c": 3, "f": 2}),
 ])
 def test_schedule_is_whole_and_less_than_a_block_off(spark, counts, weights):
     b = 4
@@ -42,7 +57,7 @@ def test_schedule_is_whole_and_less_than_a_block_off(spark, counts, weights):
     for s, n in zip(order, blocks):  # blocks of a source in their order
         assert [slots[k][1] for k in sorted(slots) if slots[k][0] == s] == list(range(n))
     at, given = 0, dict.fromkeys(order, 0)
-    for repeats, each in mixing.segments(blocks, [weights.get(s, 1) for s in order]):
+    for repeats, each in plain_segments(blocks, [weights.get(s, 1) for s in order]):
         level = dict(given)
         for step in range(1, repeats * sum(each) + 1):
             given[slots[at][0]] += 1
@@ -53,11 +68,34 @@ def test_schedule_is_whole_and_less_than_a_block_off(spark, counts, weights):
     assert [r.slot for r in ordered] == sorted(r.slot for r in rows)
 
 
-def test_segments_keep_target_weights_until_a_source_ends():
-    assert mixing.segments([10, 4], [5, 2]) == [(2, [5, 2])]
-    got = mixing.segments([100, 3, 50], [3, 2, 1])
-    assert [sum(r * g[k] for r, g in got) for k in range(3)] == [100, 3, 50]
-    assert got[0] == (1, [3, 2, 1])
+def test_segments_are_those_of_every_source():
+    rnd = random.Random(4)
+    for _ in range(60):
+        weights = [rnd.choice([1, 1, 1, 2, 3, 7]) for _ in range(rnd.randrange(1, 9))]
+        blocks = [rnd.randrange(1, 40) for _ in weights]
+        shapes = [(w, n, k) for (w, n), k in Counter(zip(weights, blocks)).items()]
+        want = plain_segments(blocks, weights)
+        got = mixing.segments(shapes)
+        assert [r for r, _ in got] == [r for r, _ in want]
+        for (_, each), (_, given) in zip(got, want):
+            for w in set(weights):
+                members = [g for g, x in zip(given, weights) if x == w and g]
+                assert each.get(w, (0, 0))[0] == len(members) and set(members) <= {each.get(w, (0, 0))[1]}
+
+
+@pytest.mark.parametrize("sources", [120, 409, 5000])
+def test_any_number_of_sources(spark, sources):
+    docs = spark.range(sources * 2 + sources // 2).selectExpr("id as doc_id", f"concat('s', id % {sources}) as source")
+    got = mixing.schedule(docs, {"s0": 5, "s1": 3}, block_rows=2).selectExpr("count(*) as n", "count(distinct position) as p", "min(position) as low", "max(position) as high", "count(distinct row.doc_id) as d").first()
+    n = docs.count()
+    assert tuple(got) == (n, n, 0, n - 1, n)
+
+
+def test_rows_of_one_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(None, f"t{k}", "a") for k in range(300)] + [(k, f"u{k}", "a") for k in range(100)] + [(7, "same", "b")] * 150
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 2}, block_rows=4).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows))) and Counter(r.row.text for r in got) == Counter(t for _, t, _ in rows)
 
 
 def test_mix_keeps_rows_and_writes_them_in_order(spark, tmp_path):
