@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .. import model
 
 
+#: Fixed value: how an error message names the delay.
+RETRY_DELAY = r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"'
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -71,7 +75,7 @@ def error_class(name: Column | str, message: Column | str) -> Column:
 
 def retry_delay_ms(message: Column | str) -> Column:
     """Delay that the server asks for (``"retryDelay":"1.5s"``), in ms rounded up; null if it names none."""
-    seconds = F.regexp_extract(col(message), r'retryDelay["\\]*:\s*["\\]*(\d+(?:\.\d+)?)s', 1)
+    seconds = F.regexp_extract(col(message), RETRY_DELAY, 1)
     return F.ceil(F.nullif(seconds, F.lit("")).cast("double") * 1000).cast("long")
 
 

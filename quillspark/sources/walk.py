@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -83,7 +84,7 @@ def skip_reason(name: Column, size: Column, head: Column, symlink: Column | None
     link, folder = (c if c is not None else F.lit(False) for c in (symlink, directory))
     return (
         F.when(link, "symlink")
-        .when(folder & name.isin(*model.IGNORED_DIRECTORIES), "ignored-directory")
+        .when(folder & name.isin(*model.IGNORED_DIRECTORIES), "ignored-dir")
         .when(name.isin(*model.LOCKFILES), "lockfile")
         .when(name.endswith(".min.js"), "minified")
         .when(extension.isin(*model.BINARY_EXTENSIONS), "binary-extension")
@@ -102,7 +103,7 @@ def entries(root: str) -> Iterator[tuple[str, str, str | None]]:
                 yield path, entry.path, "symlink"
             elif entry.is_dir():
                 if entry.name in model.IGNORED_DIRECTORIES:
-                    yield path, entry.path, "ignored-directory"
+                    yield path, entry.path, "ignored-dir"
                 else:
                     yield from under(entry.path, f"{path}/")
             elif entry.is_file():
@@ -161,6 +162,18 @@ class RepoWalk(DataSource):
         return _Reader(self.options["path"], int(self.options.get("filesPerTask", 128)))
 
 
+def ship(spark: SparkSession, root: str, shared: str) -> str:
+    """Where executors can open the files: the folder itself on a local master, else a copy in ``shared``.
+
+    The shared folder has to be mounted (file://), as files are opened by path.
+    """
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return root
+    if not shared.startswith("file://"):
+        raise ValueError(f"the files of a repository cannot be opened in {shared}: set spark.checkpoint.dir to a mounted folder")
+    return shutil.copytree(root, shared.removeprefix("file://"), symlinks=True, ignore=shutil.ignore_patterns(*model.IGNORED_DIRECTORIES))
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(RepoWalk)
     return spark.read.format("repo_walk").load(root)
