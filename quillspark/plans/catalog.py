@@ -185,7 +185,7 @@ def context_block(spark, sf_dir):
     return _records(spark, sf_dir).select("doc_id", F.md5(text.context_block()).alias("block_md5"))
 
 
-_MESSAGES = ["quota exceeded: 429", "RESOURCE_EXHAUSTED PerDay limit", 'status 429 {"retryDelay": "1.5s"}', "bad request", "resource_exhausted perminute", 'code 429 "retryDelay":"37s" x']
+_MESSAGES = ["quota exceeded: 429", "RESOURCE_EXHAUSTED PerDay limit", 'status 429 {"retryDelay": "1.5s"}', "bad request", "resource_exhausted perminute", 'code 429 "retryDelay" : "37s" x', '429 retryDelay: 5s', '429 "retryDelay":"2"']
 _MESSAGE_SQL = "[" + ", ".join(f"'{m}'" for m in _MESSAGES) + "]"
 
 
@@ -338,26 +338,28 @@ def pending_migrations(spark, sf_dir):
 
 
 def _retrieved(spark, sf_dir):
-    """The longest documents as one request's retrieved rows; a file is a source and a residue."""
-    d = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(40)
-    pos = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))
-    return d.select(pos.alias("pos"), "doc_id", F.concat("source", F.lit(".md")).alias("file_path"), (F.lit(1.0) / (F.lit(60.0) + pos % 7)).alias("fused_score"), F.lit(None).cast("string").alias("symbol_name"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+    """All documents as retrieved rows of many requests (25 neighbouring ids each); a file is a source."""
+    d = table(spark, sf_dir, "documents").withColumn("request_id", F.floor(F.col("doc_id") / 25))
+    pos = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("n_chars"), "doc_id"))
+    return d.select("request_id", pos.alias("pos"), "doc_id", F.concat("source", F.lit(".md")).alias("file_path"), (F.lit(1.0) / (F.lit(60.0) + pos % 7)).alias("fused_score"), F.lit(None).cast("string").alias("symbol_name"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
 
 
-_PACKED = """WITH r AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos, doc_id, source || '.md' AS file_path, text AS content FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40),
-s AS (SELECT *, 1.0::DOUBLE / (60 + pos % 7) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, pos) = 1 AS kept, min(pos) OVER (PARTITION BY file_path) AS fp FROM s),
-p AS (SELECT pos, '--- ' || file_path || ':1-9 [markdown] ---' || chr(10) || content AS block, row_number() OVER (ORDER BY score DESC, fp) AS place, sum(ceil(length('--- ' || file_path || ':1-9 [markdown] ---' || chr(10) || content) / 4.0)) OVER (ORDER BY score DESC, fp ROWS UNBOUNDED PRECEDING) AS used FROM k WHERE kept),
-t AS (SELECT k.pos, k.doc_id, k.kept, p.place, p.block, coalesce(p.place = 1 OR p.used <= 20000, false) AS included FROM k LEFT JOIN p USING (pos))"""
+_PACKED = """WITH r AS (SELECT doc_id // 25 AS request_id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) AS pos, doc_id, source || '.md' AS file_path, text AS content FROM documents),
+s AS (SELECT *, 1.0::DOUBLE / (60 + pos % 7) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY request_id, file_path ORDER BY score DESC, pos) = 1 AS kept, min(pos) OVER (PARTITION BY request_id, file_path) AS fp FROM s),
+b AS (SELECT request_id, pos, score, fp, '--- ' || file_path || ':1-9 [markdown] ---' || chr(10) || content AS block FROM k WHERE kept),
+p AS (SELECT request_id, pos, block, row_number() OVER w AS place, sum(ceil(length(block) / 4.0)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM b WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, fp)),
+t AS (SELECT k.request_id, k.pos, k.doc_id, k.kept, p.place, p.block, coalesce(p.place = 1 OR p.used <= 8000, false) AS included FROM k LEFT JOIN p USING (request_id, pos))"""
 
 
-@query(f"{_PACKED} SELECT pos::INT AS pos, doc_id, place::INT AS place, kept, included, CASE WHEN NOT kept THEN 'duplicate-file' WHEN NOT included THEN 'budget' END AS dropped_as FROM t")
+@query(f"{_PACKED} SELECT request_id::BIGINT AS request_id, pos::INT AS pos, doc_id, place::INT AS place, kept, included, CASE WHEN NOT kept THEN 'duplicate-file' WHEN NOT included THEN 'budget' END AS dropped_as FROM t")
 def trace_included(spark, sf_dir):
-    return context.assemble(_retrieved(spark, sf_dir), 20_000).select("pos", "doc_id", "place", "kept", "included", "dropped_as")
+    return context.assemble(_retrieved(spark, sf_dir), by=("request_id",)).select("request_id", "pos", "doc_id", "place", "kept", "included", "dropped_as")
 
 
-@query(f"{_PACKED} SELECT md5(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) AS context_md5, ceil(length(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) / 4.0)::INT AS context_tokens FROM t")
+@query(f"{_PACKED} SELECT request_id::BIGINT AS request_id, md5(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) AS context_md5, ceil(length(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY place) FILTER (included), '')) / 4.0)::INT AS context_tokens FROM t GROUP BY request_id")
 def budget_pack(spark, sf_dir):
-    return context.context_text(context.assemble(_retrieved(spark, sf_dir), 20_000)).select(F.md5("context_text").alias("context_md5"), "context_tokens")
+    by = ("request_id",)
+    return context.context_text(context.assemble(_retrieved(spark, sf_dir), by=by), by=by).select("request_id", F.md5("context_text").alias("context_md5"), "context_tokens")
 
 
 @query(f"WITH x AS ({_fused(TERMS, TERMS)}) SELECT x.file_path || ':1-' || len(string_split(d.text, chr(10))) AS span, coalesce(dense_rank::VARCHAR, '—') AS dense_rank, coalesce(lexical_rank::VARCHAR, '—') AS lexical_rank, format('{{:.3f}}', fused_score) AS score FROM x JOIN documents d ON d.doc_id = x.id")
