@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import chunking, index
 from .sources import config, store, walk
@@ -27,7 +28,10 @@ def main(argv: list[str], spark: SparkSession | None = None, log: Callable[[str]
     work = Workspace(spark, "ingest")
     try:
         repo = walk.acquire(args.repo, refresh=args.refresh, git=git)
-        entries = work.table(walk.walk(spark, repo.root), "entries")
+        entries = work.table(walk.walk(spark, walk.ship(spark, repo.root, work.path("repository"))), "entries")
+        read, failed = entries.filter("skip_reason is null").agg(F.count("source"), F.count("error")).first()
+        if failed and not read:
+            raise OSError(f"none of {failed} files could be read; nothing is replaced")
         files = work.table(chunking.chunk_files(entries.filter("skip_reason is null")), "files")
         chunks = work.table(with_seq(chunking.explode_chunks(files)), "chunks")
         report = chunking.ingest_report(files, entries.filter("skip_reason is not null"), repo.commit).first()

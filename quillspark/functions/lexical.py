@@ -2,7 +2,7 @@
 
 Terms are runs of letters, digits and signs outside ASCII in lower case; stop words are left out of
 the index but keep their places, so phrases stay exact.  A query is an AND of words, quoted phrases
-and ``-`` exclusions; it never fails: what cannot be read is ignored, and a query without a positive
+and ``-`` exclusions; ``or`` between two of them asks for either; it never fails: what cannot be read is ignored, and a query without a positive
 term matches nothing.
 """
 
@@ -45,22 +45,35 @@ def lexemes(text: Column, stems: Callable[[Column], Column] | None = None) -> Co
 
 @dataclass(frozen=True)
 class Query:
-    phrases: tuple[tuple[str, ...], ...]  # each must occur; a single word is a phrase of one
+    """``phrases``: each must occur; a single word is a phrase of one.  ``others``: what may stand for all of them."""
+
+    phrases: tuple[tuple[str, ...], ...]
     excluded: tuple[tuple[str, ...], ...]
+    others: tuple[Query, ...] = ()
 
     @property
     def words(self) -> list[str]:
-        return list(dict.fromkeys(w for p in self.phrases for w in p))
+        return list(dict.fromkeys([w for p in self.phrases for w in p] + [w for q in self.others for w in q.words]))
 
 
 def parse_query(text: str, stem: Callable[[str], str] = lambda w: w) -> Query:
     wanted: list[tuple[str, ...]] = []
     excluded: list[tuple[str, ...]] = []
+    either: list[Query] = []
+
+    def ended() -> Query:
+        return Query(tuple(dict.fromkeys(wanted)), tuple(dict.fromkeys(excluded)))
+
     for found in re.finditer(r'(-?)(?:"([^"]*)"?|([^\s"]+))', text):
+        if (found[3] or "").lower() == "or" and not found[1]:
+            either.append(ended())
+            wanted, excluded = [], []
+            continue
         words = tuple(stem(w) for w in _PY_TERM.findall((found[2] if found[2] is not None else found[3]).lower()) if w not in STOP_WORDS)
         if words:
             (excluded if found[1] else wanted).append(words)
-    return Query(tuple(dict.fromkeys(wanted)), tuple(dict.fromkeys(excluded)))
+    first, *others = [q for q in (*either, ended()) if q.phrases] or [ended()]
+    return Query(first.phrases, first.excluded, tuple(others))
 
 
 def _has(column: Column, phrase: tuple[str, ...]) -> Column:
@@ -78,6 +91,11 @@ def _has(column: Column, phrase: tuple[str, ...]) -> Column:
 def matches(column: Column, query: Query) -> Column:
     if not query.phrases:
         return F.lit(False)
+    if query.others:
+        result = matches(column, Query(query.phrases, query.excluded))
+        for other in query.others:
+            result = result | matches(column, other)
+        return result
     result = F.lit(True)
     for phrase in query.phrases:
         result = result & _has(column, phrase)

@@ -93,7 +93,8 @@ def distinct_contents(chunks: DataFrame) -> DataFrame:
 
 def with_cache(contents: DataFrame, cache: DataFrame, embed_model: str) -> DataFrame:
     """Adds ``vector``: the cached one of this model, or null (a miss)."""
-    return contents.join(cache.filter(F.col("model") == embed_model).select("content_hash", "vector"), "content_hash", "left")
+    known = cache.filter(F.col("model") == embed_model).groupBy("content_hash").agg(F.min("vector").alias("vector"))  # two runs at once may have cached one twice
+    return contents.join(known, "content_hash", "left")
 
 
 def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    fs, where = store._hadoop(spark, path)
+    fs, where = store.hadoop(spark, path)
     return spark.read.schema(CACHE_SCHEMA).parquet(path) if fs.exists(where) else spark.createDataFrame([], CACHE_SCHEMA)
 
 

@@ -3,11 +3,16 @@
 ``POST /api/chat``    {messages, repoSource?, topK?} -> events
 ``GET  /api/source``  repoSource, filePath, startLine, endLine -> blocks and gaps
 ``GET  /health``, ``GET /ready``
+
+``python -m quillspark.server`` reads the settings from the environment and serves until it is told to
+stop; then it is not ready any more, takes no new requests and lets the open ones end.
 """
 
 from __future__ import annotations
 
 import json
+import signal
+import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,7 +21,9 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 from . import model
-from .operators import source_window
+from .functions.stem import stem
+from .operators import index, source_window
+from .sources import config, store
 from .streaming import answer
 
 
@@ -30,11 +37,11 @@ def chat_request(body: bytes) -> tuple[list[dict], model.SearchOptions]:
     except ValueError as problem:
         raise BadRequest("body: expected JSON") from problem
     messages = data.get("messages") if isinstance(data, dict) else None
-    if not isinstance(messages, list) or not messages or any(not isinstance(m, dict) or m.get("role") not in ("user", "assistant") or not isinstance(m.get("content"), str) for m in messages):
+    if not isinstance(messages, list) or not messages or any(not isinstance(m, dict) or m.get("role") not in ("user", "assistant") or not isinstance(m.get("content"), str) or not m["content"] for m in messages):
         raise BadRequest("messages: expected at least one {role, content}")
     repo, top_k = data.get("repoSource"), data.get("topK", model.TOP_K)
-    if repo is not None and not isinstance(repo, str):
-        raise BadRequest("repoSource: expected a string")
+    if repo is not None and (not isinstance(repo, str) or not repo):
+        raise BadRequest("repoSource: expected a string that is not empty")
     if not isinstance(top_k, int) or isinstance(top_k, bool) or top_k < 1:
         raise BadRequest("topK: expected a positive integer")
     return messages, model.SearchOptions(repo_source=repo, top_k=top_k)
@@ -66,10 +73,12 @@ class Engine:
     generate: Callable = field(default_factory=answer.Extractive)
     is_ready: Callable[[], bool] = lambda: True
     shutting_down: bool = False
+    stems: Callable[[str], str] | None = stem  # as the table was indexed
 
     def chat(self, body: bytes, deadline: answer.Deadline):
         messages, options = chat_request(body)
-        return answer.frames(answer.answer(self.chunks(), messages, self.embed, self.generate, options, deadline))
+        events = answer.answer(self.chunks(), messages, self.embed, self.generate, options, deadline, self.stems)
+        return answer.frames(events, deadline, lambda: self.spark.sparkContext.cancelJobsWithTag(deadline.tag))
 
     def source(self, query: str) -> dict | None:
         """Blocks and gaps of one range, or None where nothing is stored."""
@@ -147,6 +156,47 @@ def serve(engine: Engine, port: int = 8080, host: str = "0.0.0.0") -> ThreadingH
                     self.wfile.write(frame.encode())
                     self.wfile.flush()
             except (BrokenPipeError, ConnectionResetError):
-                deadline.closed = True  # the client went away before the end
+                pass  # the client went away before the end
+            finally:
+                frames.close()  # ends the request's jobs
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+def engine_of(spark: SparkSession, settings: config.Settings) -> Engine:
+    """An engine over the stored table; it is ready when no expected migration is missing in the ledger."""
+    table, ledger = f"{settings.table_uri}/chunks", f"{settings.table_uri}/migrations"
+
+    def is_ready() -> bool:
+        expected = spark.createDataFrame([(name,) for name in config.MIGRATIONS], "name string")
+        return config.ready(expected, config.applied_migrations(spark, ledger), False)
+
+    return Engine(spark, lambda: store.read_chunks(spark, table), index.HashingEmbedder(), is_ready=is_ready)
+
+
+def drain(server: ThreadingHTTPServer, engine: Engine) -> None:
+    """Stop taking requests; those that are open end by themselves or at their time limit."""
+    engine.shutting_down = True
+    server.shutdown()
+
+
+def main(spark: SparkSession | None = None) -> int:
+    try:
+        settings = config.load()
+    except ValueError as problem:
+        print(problem)
+        return 1
+    spark = spark or SparkSession.builder.appName("quillspark-server").getOrCreate()
+    config.record_migrations(spark, f"{settings.table_uri}/migrations")
+    engine = engine_of(spark, settings)
+    server = serve(engine, settings.port)
+    server.daemon_threads = False  # server_close() waits for open requests
+    for one in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(one, lambda *_: threading.Thread(target=drain, args=(server, engine)).start())
+    server.serve_forever()
+    server.server_close()
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

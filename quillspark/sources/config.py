@@ -6,7 +6,12 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from . import store
+
+#: Layouts of the stored tables, in the order in which they came.
+MIGRATIONS = ("001_init",)
 
 
 @dataclass(frozen=True)
@@ -36,3 +41,18 @@ def pending_migrations(expected: DataFrame, applied: DataFrame) -> DataFrame:
 
 def ready(expected: DataFrame, applied: DataFrame, shutting_down: bool) -> bool:
     return not shutting_down and pending_migrations(expected, applied).isEmpty()
+
+
+def applied_migrations(spark: SparkSession, ledger: str) -> DataFrame:
+    """Names in the ledger, a folder of Parquet files; none where it does not exist."""
+    fs, path = store.hadoop(spark, ledger)
+    return spark.read.schema("name string").parquet(ledger) if fs.exists(path) else spark.createDataFrame([], "name string")
+
+
+def record_migrations(spark: SparkSession, ledger: str) -> list[str]:
+    """Enter what is expected and not yet there; returns the new names."""
+    expected = spark.createDataFrame([(name,) for name in MIGRATIONS], "name string")
+    new = sorted(r.name for r in pending_migrations(expected, applied_migrations(spark, ledger)).collect())
+    if new:
+        spark.createDataFrame([(name,) for name in new], "name string").coalesce(1).write.mode("append").parquet(ledger)
+    return new

@@ -1,7 +1,8 @@
 """The chunk table: Parquet, one folder a repository; replaced whole, all or nothing.
 
 A replacement is written beside the table and moved in only when it is complete, so a failure
-leaves the old rows.  An empty replacement clears the repository.
+leaves the old rows; one that was killed between its two moves is undone by ``recover``, which
+every replacement calls first.  One run at a time writes a repository.  An empty replacement clears the repository.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
@@ -17,23 +18,38 @@ from .. import model
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys the first one in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")  # combined before the shuffle
 
 
 def _folder(table: str, repo: str) -> str:
     return f"{table.rstrip('/')}/repo_source={quote(repo, safe='')}"
 
 
-def _hadoop(spark: SparkSession, uri: str):
+def hadoop(spark: SparkSession, uri: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def recover(spark: SparkSession, table: str, repo: str) -> None:
+    """If a replacement broke off after it had moved the old rows away, move them back."""
+    fs, final = hadoop(spark, _folder(table, repo))
+    old = hadoop(spark, _kept(table, repo))[1]
+    if fs.exists(old):
+        if fs.exists(final):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, final)
+
+
+def _kept(table: str, repo: str) -> str:
+    return f"{table.rstrip('/')}/_old-{quote(repo, safe='')}"
+
+
 def read_chunks(spark: SparkSession, table: str, repo: str | None = None) -> DataFrame:
     """The table, or one repository of it (a folder: other repositories are not even listed)."""
     reader = spark.read.schema(model.STORED).option("basePath", table)
-    fs, path = _hadoop(spark, table if repo is None else _folder(table, repo))
+    fs, path = hadoop(spark, table if repo is None else _folder(table, repo))
     if not fs.exists(path):
         return spark.createDataFrame([], model.STORED)
     return reader.parquet(path.toString())
@@ -41,14 +57,15 @@ def read_chunks(spark: SparkSession, table: str, repo: str | None = None) -> Dat
 
 def replace_chunks(spark: SparkSession, table: str, repo: str, rows: DataFrame) -> tuple[int, int]:
     """After it, the rows of ``repo`` are exactly ``rows``; returns (deleted, inserted)."""
-    fs, final = _hadoop(spark, _folder(table, repo))
+    fs, final = hadoop(spark, _folder(table, repo))
     mark = uuid.uuid4().hex
-    staged, old = f"{table.rstrip('/')}/_staged-{mark}", f"{table.rstrip('/')}/_old-{mark}"
+    staged, old = f"{table.rstrip('/')}/_staged-{mark}", _kept(table, repo)
+    recover(spark, table, repo)
     try:
         rows.drop("repo_source").write.parquet(staged)
         deleted = spark.read.parquet(final.toString()).count() if fs.exists(final) else 0
         inserted = spark.read.schema(rows.drop("repo_source").schema).parquet(staged).count()
-        staged_path, old_path = (_hadoop(spark, x)[1] for x in (staged, old))
+        staged_path, old_path = (hadoop(spark, x)[1] for x in (staged, old))
         had = fs.exists(final)
         if had and not fs.rename(final, old_path):
             raise OSError(f"cannot move {final.toString()}")
@@ -60,7 +77,7 @@ def replace_chunks(spark: SparkSession, table: str, repo: str, rows: DataFrame)
         return deleted, inserted
     finally:
         for leftover in (staged,):
-            fs.delete(_hadoop(spark, leftover)[1], True)
+            fs.delete(hadoop(spark, leftover)[1], True)
 
 
 def write_json(chunks: DataFrame, path: str) -> None:

@@ -7,8 +7,11 @@ a generator seam.  Without a model, :class:`Extractive` quotes the first lines o
 from __future__ import annotations
 
 import json
+import queue
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +22,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from .. import model
 from ..operators import citations as cite
 from ..operators import context, search
+from ..functions.stem import stem
 from ..operators.chunk_generic import tokens_of
 
 #: Fixed value: what the model is told.
@@ -45,13 +49,17 @@ class Deadline:
     seconds: float = model.REQUEST_SECONDS
     clock: Callable[[], float] = time.monotonic
     closed: bool = False
+    tag: str = field(default_factory=lambda: f"answer-{uuid.uuid4().hex}")  # of the request's Spark jobs
     begun: float = field(init=False)
 
     def __post_init__(self) -> None:
         self.begun = self.clock()
 
+    def left(self) -> float:
+        return 0.0 if self.closed else max(0.0, self.begun + self.seconds - self.clock())
+
     def check(self) -> None:
-        if self.closed or self.clock() - self.begun > self.seconds:
+        if not self.left():
             raise Cancelled
 
 
@@ -76,8 +84,8 @@ def build_contents(messages: Sequence[dict], context_text: str) -> list[dict]:
     return [{"role": "model" if m["role"] == "assistant" else "user", "text": f"{model.CONTEXT_MARKER}\n{context_text}\n\n{m['content']}" if k == asked else m["content"]} for k, m in enumerate(kept)]
 
 
-def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequence[str]], list[list[float]]], generate: Callable = Extractive(), options: model.SearchOptions = model.SearchOptions(), deadline: Deadline | None = None) -> Iterator[dict]:
-    """Events of one request, each a dict with ``type``."""
+def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequence[str]], list[list[float]]], generate: Callable = Extractive(), options: model.SearchOptions = model.SearchOptions(), deadline: Deadline | None = None, stems: Callable[[str], str] | None = stem) -> Iterator[dict]:
+    """Events of one request, each a dict with ``type``.  ``stems``: as the table was indexed (stored tables hold stems)."""
     deadline, begun, said = deadline or Deadline(), time.monotonic(), ""
     spark = chunks.sparkSession
 
@@ -89,10 +97,11 @@ def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequenc
         yield {"type": "error", "message": "no user message"}
         return
     try:
+        spark.sparkContext.addJobTag(deadline.tag)  # so that the jobs can be ended from outside
         deadline.check()
         vector = embed([question])[0]
         deadline.check()
-        found = search.hybrid_search(chunks, vector, question, options)
+        found = search.hybrid_search(chunks, vector, question, options, stems)
         ranked = [r.asDict() | {"pos": k} for k, r in enumerate(found.collect())]  # at most top_k rows
         trace = []
         if ranked:
@@ -119,9 +128,15 @@ def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequenc
         yield {"type": "citations", **check_citations(spark, said, included)}
         yield {"type": "done", "finishReason": finish, "generateMs": since(started), "totalMs": since(begun)}
     except Cancelled:
-        yield {"type": "cancelled", "elapsedMs": since(begun), "estimatedTokensNotGenerated": max(0, model.MAX_OUTPUT_TOKENS - tokens_of(said)), "note": "generation stopped by the client or the time limit"}
+        yield cancelled(since(begun), said)
     except Exception as problem:  # the stream must end with an event
-        yield {"type": "error", "message": str(problem)}
+        yield {"type": "error", "message": str(problem)} if deadline.left() else cancelled(since(begun), said)
+    finally:
+        spark.sparkContext.removeJobTag(deadline.tag)
+
+
+def cancelled(elapsed_ms: int, said: str) -> dict:
+    return {"type": "cancelled", "elapsedMs": elapsed_ms, "estimatedTokensNotGenerated": max(0, model.MAX_OUTPUT_TOKENS - tokens_of(said)), "note": "generation stopped by the client or the time limit"}
 
 
 def check_citations(spark, text: str, included: Iterable[dict]) -> dict:
@@ -143,14 +158,63 @@ def heartbeat() -> str:
     return ": ping\n\n"
 
 
-def frames(events: Iterator[dict], clock: Callable[[], float] = time.monotonic) -> Iterator[str]:
-    """Frames of the events, with a comment whenever none was sent for a while."""
-    last = clock()
-    for event in events:
-        if clock() - last > model.HEARTBEAT_SECONDS:
-            yield heartbeat()
-        yield frame(event)
-        last = clock()
+def frames(events: Iterator[dict], deadline: Deadline | None = None, cancel: Callable[[], None] = lambda: None, heartbeat_seconds: float = model.HEARTBEAT_SECONDS, grace_seconds: float = 2.0) -> Iterator[str]:
+    """Frames of the events, and a comment whenever none came for a while.
+
+    The events are made in a thread of their own.  When the time is up or the client has gone, ``cancel``
+    ends what that thread waits for; if it stays silent all the same, the stream ends without it.
+    """
+    made: queue.Queue = queue.Queue(maxsize=64)
+    begun, said, end, stop = time.monotonic(), "", object(), threading.Event()
+
+    def put(item) -> None:
+        while not stop.is_set():
+            try:
+                return made.put(item, timeout=0.5)
+            except queue.Full:
+                continue
+
+    def run() -> None:
+        for event in events:
+            if stop.is_set():
+                return
+            put(event)
+        put(end)
+
+    threading.Thread(target=run, daemon=True).start()
+    last, ended_at = begun, None
+    try:
+        while True:
+            now = time.monotonic()
+            waits = [last + heartbeat_seconds - now]
+            if ended_at is not None:
+                waits.append(ended_at + grace_seconds - now)
+            elif deadline is not None:
+                waits.append(deadline.left())
+            try:
+                event = made.get(timeout=max(0.01, min(waits)))
+            except queue.Empty:
+                now = time.monotonic()
+                if ended_at is not None and now >= ended_at + grace_seconds:
+                    yield frame(cancelled(round((now - begun) * 1000), said))
+                    return
+                if ended_at is None and deadline is not None and not deadline.left():
+                    ended_at = now
+                    cancel()
+                if now >= last + heartbeat_seconds:
+                    yield heartbeat()
+                    last = time.monotonic()
+                continue
+            if event is end:
+                return
+            said += event["text"] if event["type"] == "token" else ""
+            yield frame(event)
+            last = time.monotonic()
+    finally:  # also when the reader has gone
+        stop.set()
+        if deadline is not None:
+            deadline.closed = True
+        cancel()
 
 
 def parse_frames(reads: Iterable[str]) -> Iterator[dict]:

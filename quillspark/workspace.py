@@ -32,14 +32,21 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_own_root}"
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """With the scheme: a path without one lies in the cluster's default file system, which may not be local."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(conf).makeQualified(path).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class Workspace:
     """A fresh folder under the shared root for the tables and files of one operator call."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = shared_root(spark)
-        if "://" not in root:
-            root = f"file://{root}" if root.startswith("/") else root
+        root = _qualified(spark, root)
         self.uri = f"{root}/quillspark/{label}-{uuid.uuid4().hex}"
         atexit.register(self._at_exit)
 

@@ -1,7 +1,9 @@
 """Behaviour of the retrieval engine on small inputs."""
 
+import json
 import math
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,7 +131,7 @@ def repo(tmp_path):
 def test_walk_and_skip_reasons(spark, repo):
     rows = {r.file_path: r for r in walk.walk(spark, repo).collect()}
     skipped = {k: r.skip_reason for k, r in rows.items() if r.skip_reason}
-    assert skipped == {"logo.png": "binary-extension", "package-lock.json": "lockfile", "vendor.min.js": "minified", "big.ts": "too-large", "weird.txt": "binary-content", "node_modules": "ignored-directory", ".git": "ignored-directory", "link.ts": "symlink"}
+    assert skipped == {"logo.png": "binary-extension", "package-lock.json": "lockfile", "vendor.min.js": "minified", "big.ts": "too-large", "weird.txt": "binary-content", "node_modules": "ignored-dir", ".git": "ignored-dir", "link.ts": "symlink"}
     assert {".github/x.yml", "pkg/__init__.py", "_x.md"} <= set(rows) and rows["src/view.jsx"].language == "javascript" and rows["data.unknownext"].language == "unknown"
     assert rows["README.md"].source == "# title\n"
 
@@ -342,7 +344,7 @@ def test_scalar_expressions(spark):
 
 
 def events(chunks, words, **extra):
-    return list(answer.answer(chunks, [{"role": "user", "content": words}], lambda t: [[1.0, 0.0, 0.0]], **extra))
+    return list(answer.answer(chunks, [{"role": "user", "content": words}], lambda t: [[1.0, 0.0, 0.0]], stems=None, **extra))
 
 
 def test_answer_events(chunks):
@@ -370,6 +372,86 @@ def test_refusal_error_and_cancellation(chunks):
     assert [e["type"] for e in events(chunks, "cache", generate=lambda *_: iter([("", "MAX_TOKENS")]))] == ["trace", "error"]
 
 
+def test_chat_finds_inflected_words_of_a_stored_table(spark, tmp_path):
+    from quillspark import server
+
+    rows = chunk_rows(spark, ["alpha", "beta"], "the workers were running their caches")
+    index.index_chunks(rows, "r", str(tmp_path / "chunks"), str(tmp_path / "cache"), dim=8)
+    engine = server.Engine(spark, lambda: store.read_chunks(spark, str(tmp_path / "chunks")), index.HashingEmbedder(8))
+    for asked in ("running", "run", "cache", "caches worker"):
+        body = json.dumps({"messages": [{"role": "user", "content": asked}]}).encode()
+        trace = next(answer.parse_frames(engine.chat(body, answer.Deadline())))
+        assert [c["lexical_rank"] for c in trace["chunks"]] == [1, 2], asked
+
+
+def test_frames_keep_the_line_open_and_end_in_time():
+    def slow():
+        yield {"type": "token", "text": "a"}
+        time.sleep(0.4)
+        yield {"type": "done"}
+
+    got = list(answer.frames(slow(), heartbeat_seconds=0.1))
+    assert got[1:-1] and set(got[1:-1]) == {answer.heartbeat()} and [e["type"] for e in answer.parse_frames(got)] == ["token", "done"]
+
+    def silent():
+        yield {"type": "token", "text": "a"}
+        time.sleep(60)
+
+    ended = []
+    begun = time.monotonic()
+    got = list(answer.parse_frames(answer.frames(silent(), answer.Deadline(seconds=0.2), lambda: ended.append(1), grace_seconds=0.2)))
+    assert [e["type"] for e in got] == ["token", "cancelled"] and ended and time.monotonic() - begun < 10
+
+
+def test_the_time_limit_ends_the_spark_job(spark, chunks):
+    slow = chunks.join(spark.range(1, numPartitions=1).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L) is null as ok"))
+    deadline, begun = answer.Deadline(seconds=1.0), time.monotonic()
+    made = answer.answer(slow.filter("ok or true"), [{"role": "user", "content": "cache"}], lambda t: [[1.0, 0.0, 0.0]], deadline=deadline, stems=None)
+    got = list(answer.parse_frames(answer.frames(made, deadline, lambda: spark.sparkContext.cancelJobsWithTag(deadline.tag))))
+    assert [e["type"] for e in got] == ["cancelled"] and time.monotonic() - begun < 15
+
+
+def test_query_language_has_or():
+    q = lexical.parse_query('cache or "index table" -old run')
+    assert q.phrases == (("cache",),) and [(o.phrases, o.excluded) for o in q.others] == [((("index", "table"), ("run",)), (("old",),))] and q.words == ["cache", "index", "table", "run"]
+    assert lexical.parse_query("or or").phrases == ()
+
+
+def test_shared_folder_is_qualified_by_the_default_file_system(spark):
+    from quillspark import workspace
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert workspace._qualified(spark, "/checkpoints") == "file:///checkpoints"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://other")
+    conf.set("fs.viewfs.mounttable.other.link./checkpoints", "file:///tmp")
+    try:
+        assert workspace._qualified(spark, "/checkpoints") == "viewfs://other/checkpoints"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_a_run_that_can_read_nothing_replaces_nothing(spark, tmp_path, monkeypatch):
+    from quillspark import cli
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.md").write_text("text")
+    monkeypatch.setattr(walk, "ship", lambda spark, root, shared: root)
+    real = walk.walk
+    monkeypatch.setattr(walk, "walk", lambda spark, root: real(spark, root).withColumn("error", F.lit("gone")).withColumn("source", F.lit(None).cast("string")))
+    said = []
+    assert cli.main(["--repo", str(tmp_path / "r"), "--out", str(tmp_path / "o")], spark, said.append, {}) == 1 and "nothing is replaced" in said[-1]
+
+
+def test_a_broken_off_replacement_is_undone(spark, tmp_path):
+    table = str(tmp_path / "chunks")
+    index.index_chunks(chunk_rows(spark, ["alpha"]), "r", table, str(tmp_path / "cache"), dim=8)
+    os.rename(f"{table}/repo_source=r", f"{table}/_old-r")
+    assert store.read_chunks(spark, table, "r").count() == 0
+    store.recover(spark, table, "r")
+    assert store.read_chunks(spark, table, "r").count() == 1
+
+
 def test_failed_files_do_not_stop_the_run(spark):
     files = spark.createDataFrame([("a.md", "text", None), ("b.md", None, "gone"), ("c.ts", None, None)], "file_path string, source string, error string")
     chunked = chunking.chunk_files(files)
@@ -390,7 +472,7 @@ def test_server(spark, chunks):
     from quillspark import server
 
     rows = chunks.withColumn("part_index", F.lit(1))
-    engine = server.Engine(spark, lambda: rows, lambda t: [[1.0, 0.0, 0.0]])
+    engine = server.Engine(spark, lambda: rows, lambda t: [[1.0, 0.0, 0.0]], stems=None)
     http = server.serve(engine, 0, "127.0.0.1")
     threading.Thread(target=http.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{http.server_address[1]}"
@@ -406,7 +488,7 @@ def test_server(spark, chunks):
         assert call("/health")[0] == call("/ready")[0] == 200
         status, text_ = call("/api/chat", {"messages": [{"role": "user", "content": "cache"}]})
         assert status == 200 and [e["type"] for e in answer.parse_frames([text_])][-2:] == ["citations", "done"]
-        for bad in ({"messages": []}, {"messages": [{"role": "x", "content": ""}]}, {"messages": [{"role": "user", "content": "q"}], "topK": 0}, []):
+        for bad in ({"messages": []}, {"messages": [{"role": "x", "content": ""}]}, {"messages": [{"role": "user", "content": ""}]}, {"messages": [{"role": "user", "content": "q"}], "repoSource": ""}, {"messages": [{"role": "user", "content": "q"}], "topK": 0}, []):
             assert call("/api/chat", bad)[0] == 400
         status, found = call("/api/source?repoSource=r&filePath=docs/cache.md&startLine=1&endLine=9")
         assert status == 200 and json.loads(found)["gaps"] == [{"startLine": 6, "endLine": 9}]
