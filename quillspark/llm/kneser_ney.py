@@ -2,9 +2,11 @@
 
 Counting (every training document, whole texts, no count dropped):
 
-1. Tasks count 64-bit word hashes of their documents and send, for each of the hash ranges, one
-   packed block of sorted hashes with counts.  One task a range merges the blocks and writes a
-   sorted array of the range: the vocabulary.  A word's number is its place over all ranges.
+1. Tasks count the words of their documents by 128-bit hashes (half of it is the key, half a check)
+   and send, for each of the hash ranges, one packed block of sorted hashes with counts.  One task a
+   range merges the blocks and writes a sorted array of the range: the vocabulary.  A word's number is
+   its place over all ranges.  Words of a slice are told apart by their bytes; if two words of the
+   corpus share a key but not the check, counting begins again with another seed, so none are merged.
 2. Tasks turn documents into pairs of word numbers (beginning mark first, end mark last), count
    them under the bijective 64-bit mix of the pair, and again send packed blocks to ranges of the
    mix.  Mixing spreads the pairs of one frequent word over all ranges, so no range is hot, and
@@ -23,7 +25,8 @@ which leaves mass for unknown words.  An unknown or never continued context give
 
 Defined results: a null text is an empty one (only the end mark); a null doc_id is in the training
 part; without any training document the model is 1 / (V + 1) = 1; repeated rows count and are scored
-as often as they occur; other columns are not looked at.
+as often as they occur; other columns are not looked at.  Texts are read whole; a worker needs about 80
+bytes for each byte of its longest one.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -45,8 +49,12 @@ from .bytetext import LOWER, SPACE, Texts, mix, slices
 
 SLICE = 6 << 20
 #: Entries that a counting task holds before it sends them.
-HELD = 3_000_000
-END = np.uint64(0x5BD1E9955BD1E995)
+HELD = 2_000_000
+#: Bytes of text to a range of hashes, about: what one merging task holds follows from it.
+RANGE_BYTES = 64 << 20
+#: The end mark is counted as a word that no text holds.
+_END = b" "
+SEEDS = 8
 _SHUFFLED = "bucket long, kind long, blob binary"
 
 
@@ -164,11 +172,24 @@ def _load(saved: str) -> dict[str, np.ndarray]:
 # --- documents to hashes and numbers -------------------------------------------------------------
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[Texts, np.ndarray]:
-    texts = Texts(LOWER[data], offsets, SPACE)
-    hashes = texts.hashes()
-    hashes[hashes == END] = np.uint64(1)
-    return texts, hashes
+class SharedHash(ValueError):
+    """Two words of the corpus have one key."""
+
+
+def key_of(word: bytes, seed: int) -> tuple[int, int]:
+    """Key and check of a word."""
+    h = xxhash.xxh3_128_intdigest(word, seed)
+    return h >> 64, h & 0xFFFFFFFF
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts; the keys and checks of their distinct words and of the end mark (last), and which of them each word is."""
+    lowered = LOWER[data]
+    texts = Texts(lowered, offsets, SPACE)
+    first, kind = texts.kinds()
+    raw = lowered.tobytes()
+    found = [key_of(raw[a:b], seed) for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist())] + [key_of(_END, seed)]
+    return texts, np.array([k for k, _ in found], np.uint64), np.array([c for _, c in found], np.int64), kind
 
 
 def _with_ends(texts: Texts, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +202,36 @@ def _with_ends(texts: Texts, values: np.ndarray, end) -> tuple[np.ndarray, np.nd
     return out, begins
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    def stream() -> Iterator[np.ndarray]:
-        for _, data, offsets in slices(batches, limit=SLICE):
-            texts, hashes = _words(data, offsets)
-            yield _with_ends(texts, hashes, END)[0]
+def _count_words(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
+    parts, held = [], 0
+
+    def flush() -> pa.RecordBatch:
+        keys, columns = _merge_checked(parts)
+        return _blocks(keys, columns, bucket_of(keys, n))
+
+    for _, data, offsets in slices(batches, limit=SLICE):
+        _, keys, checks, kind = _words(data, offsets, seed)
+        counts = np.append(np.bincount(kind, minlength=len(keys) - 1), len(offsets) - 1)
+        parts.append((keys, np.stack([counts, checks], axis=1)))
+        held += len(keys)
+        if held >= HELD:
+            yield flush()
+            parts, held = [], 0
+    if held:
+        yield flush()
 
-    yield from _counted(stream(), n)
+
+def _merge_checked(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum the counts (first column) of equal keys, whose checks (second column) have to be equal."""
+    keys = np.concatenate([k for k, _ in parts])
+    columns = np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order], columns[order]
+    same = keys[1:] == keys[:-1]
+    if (columns[1:][same, 1] != columns[:-1][same, 1]).any():
+        raise SharedHash("two words have one key: count again with another seed")
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return keys[first], np.stack([np.add.reduceat(columns[:, 0], first), columns[first, 1]], axis=1)
 
 
 class Vocabulary:
@@ -198,30 +242,32 @@ class Vocabulary:
         self.shards = [_load(s) if s else None for s in saved]
         self.size = offsets[-1]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of sorted hashes; -1: unknown."""
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Numbers of words by sorted keys and their checks; -1: unknown."""
         out = np.full(len(hashes), -1, np.int64)
         cuts = np.searchsorted(bucket_of(hashes, self.n), np.arange(self.n + 1))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b and (shard := self.shards[k]) is not None:
                 have = shard["keys"]
                 at = np.minimum(np.searchsorted(have, hashes[a:b]), len(have) - 1)
-                out[a:b] = np.where(have[at] == hashes[a:b], at + self.offsets[k], -1)
+                out[a:b] = np.where((have[at] == hashes[a:b]) & (shard["checks"][at] == checks[a:b]), at + self.offsets[k], -1)
         return out
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        distinct, where = np.unique(hashes, return_inverse=True)
-        return self.find(distinct)[where]
+    def numbers(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        order, out = np.argsort(keys, kind="stable"), np.empty(len(keys), np.int64)
+        out[order] = self.find(keys[order], checks[order])
+        return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], n: int, model: Model) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary(model.words, model.offsets)
-    begin, end = vocabulary.size, int(vocabulary.find(np.array([END]))[0])
+    begin = vocabulary.size
 
     def stream() -> Iterator[np.ndarray]:
         for _, data, offsets in slices(batches, limit=SLICE):
-            texts, hashes = _words(data, offsets)
-            last, begins = _with_ends(texts, vocabulary.numbers(hashes), end)
+            texts, keys, checks, kind = _words(data, offsets, model.seed)
+            numbers = vocabulary.numbers(keys, checks)
+            last, begins = _with_ends(texts, numbers[kind], numbers[-1])
             yield mix(_pair_keys(last, begins, begin))
 
     yield from _counted(stream(), n)
@@ -238,8 +284,9 @@ def _pair_keys(last: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
 
 
 def _merge_words(rows: pa.Table, folder: str) -> pa.Table:
-    keys, counts = merge([unpack(b) for b in rows.column("blob").to_pylist()])
-    saved = _save(folder, "words", {"keys": keys, "counts": counts[:, 0].astype(np.uint64)})
+    keys, columns = _merge_checked([unpack(b) for b in rows.column("blob").to_pylist()])
+    counts = columns[:, 0]
+    saved = _save(folder, "words", {"keys": keys, "counts": counts.astype(np.uint64), "checks": columns[:, 1].astype(np.uint32)})
     return pa.table({"bucket": pa.array([rows.column("bucket")[0].as_py()], pa.int64()), "saved": [saved], "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
 
@@ -294,6 +341,7 @@ class Model:
     words: list[str | None]
     offsets: list[int]
     n_tokens: int
+    seed: int = 0
     pairs: list[str | None] | None = None
     stats: list[tuple[int, str]] | None = None
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -314,17 +362,29 @@ def discounts(tally: list[int]) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, work: Workspace, text_col: str = "text", ranges: int | None = None) -> Model:
-    """Count the texts of ``docs``; ``ranges`` defaults to spark.sql.shuffle.partitions."""
-    n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folder, texts = work.path("arrays"), docs.select(F.col(text_col).alias("text"))
-    blocks = texts.mapInArrow(partial(_count_words, n=n), _SHUFFLED)
+    """Count the texts of ``docs``; ``ranges``: tasks that merge, by default one for ``RANGE_BYTES`` of text."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
+    for seed in range(SEEDS):
+        try:
+            return _train(texts, work, n, seed)
+        except Exception as problem:  # what a worker raises arrives in several classes
+            if SharedHash.__name__ not in str(problem):
+                raise
+    raise SharedHash(f"words shared a key under each of {SEEDS} seeds")
+
+
+def _train(texts: DataFrame, work: Workspace, n: int, seed: int) -> Model:
+    folder = work.path("arrays")
+    blocks = texts.mapInArrow(partial(_count_words, n=n, seed=seed), _SHUFFLED)
     words = work.table(blocks.groupBy("bucket").applyInArrow(lambda rows: _merge_words(rows, folder), "bucket long, saved string, n long, total long"), "words")
     saved: list[str | None] = [None] * n
     sizes, total = [0] * n, 0
     for row in words.collect():  # one row a range
         saved[row.bucket], sizes[row.bucket], total = row.saved, row.n, total + row.total
     offsets = [0, *np.cumsum(sizes).tolist()]
-    model = Model(saved, offsets, total)
+    model = Model(saved, offsets, total, seed)
     if not total:
         return model
     size = offsets[-1]
@@ -359,7 +419,7 @@ class Scorer:
         self.size = self.vocabulary.size
         self.pairs = [_load(s) if s else None for s in model.pairs or []]
         self.stats = [(low, _load(s)) for low, s in model.stats or []]
-        self.end = int(self.vocabulary.find(np.array([END]))[0])
+        self.end = int(self.vocabulary.numbers(*(np.array([x], kind) for x, kind in zip(key_of(_END, model.seed), (np.uint64, np.int64))))[0])
 
     def word_stats(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
         """Counts of sorted, known numbers (the beginning mark has the number ``size``)."""
@@ -391,8 +451,9 @@ class Scorer:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         m, n_docs = self.model, len(offsets) - 1
-        texts, hashes = _words(data, offsets)
-        last, begins = _with_ends(texts, self.vocabulary.numbers(hashes), self.end)
+        texts, keys, checks, kind = _words(data, offsets, m.seed)
+        numbers = self.vocabulary.numbers(keys, checks)
+        last, begins = _with_ends(texts, numbers[kind], self.end)
         known = last >= 0
         distinct, where = np.unique(last[known], return_inverse=True)
         stats = self.word_stats(distinct)

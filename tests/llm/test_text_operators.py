@@ -302,6 +302,29 @@ def test_model_against_plain_version(spark):
         assert math.isclose(sum(p(v, w) for w in vocabulary), 1.0, rel_tol=1e-9)
 
 
+def test_words_that_fool_hashes_stay_apart(spark, monkeypatch):
+    a, b = thue_morse()
+    i, j, k = [n for n in range(30) if zlib.crc32(str(n).encode()) % 7 != 2][:3]
+    docs = spark.createDataFrame([(i, a), (j, f"{a} {b}"), (k, "c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in kneser_ney.train_and_score(docs).collect()}
+    assert [got[n].n_known for n in (i, j, k)] == [2, 3, 2] and got[i].train_tokens == 7 and not any(r.held_out for r in got.values())
+    assert math.isclose(got[i].base_score, math.log10(3 / 12) + math.log10(4 / 12))  # two of a, one of b, three ends: V + 1 = 5
+    parts = [(np.array([5, 9], np.uint64), np.array([[1, 7], [2, 8]])), (np.array([5], np.uint64), np.array([[3, 7]]))]
+    assert [x.tolist() for x in kneser_ney._merge_checked(parts)] == [[5, 9], [[4, 7], [2, 8]]]
+    with pytest.raises(kneser_ney.SharedHash):
+        kneser_ney._merge_checked([*parts, (np.array([9], np.uint64), np.array([[1, 1]]))])
+    tried, real = [], kneser_ney._train
+
+    def unlucky(texts, work, n, seed):
+        tried.append(seed)
+        if seed < 2:
+            raise RuntimeError("a worker said: SharedHash: two words have one key")
+        return real(texts, work, n, seed)
+
+    monkeypatch.setattr(kneser_ney, "_train", unlucky)
+    assert {r.doc_id: r.score for r in kneser_ney.train_and_score(docs).collect()} == {n: r.score for n, r in got.items()} and tried == [0, 1, 2]
+
+
 def test_model_of_odd_inputs(spark):
     docs = odd_docs(spark)
     got = kneser_ney.train_and_score(docs).collect()
