@@ -1,7 +1,10 @@
 """WARC records in ZIP packages: writer, and a reader that takes single records by range.
 
 A package holds ``archive/data.warc.gz`` (one gzip member a record, stored plainly in the ZIP, so a
-record can be read by its range) and ``indexes/index.cdxj`` (a JSON line a record with its range).
+record can be read by its range) and ``indexes/index.cdxj`` (a line a record: sort key, time, and JSON
+that names the archive member and the range).  The reader takes packages of other makers too: several
+archive members, compressed or plain records, several indexes, plain or compressed.  It computes size
+and digest of a response from the bytes and raises if the headers say something else.
 Payloads that occur more than once are written once: the page with the smallest page_id gets the
 ``response``, the others a ``revisit`` that refers to it.  Payloads are found equal by SHA-1 and
 length; the smallest id a payload is a partial aggregate, so a payload that a third of the pages
@@ -14,6 +17,7 @@ Defined results: a null html is an empty payload; pages with the smallest page_i
 all responses if that id is repeated; a null page_id never is the smallest unless all are null (then
 all are responses); payloads under ``min_bytes`` are all responses; a null url is written as an
 empty target; an empty table gives no package and an empty result; other columns are not looked at.
+Pages are written and read whole, one at a time: a worker needs a few times the bytes of its longest one.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -39,6 +45,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_GZIP = b"\x1f\x8b"
 _URN = "urn:quillspark:page:"
 
 
@@ -68,6 +75,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}, payload
 
 
+def sort_key(url: str) -> str:
+    """Host names turned round, so that those of one domain stand together, then the path; without blanks."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:  # no URL
+        return "".join(url.lower().split())
+    host = ",".join(reversed((parts.hostname or "").split(".")))
+    path = urlunsplit(("", "", parts.path or "/", parts.query, "")).lower()
+    return "".join(f"{host}){path}".split())
+
+
 class Package:
     """Streams records to one package."""
 
@@ -79,12 +97,13 @@ class Package:
     def add(self, page_id: int | None, url: str | None, raw: bytes) -> None:
         packed = gzip.compress(raw, 3, mtime=0)
         self.data.write(packed)
-        self.lines.append(json.dumps({"id": page_id, "url": url, "offset": self.at, "length": len(packed)}))
+        entry = {"url": url or "", "mime": "text/html", "status": "200", "offset": str(self.at), "length": str(len(packed)), "filename": DATA.rpartition("/")[2]}
+        self.lines.append(f"{sort_key(url or '')} {re.sub('[^0-9]', '', DATE)} {json.dumps(entry)}")
         self.at += len(packed)
 
     def close(self) -> None:
         self.data.close()
-        self.zip.writestr(INDEX, "".join(x + "\n" for x in self.lines))
+        self.zip.writestr(INDEX, "".join(x + "\n" for x in sorted(self.lines)))
         self.zip.close()
 
 
@@ -135,11 +154,22 @@ class PackageReader:
         self.zip = ZipRanges(self.file)
 
     def index(self) -> list[dict]:
-        names = [n for n in self.zip.members if n.startswith("indexes/")]
-        return [json.loads(x) for n in names for x in self.zip.read(n).decode().splitlines()]
+        """The entries of every index, in the order of the archives."""
+        found = []
+        for name in self.zip.members:
+            if name.startswith("indexes/") and re.search(r"\.(cdxj?|json)(\.gz)?$", name):
+                raw = self.zip.whole(name)
+                for line in (gzip.decompress(raw) if raw[:2] == _GZIP else raw).decode().splitlines():
+                    if "{" in line and not line.startswith("!"):  # the rest is a header
+                        entry = json.loads(line[line.index("{") :])
+                        found.append({"filename": entry.get("filename", ""), "offset": int(entry["offset"]), "length": int(entry["length"])})
+        return sorted(found, key=lambda e: (e["filename"], e["offset"]))
 
     def record(self, entry: dict) -> tuple[dict[str, str], dict[str, str], bytes]:
-        return parse(gzip.decompress(self.zip.read(DATA, entry["offset"], entry["length"])))
+        name = entry["filename"]
+        member = name if name in self.zip.members else f"archive/{name}" if name else DATA
+        raw = self.zip.read(member, entry["offset"], entry["length"])
+        return parse(gzip.decompress(raw) if raw[:2] == _GZIP else raw)
 
     def close(self) -> None:
         self.file.close()
@@ -150,18 +180,32 @@ def _page(urn: str | None) -> int | None:
     return int(found) if found.lstrip("-").isdigit() else None
 
 
+def _payload(fields: dict[str, str], http: dict[str, str], payload: bytes, where: str) -> tuple[int, str]:
+    """Size and digest: of a response those of its bytes, of a revisit (which has none) those it states."""
+    stated = fields.get("warc-payload-digest", "").rpartition(":")[2].upper()
+    if fields["warc-type"] == "revisit":
+        return int(http["content-length"]), stated
+    size, digest = len(payload), payload_digest(payload)
+    if fields.get("warc-payload-digest", "sha1:").lower().startswith("sha1:") and stated not in ("", digest):
+        raise ValueError(f"the payload is not the one of the digest: {where}")
+    if "content-length" in http and int(http["content-length"]) != size:
+        raise ValueError(f"the payload is not as long as stated: {where}")
+    return size, digest
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "sound": pa.bool_(), "package": pa.string()}
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "package": pa.string()}
     for batch in batches:
         for path in batch.column(0).to_pylist():
             reader, rows = PackageReader(path), []
             entries = reader.index()
             for at, entry in enumerate(entries):
                 fields, http, payload = reader.record(entry)
-                digest, revisit = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"] == "revisit"
-                sound = revisit or (payload_digest(payload) == digest and len(payload) == int(http["content-length"]))
-                rows.append((_page(fields["warc-record-id"]), int(http["content-length"]), digest, fields["warc-type"], _page(fields.get("warc-refers-to")), fields["warc-target-uri"], sound, path))
-                if len(rows) == 5000 or at + 1 == len(entries):
+                kind = fields["warc-type"]
+                if kind in ("response", "revisit"):  # others have no payload
+                    size, digest = _payload(fields, http, payload, f"{path}, {entry}")
+                    rows.append((_page(fields["warc-record-id"]), size, digest, kind, _page(fields.get("warc-refers-to")), fields.get("warc-target-uri", "").strip("<>"), path))
+                if rows and (len(rows) == 5000 or at + 1 == len(entries)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
                     rows = []
             reader.close()
@@ -169,6 +213,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """One row per record, read back by range from the packages."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, sound boolean, package string"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, package string"
     files = packages.select("path")
     return files.repartition(max(1, files.count()), "path").mapInArrow(_read, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from dataclasses import dataclass
 
 _EOCD, _LOCATOR, _EOCD64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -85,12 +86,26 @@ class ZipRanges:
         member = self.members[name]
         if member.method != 0:
             raise ValueError(f"{name} is not stored plainly")
+        size = member.size - offset if size is None else size
+        if offset < 0 or offset + size > member.size:
+            raise ValueError("range outside the member")
+        return self._read(self._start(member) + offset, size)
+
+    def whole(self, name: str) -> bytes:
+        """All of a member, also of one that is compressed (an index)."""
+        member = self.members[name]
+        if member.method == 0:
+            return self.read(name)
+        if member.method != 8:
+            raise ValueError(f"{name} is packed by method {member.method}")
+        return zlib.decompress(self._read(self._start(member), member.stored_size), -15)
+
+    def _start(self, member: Member) -> int:
+        """Where the bytes of a member begin."""
+        name = member.name
         if name not in self._starts:
             head = self._read(member.header_at, 30)
             if head[:4] != _LOCAL:
                 raise ValueError(f"no local header for {name}")
             self._starts[name] = member.header_at + 30 + sum(struct.unpack_from("<HH", head, 26))
-        size = member.size - offset if size is None else size
-        if offset < 0 or offset + size > member.size:
-            raise ValueError("range outside the member")
-        return self._read(self._starts[name] + offset, size)
+        return self._starts[name]
