@@ -7,15 +7,19 @@ the cursor can go because no pattern has that block any nearer to its end (12 wo
 no pattern has).  Shift 0 opens the suffix-hash bucket of the block, and its few test strings are
 compared directly, byte by byte, with the words in the document.
 
-The machines are a broadcast of bounded size: benchmark texts of up to ``PASS_BYTES`` make one pass;
-a larger benchmark is dealt to several passes by a hash of the item, and each pass adds its spans to
-those of the pass before (written in between, so that a worker holds one pass's machine only).  The
-documents are never shuffled, so no key can be hot.
+Test strings are kept once, however many items share them, as sorted arrays: a worker needs about six
+bytes for each benchmark byte.  The machines are a broadcast of bounded size: benchmark texts of up to
+``PASS_BYTES`` make one pass.  A larger benchmark is dealt to several passes by a hash of the item; each
+pass reads the documents and writes what it finds, by a hash of the text, and the finds are put together
+at the end.  Documents are never written or shuffled (but for the join with more finds than
+``BROADCAST_FINDS``, which Spark splits where a text is hot).
 
 Defined results: a null text has no words, as has an empty one; such documents have n_words 0 and
 no hit; null or wordless items have no windows; items that repeat a text are all reported; an item
-with a null id is reported as ``null``; an empty benchmark or document table gives no hits or no
-rows; repeated document rows give repeated results; other columns are not looked at.
+with a null id is reported as ``null`` (like one whose id is that text), and items that share an id
+count once; an empty benchmark or document table gives no hits or no rows; repeated document rows give
+repeated results; other columns are not looked at.  Texts are read whole: a worker needs about 50 bytes
+for each byte of its longest one.
 """
 
 from __future__ import annotations
@@ -25,16 +29,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .bytetext import LOWER, Texts, byte_class, slices
+from .bytetext import LOWER, Texts, byte_class, distinct_spans, slices
 
 NOT_WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WINDOW = 13
-#: Benchmark bytes of one pass; about 0.7 million windows and 150 MB in a worker.
-PASS_BYTES = 4 << 20
+#: Benchmark bytes of one pass.
+PASS_BYTES = 24 << 20
+BROADCAST_FINDS = 100_000
 _BLOCK_FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -48,26 +53,65 @@ def _blocks(hashes: np.ndarray, width: int) -> np.ndarray:
         return keys
 
 
+class Patterns:
+    """The benchmark's words in one row, joined by single blanks, and the items they belong to."""
+
+    def __init__(self, items: list[tuple[str, str | None]]):
+        raw = [(text or "").encode() for _, text in items]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        texts = Texts(data, offsets, NOT_WORD)
+        self.names, self.first, self.hashes = [name for name, _ in items], texts.first, texts.hashes()
+        size = texts.ends - texts.starts
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        self.data = np.full(int(self.ends[-1]) + 1 if len(size) else 0, 0x20, np.uint8)
+        self.data[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[np.arange(int(size.sum())) + np.repeat(texts.starts - (np.cumsum(size) - size), size)]
+
+    def windows(self, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By length in words: first words and items of all windows."""
+        n_words = np.diff(self.first)
+        for length in np.unique(np.minimum(n_words, window)).tolist():
+            items = np.flatnonzero(np.minimum(n_words, window) == length)
+            if length:
+                n = n_words[items] - length + 1
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                yield length, np.repeat(self.first[items], n) + inside, np.repeat(items, n)
+
+
 class Machine:
     """Shift table, suffix buckets and test strings of the patterns of one length (in words)."""
 
-    def __init__(self, length: int, patterns: list[tuple[bytes, np.ndarray, int]]):
+    def __init__(self, length: int, patterns: Patterns, at: np.ndarray, items: np.ndarray):
         self.length, self.width = length, min(2, length)
-        blocks = [_blocks(h, self.width) for _, h, _ in patterns]
-        self.bits = max(16, min(24, (64 * length * max(1, len(patterns))).bit_length()))
+        one, kind = distinct_spans(patterns.data, patterns.starts[at], patterns.ends[at + length - 1])
+        keys = _blocks(patterns.hashes, self.width)
+        self.bits = max(16, min(24, (64 * length * max(1, len(one))).bit_length()))
         self.shifts = np.full(1 << self.bits, min(255, length - self.width + 1), np.uint8)
-        self.buckets: dict[int, list[tuple[bytes, int]]] = {}
-        for (string, _, item), keys in zip(patterns, blocks):
-            for at in range(self.width - 1, length):
-                slot = int(keys[at]) >> (64 - self.bits)
-                self.shifts[slot] = min(self.shifts[slot], length - 1 - at)
-            self.buckets.setdefault(int(keys[length - 1]), []).append((string, item))
+        for k in range(self.width - 1, length):  # smaller shifts come later
+            self.shifts[(keys[at[one] + k] >> np.uint64(64 - self.bits)).astype(np.int64)] = length - 1 - k
+        suffix = keys[at[one] + length - 1]
+        order = np.argsort(suffix, kind="stable")  # strings of one bucket lie side by side
+        self.suffixes, place = suffix[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.data = patterns.data.tobytes()
+        self.begin, self.end = patterns.starts[at[one]][order], patterns.ends[at[one] + length - 1][order]
+        of = np.unique(np.stack([place[kind], items]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+        self.items, self.bounds = of[1], np.searchsorted(of[0], np.arange(len(order) + 1))
+
+    def items_of(self, string: int) -> np.ndarray:
+        return self.items[self.bounds[string] : self.bounds[string + 1]]
 
     def search(self, texts: Texts, lowered: bytes, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, first word, item) of every occurrence."""
+        """(document, first word, test string) of every occurrence."""
         keys = _blocks(hashes, self.width)
-        shifts = self.shifts[(keys >> np.uint64(64 - self.bits)).astype(np.int64)].tobytes()
-        first = texts.first.tolist()
+        shifts = self.shifts[(keys >> np.uint64(64 - self.bits)).astype(np.int64)]
+        ends = np.flatnonzero(shifts == 0)
+        low = np.searchsorted(self.suffixes, keys[ends])
+        real = low < len(self.suffixes)
+        real[real] = self.suffixes[low[real]] == keys[ends[real]]
+        buckets = dict(zip(ends[real].tolist(), zip(low[real].tolist(), np.searchsorted(self.suffixes, keys[ends[real]], side="right").tolist())))
+        first, shifts = texts.first.tolist(), shifts.tobytes()
         for doc, (low, high) in enumerate(zip(first, first[1:])):
             at = low + self.length - 1
             while at < high:
@@ -75,29 +119,20 @@ class Machine:
                 if shift:
                     at += shift
                     continue
-                if tests := self.buckets.get(int(keys[at])):
+                if bucket := buckets.get(at):
                     begin = at - self.length + 1
                     found = b" ".join(lowered[a:b] for a, b in zip(texts.starts[begin : at + 1].tolist(), texts.ends[begin : at + 1].tolist()))
-                    for string, item in tests:
-                        if string == found:
-                            yield doc, begin - low, item
+                    for string in range(*bucket):
+                        if self.data[self.begin[string] : self.end[string]] == found:
+                            yield doc, begin - low, string
+                            break  # strings differ
                 at += 1
 
 
 def build(items: list[tuple[str, str | None]], window: int) -> tuple[list[Machine], list[str]]:
-    """Machines for (item id, text) pairs; patterns refer to items by their place in the list."""
-    raw = [(text or "").encode() for _, text in items]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
-    texts, lowered = Texts(data, offsets, NOT_WORD), data.tobytes()
-    hashes = texts.hashes()
-    by_length: dict[int, list[tuple[bytes, np.ndarray, int]]] = {}
-    for item, (low, high) in enumerate(zip(texts.first.tolist(), texts.first[1:].tolist())):
-        words = [lowered[a:b] for a, b in zip(texts.starts[low:high].tolist(), texts.ends[low:high].tolist())]
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
-            by_length.setdefault(size, []).append((b" ".join(words[at : at + size]), hashes[low + at : low + at + size], item))
-    return [Machine(n, p) for n, p in sorted(by_length.items())], [name for name, _ in items]
+    """Machines for (item id, text) pairs; strings refer to items by their place in the list."""
+    patterns = Patterns(items)
+    return [Machine(n, patterns, at, of) for n, at, of in patterns.windows(window)], patterns.names
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -113,39 +148,77 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], machines) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], machines, finds_only: bool) -> Iterator[pa.RecordBatch]:
+    """The columns but the text, spans, items and n_words; of all rows, or of those with a find."""
     found_by, names = machines.value
     for rows, data, offsets in slices(batches):
         data = LOWER[data]
         texts, lowered = Texts(data, offsets, NOT_WORD), data.tobytes()
         hashes = texts.hashes()
-        spans = [[(x["a"], x["b"]) for x in old] for old in rows.column(2).to_pylist()]
-        items = [set(old) for old in rows.column(3).to_pylist()]
+        spans: list[list] = [[] for _ in range(rows.num_rows)]
+        items: list[set] = [set() for _ in range(rows.num_rows)]
         for machine in found_by:
-            for doc, begin, item in machine.search(texts, lowered, hashes):
+            strings: dict[int, set[int]] = {}
+            for doc, begin, string in machine.search(texts, lowered, hashes):
                 spans[doc].append((begin, begin + machine.length))
-                items[doc].add(names[item])
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), pa.array([_merge(x) for x in spans], _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(texts.n_words.astype(np.int64))],
-            names=["row", "text", "spans", "items", "n_words"],
+                strings.setdefault(doc, set()).add(string)
+            for doc, met in strings.items():
+                for string in met:
+                    items[doc].update(names[k] for k in machine.items_of(string).tolist())
+        others = [c for c in rows.schema.names if c != "text"]
+        out = pa.RecordBatch.from_arrays(
+            [*(rows.column(rows.schema.get_field_index(c)) for c in others), pa.array([_merge(x) for x in spans], _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(texts.n_words.astype(np.int64))],
+            names=[*others, "spans", "items", "n_words"],
         )
+        yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if finds_only else out
+
+
+def _joined_spans(lists: Column) -> Column:
+    """Word ranges of several lists as one list of ranges that do not touch."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
+        return F.when(s["a"] <= last["b"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(F.flatten(lists)), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), add)
+
+
+_FOUND = "spans array<struct<a:bigint,b:bigint>>, items array<string>, n_words bigint"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_words, spans (merged word ranges a..b of the text that occur in items), items."""
     spark = docs.sparkSession
-    work = work or Workspace(spark, "decontam")
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 if size <= pass_bytes else -(-2 * size // pass_bytes)
-    now = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"row {now.schema['row'].dataType.simpleString()}, text string, spans array<struct<a:bigint,b:bigint>>, items array<string>, n_words bigint"
-    for k in range(passes):
+    passes = 1 if size <= pass_bytes else -(-5 * size // (4 * pass_bytes))
+
+    def machines(k: int):
         part = texts if passes == 1 else texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        machines = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))
-        scanned = now.mapInArrow(partial(_scan, machines=machines), schema)
-        now = scanned.select("row", "text", "spans", "items") if k + 1 == passes else work.table(scanned.select("row", "text", "spans", "items"), f"pass-{k}")
-    return scanned.select(F.col("row").alias(id_col), "n_words", "spans", "items")
+        return spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))  # about pass_bytes
+
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_FOUND}"
+    if passes == 1:
+        return rows.mapInArrow(partial(_scan, machines=machines(0), finds_only=False), schema).select(F.col("row").alias(id_col), "n_words", "spans", "items")
+
+    work = work or Workspace(spark, "decontam")
+    name = [F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1")]
+    finds = None
+    for k in range(passes):
+        held = machines(k)
+        found = rows.select(*name, "text").mapInArrow(partial(_scan, machines=held, finds_only=True), f"t0 long, t1 long, {_FOUND}")
+        found = work.table(found.groupBy("t0", "t1").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), f"pass-{k}")
+        finds = found if finds is None else finds.union(found)
+        held.destroy()
+    finds = work.table(finds.groupBy("t0", "t1").agg(_joined_spans(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "finds")  # a list a pass
+    none = spark.sparkContext.broadcast(([], []))
+    counted = rows.select(F.struct("row", *name).alias("row"), "text")
+    counted = counted.mapInArrow(partial(_scan, machines=none, finds_only=False), f"row {counted.schema['row'].dataType.simpleString()}, {_FOUND}").select("row.*", "n_words")
+    few = F.broadcast(finds) if finds.count() <= BROADCAST_FINDS else finds
+    empty = {"spans": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), "items": F.expr("cast(array() as array<string>)")}
+    return counted.join(few, ["t0", "t1"], "left").select(F.col("row").alias(id_col), "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
 
 
 def verdicts(found: DataFrame, percent: int = 5) -> DataFrame:

@@ -133,6 +133,23 @@ def test_decontamination_against_plain_version(spark, pass_bytes):
         assert (got[i].n_words, sum(s.b - s.a for s in got[i].spans), sorted(got[i]["items"])) == (n, hit, names), t
 
 
+def test_a_large_benchmark_and_a_window_that_thousands_share():
+    rnd = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(13))
+    items = [(str(k), f"{shared} own{k}") for k in range(20_000)]
+    machines, names = decontam.build(items, 13)
+    raw = f"x {shared} own7 y".encode()
+    texts = bytetext.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), decontam.NOT_WORD)
+    found = list(machines[0].search(texts, raw, texts.hashes()))
+    assert [(d, b) for d, b, _ in found] == [(0, 1), (0, 2)] and [len(machines[0].items_of(s)) for _, _, s in found] == [20_000, 1]
+    big = [(str(k), " ".join(f"w{rnd.randrange(10**6)}" for _ in range(2000))) for k in range(1300)]  # about 10 MB
+    machines, _ = decontam.build(big, 13)
+    piece = " ".join(big[77][1].split()[100:140]).encode()
+    texts = bytetext.Texts(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), decontam.NOT_WORD)
+    found = list(machines[0].search(texts, piece, texts.hashes()))
+    assert [b for _, b, _ in found] == list(range(28)) and {int(k) for _, _, s in found for k in machines[0].items_of(s)} == {77}
+
+
 def test_decontamination_of_odd_inputs(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
