@@ -1,26 +1,33 @@
 """Line dedup by a segment-partition edit join (DataFrame and SQL operations only).
 
-Distinct lines within edit distance ``TAU`` = 2 are linked.  A line is cut into 3 (TAU + 1) segments;
-two edits touch at most two of them, so of two linked lines the longer one holds some segment of the
-shorter one unchanged, at a place that is shifted by a few characters at most.  Each distinct line
-puts its own 3 segments into an index (keyed by length, segment number and content) and probes with
-those substrings of itself that can be a segment of a line of its length, one less or two less: by
-the multi-match-aware bounds 12 substrings in all, 3 of them its own segments.  Lines that meet in a
-key are compared inside the join by their counts of 24 letters: two edits move those by 4 in all at
-most, so this drops no link, and only pairs that pass leave the join.  A banded bit-parallel edit
-distance (Hyyrö 2003) over whole lines decides.
+Distinct lines are linked that are at most ``TAU`` = 2 edits apart, and no more than one edit for every
+``PER_EDIT`` = 10 characters of the longer one: two from 20 characters on, one from 10 on, none below.
+
+From 18 characters on a line is cut into 3 (TAU + 1) segments; two edits touch at most two of them, so of
+two linked lines the longer one holds some segment of the shorter one unchanged, at a place that is
+shifted by a few characters at most.  Each distinct line puts its own 3 segments into an index (keyed by
+length, segment number and content) and probes with those substrings of itself that can be a segment of
+a line of its length, one less or two less: by the multi-match-aware bounds 12 substrings in all, 3 of
+them its own segments.  Lines of 9 to 19 characters meet in what is left of them after at most one
+deletion.  Lines that meet in a key are compared inside the join by their counts of 24 characters: two
+edits move those by 4 in all at most, so this drops no link, and only pairs that pass leave the join.  A
+banded bit-parallel edit distance (Hyyrö 2003) over whole lines decides.
 
 Exact copies collapse first (partial aggregation by the line itself), so a line that a third of the
-documents share is one row a task.  A key that very many distinct lines share (variants of one
-boilerplate line) costs comparisons of two numbers each, in a join that Spark splits where a key is
-hot; pairs are not written out.
+documents share is one row a task.  A key that very many distinct lines share (``CROWD``, seen in a sample
+of lines) is mostly one boilerplate line with numbers in it.  Its lines are dealt out by their digits:
+two edits change the digits by two at most, so lines meet in what is left of the digits after at most
+two deletions (up to 12 digits; lines with more meet among themselves).  That is under a hundred rows a
+line instead of pairs; which keys the sample finds decides about the plan only.  Lines that differ in
+letters alone and crowd a key are still compared with one another (two numbers a pair), in a join that
+Spark splits where a key is hot.
 
 Links are closed to classes; of each class the first line in (doc_id, line_no) order stays.
 
-Defined results: lines without a character other than white space take no part; lines shorter than
-``MIN_CHARS`` are compared exactly only; a null text has no lines; null doc_ids sort after all others;
+Defined results: lines without a character other than white space take no part; a null text has no lines; null doc_ids sort after all others;
 rows that repeat a doc_id repeat its lines (full ties for the first place all stay); an empty table
-gives an empty result; other columns are not looked at.  Lines are never cut.
+gives an empty result; other columns are not looked at.  Lines are never cut; the join carries hashes of
+segments, and only the verification holds two whole lines.
 """
 
 from __future__ import annotations
@@ -31,10 +38,13 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 from .components import connected_components
 
-TAU, MIN_CHARS = 2, 20
+TAU, PER_EDIT = 2, 10
+#: Lines in one key from which they are dealt out by their digits; lines of a sample that are looked at.
+CROWD, SAMPLE = 4096, 32
+DIGITS = 12
 #: Lines that share a key (8 bytes each) up to which their ids are broadcast to fetch the texts.
 BROADCAST_IDS = 1_000_000
-LETTERS = "abcdefghijklmnopqrstuvwx"
+LETTERS = "eaoitnsrhldcum0123456789"
 _LAST = 2**63 - 1
 
 
@@ -50,18 +60,50 @@ def probes() -> list[tuple[int, int, int]]:
 def _keyed(lines: DataFrame) -> DataFrame:
     """id, key, own for every place where a segment can lie (short generated code: one row a place)."""
     places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes()])
-    rows = lines.filter(F.col("len") >= MIN_CHARS).select("id", "line", "len", F.inline(places).alias("d", "i", "shift"))
+    least = TAU * PER_EDIT - TAU  # of two linked lines the shorter one has so many characters
+    rows = lines.filter(F.col("len") >= least).select("id", "line", "len", F.inline(places).alias("d", "i", "shift"))
     length, n = F.col("len") - F.col("d"), TAU + 1
     base, long_from = F.floor(length / n).cast("int"), F.lit(n) - (length % n).cast("int")
     at = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - long_from) + F.col("shift")
     size = base + (F.col("i") >= long_from).cast("int")
-    usable = (at >= 0) & (at + size <= F.col("len")) & (length >= MIN_CHARS)
+    usable = (at >= 0) & (at + size <= F.col("len")) & (length >= least)
     own = (F.col("d") == 0) & (F.col("shift") == 0)
     return rows.filter(usable).select("id", F.xxhash64(length, F.col("i"), F.col("line").substr(at + 1, size)).alias("key"), own.alias("own"))
 
 
+def _short_keyed(lines: DataFrame) -> DataFrame:
+    """id, key, own of lines that can be one edit away from one of 10 to 19 characters."""
+    rows = lines.filter(F.col("len").between(PER_EDIT - 1, TAU * PER_EDIT - 1))
+    cuts = F.expr("array_distinct(transform(sequence(1, len + 1), i -> concat(substr(line, 1, i - 1), substr(line, i + 1))))")
+    return rows.select("id", F.explode(cuts).alias("rest")).select("id", F.xxhash64(F.lit("short"), "rest").alias("key"), F.lit(True).alias("own"))
+
+
+def _dealt_by_digits(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of crowded keys under keys that also hold what is left of the line's digits."""
+    digits = lines.select("id", F.regexp_replace("line", "[^0-9]", "").alias("digits"))
+    rest = """array_distinct(flatten(transform(sequence(1, length(digits) + 1), i -> transform(sequence(i + 1, length(digits) + 2), j ->
+        concat(substr(digits, 1, i - 1), substr(digits, i + 1, j - i - 1), substr(digits, j + 1))))))"""
+    few = F.when(F.length("digits") <= DIGITS, F.expr(rest)).otherwise(F.array().cast("array<string>"))
+    many = F.when(F.length("digits") > DIGITS - TAU, F.array(F.lit("many"))).otherwise(F.array().cast("array<string>"))
+    places = digits.select("id", F.concat(few, many).alias("rests"))
+    return keyed.join(places, "id").select("id", F.explode("rests").alias("rest"), "key", "own").select("id", F.xxhash64("key", "rest").alias("key"), "own")
+
+
+def _all_keyed(lines: DataFrame, work: Workspace) -> DataFrame:
+    """id, key, own of all lines; no key is crowded by lines that differ in digits."""
+    keyed, every = _keyed(lines).union(_short_keyed(lines)), max(1, min(SAMPLE, CROWD // 64))
+    seen = lines.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    crowded = _keyed(seen).union(_short_keyed(seen)).groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter((F.col("n") * every > CROWD) & F.col("own"))
+    crowded = work.table(crowded.select("key"), "crowded")
+    n = crowded.count()
+    if not n:
+        return keyed
+    few = F.broadcast(crowded) if n <= BROADCAST_IDS else crowded
+    return keyed.join(few, "key", "left_anti").select("id", "key", "own").union(_dealt_by_digits(keyed.join(few, "key", "left_semi"), lines))
+
+
 def letter_counts(line: Column) -> Column:
-    """Counts of 24 letters, modulo 128, in the bytes of three longs."""
+    """Counts of 24 characters, modulo 128, in the bytes of three longs."""
     words = []
     for k in range(0, len(LETTERS), 8):
         word = F.lit(0).cast("long")
@@ -106,15 +148,15 @@ def banded_distance(a: str, b: str, k: int = TAU) -> Column:
             named_struct('vp', {first_rows}L, 'vn', 0L, 'dist', {k}), (acc, j) -> if(acc.dist > {2 * k} + size(s) - size(p), acc, {step}), acc -> acc.dist))[0])[0])[0]""")
 
 
-def _shared_keys(lines: DataFrame) -> DataFrame:
+def _shared_keys(lines: DataFrame, work: Workspace) -> DataFrame:
     """key, id, own of the keys that more than one line has and at least one as a segment of its own."""
     same = Window.partitionBy("key")
-    return _keyed(lines).withColumn("met", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same)).filter("met > 1 and any_own").select("key", "id", "own")
+    return _all_keyed(lines, work).withColumn("met", F.count("*").over(same)).withColumn("any_own", F.max("own").over(same)).filter("met > 1 and any_own").select("key", "id", "own")
 
 
 def line_links(lines: DataFrame, work: Workspace) -> DataFrame:
     """Verified pairs (u, v) of ids of ``lines`` (id, line, len)."""
-    shared = work.table(_shared_keys(lines), "shared")
+    shared = work.table(_shared_keys(lines, work), "shared")
     ids = work.table(shared.select("id").distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = work.table(lines.join(ids, "id", "left_semi").select("id", "line", "len", letter_counts(F.col("line")).alias("letters")), "texts")
@@ -126,9 +168,9 @@ def line_links(lines: DataFrame, work: Workspace) -> DataFrame:
     candidates = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     both = candidates.join(texts.select(F.col("id").alias("u"), F.struct("line", "len").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.struct("line", "len").alias("b")), "v")
     first_longer = F.col("a.len") >= F.col("b.len")
-    ordered = both.select("u", "v", F.when(first_longer, F.col("a.line")).otherwise(F.col("b.line")).alias("longer"), F.when(first_longer, F.col("b.line")).otherwise(F.col("a.line")).alias("shorter"))
-    links = work.table(ordered.filter(banded_distance("longer", "shorter") <= TAU).select("u", "v"), "links")
-    for done in ("shared", "ids", "texts"):
+    ordered = both.select("u", "v", F.when(first_longer, F.col("a.line")).otherwise(F.col("b.line")).alias("longer"), F.when(first_longer, F.col("b.line")).otherwise(F.col("a.line")).alias("shorter"), F.floor(F.greatest("a.len", "b.len") / PER_EDIT).alias("allowed"))
+    links = work.table(ordered.filter(banded_distance("longer", "shorter") <= F.least("allowed", F.lit(TAU))).select("u", "v"), "links")
+    for done in ("shared", "ids", "texts", "crowded"):
         work.drop(done)
     return links
 

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from quillspark.llm import linededup
+from quillspark.workspace import Workspace
 
 from .helpers import components, odd_docs
 
@@ -41,9 +44,12 @@ def test_banded_distance(spark):
         assert r.d == want if want <= 2 else r.d > 2, r
 
 
-def test_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [6, 4096])
+def test_classes_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     rnd = random.Random(6)
-    base = ["".join(rnd.choice("abcdefg hijk") for _ in range(rnd.randrange(15, 60))) for _ in range(40)]
+    base = ["".join(rnd.choice("abcdefg hijk") for _ in range(rnd.randrange(1, 60))) for _ in range(60)]
+    base += [f"page {rnd.randrange(10**n)} of {rnd.randrange(10**m)} ready" for n, m in ((3, 2), (4, 3), (6, 6), (9, 4), (1, 1)) for _ in range(12)]
     lines = base + [edited(rnd, b, rnd.randrange(0, 4), "zy") for b in base for _ in range(5)]
     crowd = base[0] * 3
     for _ in range(50):
@@ -55,7 +61,7 @@ def test_classes_against_all_pairs(spark):
     got = {(r.doc_id, r.line_no): r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     places = [(d, k, x) for d, t in docs if t is not None for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
     distinct = sorted({x for _, _, x in places})
-    near = lambda a, b: min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, max(len(a), len(b)) // 10)
     root = components(distinct, near)
     degree = {a: sum(near(a, b) for b in distinct if a != b) for a in distinct}
     order = lambda d, k: (d if d is not None else 2**63 - 1, k)
@@ -68,6 +74,24 @@ def test_classes_against_all_pairs(spark):
         assert (r.class_doc_id, r.class_line_no, r.n_links, r.kept) == (None if h[0] == 2**63 - 1 else h[0], h[1], degree[x], order(d, k) == h)
 
 
+def test_a_hundred_thousand_variants_of_one_line(spark):
+    """Lines that share everything but a number meet by their digits, in rows that grow with the lines."""
+    numbers = random.Random(1).sample(range(10**8, 10**9), 100_000)
+    text = [f"all rights reserved, document {n} of the archive of the town" for n in numbers] + [f"all rights reserved, document {numbers[0]}9 of the archive of the town"]
+    lines = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(text)], "id long, line string, len int").repartition(8)
+    work = Workspace(spark, "lines")
+    assert linededup._all_keyed(lines, work).count() < 160 * len(text)
+    found = {(r.u, r.v) for r in linededup.line_links(lines, work).collect()}
+    kinds, want = {}, set()
+    for k, n in enumerate(str(n) for n in numbers):
+        for cut in range(9):
+            kinds.setdefault((cut, n[:cut] + n[cut + 1 :]), []).append(k)
+    for same in kinds.values():  # one substitution
+        want |= {(a, b) for a in same for b in same if a < b}
+    assert want <= found and (0, 100_000) in found
+    assert all(distance(text[a], text[b]) <= 2 for a, b in random.Random(2).sample(sorted(found), 200))
+
+
 def test_odd_inputs(spark):
     docs = odd_docs(spark)
     got = linededup.dedup_lines(docs).collect()
