@@ -8,8 +8,8 @@ false positives of that language's slice are taken off, and the largest rest dec
 A language contains an n-gram if at least ``MIN_RATE`` of its training documents have it and that
 share is at least ``SIBLING`` of the n-gram's share in any other language (labels are noisy: a few
 foreign documents must not lend their n-grams).  Training takes at most about ``SAMPLE`` labelled
-documents of each language, chosen by a hash of the id: this is the documented bound of the fitting
-sample; document shares do not depend on it otherwise.  The number of n-grams kept, and so the size
+documents of each language, chosen by a hash of id and text (so that rows without an id, or with one id,
+are chosen one by one): this is the documented bound of the fitting sample; document shares do not depend on it otherwise.  The number of n-grams kept, and so the size
 of the filter that goes to the workers, is bounded by distinct n-grams a document / MIN_RATE,
 whatever the input's size; the size is checked before it is sent.
 
@@ -18,7 +18,8 @@ Prediction reads every whole text once, without a shuffle, and sees nothing but
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if
 no training document has a language; if a text has letters but no n-gram of any language, the
 language with the most training documents is given with score 0; ties go to the first language in
-order of name; a null doc_id is never held out; repeated rows and other columns do not matter.
+order of name; a null doc_id is never held out; repeated rows and other columns do not matter.  Texts
+are read whole: a worker needs about 100 bytes for each byte of its longest one.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams of lower-cased texts (runs of other characters are one space, one more
-    at both ends), and the bounds of each document's keys."""
+    """Keys of all n-grams of lower-cased texts (runs of other characters are one space, as are both
+    ends), and the bounds of each document's keys."""
     from .bytetext import text_bytes
 
     data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
@@ -61,6 +62,11 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(spaced), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     keep[edges] = True
+    edge = np.zeros(len(spaced) + 1, bool)
+    edge[edges] = True
+    kept = np.flatnonzero(keep)
+    closing = space[kept[:-1]] & edge[kept[1:]] & ~edge[kept[:-1]]  # the next document's space stands for it
+    keep[kept[:-1][closing]] = False
     ranks = np.cumsum(keep) - 1
     flat, edges = spaced[keep].astype(np.uint64), ranks[edges]
     wide = np.zeros(len(flat), np.int64)
@@ -164,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, min_rate: float = MIN_RATE, sib
     if not languages:
         return build_filter([], {}, [])
     cut = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, sample / documents[lang]) * (1 << 30))))])
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) < cut[F.col("lang")])
+    chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample")), F.lit(1 << 30)) < cut[F.col("lang")])
     chosen = chosen.select("text", "lang")
     sizes = chosen.groupBy("lang").agg(F.count("*").alias("of"))
     counts = chosen.mapInArrow(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))

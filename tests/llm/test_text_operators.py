@@ -171,6 +171,63 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text):
+    kept = re.sub("[^a-z\\x80-\\xff]+", " ", text.lower().encode().decode("latin-1")).encode("latin-1").strip(b" ")
+    padded = b" " + kept + b" " if kept else b" "
+    return collections.Counter(padded[i : i + n] for n in langid.ORDERS for i in range(len(padded) - n + 1))
+
+
+def as_key(gram):
+    return sum(c << 8 * k for k, c in enumerate(gram)) | len(gram) << 32
+
+
+def test_language_grams_and_model_against_plain_version(spark, monkeypatch):
+    rnd = random.Random(11)
+    stock = {"de": "der die das und nicht über müde", "en": "the and of with nothing above", "fr": "le la les été où déjà rien"}
+    rows = []
+    for k in range(240):
+        lang = rnd.choice(list(stock))
+        rows.append((k, " ".join(rnd.choice(stock[lang].split()) for _ in range(rnd.randrange(1, 30))) + rnd.choice(["", "!", " 42 -- X"]), lang))
+    rows += [(300, "", "de"), (301, None, "en"), (302, "1234", "fr"), (303, "Ünï ", None)]
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, _ in rows], pa.string())
+    keys, bounds = langid.grams(texts)
+    for (_, t, _), a, b in zip(rows, bounds, bounds[1:]):
+        assert collections.Counter(keys[a:b].tolist()) == collections.Counter({as_key(g): n for g, n in plain_grams(t or "").items()}), t
+
+    learned, built = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[2]], []
+    real = langid.build_filter
+    monkeypatch.setattr(langid, "build_filter", lambda *a: built.append(a) or real(*a))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    of = collections.Counter(lang for _, _, lang in learned)
+    counts = {lang: collections.Counter(g for _, t, x in learned if x == lang for g in plain_grams(t or "")) for lang in of}
+    best = {g: max(counts[x][g] / of[x] for x in of) for lang in of for g in counts[lang]}
+    want = {lang: {as_key(g) for g, n in counts[lang].items() if n / of[lang] >= langid.MIN_RATE and n / of[lang] >= langid.SIBLING * best[g]} for lang in of}
+    assert {lang: set(g.tolist()) for lang, g in built[0][2]} == want and built[0][1] == of
+    model = real(*built[0])
+    for doc_id, t, _ in rows:
+        hits, n = [0] * len(of), 0
+        for g, times in plain_grams(t or "").items():
+            n += times
+            bits = model.masks(np.array([as_key(g)], np.uint64))[0]
+            hits = [h + times * int(b) for h, b in zip(hits, bits)]
+        rest = [max(0.0, (h - n * f) / (1 - f)) for h, f in zip(hits, model.false_rate)]
+        pick = max(range(len(rest)), key=lambda k: (rest[k], -k)) if sum(rest) else model.default
+        und = not any(c.isalpha() for c in t or "")
+        assert got[doc_id].lang_pred == ("und" if und else model.languages[pick])
+        assert math.isclose(got[doc_id].score, 0.0 if und or not sum(rest) else rest[pick] / sum(rest), abs_tol=1e-9)
+
+
+def test_language_sample_takes_rows_of_one_id_one_by_one(spark):
+    rows = [(None, f"text number {k} of many words", "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df, sample=100).languages == ["en"]
+    cut = int(100 / 400 * (1 << 30))
+    n = df.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) < cut).count()
+    assert 60 < n < 140
+
+
 def test_language_of_odd_inputs(spark):
     got = langid.identify(odd_docs(spark), sample=10).collect()
     assert len(got) == odd_docs(spark).count()
