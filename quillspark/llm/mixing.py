@@ -21,7 +21,7 @@ Scale: nothing is ordered globally.  A document's rank in its source comes from
 the counts of the buckets before it; a bucket that many rows of one id crowd is dealt out by the
 digest and the row's place in the input (so ``docs`` must read the same twice, as files do).  One row
 a size and weight that sources have reaches the driver; tables of sources, segments and patterns stay in
-Spark and are broadcast up to ``BROADCAST_ROWS`` rows, joined by shuffles beyond.
+Spark and are broadcast up to ``lookup.BROADCAST_ROWS`` rows, joined by shuffles beyond.
 
 Defined results: rows with a null source are a source of their own, named ``(null)``; null and
 repeated doc_ids are ordered like any other (full ties in any order); sources without a weight get
@@ -31,7 +31,6 @@ are carried as one struct, so no name of the input can clash; texts are not look
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_left
 from fractions import Fraction
 from itertools import accumulate
@@ -40,11 +39,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .lookup import inside, rows_of, small
 
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
 #: Buckets of so many times ``BUCKET_ROWS`` are dealt out.
 CROWDED = 8
-BROADCAST_ROWS = 500_000
 #: Bytes of rows that one file of the mixed result holds, about.
 FILE_BYTES = 128 << 20
 
@@ -91,39 +90,16 @@ def _pattern() -> Column:
             'done', transform(acc.done, (d, i) -> if(i = p, d + 1, d)), 'out', concat(acc.out, array(p))))[0]).out""")
 
 
-def _rows_of(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
-    """A table from the driver: one literal, whatever its length."""
-    one = docs.sparkSession.range(0, 1, 1, 1)
-    return one.select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast where its size allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _inside(rows: DataFrame, value: Column, on: list[str], spans: DataFrame) -> DataFrame:
-    """Rows with the columns of the span ``begin`` <= value < ``end`` (among those equal in ``on``).
-
-    A span is listed under every stretch of values that it touches; stretches are about as many as spans.
-    """
-    n, top = spans.agg(F.count("*"), F.max("end")).first()
-    width = max(1, (top or 1) // max(1, 16 * n))
-    listed = spans.withColumn("__stretch", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"(end - 1) div {width}"))))
-    asked = rows.withColumn("__value", value.cast("long")).withColumn("__stretch", F.expr(f"__value div {width}"))
-    met = asked.join(_small(listed), [*on, "__stretch"])
-    return met.filter((F.col("__value") >= F.col("begin")) & (F.col("__value") < F.col("end"))).drop("__value", "__stretch", "begin", "end")
-
-
 def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", work: Workspace | None = None) -> DataFrame:
     """row (struct of the input row), source, block, slot, position (0 ..: the order to read in)."""
     if any(w < 1 for w in [default_weight, *weights.values()]):
         raise ValueError("weights are integers of at least 1")
-    work = work or Workspace(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "mixing")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
 
-    wanted = _rows_of(docs, [{"source": s, "w": w} for s, w in weights.items()] or [{"source": None, "w": None}], "source: string, w: bigint")
-    counts = packed.groupBy("source").agg(F.count("*").alias("n")).join(_small(wanted), "source", "left")
+    wanted = rows_of(spark, [{"source": s, "w": w} for s, w in weights.items()] or [{"source": None, "w": None}], "source: string, w: bigint")
+    counts = packed.groupBy("source").agg(F.count("*").alias("n")).join(small(wanted), "source", "left")
     sources = counts.select("source", "n", F.coalesce("w", F.lit(default_weight)).cast("long").alias("weight"), F.expr(f"(n + {block_rows - 1}) div {block_rows}").alias("blocks"))
     sources = sources.withColumn("member", F.row_number().over(Window.partitionBy("weight").orderBy(F.desc("blocks"), "source")).cast("long") - 1)  # a row a source
     sources = work.table(sources.withColumn("n_buckets", F.expr(f"(n + {BUCKET_ROWS - 1}) div {BUCKET_ROWS}")), "sources")
@@ -138,16 +114,16 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
             lines.append({"segment": no, "weight": w, "members": k, "given": g, "begin": done[w], "end": done[w] + g * repeats, "first": slot, "length": length})
             done[w] += g * repeats
         slot += length * repeats
-    spans = _rows_of(docs, lines, "segment: int, weight: bigint, members: bigint, given: bigint, begin: bigint, end: bigint, first: bigint, length: bigint")
-    runs = _rows_of(docs, patterns, "segment: int, given: array<bigint>")
+    spans = rows_of(spark, lines, "segment: int, weight: bigint, members: bigint, given: bigint, begin: bigint, end: bigint, first: bigint, length: bigint")
+    runs = rows_of(spark, patterns, "segment: int, given: array<bigint>")
     runs = runs.repartition(min(len(plan), 1000) or 1, "segment").select("segment", F.posexplode(_pattern()).alias("at", "class"))
     turn = F.row_number().over(Window.partitionBy("segment", "class").orderBy("at")).cast("long") - 1
     weight_of = F.element_at(F.lit(classes or [0]), F.col("class") + 1).cast("long")
-    pattern = _small(work.table(runs.select("segment", weight_of.alias("weight"), turn.alias("turn"), "at"), "patterns"))
+    pattern = small(work.table(runs.select("segment", weight_of.alias("weight"), turn.alias("turn"), "at"), "patterns"))
 
     def slots(df: DataFrame) -> DataFrame:
         """Add ``slot`` to rows with weight, member and block."""
-        df = _inside(df.withColumn("__block", F.col("block")), F.col("block"), ["weight"], spans.withColumn("start", F.col("begin")))
+        df = inside(df.withColumn("__block", F.col("block")), F.col("block"), ["weight"], spans.withColumn("start", F.col("begin")))
         past = F.col("__block") - F.col("start")
         df = df.withColumn("turn", past % F.col("given") * F.col("members") + F.col("member")).withColumn("repeat", F.floor(past / F.col("given")))
         df = df.join(pattern, ["segment", "weight", "turn"]).withColumn("slot", F.col("first") + F.col("repeat") * F.col("length") + F.col("at"))
@@ -156,16 +132,16 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
     missing = F.col("blocks") * block_rows - F.col("n")
     short = slots(sources.withColumn("block", F.col("blocks") - 1).select("weight", "member", "block", missing.alias("missing"))).filter("missing > 0").select("slot", "missing")
     upwards = Window.orderBy("slot")  # a row a source at most
-    none = _rows_of(docs, [{"slot": -1, "missing": 0}], "slot: bigint, missing: bigint")
+    none = rows_of(spark, [{"slot": -1, "missing": 0}], "slot: bigint, missing: bigint")
     steps = work.table(short.union(none).select((F.col("slot") + 1).alias("begin"), F.coalesce(F.lead("slot").over(upwards) + 1, F.lit(slot + 1)).cast("long").alias("end"), F.sum("missing").over(upwards).alias("gaps")).filter("begin < end"), "gaps")
 
-    placed = packed.join(_small(sources.select("source", "weight", "member", "n_buckets")), "source")
+    placed = packed.join(small(sources.select("source", "weight", "member", "n_buckets")), "source")
     placed = placed.withColumn("bucket", F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("n_buckets"), 32))
     crowded = placed.groupBy("source", "bucket").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > CROWDED * BUCKET_ROWS)
     crowded = work.table(crowded, "crowded")  # rows where very many rows have one id: none as a rule
     part = ["source", "bucket"]
     if not crowded.isEmpty():
-        placed = placed.join(_small(crowded), ["source", "bucket"], "left").withColumn("deal", F.when(F.col("crowd").isNull(), "").otherwise(F.col("digest")))
+        placed = placed.join(small(crowded), ["source", "bucket"], "left").withColumn("deal", F.when(F.col("crowd").isNull(), "").otherwise(F.col("digest")))
         placed = placed.withColumn("sub", F.when(F.col("crowd").isNull(), 0).otherwise(F.pmod(F.xxhash64("place"), F.expr(f"crowd div {BUCKET_ROWS} + 1")))).drop("crowd")
         part += ["deal", "sub"]
     sizes = placed.groupBy(*part).agg(F.count("*").alias("size"))
@@ -173,7 +149,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("digest", "id"))
     ranked = placed.withColumn("rank", rank).join(before, part).withColumn("rank", F.col("rank") - 1 + F.col("before"))
     ranked = slots(ranked.withColumn("block", F.expr(f"rank div {block_rows}")))
-    ranked = _inside(ranked, F.col("slot"), [], steps)
+    ranked = inside(ranked, F.col("slot"), [], steps)
     return ranked.select("row", "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows - F.col("gaps")).alias("position"))
 
 

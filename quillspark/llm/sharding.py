@@ -19,7 +19,7 @@ partitions, because rows are ranged by (group, order).
 
 Defined results: a null text has size 1, checksum 0 and forms one group with other nulls; an empty
 text has size 1 and checksum 0 and is another group; null order values come first; repeated rows
-each get a slot; fewer groups than shards leave shards empty; an empty table gives an empty result.
+each get a slot; texts are read once, however long; fewer groups than shards leave shards empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .lookup import inside, rows_of
 
 POINTS, EXACT = 8192, 40_000
 
@@ -99,10 +100,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     groups = base.groupBy("key").agg(F.min("o").alias("o"), F.sum("size").alias("size"), F.count("*").alias("n"))
     groups = _number(groups, ["o", "key"], work, "groups")
     per_part = groups.groupBy("part").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("groups"), F.min("mark").alias("low"))
+    n_groups = per_part.agg(F.sum("groups")).first()[0] or 0
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = per_part.select("part", "low", *[F.coalesce(F.sum(c).over(running), F.lit(0)).alias(f"{c}_before") for c in ("size", "n", "groups")])
-    inside = Window.partitionBy("part").orderBy("mark")
-    summed = groups.withColumn("size", F.sum("size").over(inside)).withColumn("n", F.sum("n").over(inside)).join(offsets, "part")
+    in_part = Window.partitionBy("part").orderBy("mark")
+    summed = groups.withColumn("size", F.sum("size").over(in_part)).withColumn("n", F.sum("n").over(in_part)).join(offsets, "part")
     prefix = work.table(summed.select("key", (F.col("size") + F.col("size_before")).alias("to_size"), (F.col("n") + F.col("n_before")).alias("to_n"), (F.col("mark") - F.col("low") + F.col("groups_before")).alias("group_no")), "prefix")
 
     cuts = sorted(prefix.filter(F.col("to_size").isin(_search(prefix, shards))).collect(), key=lambda r: r["to_size"])  # under ``shards`` rows
@@ -111,11 +113,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         work.drop(done)
     parts = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("mark").alias("low"))
     before = F.broadcast(parts.select("part", "low", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")))  # a row a partition
-    number, shard_no, begin = F.col("before") + F.col("mark") - F.col("low"), F.lit(0), F.lit(0).cast("long")
-    for cut in cuts:
-        past = F.col("group_no") > cut["group_no"]
-        shard_no, begin = shard_no + past.cast("int"), F.when(past, F.lit(cut["to_n"])).otherwise(begin)
-    return numbered.join(before, "part").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard_no.alias("shard"), (number - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    firsts = [(0, 0), *((c["group_no"] + 1, c["to_n"]) for c in cuts)]  # group and row that each shard begins with
+    ends = [f for f, _ in firsts[1:]] + [max(n_groups, firsts[-1][0] + 1)]
+    spans = rows_of(spark, [{"begin": f, "end": e, "shard": k, "first_row": n} for k, ((f, n), e) in enumerate(zip(firsts, ends)) if f < e], "begin: bigint, end: bigint, shard: int, first_row: bigint")
+    slot = F.col("before") + F.col("mark") - F.col("low") - F.col("first_row")
+    return inside(numbered.join(before, "part"), F.col("group_no"), [], spans).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _search(prefix: DataFrame, shards: int) -> list[int]:
