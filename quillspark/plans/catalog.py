@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import lexical, text
 from ..model import SearchOptions
-from ..operators import chunk_generic, chunking, citations, context, history, index, search, source_window
+from ..operators import chunk_generic, chunking, citations, context, history, index, postings, search, source_window
 from ..sources import config, store, walk
+from ..workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +57,19 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).join(v, "id")
 
 
+_indexed: dict[tuple[str, str, str], Workspace] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str, chunks: Callable[[SparkSession, str], DataFrame]) -> str:
+    """Folder of the postings of these chunks: made once a session, as at ingest, and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir, chunks.__name__)
+    if key not in _indexed:
+        work = Workspace(spark, "postings")
+        postings.write(chunks(spark, sf_dir), work.path("index"))
+        _indexed[key] = work
+    return _indexed[key].path("index")
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR).first()["embedding"]
 
@@ -87,7 +101,7 @@ def _fused(words: str, symbol: str, where: str = "true", dense: str = "1.0", lex
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, words: str, options: SearchOptions) -> DataFrame:
-    found = search.hybrid_search(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), words, options)
+    found = search.hybrid_search(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), words, options, lexical_index=lexical_index(spark, sf_dir, vector_chunks))
     return rounded(found.select("id", "file_path", "dense_rank", "lexical_rank", "dense_distance", "lexical_score", "fused_score"), "dense_distance", "lexical_score", "fused_score")
 
 
@@ -119,9 +133,21 @@ def dense_topk(spark, sf_dir):
 
 @query(f"WITH {_legs(TERMS, TERMS)}, w AS (SELECT * FROM c), l AS (SELECT id, len(list_filter(lx, lambda t: t IN ('thre', 'thin'))) / (1 + ln(greatest(len(lx), 1)::DOUBLE)) AS s FROM w WHERE list_contains(lx, 'thre') AND list_contains(lx, 'thin') ORDER BY s DESC, id LIMIT 30) SELECT id, round(s, 6) AS lexical_score, row_number() OVER (ORDER BY s DESC, id) AS lexical_rank FROM l")
 def lexical_topk(spark, sf_dir):
+    return rounded(postings.lexical_leg(spark, lexical_index(spark, sf_dir, document_chunks), TERMS, model.PER_LEG_LIMIT, model.SYMBOL_BOOST), "lexical_score")
+
+
+@query(f"WITH {_legs(TERMS, TERMS)}, w AS (SELECT * FROM c), l AS (SELECT id, len(list_filter(lx, lambda t: t IN ('thre', 'thin'))) / (1 + ln(greatest(len(lx), 1)::DOUBLE)) AS s FROM w WHERE list_contains(lx, 'thre') AND list_contains(lx, 'thin') ORDER BY s DESC, id LIMIT 30) SELECT id, round(s, 6) AS lexical_score, row_number() OVER (ORDER BY s DESC, id) AS lexical_rank FROM l")
+def lexical_topk_scan(spark, sf_dir):
+    """The same leg without an index, by a scan of all texts."""
     return rounded(search.lexical_leg(document_chunks(spark, sf_dir), TERMS, model.PER_LEG_LIMIT, model.SYMBOL_BOOST), "lexical_score")
 
 
+@query("WITH t AS (SELECT doc_id AS id, source, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS x FROM documents), l AS (SELECT id, source, list_filter(x, lambda t: t <> '' AND t NOT IN (" + _STOP + ")) AS lx FROM t), p AS (SELECT id, source, unnest(lx) AS term, len(lx) AS n FROM l) SELECT term, id, source AS repo_source, count(*) AS times, any_value(n)::INT AS doc_len FROM p GROUP BY ALL")
+def inverted_index(spark, sf_dir):
+    """The postings themselves: how often each chunk holds each term."""
+    return spark.read.parquet(f"{lexical_index(spark, sf_dir, document_chunks)}/terms").select("term", "id", "repo_source", F.size("places").cast("long").alias("times"), "doc_len")
+
+
 @query("WITH t AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id FROM t WHERE list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thin') AND NOT list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thre')")
 def lexical_exclusion(spark, sf_dir):
     parsed = lexical.parse_query("thin -thre")

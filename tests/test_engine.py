@@ -262,6 +262,18 @@ def test_fused_ranks_and_scores(chunks):
     assert all(math.isclose(got[k].dense_distance, v, abs_tol=1e-6) for k, v in want.items())
 
 
+def test_postings_give_what_a_scan_gives(spark, chunks, tmp_path):
+    from quillspark.operators import postings
+
+    postings.write(chunks, str(tmp_path / "index"))
+    for asked in ("cache", "parseConfig", "the cache directory", '"cache directory"', '"directory cache"', "ingest -cache", "workers or cache", "nothing -cache", "", "loadSettings", "-ingest", '"ingest runs" or formatOutput'):
+        want = search.lexical_leg(chunks, asked, 5, 1.0).collect()
+        assert postings.lexical_leg(spark, str(tmp_path / "index"), asked, 5, 1.0).collect() == want, asked
+    assert postings.lexical_leg(spark, str(tmp_path / "index"), "cache", 5, 1.0, repo="none").collect() == []
+    plan = postings.lexical_leg(spark, str(tmp_path / "index"), "cache", 5, 1.0)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_lexical_leg(chunks):
     got = find(chunks, "cache")
     assert got["docs/cache.md"].lexical_rank and got["src/fixture/settings.ts"].lexical_rank
