@@ -1,9 +1,10 @@
 """An inverted index of the lexical leg: postings stored by term, so a search reads its own terms only.
 
-``write`` makes two tables under a folder: ``terms`` (term, id, repo_source, places, doc_len) and
+``write`` makes two tables under a folder: ``terms`` (term, id, repo_source, place, doc_len) and
 ``symbols`` (symbol, id, repo_source), both in ``BUCKETS`` folders by a hash of the term and sorted by it
 inside.  A query's bucket is known before the scan, which prunes the folders, and the files' statistics
-skip what lies beside the term.  ``lexical_leg`` gives what :func:`search.lexical_leg` gives on the rows
+skip what lies beside the term.  An occurrence is a row, so nothing is grouped when the index is made;
+sorted, the rows of a term take a few bytes each.  ``lexical_leg`` gives what :func:`search.lexical_leg` gives on the rows
 that were indexed; a term that a third of the chunks hold is as many short rows, spread over files.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical
 
 BUCKETS = 64
-_TERMS = "term string, id long, repo_source string, places array<int>, doc_len int, bucket int"
+_TERMS = "term string, id long, repo_source string, place int, doc_len int, bucket int"
 _SYMBOLS = "term string, id long, repo_source string, bucket int"
 
 
@@ -24,14 +25,13 @@ def _bucket(term: Column) -> Column:
 
 
 def _save(rows: DataFrame, path: str) -> None:
-    rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "term", "id", *[c for c in rows.columns if c == "place"]).write.partitionBy("bucket").parquet(path)
 
 
 def write(chunks: DataFrame, folder: str) -> None:
     """``chunks``: id, repo_source, symbol_name, lexemes, doc_len."""
     kept = F.filter("lexemes", lambda t: t != "")  # phrases are neighbours among these
-    spots = chunks.select("id", "repo_source", "doc_len", F.posexplode(kept).alias("place", "term"))
-    _save(spots.groupBy("term", "id", "repo_source", "doc_len").agg(F.sort_array(F.collect_list("place")).alias("places")), f"{folder}/terms")  # a list as long as one chunk
+    _save(chunks.select("id", "repo_source", "doc_len", F.posexplode(kept).alias("place", "term")).select("term", "id", "repo_source", "place", "doc_len"), f"{folder}/terms")
     _save(chunks.filter("symbol_name <> ''").select(F.lower("symbol_name").alias("term"), "id", "repo_source"), f"{folder}/symbols")
 
 
@@ -79,7 +79,8 @@ def lexical_leg(spark: SparkSession, folder: str, query: str, limit: int, boost:
     """id, lexical_score, lexical_rank of indexed chunks that match the query or bear its name."""
     parsed = lexical.parse_query(query, stem or (lambda w: w))
     none = F.lit(None)
-    terms = _read(spark, f"{folder}/terms", _TERMS, sorted(_words(parsed)))
+    spots = _read(spark, f"{folder}/terms", _TERMS, sorted(_words(parsed)))
+    terms = spots.groupBy("id", "repo_source", "term", "doc_len").agg(F.collect_list("place").alias("places"))  # as long as one chunk
     named = _read(spark, f"{folder}/symbols", _SYMBOLS, [query.strip(" ").lower()])
     rows = terms.select("id", "repo_source", "term", "places", "doc_len").union(named.select("id", "repo_source", none.cast("string"), none.cast("array<int>"), none.cast("int")))
     rows = rows if repo is None else rows.filter(F.col("repo_source") == repo)

@@ -145,7 +145,7 @@ def lexical_topk_scan(spark, sf_dir):
 @query("WITH t AS (SELECT doc_id AS id, source, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS x FROM documents), l AS (SELECT id, source, list_filter(x, lambda t: t <> '' AND t NOT IN (" + _STOP + ")) AS lx FROM t), p AS (SELECT id, source, unnest(lx) AS term, len(lx) AS n FROM l) SELECT term, id, source AS repo_source, count(*) AS times, any_value(n)::INT AS doc_len FROM p GROUP BY ALL")
 def inverted_index(spark, sf_dir):
     """The postings themselves: how often each chunk holds each term."""
-    return spark.read.parquet(f"{lexical_index(spark, sf_dir, document_chunks)}/terms").select("term", "id", "repo_source", F.size("places").cast("long").alias("times"), "doc_len")
+    return spark.read.parquet(f"{lexical_index(spark, sf_dir, document_chunks)}/terms").groupBy("term", "id", "repo_source", "doc_len").agg(F.count("*").alias("times"))
 
 
 @query("WITH t AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id FROM t WHERE list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thin') AND NOT list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thre')")
