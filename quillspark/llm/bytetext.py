@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rolling windows multiply by this modulo 2**64; the entries there are already well mixed.
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
