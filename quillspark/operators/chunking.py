@@ -84,19 +84,24 @@ def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select(id_col, F.size("lines").alias("part_total"), F.posexplode("lines").alias("at", "line")).select(id_col, (F.col("at") + 1).alias("part_index"), "part_total", "line")
 
 
-def line_windows(docs: DataFrame, id_col: str, text_col: str, budget: int, first_line: int = 1) -> DataFrame:
-    """Greedy line windows of each text: part_index, part_total, start_line, end_line, content."""
-    array = f"array<struct<start_line: int, end_line: int, content: string>>"
+def spans(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str], list[chunk_generic.Span]]) -> DataFrame:
+    """One row a span that ``cut`` finds in a text: part_index, part_total, start_line, end_line, content."""
+    array = "array<struct<start_line: int, end_line: int, content: string>>"
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())]))
         for batch in batches:
-            found = [[{"start_line": a, "end_line": b, "content": t} for a, b, t in chunk_generic.split_by_lines(x or "", first_line, budget)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[id_col, "windows"])
+            rows = [[{"start_line": a, "end_line": b, "content": t} for a, b, t in cut(x or "")] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 
     source = docs.select(id_col, text_col)
-    split = source.mapInArrow(windows, f"{id_col} {source.schema[id_col].dataType.simpleString()}, windows {array}")
-    return split.select(id_col, F.size("windows").alias("part_total"), F.posexplode("windows").alias("at", "w")).select(id_col, (F.col("at") + 1).alias("part_index"), "part_total", "w.*")
+    split = source.mapInArrow(found, f"{id_col} {source.schema[id_col].dataType.simpleString()}, spans {array}")
+    return split.select(id_col, F.size("spans").alias("part_total"), F.posexplode("spans").alias("at", "s")).select(id_col, (F.col("at") + 1).alias("part_index"), "part_total", "s.*")
+
+
+def line_windows(docs: DataFrame, id_col: str, text_col: str, budget: int, first_line: int = 1) -> DataFrame:
+    """Greedy line windows of each text: part_index, part_total, start_line, end_line, content."""
+    return spans(docs, id_col, text_col, lambda x: chunk_generic.split_by_lines(x, first_line, budget))
 
 
 def coverage(blocks: DataFrame, files: DataFrame) -> DataFrame:

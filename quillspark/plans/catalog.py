@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -255,26 +254,54 @@ def line_windows(spark, sf_dir):
     return chunking.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
 
 
-def _files(spark, sf_dir, extension: str):
-    return table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.lit(extension)).alias("file_path"), F.col("text").alias("source"))
+_SIGNS = "\"'`/\\{}@"  # what opens strings, comments, blocks and decorators
 
 
-@query()
+def _braced(spark, sf_dir):
+    """Texts of odd ids with blocks put in: nested, unbalanced, some with a definition in the first line."""
+    plain = F.translate("text", _SIGNS, "")
+    nested = F.replace(F.replace(plain, F.lit(" e"), F.lit(" {\n e")), F.lit(" s"), F.lit("\n}\nfunction s"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 1, nested).otherwise(plain).alias("text"))
+
+
+_BLANK = "' \t' || chr(10)"
+_BRACED = f"""p AS (SELECT doc_id, translate(text, '{_SIGNS.replace("'", "''")}', '') AS t FROM documents),
+d AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 1 THEN replace(replace(t, ' e', ' {{' || chr(10) || ' e'), ' s', chr(10) || '}}' || chr(10) || 'function s') ELSE t END, chr(10)) AS ls FROM p),
+l AS (SELECT doc_id, k, ls[k] AS line, CASE WHEN ls[k] LIKE '%{{' THEN 1 WHEN ls[k] = '}}' THEN -1 ELSE 0 END AS step FROM d, unnest(range(1, len(ls) + 1)) t(k)),
+h AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY k) AS height FROM l),
+v AS (SELECT *, height - least(0, min(height) OVER (PARTITION BY doc_id ORDER BY k)) AS depth FROM h),
+z AS (SELECT *, depth = 0 AND lag(depth, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) = 1 AS closes FROM v),
+c AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM z),
+g AS (SELECT doc_id, min(k)::INT AS start_line, max(k)::INT AS end_line, string_agg(line, chr(10) ORDER BY k) AS content, bool_or(closes) AS closed FROM c GROUP BY doc_id, block),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) AS n, start_line, end_line, content FROM g WHERE closed OR trim(content, {_BLANK}) <> '')"""
+
+
+@query(f"WITH {_BRACED} SELECT doc_id, n::INT AS part_index, (count(*) OVER (PARTITION BY doc_id))::INT AS part_total, start_line, end_line, content FROM blocks")
+def brace_blocks(spark, sf_dir):
+    return chunking.spans(_braced(spark, sf_dir), "doc_id", "text", chunk_generic.brace_blocks)
+
+
+@query(f"""WITH RECURSIVE {_BRACED},
+m AS (SELECT doc_id, n, 1 AS run, start_line AS s, end_line AS e, content AS t FROM blocks WHERE n = 1
+ UNION ALL SELECT b.doc_id, b.n, run + (length(t) > {4 * (model.MIN_CHUNK_TOKENS - 1)})::INT, CASE WHEN length(t) > {4 * (model.MIN_CHUNK_TOKENS - 1)} THEN b.start_line ELSE s END, b.end_line, CASE WHEN length(t) > {4 * (model.MIN_CHUNK_TOKENS - 1)} THEN b.content ELSE t || chr(10) || b.content END FROM m JOIN blocks b ON b.doc_id = m.doc_id AND b.n = m.n + 1),
+q AS (SELECT doc_id, run, max_by(s, n) AS s, string_split(max_by(t, n), chr(10)) AS ls FROM m GROUP BY doc_id, run),
+y AS (SELECT *, regexp_extract(trim(list_filter(ls, lambda x: trim(x, ' \t') <> '')[1], ' \t'), '{chunk_generic.DEFINITION.pattern}', 1) AS symbol FROM q),
+w AS (SELECT doc_id, run, s, ls, symbol, 1::BIGINT AS k, 1::BIGINT AS a, length(ls[1])::BIGINT AS held FROM y
+ UNION ALL SELECT doc_id, run, s, ls, symbol, k + 1, CASE WHEN held + 1 + length(ls[k + 1]) > {4 * model.MAX_CHUNK_TOKENS} THEN k + 1 ELSE a END, CASE WHEN held + 1 + length(ls[k + 1]) > {4 * model.MAX_CHUNK_TOKENS} THEN length(ls[k + 1]) ELSE held + 1 + length(ls[k + 1]) END FROM w WHERE k < len(ls)),
+o AS (SELECT doc_id || '.md' AS file_path, run, any_value(symbol) AS symbol, any_value(s) + a - 1 AS start_line, any_value(s) + max(k) - 1 AS end_line, array_to_string(any_value(ls)[a:max(k)], chr(10)) AS content FROM w GROUP BY doc_id, run, a),
+i AS (SELECT *, row_number() OVER (PARTITION BY file_path, run ORDER BY start_line) AS part_index, count(*) OVER (PARTITION BY file_path, run) AS part_total FROM o)
+SELECT file_path, nullif(symbol, '') AS symbol_name, start_line::INT AS start_line, end_line::INT AS end_line, part_index::INT AS part_index, part_total::INT AS part_total, sha256('generic' || chr(0) || file_path || chr(0) || symbol || chr(0) || part_index || chr(0) || content) AS content_hash FROM i""")
 def generic_chunks(spark, sf_dir):
-    return chunking.explode_chunks(chunking.chunk_files(_files(spark, sf_dir, ".md"))).select("file_path", "symbol_name", "start_line", "end_line", "part_index", "part_total", "content_hash")
+    files = _braced(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("file_path"), F.col("text").alias("source"))
+    return chunking.explode_chunks(chunking.chunk_files(files)).select("file_path", "symbol_name", "start_line", "end_line", "part_index", "part_total", "content_hash")
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, k, ls[k] AS line, trim(ls[k], ' \t') <> '' AND NOT regexp_matches(ls[k], '^[ \\t]') AS top FROM l, unnest(range(1, len(ls) + 1)) t(k)),
 b AS (SELECT doc_id, k, line, greatest(sum(CASE WHEN top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k), 1) AS block FROM u),
-g AS (SELECT doc_id, block, min(k) AS s, max(k) AS e, string_agg(line, chr(10) ORDER BY k) AS t FROM b GROUP BY ALL)
-SELECT doc_id, count(*)::BIGINT AS blocks, sum(length(t))::BIGINT AS chars FROM g WHERE trim(t, ' \t' || chr(10)) <> '' GROUP BY doc_id""")
+g AS (SELECT doc_id, min(k)::INT AS start_line, max(k)::INT AS end_line, string_agg(line, chr(10) ORDER BY k) AS content FROM b GROUP BY doc_id, block)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_line))::INT AS part_index, (count(*) OVER (PARTITION BY doc_id))::INT AS part_total, start_line, end_line, content FROM g WHERE trim(content, ' \t' || chr(10)) <> ''""")
 def indent_blocks(spark, sf_dir):
-    @F.pandas_udf("struct<blocks: bigint, chars: bigint>")
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        found = [chunk_generic.indent_blocks(t or "") for t in texts]
-        return pd.DataFrame({"blocks": [len(b) for b in found], "chars": [sum(len(x.text) for x in b) for b in found]})
-
-    return table(spark, sf_dir, "documents").select("doc_id", measured("text").alias("m")).select("doc_id", "m.*").filter("blocks > 0")
+    return chunking.spans(table(spark, sf_dir, "documents"), "doc_id", "text", chunk_generic.indent_blocks)
 
 
 @query()
