@@ -1,7 +1,7 @@
 """DuckDB SQL that states the results of the queries that SQL can express.
 
-Op 1 and the pipeline need a seeded XXH64, op 2 a Bloom filter, op 3 a tokenizer, op 5 the model, op 10 an
-edit distance on characters: SQL has none of them, and the tests hold these against plain versions.
+Op 1 and the pipeline need a seeded XXH64, op 2 a Bloom filter, op 3 a tokenizer, ops 5 and 12 their models, op 10
+an edit distance on characters: SQL has none of them, and the tests hold these against plain versions.
 """
 
 from __future__ import annotations
@@ -106,3 +106,23 @@ WITH RECURSIVE r AS (SELECT doc_id, text, strlen(coalesce(text, '')) + 1 AS size
            UNION ALL SELECT o.n, CASE WHEN f.at + o.b > cap THEN shard + 1 ELSE shard END, CASE WHEN f.at + o.b > cap THEN o.b ELSE f.at + o.b END FROM f JOIN o ON o.n = f.n + 1, cap)
 SELECT doc_id, r.size::BIGINT AS size, crc.crc::BIGINT AS text_crc32, 'bytes' AS law, f.shard::INT AS shard, row_number() OVER (PARTITION BY f.shard ORDER BY o.o, doc_id) - 1 AS slot, NULL::INT AS grown_shard
 FROM r JOIN o ON r.text IS NOT DISTINCT FROM o.text JOIN f ON f.n = o.n JOIN crc ON r.text IS NOT DISTINCT FROM crc.text"""
+
+
+def periodic_runs(min_length: int = 6, exponent: int = 4) -> str:
+    """Equal words at each distance, their unbroken stretches, and of equal stretches the smallest distance."""
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o, xor(list_reduce(list_prepend(4294967295::BIGINT, flat), lambda c, b: xor(c >> 4, {_nibbles()}[(xor(c, b) & 15) + 1])), 4294967295)::BIGINT AS h
+           FROM (SELECT *, list_transform(regexp_extract_all(regexp_replace(hex(doc_id::VARCHAR), '(.)(.)', '\\2\\1', 'g'), '.'), lambda x: ('0x' || x)::BIGINT) AS flat FROM documents)),
+     g AS (SELECT *, len(o) AS n, (h // 10) % greatest(len(o), 1) AS a, 3 + (h // 10) % 8 AS e FROM t),
+     d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: o[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // e) END) + 1]) ELSE o END AS w FROM g),
+     v AS (SELECT doc_id, n, i, w[i + 1] AS x FROM d, unnest(range(0, n)) AS u(i)),
+     p AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM v l JOIN v r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND (r.i - l.i) * {exponent} <= l.n),
+     s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p),
+     m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, k HAVING count(*) + q >= greatest({min_length}, {exponent} * q)),
+     r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY ALL),
+     b AS (SELECT doc_id, count(*) AS n_runs, first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+     gone AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(start + period, start + length)) AS u(i)),
+     c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM v ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""

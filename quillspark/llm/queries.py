@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, kneser_ney, langid, linededup, mixing, oracles, quality, sharding, simhash, tokens, warc
+from . import decontam, kneser_ney, langid, linededup, mixing, oracles, quality, runs, sharding, simhash, tokens, toxicity, warc
 
 
 #: Target weights of the sources; sources that are not named here weigh 1 each.
@@ -63,6 +63,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return runs.digests(runs.periodic_runs(runs.with_periodic_tails(docs)))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontam": op9_decontam,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op4_mixing": oracles.mixing(WEIGHTS),
@@ -81,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": oracles.WARC,
     "op8_quality": oracles.QUALITY,
     "op9_decontam": oracles.DECONTAMINATION,
+    "op11_periodic_runs": oracles.periodic_runs(),
 }
