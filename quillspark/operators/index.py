@@ -86,6 +86,13 @@ def _embed(batches: Iterator[pa.RecordBatch], embedder: Callable, dim: int) -> I
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["content_hash", "vector"])
 
 
+def embed_contents(contents: DataFrame, embedder: Callable, dim: int, tasks: int | None = None) -> DataFrame:
+    """content_hash, vector of rows content_hash, embed_text; ``tasks``: how many call the service at once (None: as many as there are)."""
+    rows = contents.select("content_hash", "embed_text")
+    rows = rows if tasks is None else rows.repartition(tasks)
+    return rows.mapInArrow(partial(_embed, embedder=embedder, dim=dim), "content_hash string, vector array<float>")
+
+
 def distinct_contents(chunks: DataFrame) -> DataFrame:
     """content_hash, embed_text of its first chunk (by ``seq``), copies."""
     return chunks.groupBy("content_hash").agg(F.min_by("embed_text", "seq").alias("embed_text"), F.count("*").alias("copies"))
