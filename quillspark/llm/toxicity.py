@@ -38,7 +38,7 @@ from .bytetext import Texts, byte_class, mix, slices, text_bytes
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 17, 8
-SAMPLE, FIT_BYTES = 4000, 24 << 20
+SAMPLE, FIT_BYTES = 3000, 12 << 20
 EPOCHS, BATCH, RATE = 4, 64, 0.5
 #: Share of the n-grams left out of each training step, so that no single one decides.
 DROP = 0.5
@@ -47,7 +47,7 @@ LEAST_WORDS = 4
 #: The mean's scale, fixed: one word in ``GAIN`` counts as much as a whole text in a plain mean.
 GAIN = 32.0
 THRESHOLD = 0.3
-_SLICE = 1 << 19
+_SLICE, _PIECE = 1 << 19, 1 << 14
 _OTHER = 1 - byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -73,7 +73,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         owners.append(word[at])
         counts.append(np.maximum(wide - n + 1, 0))
     order = np.argsort(np.concatenate(owners), kind="stable")
-    return np.concatenate(parts)[order], np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
+    return np.concatenate(parts)[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
 
 
 @dataclass
@@ -206,9 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_bytes: i
     times = times.combine_chunks() if isinstance(times, pa.ChunkedArray) else times
     coded = lists.flatten().dictionary_encode()
     spots = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    number, count = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), times.flatten().to_numpy(zero_copy_only=False)
+    number, count = coded.indices.to_numpy(zero_copy_only=False), times.flatten().to_numpy(zero_copy_only=False)
     data, offsets = text_bytes(coded.dictionary.cast(pa.large_binary()).view(pa.large_string()))
-    buckets, bounds = subwords(data, offsets[:-1], offsets[1:])
+    pieces = [subwords(data, offsets[:-1][k : k + _PIECE], offsets[1:][k : k + _PIECE]) for k in range(0, len(offsets) - 1, _PIECE)]
+    buckets = np.concatenate([b for b, _ in pieces]) if pieces else np.zeros(0, np.int32)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in pieces]))]) if pieces else np.zeros(1, np.int64)
     parts = lambda v: [v[a:b] for a, b in zip(spots[:-1].tolist(), spots[1:].tolist())]
     bias, weight = fit(parts(number), parts(count), marks, buckets, bounds)
     return Model(bias + float(np.log(totals[1] / totals[0])), weight)
