@@ -80,14 +80,17 @@ def fuse(dense: DataFrame, lexical_: DataFrame, options: SearchOptions) -> DataF
     return fused.orderBy(F.desc("fused_score"), "id").limit(options.top_k)
 
 
-def hybrid_search(chunks: DataFrame, query_vector: Sequence[float], query: str, options: SearchOptions = SearchOptions(), stem=None, lexical_index: str | None = None) -> DataFrame:
-    """Retrieved chunks with their ranks and scores, best first.  ``lexical_index``: folder of postings of these chunks."""
+def hybrid_search(chunks: DataFrame, query_vector: Sequence[float], query: str, options: SearchOptions = SearchOptions(), stem=None, lexical_index: str | None = None, dense: DataFrame | None = None) -> DataFrame:
+    """Retrieved chunks with their ranks and scores, best first.
+
+    ``lexical_index``: folder of postings of these chunks.  ``dense``: the dense leg, if an index gave it already (``ann.nearest``).
+    """
     scope = scoped(chunks, options.repo_source)
     if lexical_index:
         words = postings.lexical_leg(chunks.sparkSession, lexical_index, query, options.per_leg_limit, options.symbol_boost, stem, options.repo_source)
     else:
         words = lexical_leg(scope, query, options.per_leg_limit, options.symbol_boost, stem)
-    best = fuse(dense_leg(scope, query_vector, options.per_leg_limit), words, options)
+    best = fuse(dense_leg(scope, query_vector, options.per_leg_limit) if dense is None else dense, words, options)
     hidden = {"embedding", "norm", "lexemes", "doc_len", "embed_text", "content_hash", "created_at"}
     wide = scope.select(*[c for c in scope.columns if c not in hidden])
     # The fused side has at most 2 * per_leg_limit rows, so its broadcast is of bounded size.

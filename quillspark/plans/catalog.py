@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import lexical, text
 from ..model import SearchOptions
-from ..operators import chunk_generic, chunking, citations, context, history, index, postings, search, source_window
+from ..operators import ann, chunk_generic, chunking, citations, context, history, index, postings, search, source_window
 from ..sources import config, store, walk
 from ..workspace import Workspace
 
@@ -130,6 +130,52 @@ def dense_topk(spark, sf_dir):
     return rounded(search.dense_leg(v, query_vector(spark, sf_dir), model.PER_LEG_LIMIT), "dense_distance")
 
 
+# --- nearest neighbours by an index of cells ------------------------------------------------------
+
+_cells: dict[tuple[str, str], tuple[Workspace, ann.Index]] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> ann.Index:
+    """The index of all vectors, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        work = Workspace(spark, "cells")
+        _cells[key] = work, ann.build(_vectors(spark, sf_dir), work.path("index"))
+    return _cells[key][1]
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _vector_queries(spark, sf_dir):
+    """Every vector whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_NEAR = f"SELECT id, round(d, 6) AS dense_distance, row_number() OVER (ORDER BY d, id) AS dense_rank FROM (SELECT e.vec_id AS id, {_DIST} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR}) q ORDER BY d, id LIMIT 30)"
+
+
+@query(_NEAR)
+def ann_topk(spark, sf_dir):
+    """One query through the index, read on until no cell can hold a nearer row."""
+    return rounded(ann.nearest(spark, vector_index(spark, sf_dir), query_vector(spark, sf_dir), model.PER_LEG_LIMIT, exact=True), "dense_distance")
+
+
+@query(f"SELECT query_id, id, rank::INT AS rank, round(d, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 30")
+def ann_neighbours(spark, sf_dir):
+    return rounded(ann.search_all(vector_index(spark, sf_dir), _vector_queries(spark, sf_dir), model.PER_LEG_LIMIT, exact=True), "distance").withColumn("distance", F.col("distance") + 0.0)
+
+
+@query("SELECT count(*)::BIGINT AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, sf_dir):
+    """The approximate search, by codes of the nearest cells, against all distances: is its recall at 30 at least 0.9?"""
+    asked = _vector_queries(spark, sf_dir)
+    found = ann.search_all(vector_index(spark, sf_dir), asked, model.PER_LEG_LIMIT)
+    truth = ann.brute_force(_vectors(spark, sf_dir), asked, model.PER_LEG_LIMIT)
+    return ann.recall(found, truth).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"WITH {_legs(TERMS, TERMS)}, w AS (SELECT * FROM c), l AS (SELECT id, len(list_filter(lx, lambda t: t IN ('thre', 'thin'))) / (1 + ln(greatest(len(lx), 1)::DOUBLE)) AS s FROM w WHERE list_contains(lx, 'thre') AND list_contains(lx, 'thin') ORDER BY s DESC, id LIMIT 30) SELECT id, round(s, 6) AS lexical_score, row_number() OVER (ORDER BY s DESC, id) AS lexical_rank FROM l")
 def lexical_topk(spark, sf_dir):
     return rounded(postings.lexical_leg(spark, lexical_index(spark, sf_dir, document_chunks), TERMS, model.PER_LEG_LIMIT, model.SYMBOL_BOOST), "lexical_score")
