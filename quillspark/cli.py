@@ -40,7 +40,7 @@ def main(argv: list[str], spark: SparkSession | None = None, log: Callable[[str]
             log(f"{name + ':':<16} {value}")
         log(f"Wrote {args.out}")
         settings = config.load(env)
-        done = index.index_chunks(chunks, args.repo, f"{settings.table_uri}/chunks", f"{settings.table_uri}/embeddings", settings.embed_model, **options)
+        done = index.index_chunks(chunks, args.repo, f"{settings.table_uri}/chunks", f"{settings.table_uri}/embeddings", settings.embed_model, postings_path=f"{settings.table_uri}/postings", **options)
         for name, value in (("Unique hashes", done.unique_hashes), ("Cache hits", done.cache_hits), ("Embedded", done.embedded), ("Deleted", done.deleted), ("Inserted", done.inserted)):
             log(f"{name + ':':<16} {value}")
         return 0

@@ -23,6 +23,7 @@ from ..functions import lexical
 from ..functions.stem import stem_words
 from ..sources import store
 from ..workspace import Workspace
+from . import postings
 from .search import norm
 
 CACHE_SCHEMA = "content_hash string, model string, vector array<float>"
@@ -132,8 +133,11 @@ def stored_rows(chunks: DataFrame, repo: str, first_id: int) -> DataFrame:
     return ready.select(*[f.split(" ")[0] for f in model.STORED.split(", ")])
 
 
-def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embed_model: str = "hashing", embedder: Callable | None = None, dim: int = model.EMBEDDING_DIM) -> IndexReport:
-    """``chunks``: chunk rows with ``seq`` (their order).  All or nothing: a failure stores and caches nothing."""
+def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embed_model: str = "hashing", embedder: Callable | None = None, dim: int = model.EMBEDDING_DIM, postings_path: str | None = None) -> IndexReport:
+    """``chunks``: chunk rows with ``seq`` (their order).  All or nothing: a failure stores and caches nothing.
+
+    ``postings_path``: where the inverted index is kept in step with the table; the repository's segment is replaced after its rows.
+    """
     spark = chunks.sparkSession
     work = Workspace(spark, "index")
     try:
@@ -147,6 +151,8 @@ def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embe
         counts = known.agg(F.count("*").alias("unique"), F.count("vector").alias("hits"), F.sum("copies").alias("total")).first()
         top = store.read_chunks(spark, table).agg(F.max("id")).first()[0]  # one run at a time writes a table
         deleted, inserted = store.replace_chunks(spark, table, repo, stored_rows(rows, repo, 0 if top is None else top + 1))
+        if postings_path:
+            postings.replace(store.read_chunks(spark, table, repo), postings_path, repo)
         new.withColumn("model", F.lit(embed_model)).select("content_hash", "model", "vector").write.mode("append").parquet(cache_path)
         return IndexReport(counts["total"] or 0, counts["unique"], counts["hits"], counts["unique"] - counts["hits"], deleted, inserted)
     finally:

@@ -56,15 +56,22 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).join(v, "id")
 
 
-_indexed: dict[tuple[str, str, str], Workspace] = {}
+_indexed: dict[tuple, Workspace] = {}
+
+
+def _files(df: DataFrame) -> tuple:
+    """The files of a table and when they were written: another table under the same path is another key."""
+    found = [store.hadoop(df.sparkSession, f) for f in sorted(df.inputFiles())]
+    return tuple((path.toString(), fs.getFileStatus(path).getModificationTime()) for fs, path in found)
 
 
 def lexical_index(spark: SparkSession, sf_dir: str, chunks: Callable[[SparkSession, str], DataFrame]) -> str:
     """Folder of the postings of these chunks: made once a session, as at ingest, and read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir, chunks.__name__)
+    documents = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, chunks.__name__, _files(documents), _files(table(spark, sf_dir, "embeddings")))
     if key not in _indexed:
         work = Workspace(spark, "postings")
-        postings.write(chunks(spark, sf_dir), work.path("index"))
+        postings.write(chunks(spark, sf_dir), work.path("index"), occurrences=(documents.agg(F.sum("n_chars")).first()[0] or 0) // 6)
         _indexed[key] = work
     return _indexed[key].path("index")
 
@@ -132,15 +139,16 @@ def dense_topk(spark, sf_dir):
 
 # --- nearest neighbours by an index of cells ------------------------------------------------------
 
-_cells: dict[tuple[str, str], tuple[Workspace, ann.Index]] = {}
+_cells: dict[tuple, tuple[Workspace, ann.Index]] = {}
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> ann.Index:
     """The index of all vectors, made once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    vectors = _vectors(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, _files(vectors))
     if key not in _cells:
         work = Workspace(spark, "cells")
-        _cells[key] = work, ann.build(_vectors(spark, sf_dir), work.path("index"))
+        _cells[key] = work, ann.build(vectors, work.path("index"))
     return _cells[key][1]
 
 
@@ -190,7 +198,8 @@ def lexical_topk_scan(spark, sf_dir):
 @query("WITH t AS (SELECT doc_id AS id, source, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS x FROM documents), l AS (SELECT id, source, list_filter(x, lambda t: t <> '' AND t NOT IN (" + _STOP + ")) AS lx FROM t), p AS (SELECT id, source, unnest(lx) AS term, len(lx) AS n FROM l) SELECT term, id, source AS repo_source, count(*) AS times, any_value(n)::INT AS doc_len FROM p GROUP BY ALL")
 def inverted_index(spark, sf_dir):
     """The postings themselves: how often each chunk holds each term."""
-    return spark.read.parquet(f"{lexical_index(spark, sf_dir, document_chunks)}/terms").groupBy("term", "id", "repo_source", "doc_len").agg(F.count("*").alias("times"))
+    found = postings.blocks(spark, lexical_index(spark, sf_dir, document_chunks)).filter(~F.col("term").startswith("="))
+    return found.select("term", "repo_source", "span", F.explode("posts").alias("p")).select("term", (F.col("span") * postings.SPAN + F.col("p.off")).alias("id"), "repo_source", F.col("p.times").cast("long").alias("times"), F.col("p.len").alias("doc_len"))
 
 
 @query("WITH t AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id FROM t WHERE list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thin') AND NOT list_contains(regexp_extract_all(x, '[a-z0-9\\x{80}-\\x{10FFFF}]+'), 'thre')")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import model
 from .functions.stem import stem
-from .operators import index, source_window
+from .operators import index, postings, source_window
 from .sources import config, store
 from .streaming import answer
 
@@ -74,10 +74,11 @@ class Engine:
     is_ready: Callable[[], bool] = lambda: True
     shutting_down: bool = False
     stems: Callable[[str], str] | None = stem  # as the table was indexed
+    lexical_index: Callable[[str | None], str | None] = lambda repo: None  # folder of the inverted index, where it covers what is asked for
 
     def chat(self, body: bytes, deadline: answer.Deadline):
         messages, options = chat_request(body)
-        events = answer.answer(self.chunks(), messages, self.embed, self.generate, options, deadline, self.stems)
+        events = answer.answer(self.chunks(), messages, self.embed, self.generate, options, deadline, self.stems, self.lexical_index(options.repo_source))
         return answer.frames(events, deadline, lambda: self.spark.sparkContext.cancelJobsWithTag(deadline.tag))
 
     def source(self, query: str) -> dict | None:
@@ -171,7 +172,11 @@ def engine_of(spark: SparkSession, settings: config.Settings) -> Engine:
         expected = spark.createDataFrame([(name,) for name in config.MIGRATIONS], "name string")
         return config.ready(expected, config.applied_migrations(spark, ledger), False)
 
-    return Engine(spark, lambda: store.read_chunks(spark, table), index.HashingEmbedder(), is_ready=is_ready)
+    def lexical_index(repo: str | None) -> str | None:
+        folder = f"{settings.table_uri}/postings"
+        return folder if postings.covers(spark, folder, table, repo) else None
+
+    return Engine(spark, lambda: store.read_chunks(spark, table), index.HashingEmbedder(), is_ready=is_ready, lexical_index=lexical_index)
 
 
 def drain(server: ThreadingHTTPServer, engine: Engine) -> None:

@@ -84,8 +84,12 @@ def build_contents(messages: Sequence[dict], context_text: str) -> list[dict]:
     return [{"role": "model" if m["role"] == "assistant" else "user", "text": f"{model.CONTEXT_MARKER}\n{context_text}\n\n{m['content']}" if k == asked else m["content"]} for k, m in enumerate(kept)]
 
 
-def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequence[str]], list[list[float]]], generate: Callable = Extractive(), options: model.SearchOptions = model.SearchOptions(), deadline: Deadline | None = None, stems: Callable[[str], str] | None = stem) -> Iterator[dict]:
-    """Events of one request, each a dict with ``type``.  ``stems``: as the table was indexed (stored tables hold stems)."""
+def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequence[str]], list[list[float]]], generate: Callable = Extractive(), options: model.SearchOptions = model.SearchOptions(), deadline: Deadline | None = None, stems: Callable[[str], str] | None = stem, lexical_index: str | None = None) -> Iterator[dict]:
+    """Events of one request, each a dict with ``type``.
+
+    ``stems``: as the table was indexed (stored tables hold stems).  ``lexical_index``: folder of the table's postings, which
+    are read instead of all chunks.
+    """
     deadline, begun, said = deadline or Deadline(), time.monotonic(), ""
     spark = chunks.sparkSession
 
@@ -101,7 +105,7 @@ def answer(chunks: DataFrame, messages: Sequence[dict], embed: Callable[[Sequenc
         deadline.check()
         vector = embed([question])[0]
         deadline.check()
-        found = search.hybrid_search(chunks, vector, question, options, stems)
+        found = search.hybrid_search(chunks, vector, question, options, stems, lexical_index)
         ranked = [r.asDict() | {"pos": k} for k, r in enumerate(found.collect())]  # at most top_k rows
         trace = []
         if ranked:
