@@ -17,6 +17,7 @@ from ..functions import lexical, text
 from ..model import SearchOptions
 from ..operators import ann, chunk_generic, chunking, citations, context, history, index, postings, search, source_window
 from ..sources import config, store, walk
+from ..streaming import sessions
 from ..workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,6 +294,42 @@ def sse_parse(spark, sf_dir):
     return parse_frame_table(streams, "user_id", "buffer")
 
 
+# --- sessions as a stateful stream ----------------------------------------------------------------
+
+
+def _sessions(spark, sf_dir):
+    """The conversations as received event streams, cut into reads that arrive over three batches and not in order."""
+    frame = F.concat(F.when(F.col("turn") % 3 == 1, ": ping\n\n").otherwise(""), text.sse_frame(F.struct(F.lit("token").alias("type"), "text")))
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("frame")))), lambda t: t["frame"]), "")
+    end = F.when(F.col("conv_id") % 3 == 0, 'data: {"type":"done"}\n\ndata: {"type":"token","text":"late"}\n\n').otherwise('data: {"type":"tok')
+    streams = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("text")).select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.concat("text", end).alias("text"))
+    work = Workspace(spark, "sessions")
+    reads = work.table(sessions.cut(streams, 400), "cut")
+    for k in range(3):
+        reads.filter(F.pmod(F.xxhash64("session_id", "seq"), F.lit(3)) == k).write.mode("append").parquet(work.path("reads"))
+    clock = spark.range(2, numPartitions=1).select(F.lit("clock").alias("session_id"), F.col("id").cast("int").alias("seq"), F.timestamp_seconds(F.lit(1_700_003_600)).alias("ts"), F.lit(": ping\n\n").alias("piece"))
+    clock.write.mode("append").parquet(work.path("reads"))
+    files = len(spark.read.parquet(work.path("reads")).inputFiles())
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", max(1, (files - 1) // 3)).parquet(work.path("reads"))
+    sessions.run(stream, work.path("events"), work.path("checkpoint"))
+    return spark.read.schema("session_id string, place int, type string, event string").parquet(work.path("events")).filter("session_id <> 'clock'")
+
+
+_SESSIONS = """WITH t AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, text FROM conversations),
+e AS (SELECT session_id, place, 'token' AS type, coalesce(text, '') AS text FROM t UNION ALL SELECT conv_id::VARCHAR, count(*), CASE WHEN conv_id % 3 = 0 THEN 'done' ELSE 'cancelled' END, NULL FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"{_SESSIONS} SELECT session_id, place::INT AS place, type, md5(text) AS text_md5 FROM e")
+def session_events(spark, sf_dir):
+    said = F.coalesce(F.get_json_object("event", "$.text"), F.when(F.col("type") == "token", F.lit("")))
+    return _sessions(spark, sf_dir).select("session_id", "place", "type", F.md5(said).alias("text_md5"))
+
+
+@query(f"{_SESSIONS} SELECT session_id, max(type) FILTER (type <> 'token') AS status, md5(string_agg(text, '' ORDER BY place)) AS text_md5, count(*)::INT AS events FROM e GROUP BY session_id")
+def session_states(spark, sf_dir):
+    return sessions.states(_sessions(spark, sf_dir)).select("session_id", "status", F.md5("text").alias("text_md5"), "events")
+
+
 # --- chunking -------------------------------------------------------------------------------------
 
 
