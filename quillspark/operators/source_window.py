@@ -1,10 +1,16 @@
-"""Lines of a file as stored blocks and the gaps between them; for one request or a table of them."""
+"""Lines of a file as stored blocks and the gaps between them; for one request or a table of them.
+
+Blocks and requests meet in bins of lines, so one huge file is many keys.  A block is listed at one level, that of the narrowest bins
+of which it touches at most two (a block beyond the widest level in as many as it needs); a request, which is narrow, is listed at every level.
+A pair is kept in the first bin that both touch, so nothing comes twice and nothing has to be made distinct.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions import text
 
 
@@ -13,10 +19,33 @@ def requested(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", "repo_source", "file_path", F.col("start_line").alias("from_line"), text.clamp_end("start_line", "end_line").alias("to_line"))
 
 
+#: Lines of a bin at the lowest level; each level's bins are ``STEP`` times as wide.
+BIN, STEP, LEVELS = model.MAX_SOURCE_LINES, 8, 6
+
+
+def _width(level: Column) -> Column:
+    return (F.lit(BIN) * F.element_at(F.array(*[F.lit(STEP**k) for k in range(LEVELS)]), level + 1)).cast("long")
+
+
+def _bin(line: Column, level: Column) -> Column:
+    return F.floor(line / _width(level))
+
+
 def blocks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Blocks that overlap the range, whole, in order of start line and part."""
-    meet = chunks.join(requested(requests), ["repo_source", "file_path"])
-    return meet.filter((F.col("end_line") >= F.col("from_line")) & (F.col("start_line") <= F.col("to_line")))
+    """Blocks that overlap the range, whole.  A block or range that ends before it starts meets nothing but what holds both its lines."""
+    long = F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(long < BIN * STEP**k, k).otherwise(level)
+    first, last = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
+    listed = chunks.withColumn("__level", level).withColumn("__bin", F.explode(F.sequence(_bin(first, F.col("__level")), _bin(last, F.col("__level")))))
+    levels = F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))
+    asked = requested(requests).withColumn("__level", levels)
+    low, high = F.least("from_line", "to_line"), F.greatest("from_line", "to_line")
+    asked = asked.withColumn("__bin", F.explode(F.sequence(_bin(low, F.col("__level")), _bin(high, F.col("__level")))))
+    meet = listed.join(asked, ["repo_source", "file_path", "__level", "__bin"])
+    once = F.col("__bin") == F.greatest(_bin(first, F.col("__level")), _bin(low, F.col("__level")))
+    return meet.filter(once & (F.col("end_line") >= F.col("from_line")) & (F.col("start_line") <= F.col("to_line"))).drop("__level", "__bin")
 
 
 def gaps(found: DataFrame, requests: DataFrame) -> DataFrame:
