@@ -20,12 +20,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +44,29 @@ _SLICE_CHARS = 512 << 10
 _SAFE = re.compile("[a-z](?= [a-z])")
 
 
+@cache
 def _classes() -> np.ndarray:
-    """Class of every code point, as the pre-token rule sees it."""
+    """Class of every code point, as the library's own pre-token rule sees it (its Unicode tables may be older than Python's).
+
+    Put between a letter and a digit, a letter stays with the one and a digit with the other; put between two
+    other signs, white space stays with neither.  Asked once, on the driver.
+    """
+    from tokenizers import pre_tokenizers
+
+    rule, step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), 1 << 11
     table = np.full(0x110000, _OTHER, np.uint8)
-    for low in range(0, 0x110000, 1 << 12):
-        text = "".join(map(chr, range(low, low + (1 << 12)))) if not 0xD800 <= low < 0xE000 else ""
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-            for found in regex.finditer(pattern, text):
-                table[low + found.start() : low + found.end()] = kind
-    table[0xD800:0xE000] = _OTHER
+
+    def begins(left: str, right: str, low: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a pre-token begins with each code point, and with the sign after it."""
+        starts = np.zeros(3 * step, bool)
+        starts[[at for _, (at, _) in rule.pre_tokenize_str("".join(left + chr(c) + right for c in range(low, low + step)))]] = True
+        return starts[1::3], starts[2::3]
+
+    for low in range(0, 0x110000, step):
+        if not 0xD800 <= low < 0xE000:  # no text has these
+            (alone, after), (apart, _) = begins("a", "1", low), begins("!", "!", low)
+            table[low : low + step] = np.select([~alone, ~after, apart], [_LETTER, _DIGIT, _SPACE], _OTHER)
+    table[0x20] = _SPACE  # the blank alone goes with what follows
     return table
 
 
@@ -63,6 +76,7 @@ class Traits(NamedTuple):
     byte_level: bool
     added: tuple[str, ...]
     width: int
+    classes: bytes  # compressed
 
 
 def traits_of(path: str) -> Traits:
@@ -73,7 +87,7 @@ def traits_of(path: str) -> Traits:
     byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
     added = spec.get("added_tokens", [])
     largest = max([t["id"] for t in added] + [k for k in (model["vocab"].values() if isinstance(model.get("vocab"), dict) else range(len(model.get("vocab", []))))], default=0)
-    return Traits(bool(byte_level), tuple(t["content"] for t in added), 2 if largest < 1 << 16 else 4)
+    return Traits(bool(byte_level), tuple(t["content"] for t in added), 2 if largest < 1 << 16 else 4, zlib.compress(_classes().tobytes()) if byte_level else b"")
 
 
 class _Pieces:
@@ -131,10 +145,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.byte_level, self.added, self.width = traits or traits_of(path)
+        self.byte_level, self.added, self.width, classes = traits or traits_of(path)
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if self.byte_level and Encoder.classes is None:
-            Encoder.classes = _classes()
+            Encoder.classes = np.frombuffer(zlib.decompress(classes), np.uint8)
         #: By the bytes that a character takes in the slice's narrowest form.
         self.memory = {np.dtype(k): _Memory(np.dtype(k), self.width) for k in (np.uint8, np.uint16, np.uint32)}
 

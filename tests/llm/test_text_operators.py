@@ -255,6 +255,16 @@ def test_encoder_is_the_library(texts):
     assert [x.tolist() for x in tokens.Encoder.of(BPE).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_is_the_library_on_every_code_point():
+    """With an ending and with a digit after it; planes without letters by their first and last points."""
+    library, encoder = Tokenizer.from_file(BPE), tokens.Encoder.of(BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or 0xE0000 <= c < 0xE0200 or c & 0xFFFF in (0, 1, 0xFFFE, 0xFFFF))]
+    texts = ["".join(f"{chr(c)}'s {chr(c)}1 " for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    for k in range(0, len(texts), 100):
+        want = [e.ids for e in library.encode_batch(texts[k : k + 100], add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts[k : k + 100])] == want, k
+
+
 def test_encoder_forgets_and_handles_added_tokens(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     library, encoder = Tokenizer.from_file(BPE), tokens.Encoder(BPE)
