@@ -6,6 +6,7 @@ bounded by the slice size plus the longest single document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,13 +187,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of whole rows of about ``limit`` bytes of text; yields rows, bytes, offsets."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, inside: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches into runs of whole rows of about ``limit`` bytes of text; yields rows, bytes, offsets.
+
+    ``inside``: the struct column that holds the text, where whole rows are carried and their text is not sent twice.
+    """
     for batch in batches:
-        data, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+        held = batch.column(batch.schema.get_field_index(inside or column))
+        data, offsets = text_bytes(pc.struct_field(held, column) if inside else held)
+        del held
         at, n = 0, batch.num_rows
         while at < n:
             to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del batch, data, offsets
+    _give_back()
+
+
+def _give_back() -> None:
+    """A worker that waits for its next task keeps no freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -31,9 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..workspace import Workspace
 from .bytetext import LOWER, Texts, byte_class, distinct_spans, slices
+from .lookup import whole_row
 
 NOT_WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WINDOW = 13
@@ -148,10 +150,10 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], machines, finds_only: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], machines, finds_only: bool, inside: str | None = None) -> Iterator[pa.RecordBatch]:
     """The columns but the text, spans, items and n_words; of all rows, or of those with a find."""
     found_by, names = machines.value
-    for rows, data, offsets in slices(batches):
+    for rows, data, offsets in slices(batches, inside=inside):
         data = LOWER[data]
         texts, lowered = Texts(data, offsets, NOT_WORD), data.tobytes()
         hashes = texts.hashes()
@@ -199,9 +201,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))  # about pass_bytes
 
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_FOUND}"
     if passes == 1:
-        return rows.mapInArrow(partial(_scan, machines=machines(0), finds_only=False), schema).select(F.col("row").alias(id_col), "n_words", "spans", "items")
+        inside = "row" if text_col == f"{id_col}.text" else None  # the text comes with the row: it is not sent twice
+        rows = rows.select("row") if inside else rows
+        schema = StructType([rows.schema["row"], *StructType.fromDDL(_FOUND)])
+        return rows.mapInArrow(partial(_scan, machines=machines(0), finds_only=False, inside=inside), schema).select(F.col("row").alias(id_col), "n_words", "spans", "items")
 
     work = work or Workspace(spark, "decontam")
     name = [F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1")]
@@ -215,7 +219,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     finds = work.table(finds.groupBy("t0", "t1").agg(_joined_spans(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "finds")  # a list a pass
     none = spark.sparkContext.broadcast(([], []))
     counted = rows.select(F.struct("row", *name).alias("row"), "text")
-    counted = counted.mapInArrow(partial(_scan, machines=none, finds_only=False), f"row {counted.schema['row'].dataType.simpleString()}, {_FOUND}").select("row.*", "n_words")
+    counted = counted.mapInArrow(partial(_scan, machines=none, finds_only=False), StructType([counted.schema["row"], *StructType.fromDDL(_FOUND)])).select("row.*", "n_words")
     few = F.broadcast(finds) if finds.count() <= BROADCAST_FINDS else finds
     empty = {"spans": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), "items": F.expr("cast(array() as array<string>)")}
     return counted.join(few, ["t0", "t1"], "left").select(F.col("row").alias(id_col), "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
@@ -232,6 +236,6 @@ def verdicts(found: DataFrame, percent: int = 5) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns, as they are) that are not contaminated; no join."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
-    found = verdicts(find_contamination(rows, benchmark, id_col="__row", **options))
+    rows = docs.select(whole_row(docs).alias("__row"))
+    found = verdicts(find_contamination(rows, benchmark, id_col="__row", text_col="__row.text", **options))
     return found.filter(~F.col("contaminated")).select("__row.*")

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[column(c) for c in df.columns])
+
+
 def rows_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table from the driver: one literal, whatever its length."""
     one = spark.range(0, 1, 1, 1)

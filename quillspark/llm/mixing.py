@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .lookup import inside, rows_of, small
+from .lookup import column, inside, rows_of, small, whole_row
 
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
 #: Buckets of so many times ``BUCKET_ROWS`` are dealt out.
@@ -96,7 +96,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
         raise ValueError("weights are integers of at least 1")
     spark = docs.sparkSession
     work = work or Workspace(spark, "mixing")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
+    packed = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
 
     wanted = rows_of(spark, [{"source": s, "w": w} for s, w in weights.items()] or [{"source": None, "w": None}], "source: string, w: bigint")
     counts = packed.groupBy("source").agg(F.count("*").alias("n")).join(small(wanted), "source", "left")
@@ -155,7 +155,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
 
 def mix(docs: DataFrame, weights: dict[str, int], file_bytes: int = FILE_BYTES, **options) -> DataFrame:
     """The rows of ``docs`` in mixed order: files and rows within them follow the positions."""
-    placed, widths = schedule(docs, weights, **options), [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in docs.dtypes if kind in ("string", "binary")]
+    placed, widths = schedule(docs, weights, **options), [F.coalesce(F.octet_length(column(c)), F.lit(0)) for c, kind in docs.dtypes if kind in ("string", "binary")]
     n, size = docs.agg(F.count("*"), F.sum(sum(widths, F.lit(0).cast("long")))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // file_bytes + 1)
     part = F.floor(F.col("position") * parts / max(n, 1)).cast("int")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, Texts, byte_class, mix, slices, window_hashes
+from .lookup import whole_row
 
 #: Largest share of word characters inside later occurrences of an n-gram, by n (limits published for web text).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -138,9 +139,13 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float], lin
     }
 
 
-def _judge(batches: Iterator[pa.RecordBatch], limits: dict[int, float], line_limit: float) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in slices(batches):
+def _judge(batches: Iterator[pa.RecordBatch], limits: dict[int, float], line_limit: float, inside: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns but the text, and the figures; with ``inside`` the struct column alone, of the rows that are kept."""
+    for rows, data, offsets in slices(batches, inside=inside):
         figures = measure(data, offsets, limits, line_limit)
+        if inside:
+            yield pa.RecordBatch.from_arrays([rows.column(0)], names=[inside]).filter(pa.array(figures["kept"]))
+            continue
         others = [name for name in rows.schema.names if name != "text"]
         yield pa.RecordBatch.from_arrays(
             [rows.column(rows.schema.get_field_index(c)) for c in others] + [pa.array(v) for v in figures.values()],
@@ -155,8 +160,7 @@ def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return slim.mapInArrow(partial(_judge, limits=limits or NGRAM_LIMITS, line_limit=line_limit), f"doc_id {id_type}, {SCHEMA}")
 
 
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns, as they are) whose text is kept; judged row by row, so no join."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = repetition_quality(docs.select(row.alias("doc_id"), F.col("text")), **options)
-    return judged.filter("kept").select("doc_id.*")
+def filter_quality(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` (all columns, as they are) whose ``text`` is kept; judged row by row, so no join."""
+    rows = docs.select(whole_row(docs).alias("row"))
+    return rows.mapInArrow(partial(_judge, limits=limits or NGRAM_LIMITS, line_limit=line_limit, inside="row"), rows.schema).select("row.*")

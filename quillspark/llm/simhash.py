@@ -60,6 +60,7 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 from .bytetext import ASCII_LOWER, LOWER, SPACE, Texts, mix, slices, span_hashes, window_hashes
 from .components import connected_components
+from .lookup import whole_row
 
 BLOCKS, BITS = 4, 16
 #: From so many distinct fingerprints in one block key the ball way is cheaper than pairs.
@@ -380,7 +381,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[in
 
     go = work.table(found.filter("not stays").select("doc_id", "t0", "t1").distinct(), "go")
     repeated = work.table(found.filter("stays").groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "t0", "t1"), "repeated")
-    packed = docs.select(*_named(docs, "doc_id", "text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select(*_named(docs, "doc_id", "text"), whole_row(docs).alias("row"))
     known = matching(packed, go, "left_anti")
     if repeated.isEmpty():
         return known.select("row.*")

@@ -8,7 +8,7 @@ import corpus_pipeline
 from quillspark.llm import decontam, mixing, quality, simhash
 from quillspark.llm.queries import QUERIES, WEIGHTS
 
-from .helpers import words
+from .helpers import odd_docs, words
 from .test_mixing_sharding import plain_segments
 from .test_similar import brute
 from .test_text_operators import base_figures, plain_hits, repeated_share
@@ -130,4 +130,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
 
 
 def test_all_queries_are_there():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 13))
+
+
+def test_columns_with_backticks(spark):
+    docs = odd_docs(spark).withColumnRenamed("fp", "a`b.c")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.mix_sources):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.count() >= 0
