@@ -23,11 +23,9 @@ from ..functions import lexical
 from ..functions.stem import stem_words
 from ..sources import store
 from ..workspace import Workspace
-from . import postings
+from . import postings, vector_cache
 from .search import norm
 
-CACHE_SCHEMA = "content_hash string, model string, vector array<float>"
-
 
 class EmbedError(RuntimeError):
     """kind: rate-limit, daily-quota, aborted or other."""
@@ -100,8 +98,8 @@ def distinct_contents(chunks: DataFrame) -> DataFrame:
 
 
 def with_cache(contents: DataFrame, cache: DataFrame, embed_model: str) -> DataFrame:
-    """Adds ``vector``: the cached one of this model, or null (a miss)."""
-    known = cache.filter(F.col("model") == embed_model).groupBy("content_hash").agg(F.min("vector").alias("vector"))  # two runs at once may have cached one twice
+    """Adds ``vector``: the cached one of this model, or null (a miss).  ``cache``: one row a hash."""
+    known = cache.filter(F.col("model") == embed_model).select("content_hash", "vector")
     return contents.join(known, "content_hash", "left")
 
 
@@ -110,11 +108,6 @@ def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.filter(F.col("vector").isNotNull()).select("content_hash", F.col("vector").alias("embedding")), "content_hash")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    fs, where = store.hadoop(spark, path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path) if fs.exists(where) else spark.createDataFrame([], CACHE_SCHEMA)
-
-
 @dataclass(frozen=True)
 class IndexReport:
     total_chunks: int
@@ -142,7 +135,7 @@ def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embe
     work = Workspace(spark, "index")
     try:
         chunks = work.table(chunks, "chunks")
-        known = work.table(with_cache(distinct_contents(chunks), read_cache(spark, cache_path), embed_model), "known")
+        known = work.table(with_cache(distinct_contents(chunks), vector_cache.read(spark, cache_path), embed_model), "known")
         missing = known.filter(F.col("vector").isNull())
         new = missing.select("content_hash", "embed_text").coalesce(model.CONCURRENCY).mapInArrow(partial(_embed, embedder=embedder or HashingEmbedder(dim), dim=dim), "content_hash string, vector array<float>")
         new = work.table(new, "new")
@@ -153,7 +146,7 @@ def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embe
         deleted, inserted = store.replace_chunks(spark, table, repo, stored_rows(rows, repo, 0 if top is None else top + 1))
         if postings_path:
             postings.replace(store.read_chunks(spark, table, repo), postings_path, repo)
-        new.withColumn("model", F.lit(embed_model)).select("content_hash", "model", "vector").write.mode("append").parquet(cache_path)
+        vector_cache.append(new.withColumn("model", F.lit(embed_model)), cache_path)
         return IndexReport(counts["total"] or 0, counts["unique"], counts["hits"], counts["unique"] - counts["hits"], deleted, inserted)
     finally:
         work.drop()
