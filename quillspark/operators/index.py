@@ -23,7 +23,7 @@ from ..functions import lexical
 from ..functions.stem import stem_words
 from ..sources import store
 from ..workspace import Workspace
-from . import postings, vector_cache
+from . import postings, quota, vector_cache
 from .search import norm
 
 
@@ -85,11 +85,30 @@ def _embed(batches: Iterator[pa.RecordBatch], embedder: Callable, dim: int) -> I
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["content_hash", "vector"])
 
 
-def embed_contents(contents: DataFrame, embedder: Callable, dim: int, tasks: int | None = None) -> DataFrame:
-    """content_hash, vector of rows content_hash, embed_text; ``tasks``: how many call the service at once (None: as many as there are)."""
-    rows = contents.select("content_hash", "embed_text")
+def _vectors(texts: Sequence[str], vectors: Sequence, dim: int) -> pa.Array:
+    if len(vectors) != len(texts) or any(v is None or len(v) != dim for v in vectors):
+        raise EmbedError("other", f"expected {len(texts)} vectors of {dim} values")
+    return pa.array(vectors, pa.list_(pa.float32()))
+
+
+def _refused(error: Exception, attempt: int) -> float | None:
+    """Seconds until another try; only rate limits are tried again."""
+    if not isinstance(error, EmbedError) or error.kind != "rate-limit":
+        return None
+    return wait_ms(attempt, error.retry_after_ms, model.BASE_DELAY_MS) / 1000
+
+
+def embed_contents(contents: DataFrame, embedder: Callable, dim: int, tasks: int | None = None, per_minute: int | None = None, minute: float = 60.0) -> DataFrame:
+    """content_hash, vector of rows content_hash, embed_text.
+
+    ``tasks``: how many call the service at once (None: as many as there are).  ``per_minute``: texts that the service takes within
+    ``minute`` seconds from all tasks together; without it each task tries again on its own when it is refused.
+    """
+    rows, schema = contents.select("content_hash", "embed_text"), "content_hash string, vector array<float>"
+    if per_minute is not None:
+        return quota.mapped(rows, embedder, partial(_vectors, dim=dim), _refused, schema, tasks or model.CONCURRENCY, per_minute, minute)
     rows = rows if tasks is None else rows.repartition(tasks)
-    return rows.mapInArrow(partial(_embed, embedder=embedder, dim=dim), "content_hash string, vector array<float>")
+    return rows.mapInArrow(partial(_embed, embedder=embedder, dim=dim), schema)
 
 
 def distinct_contents(chunks: DataFrame) -> DataFrame:
@@ -126,19 +145,18 @@ def stored_rows(chunks: DataFrame, repo: str, first_id: int) -> DataFrame:
     return ready.select(*[f.split(" ")[0] for f in model.STORED.split(", ")])
 
 
-def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embed_model: str = "hashing", embedder: Callable | None = None, dim: int = model.EMBEDDING_DIM, postings_path: str | None = None) -> IndexReport:
+def index_chunks(chunks: DataFrame, repo: str, table: str, cache_path: str, embed_model: str = "hashing", embedder: Callable | None = None, dim: int = model.EMBEDDING_DIM, postings_path: str | None = None, per_minute: int | None = None) -> IndexReport:
     """``chunks``: chunk rows with ``seq`` (their order).  All or nothing: a failure stores and caches nothing.
 
     ``postings_path``: where the inverted index is kept in step with the table; the repository's segment is replaced after its rows.
+    ``per_minute``: the service's quota of texts, shared by all tasks.
     """
     spark = chunks.sparkSession
     work = Workspace(spark, "index")
     try:
         chunks = work.table(chunks, "chunks")
         known = work.table(with_cache(distinct_contents(chunks), vector_cache.read(spark, cache_path), embed_model), "known")
-        missing = known.filter(F.col("vector").isNull())
-        new = missing.select("content_hash", "embed_text").coalesce(model.CONCURRENCY).mapInArrow(partial(_embed, embedder=embedder or HashingEmbedder(dim), dim=dim), "content_hash string, vector array<float>")
-        new = work.table(new, "new")
+        new = work.table(embed_contents(known.filter(F.col("vector").isNull()), embedder or HashingEmbedder(dim), dim, model.CONCURRENCY, per_minute), "new")
         vectors = known.filter(F.col("vector").isNotNull()).select("content_hash", "vector").union(new)
         rows = store.first_wins(attach(chunks, vectors), ["content_hash"], ["seq"])
         counts = known.agg(F.count("*").alias("unique"), F.count("vector").alias("hits"), F.sum("copies").alias("total")).first()
