@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import lexical, text
+from ..functions import lexical, tables, text
 from ..model import SearchOptions
-from ..operators import ann, chunk_generic, chunking, citations, context, history, index, postings, search, source_window
+from ..operators import ann, chunk_generic, chunking, citations, context, history, index, postings, search, source_window, vector_cache
 from ..sources import config, store, walk
 from ..streaming import sessions
 from ..workspace import Workspace
@@ -388,6 +388,21 @@ def generic_chunks(spark, sf_dir):
     return chunking.explode_chunks(chunking.chunk_files(files)).select("file_path", "symbol_name", "start_line", "end_line", "part_index", "part_total", "content_hash")
 
 
+@query(ORACLES["generic_chunks"])
+def lateral_chunks(spark, sf_dir):
+    """The chunker as a table function of SQL."""
+    tables.register(spark)
+    files = _braced(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("path"), F.col("text").alias("source"))
+    found = spark.sql("SELECT c.* FROM {files} f, LATERAL chunks(f.path, f.source) c", files=files)
+    return found.withColumn("content_hash", text.content_hash()).select("file_path", "symbol_name", "start_line", "end_line", "part_index", "part_total", "content_hash")
+
+
+@query(ORACLES["line_windows"])
+def lateral_windows(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, w.* FROM {documents} d, LATERAL windows(d.text, 100) w", documents=table(spark, sf_dir, "documents"))
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, k, ls[k] AS line, trim(ls[k], ' \t') <> '' AND NOT regexp_matches(ls[k], '^[ \\t]') AS top FROM l, unnest(range(1, len(ls) + 1)) t(k)),
 b AS (SELECT doc_id, k, line, greatest(sum(CASE WHEN top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k), 1) AS block FROM u),
 g AS (SELECT doc_id, min(k)::INT AS start_line, max(k)::INT AS end_line, string_agg(line, chr(10) ORDER BY k) AS content FROM b GROUP BY doc_id, block)
@@ -451,6 +466,24 @@ def cache_hit_miss(spark, sf_dir):
     return index.with_cache(index.distinct_contents(hashed), _cache(hashed), "m").select("content_hash", F.col("vector").isNotNull().alias("hit"))
 
 
+@query(f"WITH {_CACHED} SELECT content_hash, CASE WHEN first % 3 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN first % 3 = 0 THEN first * 2.0 ELSE first END::DOUBLE AS value FROM h")
+def cache_upsert(spark, sf_dir):
+    """The bucketed cache after two runs: one row a hash, the later model's."""
+    work = Workspace(spark, "cache")
+    firsts = work.table(_hashed(spark, sf_dir).groupBy("content_hash").agg(F.min("seq").alias("first")), "firsts")
+    made = lambda rows, name, scale: rows.select("content_hash", F.lit(name).alias("model"), F.array((F.col("first") * scale).cast("float")).alias("vector"))
+    vector_cache.append(made(firsts, "old", 1), work.path("vectors"))
+    vector_cache.append(made(firsts.filter("first % 3 = 0"), "new", 2), work.path("vectors"))
+    return vector_cache.read(spark, work.path("vectors")).select("content_hash", "model", F.col("vector")[0].cast("double").alias("value"))
+
+
+@query("SELECT sha256(text) AS content_hash, 8 AS size FROM documents GROUP BY text")
+def embed_under_quota(spark, sf_dir):
+    """Every distinct content embedded by two barrier tasks that share a quota."""
+    made = index.embed_contents(index.distinct_contents(_hashed(spark, sf_dir)), index.HashingEmbedder(8), 8, tasks=2, per_minute=5_000_000, minute=0.01)
+    return made.select("content_hash", F.size("vector").alias("size"))
+
+
 @query(f"WITH {_CACHED} SELECT sum(copies)::BIGINT AS total_chunks, count(*)::BIGINT AS unique_hashes, count(*) FILTER (first % 6 = 0)::BIGINT AS cache_hits, count(*) FILTER (first % 6 <> 0)::BIGINT AS embedded FROM h")
 def index_report(spark, sf_dir):
     hashed = _hashed(spark, sf_dir)
@@ -596,6 +629,12 @@ def citation_lookup(spark, sf_dir):
     return citations.lookup(checked, "doc_id").select("doc_id", "raw", "valid")
 
 
+@query(f"{_CITED} SELECT doc_id, place::INT AS place, raw, file_path, start_line::INT AS start_line, end_line::INT AS end_line FROM c")
+def lateral_citations(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT a.doc_id, c.* FROM {answers} a, LATERAL citations(a.answer) c", answers=_answers(spark, sf_dir))
+
+
 @query(f"{_CITED}, p AS (SELECT doc_id, place * 2 + 1 AS place, 'citation' AS type, raw AS text FROM c UNION ALL SELECT doc_id, 0, 'text', 'see ' FROM a UNION ALL SELECT doc_id, 2, 'text', ' at 10:30, ' FROM a UNION ALL SELECT doc_id, 4, 'text', ' and ' FROM a UNION ALL SELECT doc_id, 6, 'text', '.' FROM a) SELECT doc_id, place::INT AS place, type, text FROM p")
 def citation_segments(spark, sf_dir):
     answers = _answers(spark, sf_dir)
