@@ -419,6 +419,48 @@ def tsjs_chunks(spark, sf_dir):
     return chunking.explode_chunks(chunking.chunk_files(files)).select("file_path", "symbol_name", "kind", "signature", "js_doc", "start_line", "end_line", "part_index", "part_total", "is_exported")
 
 
+#: Files of seven forms; ID is the document's id, BODY its text with anything but letters as blanks.
+_FORMS = [
+    "/** doc */\nexport function fID(a: number): string {\n  return `BODY`;\n}\n",
+    "import { x } from './x';\n\n/** C doc */\nexport class CID {\n  /** m doc */\n  mID(a: number): number {\n    // BODY\n    return a;\n  }\n}\n",
+    "export interface IID {\n  a: string;\n}\n// BODY\nexport type TID = string | number;\n",
+    "export enum EID {\n  A,\n  B, // BODY\n}\nexport const gID = (a: number) => {\n  return \"BODY\";\n};\n",
+    "export * from './aID';\nfunction hID() {\n  return 'BODY';\n}\n",
+    "// BODY\nconsole.log('BODY');\n",
+    "export function brokenID( {\n  return 'BODY';\n",
+]
+_FORM_SQL = "[" + ", ".join("'" + f.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for f in _FORMS) + "]"
+_BIG = 4 * model.MAX_CHUNK_TOKENS
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, doc_id % 7 AS form, regexp_replace(text, '[^A-Za-z]', ' ', 'g') AS b FROM documents),
+f AS (SELECT id, form, b, string_split(replace(replace({_FORM_SQL}[form + 1], 'ID', id::VARCHAR), 'BODY', b), chr(10)) AS ls FROM d),
+one AS (SELECT id, 'function' AS kind, 'f' || id AS symbol_name, 'export function f' || id || '(a: number): string' AS signature, '/** doc */' AS js_doc, NULL::VARCHAR AS parent_symbol, true AS is_exported, ls, 2 AS s, 4 AS e, 3 AS s2, 3 AS e2 FROM f WHERE form = 0
+ UNION ALL SELECT id, 'function', 'h' || id, 'function h' || id || '()', NULL::VARCHAR, NULL::VARCHAR, false, ls, 2, 4, 3, 3 FROM f WHERE form = 4
+ UNION ALL SELECT id, 'interface', 'I' || id, 'export interface I' || id, NULL::VARCHAR, NULL::VARCHAR, true, ls, 1, 3, 1, 3 FROM f WHERE form = 2
+ UNION ALL SELECT id, 'type-alias', 'T' || id, 'export type T' || id || ' = string | number', NULL::VARCHAR, NULL::VARCHAR, true, ls, 5, 5, 5, 5 FROM f WHERE form = 2
+ UNION ALL SELECT id, 'enum', 'E' || id, 'export enum E' || id || ' {{ A, B }}', NULL::VARCHAR, NULL::VARCHAR, true, ls, 1, 4, 1, 4 FROM f WHERE form = 3
+ UNION ALL SELECT id, 'const', 'g' || id, 'const g' || id || ' = (a: number) => …', NULL::VARCHAR, NULL::VARCHAR, true, ls, 5, 7, 5, 7 FROM f WHERE form = 3),
+single AS (SELECT id, kind, symbol_name, signature, js_doc, parent_symbol, is_exported, CASE WHEN big THEN s2 ELSE s END AS start_line, CASE WHEN big THEN e2 ELSE e END AS end_line, 1 AS part_index, 1 AS part_total, array_to_string(CASE WHEN big THEN ls[s2:e2] ELSE ls[s:e] END, chr(10)) AS content
+ FROM (SELECT *, length(array_to_string(ls[s:e], chr(10))) > {_BIG} AS big FROM one)),
+c AS (SELECT *, length(array_to_string(ls[4:10], chr(10))) > {_BIG} AS big FROM f WHERE form = 1),
+class AS (SELECT id, 'class', 'C' || id, 'export class C' || id, '/** C doc */', NULL::VARCHAR, true, 4, CASE WHEN big THEN 4 ELSE 10 END, 1, CASE WHEN big THEN 2 ELSE 1 END, array_to_string(CASE WHEN big THEN ls[4:4] ELSE ls[4:10] END, chr(10)) FROM c
+ UNION ALL SELECT id, 'method', 'm' || id, 'm' || id || '(a: number): number', '/** m doc */', 'C' || id, true, 6, 9, 2, 2, ltrim(array_to_string(ls[6:9], chr(10))) FROM c WHERE big),
+w AS (SELECT id, form, ls, 1::BIGINT AS k, 1::BIGINT AS s, length(ls[1])::BIGINT AS held FROM f WHERE form > 4
+ UNION ALL SELECT id, form, ls, k + 1, CASE WHEN held + 1 + length(ls[k + 1]) > {_BIG} THEN k + 1 ELSE s END, CASE WHEN held + 1 + length(ls[k + 1]) > {_BIG} THEN length(ls[k + 1]) ELSE held + 1 + length(ls[k + 1]) END FROM w WHERE k < len(ls)),
+g AS (SELECT id, form, any_value(ls) AS ls, s, max(k) AS e FROM w GROUP BY id, form, s),
+whole AS (SELECT id, CASE WHEN form = 5 THEN 'file' ELSE 'window' END, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false, s, CASE WHEN form = 5 AND n = 1 THEN 2 ELSE e END, row_number() OVER (PARTITION BY id ORDER BY s), n, array_to_string(ls[s:e], chr(10)) FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM g)),
+every AS (SELECT * FROM single UNION ALL SELECT * FROM class UNION ALL SELECT * FROM whole)
+SELECT id || '.ts' AS file_path, kind, symbol_name, signature, js_doc, parent_symbol, is_exported, start_line::INT AS start_line, end_line::INT AS end_line, part_index::INT AS part_index, part_total::INT AS part_total, md5(content) AS content_md5 FROM every""")
+def tsjs_declarations(spark, sf_dir):
+    """Every kind of declaration, files without one and files with an error, of all documents; what is over the budget is split."""
+    d = table(spark, sf_dir, "documents").withColumn("form", F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (F.col("doc_id") % 7 + 1).cast("int")))
+    source = F.replace(F.replace("form", F.lit("ID"), F.col("doc_id").cast("string")), F.lit("BODY"), F.regexp_replace("text", "[^A-Za-z]", " "))
+    files = d.select(F.concat("doc_id", F.lit(".ts")).alias("file_path"), source.alias("source"))
+    found = chunking.explode_chunks(chunking.chunk_files(files))
+    return found.select("file_path", "kind", "symbol_name", "signature", "js_doc", "parent_symbol", "is_exported", "start_line", "end_line", "part_index", "part_total", F.md5("content").alias("content_md5"))
+
+
 @query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'failed' WHEN n_chars % 5 = 1 THEN 'degraded' WHEN n_chars % 5 = 2 THEN 'no-declarations' ELSE 'chunked' END AS outcome, doc_id % 13 = 0 AS skipped FROM documents)
 SELECT count(*) FILTER (NOT skipped)::BIGINT AS files_seen, count(*) FILTER (NOT skipped AND outcome = 'chunked')::BIGINT AS files_chunked, count(*) FILTER (NOT skipped AND outcome = 'degraded')::BIGINT AS files_degraded,
 count(*) FILTER (NOT skipped AND outcome = 'no-declarations')::BIGINT AS no_declarations, count(*) FILTER (NOT skipped AND outcome = 'failed')::BIGINT AS files_failed, count(*) FILTER (skipped)::BIGINT AS files_skipped FROM f""")
