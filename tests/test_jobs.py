@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -163,6 +165,24 @@ def test_settings_are_read_and_checked(spark, tmp_path):
         common.settings(spark, f"{root}/jobs/{job.__name__.split('.')[-1]}.json", job.DEFAULTS)
 
 
+def test_command_lines(spark, places):
+    """Each in a program of its own, the second time over a table that has grown."""
+    docs, out, mark = places
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    def call(job, *arguments):
+        done = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--documents", docs, "--config", f"{root}/jobs/{job}.json", *arguments], cwd=root, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        return done.stderr
+
+    add(spark, docs, texts(1, 2))
+    assert "'files': 2" in call("refresh_index", "--out", out, "--checkpoint", mark)
+    add(spark, docs, texts(3))
+    assert "'files': 1" in call("refresh_index", "--out", out, "--checkpoint", mark)
+    assert {r[1] for r in state(spark, out)} == {"s1/1.md", "s2/2.md", "s0/3.md"}
+    assert "'profile': 3" in call("preflight_audit", "--out", f"{out}-audit", "--snapshot", "x")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_jobs_same_as_sql(spark, name):
