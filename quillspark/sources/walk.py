@@ -2,7 +2,11 @@
 
 ``spark.read.format("repo_walk").load(root)`` lists every entry (also names with a leading dot or
 underscore, which Spark's file sources leave out), says why an entry is skipped, and reads the text of
-the others on the executors.
+the others on the executors.  The driver lists the upper folders only, until there are enough of them; executors list what is
+below.  Filters on ``extension`` (equal, in) and ``file_path`` (equal, in, begins with) reach the source where
+``spark.sql.python.filterPushdown.enabled`` and the option ``pushFilters`` are true: what they leave out is not opened, and folders outside a prefix are not listed.
+
+``spark.readStream.format("repo_walk").load(root)`` reads each file again when it has changed: the offset is a modification time.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from .. import model
 
@@ -93,63 +97,154 @@ def skip_reason(name: Column, size: Column, head: Column, symlink: Column | None
     )
 
 
-def entries(root: str) -> Iterator[tuple[str, str, str | None]]:
-    """(relative path, absolute path, reason known from the listing), in order of path."""
-
-    def under(folder: str, prefix: str) -> Iterator[tuple[str, str, str | None]]:
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            path = f"{prefix}{entry.name}"
-            if entry.is_symlink():
-                yield path, entry.path, "symlink"
-            elif entry.is_dir():
-                if entry.name in model.IGNORED_DIRECTORIES:
-                    yield path, entry.path, "ignored-dir"
+def _listed(folder: str, prefix: str) -> Iterator[tuple[str, str, str | None, bool]]:
+    """(relative path, absolute path, reason known from the listing, whether it is a folder to list) of one folder, in order of name."""
+    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+        path = f"{prefix}{entry.name}"
+        if entry.is_symlink():
+            yield path, entry.path, "symlink", False
+        elif entry.is_dir():
+            ignored = entry.name in model.IGNORED_DIRECTORIES
+            yield path, entry.path, "ignored-dir" if ignored else None, not ignored
+        elif entry.is_file():
+            yield path, entry.path, name_rule(entry.name), False
+
+
+def entries(folder: str, prefix: str = "", wanted: Callable[[str], bool] = lambda path: True) -> Iterator[tuple[str, str, str | None]]:
+    """(relative path, absolute path, reason known from the listing), in order of path; ``wanted`` folders only."""
+    for path, absolute, reason, below in _listed(folder, prefix):
+        if not below:
+            yield path, absolute, reason
+        elif wanted(f"{path}/"):
+            yield from entries(absolute, f"{path}/", wanted)
+
+
+class _Part(InputPartition):
+    """Entries that the driver listed, and folders that the executor has to list."""
+
+    def __init__(self, rows: list[tuple[str, str, str | None]], folders: list[tuple[str, str]]):
+        self.rows, self.folders = rows, folders
+
+
+class Wanted:
+    """What of the pushed filters the source decides itself."""
+
+    def __init__(self) -> None:
+        self.extensions: set[str] | None = None
+        self.paths: set[str] | None = None
+        self.prefixes: list[str] = []
+
+    def take(self, f: Filter) -> bool:
+        """Whether the filter is the source's business from now on."""
+        column = getattr(f, "attribute", ())
+        if isinstance(f, (EqualTo, In)) and column in (("extension",), ("file_path",)):
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            name = "extensions" if column == ("extension",) else "paths"
+            held = getattr(self, name)
+            setattr(self, name, values if held is None else held & values)
+            return True
+        if isinstance(f, StringStartsWith) and column == ("file_path",):
+            self.prefixes.append(f.value)
+            return True
+        return False
+
+    def file(self, path: str) -> bool:
+        return (self.extensions is None or extension_of(path.rsplit("/", 1)[-1]) in self.extensions) and (self.paths is None or path in self.paths) and all(path.startswith(x) for x in self.prefixes)
+
+    def folder(self, path: str) -> bool:
+        """``path`` ends in a slash."""
+        return all(path.startswith(x) or x.startswith(path) for x in self.prefixes) and (self.paths is None or any(x.startswith(path) for x in self.paths))
+
+
+def _row(path: str, absolute: str, reason: str | None) -> tuple:
+    extension = extension_of(path.rsplit("/", 1)[-1])
+    language = model.LANGUAGES.get(extension, "unknown")
+    size = source = error = None
+    if reason is None:
+        try:
+            size = os.path.getsize(absolute)
+            if size > model.MAX_FILE_BYTES:
+                reason = "too-large"
+            else:
+                with open(absolute, "rb") as file:
+                    data = file.read()
+                if b"\0" in data[: model.NUL_PROBE_BYTES]:
+                    reason = "binary-content"
                 else:
-                    yield from under(entry.path, f"{path}/")
-            elif entry.is_file():
-                yield path, entry.path, name_rule(entry.name)
+                    source = data.decode("utf-8", "replace").removeprefix("\ufeff")
+        except OSError as problem:
+            error = str(problem)
+    return path, absolute, extension, language, size, reason, source, error
 
-    return under(root, "")
 
+class _Reader(DataSourceReader):
+    def __init__(self, root: str, per_task: int, folders: int):
+        self.root, self.per_task, self.folders, self.wanted = root, per_task, folders, Wanted()
 
-class _Files(InputPartition):
-    def __init__(self, rows: list[tuple[str, str, str | None]]):
-        self.rows = rows
-
+    def partitions(self) -> list[InputPartition]:
+        """Folders level by level, until a level has enough of them."""
+        files: list[tuple[str, str, str | None]] = []
+        level = [("", self.root)]
+        while level and len(level) < self.folders:
+            deeper = []
+            for prefix, absolute in level:
+                for path, below, reason, is_folder in _listed(absolute, prefix):
+                    if is_folder and self.wanted.folder(f"{path}/"):
+                        deeper.append((f"{path}/", below))
+                    elif not is_folder and self.wanted.file(path):
+                        files.append((path, below, reason))
+            level = deeper
+        parts = [_Part(files[k : k + self.per_task], []) for k in range(0, len(files), self.per_task)]
+        return parts + [_Part([], [one]) for one in level] or [_Part([], [])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for row in partition.rows:
+            yield _row(*row)
+        for prefix, absolute in partition.folders:
+            for path, below, reason in entries(absolute, prefix, self.wanted.folder):
+                if self.wanted.file(path):
+                    yield _row(path, below, reason)
+
+
+class _FilteredReader(_Reader):
+    """Spark allows a reader to take filters only where the setting for it is on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        return (f for f in filters if not self.wanted.take(f))
+
+
+class _Changes(DataSourceStreamReader):
+    """Files whose modification time lies after the last offset; deleted files are not told."""
 
-class _Reader(DataSourceReader):
     def __init__(self, root: str, per_task: int):
         self.root, self.per_task = root, per_task
 
-    def partitions(self) -> list[InputPartition]:
-        found = list(entries(self.root))
-        return [_Files(found[k : k + self.per_task]) for k in range(0, len(found), self.per_task)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, absolute, reason in partition.rows:
-            name = path.rsplit("/", 1)[-1]
-            extension = extension_of(name)
-            language = model.LANGUAGES.get(extension, "unknown")
-            size = source = error = None
-            if reason is None:
-                try:
-                    size = os.path.getsize(absolute)
-                    if size > model.MAX_FILE_BYTES:
-                        reason = "too-large"
-                    else:
-                        with open(absolute, "rb") as file:
-                            data = file.read()
-                        if b"\0" in data[: model.NUL_PROBE_BYTES]:
-                            reason = "binary-content"
-                        else:
-                            source = data.decode("utf-8", "replace").removeprefix("﻿")
-                except OSError as problem:
-                    error = str(problem)
-            yield path, absolute, extension, language, size, reason, source, error
+    def _times(self) -> Iterator[tuple[int, tuple[str, str, str | None]]]:
+        for row in entries(self.root):
+            try:
+                yield os.lstat(row[1]).st_mtime_ns, row
+            except OSError:  # gone since it was listed
+                continue
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1}
+
+    def latestOffset(self) -> dict:
+        return {"changed": max((t for t, _ in self._times()), default=-1)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        rows = [row for t, row in self._times() if start["changed"] < t <= end["changed"]]
+        return [_Part(rows[k : k + self.per_task], []) for k in range(0, len(rows), self.per_task)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        return (_row(*row) for row in partition.rows)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class RepoWalk(DataSource):
-    """Options: path (the root folder), filesPerTask."""
+    """Options: path (the root folder), filesPerTask, foldersListed (folders that the driver lists at most, about), pushFilters."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,7 +254,11 @@ class RepoWalk(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("filesPerTask", 128)))
+        kind = _FilteredReader if self.options.get("pushFilters", "false") == "true" else _Reader
+        return kind(self.options["path"], int(self.options.get("filesPerTask", 128)), int(self.options.get("foldersListed", 64)))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Changes(self.options["path"], int(self.options.get("filesPerTask", 128)))
 
 
 def ship(spark: SparkSession, root: str, shared: str) -> str:
@@ -175,5 +274,6 @@ def ship(spark: SparkSession, root: str, shared: str) -> str:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
+    """All entries; filters reach the source where the session's settings allow it."""
     spark.dataSource.register(RepoWalk)
-    return spark.read.format("repo_walk").load(root)
+    return spark.read.format("repo_walk").option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(root)
