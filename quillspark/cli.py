@@ -36,6 +36,7 @@ def main(argv: list[str], spark: SparkSession | None = None, log: Callable[[str]
         chunks = work.table(with_seq(chunking.explode_chunks(files)), "chunks")
         report = chunking.ingest_report(files, entries.filter("skip_reason is not null"), repo.commit).first()
         store.write_json(chunks, args.out)
+        # The labels of the report, as published.
         for name, value in (("Files seen", report.files_seen), ("Chunked", report.files_chunked), ("Degraded", report.files_degraded), ("No declarations", report.no_declarations), ("Failed", report.files_failed), ("Skipped", report.files_skipped), ("Total chunks", report.chunks), ("Commit SHA", report.commit_sha or "(none)")):
             log(f"{name + ':':<16} {value}")
         log(f"Wrote {args.out}")
