@@ -28,7 +28,7 @@ def _generations(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
     fs, where = store.hadoop(spark, path)
     found = []
     for s in fs.listStatus(where) if fs.exists(where) else []:
-        named = re.fullmatch(r"g(\d+)-(\d+)", s.getPath().getName())
+        named = re.match(r"g(\d+)-(\d+)$", s.getPath().getName())
         if named and store.exists(spark, f"{s.getPath().toString()}/_SUCCESS"):
             found.append((int(named[1]), int(named[2]), s.getPath().toString()))
     return sorted(found, reverse=True)
