@@ -3,6 +3,10 @@
 Blocks and requests meet in bins of lines, so one huge file is many keys.  A block is listed at one level, that of the narrowest bins
 of which it touches at most two (a block beyond the widest level in as many as it needs); a request, which is narrow, is listed at every level.
 A pair is kept in the first bin that both touch, so nothing comes twice and nothing has to be made distinct.
+
+Pairs are as many as blocks times requests where many of both lie in one file, so work on single pairs is left to the last step: blocks with
+the same lines meet a request as one row and are told apart behind the join; the requests of a file that many ask for are dealt out to
+tiles, so the pairs of one file are many tasks; gaps come from the lines that are covered, without pairs.
 """
 
 from __future__ import annotations
@@ -31,34 +35,101 @@ def _bin(line: Column, level: Column) -> Column:
     return F.floor(line / _width(level))
 
 
-def blocks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Blocks that overlap the range, whole.  A block or range that ends before it starts meets nothing but what holds both its lines."""
-    long = F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))
+#: Blocks with the same lines that are carried in one row through the join, and requests of a file in one tile.
+PACK, TILE = 256, 4096
+_SPAN = ("repo_source", "file_path", "start_line", "end_line")
+
+
+def _level(long: Column) -> Column:
     level = F.lit(LEVELS - 1)
     for k in reversed(range(LEVELS - 1)):
         level = F.when(long < BIN * STEP**k, k).otherwise(level)
+    return level
+
+
+def _met(spans: DataFrame, asked: DataFrame, *tile: str) -> DataFrame:
+    """Rows of ``spans`` (its lines and other columns) with the requests of the same file and tile that they overlap."""
     first, last = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
-    listed = chunks.withColumn("__level", level).withColumn("__bin", F.explode(F.sequence(_bin(first, F.col("__level")), _bin(last, F.col("__level")))))
-    levels = F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))
-    asked = requested(requests).withColumn("__level", levels)
+    listed = spans.withColumn("__level", _level(F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))))
+    listed = listed.withColumn("__bin", F.explode(F.sequence(_bin(first, F.col("__level")), _bin(last, F.col("__level")))))
+    asked = asked.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)])))
     low, high = F.least("from_line", "to_line"), F.greatest("from_line", "to_line")
     asked = asked.withColumn("__bin", F.explode(F.sequence(_bin(low, F.col("__level")), _bin(high, F.col("__level")))))
-    meet = listed.join(asked, ["repo_source", "file_path", "__level", "__bin"])
+    meet = listed.join(asked.hint("merge") if tile else asked, ["repo_source", "file_path", "__level", "__bin", *tile])
     once = F.col("__bin") == F.greatest(_bin(first, F.col("__level")), _bin(low, F.col("__level")))
-    return meet.filter(once & (F.col("end_line") >= F.col("from_line")) & (F.col("start_line") <= F.col("to_line"))).drop("__level", "__bin")
+    return meet.filter(once & (F.col("end_line") >= F.col("from_line")) & (F.col("start_line") <= F.col("to_line"))).drop("__level", "__bin", *tile)
+
+
+def _all_met(spans: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same for a table of requests: those of one file are dealt out to tiles, and no side is held whole, however small its files look."""
+    files, asked = ["repo_source", "file_path"], requested(requests)
+    tiles = asked.groupBy(*files).agg(F.ceil(F.count("*") / TILE).cast("int").alias("__tiles")).filter("__tiles > 1")
+    many = F.coalesce("__tiles", F.lit(1))
+    listed = spans.join(tiles, files, "left").withColumn("__tile", F.explode(F.sequence(F.lit(0), many - 1))).drop("__tiles")
+    asked = asked.join(tiles, files, "left").withColumn("__tile", F.pmod(F.xxhash64("request_id"), many).cast("int")).drop("__tiles")
+    return _met(listed, asked, "__tile")
+
+
+def blocks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Blocks that overlap the range, whole; for a few requests (:func:`blocks_of_all`: for a table of them).
+
+    A block or range that ends before it starts meets nothing but what holds both its lines.
+    """
+    return _met(chunks, requested(requests))
+
+
+def blocks_of_all(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same rows for a table of requests."""
+    others = [F.col(f"`{c}`") for c in chunks.columns if c not in _SPAN] or [F.lit(0).alias("__none")]
+    place = F.row_number().over(Window.partitionBy(*_SPAN).orderBy("start_line")) - 1
+    packed = chunks.select(*_SPAN, F.struct(*others).alias("__row")).withColumn("__pack", F.floor(place / PACK))
+    packed = packed.groupBy(*_SPAN, "__pack").agg(F.collect_list("__row").alias("__rows"))  # PACK rows at most
+    return _all_met(packed, requests).select(*_SPAN, "request_id", "from_line", "to_line", F.inline("__rows")).select(*[f"`{c}`" for c in chunks.columns], "request_id", "from_line", "to_line")
+
+
+def covered(chunks: DataFrame) -> DataFrame:
+    """repo_source, file_path, start_line, end_line: runs of lines that blocks cover.
+
+    Blocks that start in one bin of their level and overlap or touch are one run, so a bin has no more runs than its width allows, however
+    many its blocks are, and none is longer than two bins.  A block that ends before it starts covers nothing and stays as it is.
+    """
+    start, bins = F.col("start_line"), ["repo_source", "file_path", "__level", "__bin"]
+    spans = chunks.select(*_SPAN)
+    sound = spans.filter("end_line >= start_line").withColumn("__level", _level(F.col("end_line") - start)).withColumn("__bin", _bin(start, F.col("__level")))
+    longest = sound.groupBy(*bins, "start_line").agg(F.max("end_line").alias("end_line"))
+    order = Window.partitionBy(*bins).orderBy("start_line")
+    apart = longest.withColumn("__new", (start.cast("long") - 1 > F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    runs = apart.withColumn("__run", F.coalesce(F.sum("__new").over(order), F.lit(0)))
+    runs = runs.groupBy(*bins, "__run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    return runs.select(*_SPAN).union(spans.filter("end_line < start_line").distinct())
 
 
 def gaps(found: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, start_line, end_line of the lines that no block covers (a request without blocks has none)."""
-    inside = found.select("request_id", "from_line", "to_line", F.greatest("start_line", "from_line").alias("a"), F.least("end_line", "to_line").alias("b"))
+    """request_id, start_line, end_line of the lines that no block covers (a request without blocks has none, nor has one that ends before it starts)."""
+    inside = found.filter("from_line <= to_line").select("request_id", "from_line", "to_line", F.greatest("start_line", "from_line").alias("a"), F.least("end_line", "to_line").alias("b"))
     order = Window.partitionBy("request_id").orderBy("a", "b")
     cursor = F.coalesce(F.max(F.col("b") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("from_line"))
-    between = inside.withColumn("cursor", cursor).filter(F.col("a") > F.col("cursor")).select("request_id", F.col("cursor").alias("start_line"), (F.col("a") - 1).alias("end_line"))
-    tail = inside.groupBy("request_id").agg((F.max("b") + 1).alias("start_line"), F.max("to_line").alias("end_line")).filter("start_line <= end_line")
-    return between.union(tail.select("request_id", "start_line", "end_line"))
-
-
-def merged(found: DataFrame, missing: DataFrame) -> DataFrame:
-    """Blocks and gaps in one listing, in order of start line."""
-    a = found.select("request_id", "start_line", "end_line", F.lit("block").alias("kind"))
-    return a.union(missing.select("request_id", "start_line", "end_line", F.lit("gap").alias("kind"))).orderBy("request_id", "start_line", "end_line")
+    at = inside.withColumns({"cursor": cursor, "last": F.lead("a").over(order).isNull()})
+    gap = lambda a, b: F.struct(a.alias("start_line"), b.alias("end_line"))
+    between = F.when(F.col("a") > F.col("cursor"), gap(F.col("cursor"), F.col("a") - 1))
+    end = F.greatest("cursor", F.col("b") + 1)
+    tail = F.when(F.col("last") & (end <= F.col("to_line")), gap(end, F.col("to_line")))
+    return at.select("request_id", F.explode(F.array(between, tail)).alias("gap")).filter("gap is not null").select("request_id", "gap.*")
+
+
+def uncovered(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The :func:`gaps` of a table of requests, from runs of covered lines: as many rows as requests, not as pairs."""
+    return gaps(_all_met(covered(chunks), requests), requests)
+
+
+def listing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Blocks and gaps in one listing: a request's rows lie together, in order of start line.
+
+    Blocks with the same lines are sorted as one row and told apart behind the sort.
+    """
+    same = chunks.groupBy(*_SPAN).agg(F.count("*").alias("copies"))
+    a = _all_met(same, requests).select("request_id", "start_line", "end_line", F.lit("block").alias("kind"), "copies")
+    both = a.union(uncovered(chunks, requests).select("request_id", "start_line", "end_line", F.lit("gap").alias("kind"), F.lit(1).cast("long"))).repartition("request_id").sortWithinPartitions("request_id", "start_line", "end_line")
+    packs = both.withColumn("pack", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / TILE))))
+    times = F.least(F.col("copies") - F.col("pack") * TILE, F.lit(TILE)).cast("int")
+    return packs.withColumn("one", F.explode(F.array_repeat(F.lit(0), times))).select("request_id", "start_line", "end_line", "kind")

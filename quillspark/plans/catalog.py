@@ -629,9 +629,7 @@ def source_gaps(spark, sf_dir):
 
 @query(f"{_SPAN_SQL} SELECT request_id, s AS start_line, e AS end_line, 'block' AS kind FROM m UNION ALL SELECT request_id, start_line, end_line, 'gap' FROM g")
 def blocks_and_gaps(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
-    found = source_window.blocks(_spans(spark, sf_dir), requests)
-    return source_window.merged(found, source_window.gaps(found, requests))
+    return source_window.listing(_spans(spark, sf_dir), _requests(spark, sf_dir))
 
 
 # --- citations ------------------------------------------------------------------------------------

@@ -41,3 +41,43 @@ def test_a_file_with_a_third_of_all_blocks_is_many_keys(spark):
     assert found[0] < 20 and found[1] == 300
     level0 = chunks.filter("file_path = 'huge'").withColumn("bin", F.floor(F.col("start_line") / source_window.BIN)).groupBy("bin").count()
     assert level0.agg(F.max("count")).first()[0] <= 100  # of 10,000 blocks of that file
+
+
+def test_gaps_from_covered_lines_are_those_of_all_pairs(spark):
+    draw, span = random.Random(3), "repo_source string, file_path string, start_line int, end_line int"
+    starts = [draw.randint(1, 9000) for _ in range(600)]
+    chunks = [("r", f"f{k % 3}", a, a + draw.choice([0, 0, 1, 9, 40, 399])) for k, a in enumerate(starts)] + [("r", "f0", 20_000, 3_000_000), ("r", "f1", 2_147_400_000, 2_147_483_647), ("r", "f0", None, None)]
+    requests = [(k, "r", f"f{k % 4}", a, a + draw.choice([0, 3, 40, 399, 4000])) for k, a in enumerate(draw.randint(1, 30_000) for _ in range(400))] + [(900, "r", "f0", 20, 10), (901, "r", "f1", 2_147_399_900, 2_147_400_100)]
+    want = []
+    for k, _, f, a, b in requests:
+        lines = set(range(a, min(b, a + 399) + 1))
+        free = sorted(lines - {x for _, g, s, e in chunks if g == f and s is not None and e >= a and s <= a + 399 for x in range(max(s, a), min(e, a + 399) + 1)})
+        if len(free) < len(lines):
+            want += [(k, x, next(y for y in range(x, b + 1) if y + 1 not in free)) for x in free if x - 1 not in free]
+    found = source_window.uncovered(spark.createDataFrame(chunks, span), spark.createDataFrame(requests, f"request_id long, {span}"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 50
+    odd = spark.createDataFrame([("r", "f", 5, 6), ("r", "f", 20, 12), ("r", "f", 30, 30)], span)
+    asked = spark.createDataFrame([(1, "r", "f", 1, 40)], f"request_id long, {span}")
+    assert sorted(map(tuple, source_window.uncovered(odd, asked).collect())) == sorted(map(tuple, source_window.gaps(source_window.blocks(odd, asked), asked).collect()))
+
+
+def test_blocks_with_the_same_lines_cross_the_join_and_the_sort_as_one_row(spark, monkeypatch):
+    monkeypatch.setattr(source_window, "PACK", 7)
+    monkeypatch.setattr(source_window, "TILE", 16)
+    chunks = spark.range(600).selectExpr("id", "'r' AS repo_source", "'f' AS file_path", "CAST(1 + id % 3 * 10 AS int) AS start_line", "CAST(4 + id % 3 * 10 AS int) AS end_line")
+    requests = spark.range(100).selectExpr("id AS request_id", "'r' AS repo_source", "'f' AS file_path", "CAST(1 + id % 20 AS int) AS start_line", "CAST(12 + id % 20 AS int) AS end_line")
+    rows = lambda df, *names: sorted(map(tuple, df.select(*names).collect()))
+    want = plain(chunks, requests)
+    assert rows(source_window.blocks_of_all(chunks, requests), "request_id", "id", "start_line") == rows(want, "request_id", "id", "start_line")
+    listed = source_window.listing(chunks, requests)
+    kept = [(r.request_id, r.start_line, r.end_line, r.kind) for r in listed.collect()]
+    gaps = rows(source_window.gaps(want, requests).selectExpr("request_id", "start_line", "end_line", "'gap' AS kind"), "request_id", "start_line", "end_line", "kind")
+    assert sorted(kept) == sorted([*((*r, "block") for r in rows(want, "request_id", "start_line", "end_line")), *gaps]) 
+    for k in range(100):
+        assert (mine := [r[1:3] for r in kept if r[0] == k]) == sorted(mine)
+    assert source_window.covered(chunks).count() == 3
+    packed = source_window._all_met(chunks.groupBy(*source_window._SPAN).count(), requests)
+    assert packed.groupBy("request_id").count().agg(F.max("count")).first()[0] <= 3  # of up to 400 pairs
+    every, plainly = made(spark)[0], plain(*made(spark))
+    assert sorted(source_window.blocks_of_all(*made(spark)).columns) == sorted(plainly.columns)
+    assert rows(source_window.blocks_of_all(every, made(spark)[1]).filter("request_id <> 900 and id <> 9002"), "request_id", "id") == rows(plainly.filter("request_id <> 900 and id <> 9002"), "request_id", "id")
