@@ -618,7 +618,7 @@ g AS (SELECT request_id, min(x) AS start_line, max(x) AS end_line FROM (SELECT r
 
 @query(f"{_SPAN_SQL} SELECT request_id, doc_id, s AS start_line, e AS end_line FROM m")
 def source_range(spark, sf_dir):
-    return source_window.blocks(_spans(spark, sf_dir), _requests(spark, sf_dir)).select("request_id", "doc_id", "start_line", "end_line")
+    return source_window.blocks_of_all(_spans(spark, sf_dir), _requests(spark, sf_dir)).select("request_id", "doc_id", "start_line", "end_line")
 
 
 @query(f"{_SPAN_SQL} SELECT request_id, start_line, end_line FROM g")
