@@ -623,8 +623,7 @@ def source_range(spark, sf_dir):
 
 @query(f"{_SPAN_SQL} SELECT request_id, start_line, end_line FROM g")
 def source_gaps(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
-    return source_window.gaps(source_window.blocks(_spans(spark, sf_dir), requests), requests)
+    return source_window.uncovered(_spans(spark, sf_dir), _requests(spark, sf_dir))
 
 
 @query(f"{_SPAN_SQL} SELECT request_id, s AS start_line, e AS end_line, 'block' AS kind FROM m UNION ALL SELECT request_id, start_line, end_line, 'gap' FROM g")
