@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ _CHUNK_TYPE = pa.list_(pa.struct([
     ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent_symbol", pa.string()), ("is_exported", pa.bool_()), ("language", pa.string()),
     ("chunker_kind", pa.string()), ("part_index", pa.int32()), ("part_total", pa.int32()), ("content", pa.string()),
 ]))
+#: Text whose spans a worker holds at once, whatever a batch holds; a longer text is taken alone.
+SLICE_BYTES = 1 << 20
 _CHUNKERS: dict[str, Callable] = {"ts-morph": chunk_tsjs.chunk, "generic": chunk_generic.chunk}
 
 
@@ -84,13 +88,22 @@ def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select(id_col, F.size("lines").alias("part_total"), F.posexplode("lines").alias("at", "line")).select(id_col, (F.col("at") + 1).alias("part_index"), "part_total", "line")
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def spans(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str], list[chunk_generic.Span]]) -> DataFrame:
     """One row a span that ``cut`` finds in a text: part_index, part_total, start_line, end_line, content."""
     array = "array<struct<start_line: int, end_line: int, content: string>>"
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             rows = [[{"start_line": a, "end_line": b, "content": t} for a, b, t in cut(x or "")] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 

@@ -1,9 +1,10 @@
 """Properties of the text splitters on arbitrary input."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.operators import chunk_generic, chunk_tsjs
+from quillspark.operators import chunk_generic, chunk_tsjs, chunking
 from quillspark.streaming import answer
 
 code = st.text(alphabet=st.sampled_from("ab {}()[]<>'\"`\\/*=;,.:\n\n#@$|&?!-+0 é😀"), max_size=200)
@@ -53,3 +54,12 @@ def test_events_survive_any_cut_of_the_stream(events, size):
     stream = "".join(answer.frame(e) + answer.heartbeat() for e in events)
     pieces = [stream[k : k + size] for k in range(0, len(stream), size)]
     assert list(answer.parse_frames(pieces)) == events
+
+
+def test_spans_are_made_of_bounded_slices():
+    """However many rows a batch holds, what a worker makes of them at once is bounded; nothing is lost."""
+    texts = ["x" * 300_000, None, "", *["ab"] * 5000, "y" * 3_000_000, "é" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    parts = list(chunking._slices(batch, 1))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and len(parts) > 2
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= chunking.SLICE_BYTES for p in parts)
