@@ -31,6 +31,8 @@ from ..sources import store
 SPAN = 512
 #: Spans that are scored before the others are held against the last of their scores.
 FIRST_SPANS = 64
+#: Lexemes that a worker turns into rows at once, whatever a batch holds; a longer chunk is taken alone.
+SLICE_LEXEMES = 1 << 17
 SHARD_ROWS, MAX_SHARDS = 4_000_000, 1 << 14
 _POST = "struct<off: smallint, times: int, len: int, places: array<int>>"
 _BLOCKS = f"term string, span long, best double, posts array<{_POST}>, repo_source string, shard int"
@@ -40,9 +42,18 @@ def _weight(times: Column, length: Column) -> Column:
     return times / (F.lit(1.0) + F.log(F.greatest(length, F.lit(1)).cast("double")))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(4)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_LEXEMES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, repo_source, doc_len, symbol, lexemes -> a row a chunk and term, with the places among the terms that are kept."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         lists = batch.column(4)
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         chunk, flat = np.repeat(np.arange(batch.num_rows), n), lists.flatten()

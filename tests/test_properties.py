@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.operators import chunk_generic, chunk_tsjs, chunking
+from quillspark.operators import chunk_generic, chunk_tsjs, chunking, postings
 from quillspark.streaming import answer
 
 code = st.text(alphabet=st.sampled_from("ab {}()[]<>'\"`\\/*=;,.:\n\n#@$|&?!-+0 é😀"), max_size=200)
@@ -63,3 +63,14 @@ def test_spans_are_made_of_bounded_slices():
     parts = list(chunking._slices(batch, 1))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and len(parts) > 2
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= chunking.SLICE_BYTES for p in parts)
+
+
+def test_postings_are_made_of_bounded_slices(monkeypatch):
+    monkeypatch.setattr(postings, "SLICE_LEXEMES", 50)
+    rows = [["a", "", "b", "a"] * k if k % 7 else None for k in range(40)]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([range(40), ["r"] * 40, [3 * k for k in range(40)], ["s"] * 40, rows], kinds)], names=["id", "repo_source", "doc_len", "symbol", "lexemes"])
+    small = list(postings._terms(iter([batch])))
+    monkeypatch.setattr(postings, "SLICE_LEXEMES", 1 << 17)
+    order = [("id", "ascending"), ("term", "ascending")]
+    assert len(small) > 20 and pa.Table.from_batches(small).sort_by(order) == pa.Table.from_batches(list(postings._terms(iter([batch])))).sort_by(order)
