@@ -37,6 +37,8 @@ RECALL, TUNED_ON, TUNED_FOR = 0.97, 200, 30
 SUB, CODES, ROUNDS = 4, 256, 8
 REFINE = 10
 TILE_BYTES = 8 << 20
+#: Rows that a worker holds against all centres, and queries that it holds against a tile, at once.
+SLICE_ROWS, SLICE_QUERIES = 1024, 64
 _CELLS = "cell int, size long, radius double, centre array<float>"
 _BOOKS = "place int, width int, codes array<float>"
 
@@ -108,8 +110,12 @@ def _tune(rows: np.ndarray, centres: np.ndarray) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)]) + 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def _store(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         unit, good = _units(batch.column(1), index.dim)
         kept = pa.array(np.flatnonzero(good))
         unit = unit[good].astype(np.float32)
@@ -204,7 +210,7 @@ def nearest(spark: SparkSession, index: Index, query: Sequence[float], limit: in
 def _probe(batches: Iterator[pa.RecordBatch], index: Index, exact: bool) -> Iterator[pa.RecordBatch]:
     """A row for each query and cell that it reads.  exact: columns 2 and 3 hold how many it found and how far its last one is."""
     filled = index.size > 0
-    for batch in batches:
+    for batch in _slices(batches):
         unit, good = _units(batch.column(1), index.dim)
         gaps = np.where(filled, index.gaps(unit), np.inf)
         order = np.argsort(gaps, axis=1, kind="stable")
@@ -231,8 +237,8 @@ def _tile(key: tuple, asked: pa.Table, rows: pa.Table, index: Index | None, dim:
     order = pc.sort_indices(ids, null_placement="at_start").to_numpy()  # ties go to the smaller id
     order = order[good[order]]
     units, who, where, far = units[order], [], [], []
-    for a in range(0, len(queries), 256):
-        apart = np.round(1 - queries[a : a + 256] @ units.T, 12)  # equal rows are equally far, whatever the order of summation
+    for a in range(0, len(queries), SLICE_QUERIES):
+        apart = np.round(1 - queries[a : a + SLICE_QUERIES] @ units.T, 12)  # equal rows are equally far, whatever the order of summation
         best = np.argsort(apart, axis=1, kind="stable")[:, :limit]
         who.append(np.repeat(np.arange(a, a + len(apart)), best.shape[1]))
         where.append(best.ravel())
@@ -245,8 +251,9 @@ def _tiled(asked: DataFrame, rows: DataFrame, sizes: dict[int, int], index: Inde
     """``asked``: query_id, query, cell; ``rows``: id, payload, cell -> the best rows of each query."""
     spark = rows.sparkSession
     many = max(1, TILE_BYTES // (8 * dim))
+    some = max(1, min(many, TILE_BYTES // (24 * limit)))  # a query takes its vector, and three numbers for each row found
     counts = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
-    tiles = [(c, -(-sizes[c] // many), -(-n // many)) for c, n in counts.items() if sizes.get(c)]
+    tiles = [(c, -(-sizes[c] // many), -(-n // some)) for c, n in counts.items() if sizes.get(c)]
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     if not tiles:
         return spark.createDataFrame([], kinds)

@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.operators import chunk_generic, chunk_tsjs, chunking, postings
+from quillspark.operators import ann, chunk_generic, chunk_tsjs, chunking, postings
 from quillspark.streaming import answer
 
 code = st.text(alphabet=st.sampled_from("ab {}()[]<>'\"`\\/*=;,.:\n\n#@$|&?!-+0 é😀"), max_size=200)
@@ -74,3 +74,9 @@ def test_postings_are_made_of_bounded_slices(monkeypatch):
     monkeypatch.setattr(postings, "SLICE_LEXEMES", 1 << 17)
     order = [("id", "ascending"), ("term", "ascending")]
     assert len(small) > 20 and pa.Table.from_batches(small).sort_by(order) == pa.Table.from_batches(list(postings._terms(iter([batch])))).sort_by(order)
+
+
+def test_a_workers_arrays_do_not_grow_with_the_cells_or_the_queries():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], names=["id"])
+    parts = list(ann._slices(iter([batch])))
+    assert max(p.num_rows for p in parts) == ann.SLICE_ROWS and sum(p.num_rows for p in parts) == 5000
