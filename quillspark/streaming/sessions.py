@@ -46,17 +46,17 @@ class _Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "next int, held string, place int, begun long, ended boolean")
+        self.open = handle.getValueState("open", "next int, held string, place int, begun long, ended boolean, waiting boolean")
         self.early = handle.getListState("early", "seq int, piece string")
 
     def _state(self) -> tuple:
-        return self.open.get() if self.open.exists() else (0, "", 0, -1, False)
+        return self.open.get() or (0, "", 0, -1, False, False)  # each call is a message to the JVM
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, held, place, begun, ended = self._state()
+        at, held, place, begun, ended, waiting = self._state()
         if ended:
             return
-        came = dict(self.early.get()) if self.early.exists() else {}
+        came = dict(self.early.get()) if waiting else {}
         first = None
         for part in rows:
             for seq, piece, ts in zip(part["seq"], part["piece"], part["ms"]):
@@ -77,22 +77,23 @@ class _Sessions(StatefulProcessor):
                 if ended:
                     break
         if ended:
-            self.early.clear()
+            came.clear()
             self.handle.deleteTimer(begun + self.limit_ms)
             held = ""
-        elif came:
+        if came:
             self.early.put([(k, v) for k, v in sorted(came.items())])
-        else:
+        elif waiting:
             self.early.clear()
-        self.open.update((at, held, place, begun, ended))
+        self.open.update((at, held, place, begun, ended, bool(came)))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "place", "type", "event"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, _, place, begun, ended = self._state()
+        at, _, place, begun, ended, waiting = self._state()
         if not ended:
-            self.early.clear()
-            self.open.update((at, "", place + 1, begun, True))
+            if waiting:
+                self.early.clear()
+            self.open.update((at, "", place + 1, begun, True, False))
             event = json.dumps({"type": "cancelled", "elapsedMs": self.limit_ms})
             yield pd.DataFrame([(key[0], place, "cancelled", event)], columns=["session_id", "place", "type", "event"])
 
