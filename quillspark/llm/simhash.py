@@ -23,6 +23,9 @@ a fingerprint differs, so no blocks of bits are sure to be shared; candidates co
   of documents; any order is exact, a good one keeps common passages out of the way).  Two sets that
   are similar enough have their first common shingle within the first n - ceil(0.8 n) + 1 of each, and
   at places that leave room for the overlap they need (prefix and positional filter).
+* First come the SimHash links: the fingerprint of a set (64 bits of the hashes of its shingles), the same pigeonhole blocks, 2 bits;
+  of those the pairs that are similar enough are the components that the rounds start from.  The rounds add what
+  fingerprints cannot reach.
 * In ``PIVOTS`` rounds the members of a key are compared with one member of each class of sizes that
   could be similar (three classes for each member): the one with the fewest rarer shingles, which is, of
   a group of copies, the one they are made from.  What is linked becomes one component.  After the rounds
@@ -184,12 +187,21 @@ def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([rows.column(0), _lists(sets)], names=[rows.schema.names[0], "shingles"])
 
 
+def _set_print(found: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed long; of the empty set zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _GROUP):
+        ones += np.unpackbits(found[at : at + _GROUP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def _rows(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, classes: np.ndarray, similarity: tuple[int, int], wide: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, t0, t1, digest of the set, its size, first shingles in the common order, parities, fingerprint."""
+    """doc_id, t0, t1, digest of the set, its size, SimHash of the set, first shingles in the common order, parities, fingerprint."""
     for rows, raw, at, sets in _shingle_sets(batches, shingle):
-        digests, firsts, parities, prints = [], [], [], []
+        digests, bits64, firsts, parities, prints = [], [], [], [], []
         for k, found in enumerate(sets):
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+            bits64.append(_set_print(found))
             often = np.zeros(len(found), np.uint8)
             if len(common) and len(found):
                 place = np.minimum(np.searchsorted(common, found), len(common) - 1)
@@ -202,8 +214,8 @@ def _rows(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, c
             prints.append(wide_fingerprint(raw[at[k] : at[k + 1]], shingle).view(np.uint64) if wide else np.zeros(0, np.uint64))
         d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         sizes = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
-        columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(d[:, 0]), pa.array(d[:, 1]), sizes, _lists(firsts), _lists(parities), _lists(prints)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "d0", "d1", "n", "firsts", "odd", "fp"])
+        columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(d[:, 0]), pa.array(d[:, 1]), sizes, pa.array(bits64, pa.int64()), _lists(firsts), _lists(parities), _lists(prints)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "d0", "d1", "n", "bits", "firsts", "odd", "fp"])
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,22 +309,29 @@ def _few_odd(a: Column, b: Column, similarity: tuple[int, int], longs: int | Non
     return _enough(both - apart, both, both, similarity)  # apart = both - 2 * overlap at most
 
 
-def _contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between the components known so far, and what makes up these."""
-    if roots is None:
-        return links
     named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
     both = links.join(named[0], "u", "left").join(named[1], "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
     return both.filter("u <> v").distinct().union(roots.select("node", "root"))
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are equal or within 2 bits; sets with one fingerprint meet the first of them, which stands for them."""
+    first = nodes.groupBy("bits").agg(F.min("id").alias("first_id"))
+    same = nodes.join(first, "bits").filter("id <> first_id").select(F.col("id").alias("u"), F.col("first_id").alias("v"))
+    links, of = _links(first.select(F.col("bits").alias("fp")), 2), lambda x: first.select(F.col("bits").alias(x), F.col("first_id").alias(f"low_{x}"))
+    return same.union(links.join(of("u"), "u").join(of("v"), "v").select("low_u", "low_v"))
+
+
 def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int], work: Workspace) -> DataFrame:
     """(node, root) of the sets in ``nodes`` that are linked to a smaller one."""
     verify = partial(_verified, nodes=nodes, texts=texts, shingle=shingle, similarity=similarity, work=work)
-    shared, roots = work.table(_shared_firsts(nodes, similarity), "firsts"), None
+    near = verify(_ordered(work.table(_near_prints(nodes), "near-prints")), label="prints")
+    roots = connected_components(near, work, "roots-prints")
+    shared = work.table(_shared_firsts(nodes, similarity), "firsts")
     for k in range(PIVOTS + 1):
-        root = F.coalesce("root", "id") if roots else F.col("id")
-        rooted = (shared.join(roots.withColumnRenamed("node", "id"), "id", "left") if roots else shared).withColumn("root", root)
+        rooted = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         rooted = work.table(_with_pivots(rooted, similarity), f"open-{k}")
         work.drop(f"open-{k - 1}" if k else "firsts")
         if rooted.isEmpty():
@@ -330,7 +349,7 @@ def _similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             first = ~F.arrays_overlap("beforeu", "beforev")  # at a later key the pair has been met already
             pairs = left.join(right, "key").filter(apart & _room(similarity) & _few_odd(F.col("oddu"), F.col("oddv"), similarity, PARITIES // 64) & first)
         roots = connected_components(_contracted(verify(_ordered(pairs), label=f"round-{k}"), roots), work, f"roots-{k}")
-    return roots if roots else nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+    return roots
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -345,9 +364,9 @@ def _similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col:
     common, classes = _common(texts, shingle)
     kind = texts.schema["doc_id"].dataType.simpleString()
     each = partial(_rows, shingle=shingle, common=common, classes=classes, similarity=similarity, wide=wide)
-    rows = work.table(texts.mapInArrow(each, f"doc_id {kind}, t0 long, t1 long, d0 long, d1 long, n long, firsts array<long>, odd array<long>, fp array<long>"), "rows")
+    rows = work.table(texts.mapInArrow(each, f"doc_id {kind}, t0 long, t1 long, d0 long, d1 long, n long, bits long, firsts array<long>, odd array<long>, fp array<long>"), "rows")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t0", "t1")
-    distinct = rows.groupBy("d0", "d1").agg(F.min(row).alias("low"), F.min(F.struct("t0", "t1")).alias("text"), *[F.first(c).alias(c) for c in ("n", "firsts", "odd")])
+    distinct = rows.groupBy("d0", "d1").agg(F.min(row).alias("low"), F.min(F.struct("t0", "t1")).alias("text"), *[F.first(c).alias(c) for c in ("n", "bits", "firsts", "odd")])
     nodes = work.table(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
     roots = _similar_roots(nodes, texts, shingle, similarity, work)
     rooted = nodes.select("id", "d0", "d1", "low").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -100,3 +100,14 @@ def test_documents_below_the_similarity_stay(spark):
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
     assert all(i == c for i, c in found(spark, rows).items())
     assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def test_fingerprints_link_near_copies_before_any_other_way(spark, monkeypatch):
+    """Without the rounds over first shingles, SimHash links alone drop near copies; pairs that are not similar enough stay."""
+    whole = simhash._shared_firsts
+    monkeypatch.setattr(simhash, "_shared_firsts", lambda nodes, similarity: whole(nodes, similarity).limit(0))
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(5000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"])), (2, " ".join([*base, "more"])), (3, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(5000))), (4, ""), (5, "a b"), (6, "c d")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 6]
