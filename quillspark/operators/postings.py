@@ -1,8 +1,9 @@
 """An inverted index of the lexical leg: segments by repository, postings in blocks of neighbouring ids.
 
-``write`` makes one table: for each term, repository and span of ``SPAN`` ids a row with the postings of that span (offset
-in the span, occurrences, length of the chunk, places) and ``best``, the best score that any of them gets from the
-term.  Names of symbols are terms too, with ``=`` before them.  Folders are the repository and a shard by the term's hash; a repository has as
+``write`` makes one table: for each term, repository and span of ``SPAN`` ids one or more rows with the postings of that span (offset
+in the span, occurrences, length of the chunk, places) and ``best``, the best score that any of the row gets from the
+term.  The chunks of a span are brought together first, and a worker makes rows of what it holds, so postings are not grouped
+again; a span is cut where it holds more than a worker takes at once.  Names of symbols are terms too, with ``=`` before them.  Folders are the repository and a shard by the term's hash; a repository has as
 many shards (a power of two) as its postings need, and the folder's number tells both (shards + hash modulo
 shards), so a reader knows the few folders that can hold a term without knowing the numbers of shards.  ``replace`` swaps one
 repository's segment for another.
@@ -75,8 +76,30 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([symbols, *(batch.column(k).take(named) for k in range(3)), pa.array(np.zeros(len(named), np.int32)), none], names=["term", "id", "repo_source", "doc_len", "times", "places"])
 
 
-def _shard(term: Column, shards: int) -> Column:
-    return (F.lit(shards) + F.pmod(F.xxhash64(term), F.lit(shards))).cast("int")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, repo_source, doc_len, symbol, lexemes -> term, repo_source, span, best, posts: a row for all postings of a slice that share the first three."""
+    for rows in _terms(batches):
+        ids, repo, term = rows.column(1).to_numpy(), rows.column(2).dictionary_encode("encode"), rows.column(0).dictionary_encode("encode")
+        spans, span = np.unique(ids // SPAN, return_inverse=True)
+        key = (repo.indices.to_numpy().astype(np.int64) * len(spans) + span) * (len(term.dictionary) + 1) + term.indices.to_numpy()
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        rows, head = rows.take(pa.array(order)), pa.array(order[first])
+        length, times = pc.fill_null(rows.column(3), 1).to_numpy(zero_copy_only=False), rows.column(4).to_numpy()
+        best = np.maximum.reduceat(times / (1.0 + np.log(np.maximum(length, 1).astype(np.float64))), first) if len(first) else np.zeros(0)
+        posts = pa.StructArray.from_arrays([pa.array((ids % SPAN).astype(np.int16)), *(rows.column(k) for k in (4, 3, 5))], names=["off", "times", "len", "places"])
+        columns = [term.take(head).dictionary_decode(), repo.take(head).dictionary_decode(), pa.array(spans[span[order[first]]]), pa.array(best), pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), posts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "repo_source", "span", "best", "posts"])
+
+
+def _shard(term: Column, shards: int | Column) -> Column:
+    shards = F.lit(shards) if isinstance(shards, int) else shards
+    return (shards + F.pmod(F.xxhash64(term), shards)).cast("int")
+
+
+def span_of(ident: Column) -> Column:
+    return F.floor((ident - F.pmod(ident, F.lit(SPAN))) / SPAN).cast("long")
 
 
 def shards_of(term: str) -> list[int]:
@@ -89,21 +112,28 @@ def shards_for(occurrences: int) -> int:
     return min(MAX_SHARDS, 1 << max(0, (max(occurrences, 1) - 1) // SHARD_ROWS).bit_length())
 
 
-def write(chunks: DataFrame, folder: str, occurrences: int | None = None, parts: tuple[str, ...] = ("repo_source", "shard")) -> None:
-    """``chunks``: id, repo_source, symbol_name, lexemes, doc_len.  ``occurrences``: about how many terms they hold, if that is known.
+def _shards_for(occurrences: Column) -> Column:
+    doubled = [(occurrences > SHARD_ROWS << k).cast("int") for k in range(MAX_SHARDS.bit_length() - 1)]
+    return F.pow(F.lit(2), sum(doubled, F.lit(0))).cast("int")
+
+
+def write(chunks: DataFrame, folder: str, occurrences: DataFrame | None = None, parts: tuple[str, ...] = ("repo_source", "shard"), together: bool = False) -> None:
+    """``chunks``: id, repo_source, symbol_name, lexemes, doc_len.  ``occurrences``: repo_source, occurrences (about how many terms
+    a repository holds), if that is known.  ``together``: the chunks of a span follow each other already.
 
-    A row a chunk and term is made where the chunk is; one shuffle brings a block's postings together and a shard's blocks
-    into few files.
+    Rows are made where a span's chunks are; one shuffle brings a shard's rows into few files.
     """
     if occurrences is None:
-        occurrences = chunks.agg(F.sum("doc_len")).first()[0] or 0
+        occurrences = chunks.groupBy("repo_source").agg(F.sum("doc_len").alias("occurrences"))
     slim = chunks.select("id", "repo_source", F.col("doc_len").cast("int").alias("doc_len"), F.lower("symbol_name").alias("symbol"), "lexemes")
-    rows = slim.mapInArrow(_terms, "term string, id long, repo_source string, doc_len int, times int, places array<int>")
-    rows = rows.withColumns({"span": F.expr(f"id div {SPAN}") - F.when(F.col("id") % SPAN < 0, 1).otherwise(0), "shard": _shard(F.col("term"), shards_for(occurrences))})
-    rows = rows.withColumns({"spread": F.pmod("span", F.lit(8)), "post": F.struct((F.col("id") - F.col("span") * SPAN).cast("smallint").alias("off"), "times", F.col("doc_len").alias("len"), "places")})
-    met = rows.repartition("repo_source", "shard", "spread").groupBy("repo_source", "shard", "spread", "term", "span")  # the same partitioning: no other shuffle
-    blocks = met.agg(F.max(_weight(F.col("times"), F.col("doc_len"))).alias("best"), F.sort_array(F.collect_list("post")).alias("posts"))  # at most SPAN ids
-    blocks.sortWithinPartitions("repo_source", "shard", "term", "span").select("term", "span", "best", "posts", *parts).write.partitionBy(*parts).parquet(folder)
+    if not together:
+        slim = slim.repartition(span_of(F.col("id"))).sortWithinPartitions(span_of(F.col("id")))
+    rows = slim.mapInArrow(_blocks, f"term string, repo_source string, span long, best double, posts array<{_POST}>")
+    sizes = occurrences.select(F.col("repo_source").alias("repo"), _shards_for(F.coalesce("occurrences", F.lit(0))).alias("shards"))
+    rows = rows.join(F.broadcast(sizes), F.col("repo_source").eqNullSafe(F.col("repo")), "left")  # a row a repository
+    rows = rows.withColumns({"shard": _shard(F.col("term"), F.coalesce("shards", F.lit(1))), "spread": F.pmod("span", F.lit(8))})
+    blocks = rows.repartition("repo_source", "shard", "spread").sortWithinPartitions("repo_source", "shard", "term", "span")
+    blocks.select("term", "span", "best", "posts", *parts).write.partitionBy(*parts).parquet(folder)
 
 
 def replace(chunks: DataFrame, folder: str, repo: str) -> None:
@@ -185,12 +215,13 @@ def _long(query: lexical.Query) -> bool:
 
 def _bounds(heads: DataFrame, parsed: lexical.Query, name: str, boost: float) -> DataFrame:
     """repo_source, span, bound of the spans that can hold a match."""
-    by_span = heads.groupBy("repo_source", "span").agg(F.map_from_entries(F.collect_list(F.struct("term", "best"))).alias("best"))  # at most the query's words
-    has = lambda phrase: F.array_contains(F.map_keys("best"), phrase[0]) if len(phrase) == 1 else has(phrase[:1]) & has(phrase[1:])
+    best = {w: f"best{k}" for k, w in enumerate([*sorted(_words(parsed)), name])}
+    by_span = heads.groupBy("repo_source", "span").agg(*[F.max(F.when(F.col("term") == w, F.col("best"))).alias(c) for w, c in best.items()])  # of all rows of the term
+    has = lambda phrase: F.col(best[phrase[0]]).isNotNull() if len(phrase) == 1 else has(phrase[:1]) & has(phrase[1:])
     match, total = _matches(parsed, has, excluded=False), F.lit(0.0)
     for w in parsed.words:
-        total = total + F.coalesce(F.try_element_at("best", F.lit(w)), F.lit(0.0))
-    named = F.array_contains(F.map_keys("best"), name)
+        total = total + F.coalesce(best[w], F.lit(0.0))
+    named = F.col(best[name]).isNotNull()
     bound = F.when(match, total).otherwise(F.lit(0.0)) + F.when(named, F.lit(float(boost))).otherwise(F.lit(0.0))
     return by_span.filter(match | named).select("repo_source", "span", bound.alias("bound"))
 

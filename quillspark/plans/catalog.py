@@ -43,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- chunks from documents ------------------------------------------------------------------------
 
 
-def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("symbol_name", F.regexp_extract("text", "^([A-Za-z]+)", 1)).withColumn("content", F.col("text")).withColumn("signature", F.lit(None).cast("string"))
+def document_chunks(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    d = (table(spark, sf_dir, "documents") if documents is None else documents).withColumn("symbol_name", F.regexp_extract("text", "^([A-Za-z]+)", 1)).withColumn("content", F.col("text")).withColumn("signature", F.lit(None).cast("string"))
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("repo_source"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file_path"), "symbol_name", F.lit("file").alias("kind"), "signature",
         F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.lit("markdown").alias("language"), "content",
@@ -71,8 +71,12 @@ def lexical_index(spark: SparkSession, sf_dir: str, chunks: Callable[[SparkSessi
     documents = table(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, chunks.__name__, _files(documents), _files(table(spark, sf_dir, "embeddings")))
     if key not in _indexed:
-        work = Workspace(spark, "postings")
-        postings.write(chunks(spark, sf_dir), work.path("index"), occurrences=(documents.agg(F.sum("n_chars")).first()[0] or 0) // 6)
+        work, span = Workspace(spark, "postings"), postings.span_of(F.col("doc_id"))
+        # Texts meet by spans of ids before they are cut into terms: a file with few row groups is spread, and few rows are made of a span.
+        together = documents.withColumn("span", span).repartition("span")
+        sizes = documents.groupBy(F.col("source").alias("repo_source")).agg((F.sum("n_chars") / 6).cast("long").alias("occurrences"))
+        own = chunks is document_chunks
+        postings.write(chunks(spark, sf_dir, together.sortWithinPartitions("span")) if own else chunks(spark, sf_dir), work.path("index"), occurrences=sizes, together=own)
         _indexed[key] = work
     return _indexed[key].path("index")
 

@@ -76,6 +76,31 @@ def test_shards_are_known_from_the_term_alone(spark):
     assert [postings.shards_for(n) for n in (0, 1, 4_000_000, 4_000_001, 10**13)] == [1, 1, 1, 2, 1 << 14]
 
 
+def test_a_repository_has_as_many_shards_as_its_own_postings_need(spark, tmp_path, monkeypatch):
+    """Not as many as all need together: a file for each shard of each small repository would cost more than its rows.  Spans cut into several rows are found whole."""
+    monkeypatch.setattr(postings, "SHARD_ROWS", 100)
+    rows = [(k, "small" if k % 100 == 7 else "large", None, ["hit", *(f"w{k * j % 50}" for j in range(9))], 10) for k in range(600)]
+    table = spark.createDataFrame(rows, "id long, repo_source string, symbol_name string, lexemes array<string>, doc_len int")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        postings.write(table, str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    folder = str(tmp_path / "index")
+    assert postings.blocks(spark, folder).groupBy("term", "span", "repo_source").count().agg(F.max("count")).first()[0] > 1
+    shards = lambda repo: {r["shard"] for r in postings.blocks(spark, folder, repo).select("shard").distinct().collect()}
+    assert shards("small") == {1} and min(shards("large")) >= 32
+    want = [r["id"] for r in search.lexical_leg(table, "hit w3", 30, 1.0).collect()]
+    assert [r["id"] for r in postings.lexical_leg(spark, folder, "hit w3", 30, 1.0).collect()] == want
+    assert spark.createDataFrame([(n, postings.shards_for(n)) for n in (0, 1, 100, 101, 200, 201, 800, 10**13)], "n long, want int").filter(postings._shards_for(F.col("n")) != F.col("want")).count() == 0
+
+
+def test_a_span_of_several_rows_counts_once_in_its_bound(spark):
+    heads = spark.createDataFrame([("r", 0, "x", 0.5), ("r", 0, "x", 2.0), ("r", 0, "y", 1.0), ("r", 1, "x", 9.0)], "repo_source string, span long, term string, best double")
+    assert [tuple(r) for r in postings._bounds(heads, lexical.parse_query("x y"), "=x y", 1.0).collect()] == [("r", 0, 3.0)]
+
+
 def chunk_rows(spark, texts, repo):
     fields = [f.split(" ")[0] for f in model.CHUNK_FIELDS.split(", ")]
     rows = [{"file_path": f"f{k}.md", "kind": "window", "start_line": 1, "end_line": 1, "is_exported": False, "language": "markdown", "chunker_kind": "generic", "part_index": 1, "part_total": 1, "content": t} for k, t in enumerate(texts)]
