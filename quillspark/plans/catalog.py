@@ -74,9 +74,11 @@ def lexical_index(spark: SparkSession, sf_dir: str, chunks: Callable[[SparkSessi
         work, span = Workspace(spark, "postings"), postings.span_of(F.col("doc_id"))
         # Texts meet by spans of ids before they are cut into terms: a file with few row groups is spread, and few rows are made of a span.
         together = documents.withColumn("span", span).repartition("span")
+        if chunks is vector_chunks:
+            ids = _vectors(spark, sf_dir).groupBy(postings.span_of(F.col("id")).alias("span")).agg(F.collect_set("id").alias("ids"))  # at most SPAN ids
+            together = together.join(ids, "span").filter(F.array_contains("ids", F.col("doc_id")))
         sizes = documents.groupBy(F.col("source").alias("repo_source")).agg((F.sum("n_chars") / 6).cast("long").alias("occurrences"))
-        own = chunks is document_chunks
-        postings.write(chunks(spark, sf_dir, together.sortWithinPartitions("span")) if own else chunks(spark, sf_dir), work.path("index"), occurrences=sizes, together=own)
+        postings.write(document_chunks(spark, sf_dir, together.sortWithinPartitions("span")), work.path("index"), occurrences=sizes, together=True)
         _indexed[key] = work
     return _indexed[key].path("index")
 

@@ -34,6 +34,17 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want.fetchall())
 
 
+def test_only_texts_that_have_a_vector_are_cut_into_terms(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "_indexed", {})
+    monkeypatch.setattr(catalog.postings, "write", lambda chunks, *_, **__: made.append(chunks))
+    catalog.lexical_index(spark, SF, catalog.vector_chunks)
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("Join")  # above it
+    want = catalog.vector_chunks(spark, SF)
+    assert sorted(r["id"] for r in made[0].select("id").collect()) == sorted(r["id"] for r in want.select("id").collect())
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
