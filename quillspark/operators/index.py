@@ -79,8 +79,12 @@ def embed_texts(texts: Sequence[str], embedder: Callable, dim: int, retries: int
     return out
 
 
+#: Texts whose vectors a worker holds as numbers of Python at once, whatever a batch holds; whole calls of the service.
+EMBED_ROWS = 32 * model.BATCH_SIZE
+
+
 def _embed(batches: Iterator[pa.RecordBatch], embedder: Callable, dim: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, EMBED_ROWS) for whole in batches for at in range(0, whole.num_rows, EMBED_ROWS)):
         vectors = embed_texts(batch.column(1).to_pylist(), embedder, dim)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["content_hash", "vector"])
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.operators import ann, chunk_generic, chunk_tsjs, chunking, postings
+from quillspark.operators import ann, chunk_generic, chunk_tsjs, chunking, index, postings
 from quillspark.streaming import answer
 
 code = st.text(alphabet=st.sampled_from("ab {}()[]<>'\"`\\/*=;,.:\n\n#@$|&?!-+0 é😀"), max_size=200)
@@ -80,3 +80,14 @@ def test_a_workers_arrays_do_not_grow_with_the_cells_or_the_queries():
     batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], names=["id"])
     parts = list(ann._slices(iter([batch])))
     assert max(p.num_rows for p in parts) == ann.SLICE_ROWS and sum(p.num_rows for p in parts) == 5000
+
+
+def test_vectors_are_made_of_bounded_slices():
+    """A batch of 10,000 texts is not held as that many lists of numbers; the service gets the same calls."""
+    texts = [f"text {k}" for k in range(3 * index.EMBED_ROWS + 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))]), pa.array(texts)], names=["content_hash", "embed_text"])
+    calls = []
+    parts = list(index._embed(iter([batch]), lambda asked: calls.append(len(asked)) or index.HashingEmbedder(8)(asked), 8))
+    assert [p.num_rows for p in parts] == [index.EMBED_ROWS] * 3 + [7] and calls == [20] * (len(texts) // 20) + [7]
+    assert [h for p in parts for h in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert [v for p in parts for v in p.column(1).to_pylist()] == index.HashingEmbedder(8)(texts)
