@@ -79,17 +79,19 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, repo_source, doc_len, symbol, lexemes -> term, repo_source, span, best, posts: a row for all postings of a slice that share the first three."""
     for rows in _terms(batches):
-        ids, repo, term = rows.column(1).to_numpy(), rows.column(2).dictionary_encode("encode"), rows.column(0).dictionary_encode("encode")
+        null, ids = rows.column(1).is_null().to_numpy(zero_copy_only=False), pc.fill_null(rows.column(1), 0).to_numpy()
+        repo, term = rows.column(2).dictionary_encode("encode"), rows.column(0).dictionary_encode("encode")
         spans, span = np.unique(ids // SPAN, return_inverse=True)
-        key = (repo.indices.to_numpy().astype(np.int64) * len(spans) + span) * (len(term.dictionary) + 1) + term.indices.to_numpy()
+        span = np.where(null, len(spans), span)  # rows without an id are a span of their own
+        key = (repo.indices.to_numpy().astype(np.int64) * (len(spans) + 1) + span) * (len(term.dictionary) + 1) + term.indices.to_numpy()
         order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+        key, ids, null = key[order], ids[order], null[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         rows, head = rows.take(pa.array(order)), pa.array(order[first])
         length, times = pc.fill_null(rows.column(3), 1).to_numpy(zero_copy_only=False), rows.column(4).to_numpy()
         best = np.maximum.reduceat(times / (1.0 + np.log(np.maximum(length, 1).astype(np.float64))), first) if len(first) else np.zeros(0)
-        posts = pa.StructArray.from_arrays([pa.array((ids % SPAN).astype(np.int16)), *(rows.column(k) for k in (4, 3, 5))], names=["off", "times", "len", "places"])
-        columns = [term.take(head).dictionary_decode(), repo.take(head).dictionary_decode(), pa.array(spans[span[order[first]]]), pa.array(best), pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), posts)]
+        posts = pa.StructArray.from_arrays([pa.array((ids % SPAN).astype(np.int16), mask=null), *(rows.column(k) for k in (4, 3, 5))], names=["off", "times", "len", "places"])
+        columns = [term.take(head).dictionary_decode(), repo.take(head).dictionary_decode(), pa.array((ids // SPAN)[first], mask=null[first]), pa.array(best), pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), posts)]
         yield pa.RecordBatch.from_arrays(columns, names=["term", "repo_source", "span", "best", "posts"])
 
 

@@ -137,3 +137,10 @@ def test_odd_rows(spark, tmp_path):
     assert [r["id"] for r in postings.lexical_leg(spark, str(tmp_path / "index"), '"zz zz"', 9, 1.0).collect()] == [3]
     postings.write(chunks.filter("false"), str(tmp_path / "empty"))
     assert postings.lexical_leg(spark, str(tmp_path / "missing"), "a", 9, 1.0).collect() == []
+
+
+def test_rows_without_an_id_keep_their_postings(spark, tmp_path):
+    rows = [(None, "r", None, ["a1", "b1", "a1"], 3), (0, "r", None, ["a1"], 1), (-1, "r", None, ["b1"], None)]
+    postings.write(spark.createDataFrame(rows, "id long, repo_source string, symbol_name string, lexemes array<string>, doc_len int"), str(tmp_path / "index"))
+    flat = postings.blocks(spark, str(tmp_path / "index")).select("term", "span", F.explode("posts").alias("p")).select("term", (F.col("span") * postings.SPAN + F.col("p.off")).alias("id"), "p.times", "p.places")
+    assert sorted(map(str, map(tuple, flat.collect()))) == sorted(map(str, [("a1", None, 2, [0, 2]), ("b1", None, 1, [1]), ("a1", 0, 1, [0]), ("b1", -1, 1, [0])]))
