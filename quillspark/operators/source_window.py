@@ -5,8 +5,8 @@ of which it touches at most two (a block beyond the widest level in as many as i
 A pair is kept in the first bin that both touch, so nothing comes twice and nothing has to be made distinct.
 
 Pairs are as many as blocks times requests where many of both lie in one file, so work on single pairs is left to the last step: blocks with
-the same lines meet a request as one row and are told apart behind the join; the requests of a file that many ask for are dealt out to
-tiles, so the pairs of one file are many tasks; gaps come from the lines that are covered, without pairs.
+the same lines meet requests for the same range as one row, and both are told apart behind the join; the requests of a file that many ask for
+are dealt out to tiles, so the pairs of one file are many tasks; gaps come from the lines that are covered, without pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ def _bin(line: Column, level: Column) -> Column:
     return F.floor(line / _width(level))
 
 
-#: Blocks with the same lines that are carried in one row through the join, and requests of a file in one tile.
-PACK, TILE = 256, 4096
+#: Blocks with the same lines, and requests for the same range, that one row carries through the join: the rows that come of a pair are held until
+#: the last is made, so few enough to stay in a core's cache.
+PACK, ASKED = 16, 16
+#: Requests of a file in one tile; tasks of a join of tiles to each core, as its result is larger than what it reads.
+TILE, TASKS = 4096, 32
 _SPAN = ("repo_source", "file_path", "start_line", "end_line")
+_RANGE = ("repo_source", "file_path", "from_line", "to_line")
 
 
 def _level(long: Column) -> Column:
@@ -55,19 +59,36 @@ def _met(spans: DataFrame, asked: DataFrame, *tile: str) -> DataFrame:
     asked = asked.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)])))
     low, high = F.least("from_line", "to_line"), F.greatest("from_line", "to_line")
     asked = asked.withColumn("__bin", F.explode(F.sequence(_bin(low, F.col("__level")), _bin(high, F.col("__level")))))
-    meet = listed.join(asked.hint("merge") if tile else asked, ["repo_source", "file_path", "__level", "__bin", *tile])
+    keys = ["repo_source", "file_path", "__level", "__bin", *tile]
+    meet = _tiles_met(listed, asked, keys) if tile else listed.join(asked, keys)
     once = F.col("__bin") == F.greatest(_bin(first, F.col("__level")), _bin(low, F.col("__level")))
     return meet.filter(once & (F.col("end_line") >= F.col("from_line")) & (F.col("start_line") <= F.col("to_line"))).drop("__level", "__bin", *tile)
 
 
+def _tiles_met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The join of two sides dealt out to tiles; its tasks are not made fewer where what they read is small."""
+    tasks = TASKS * left.sparkSession.sparkContext.defaultParallelism
+    return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys)
+
+
+def _dealt(spans: DataFrame, asked: DataFrame, by: tuple[str, ...], one: Column, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__tile``: requests with the same columns ``by`` are dealt out by ``one``, and the spans listed in every tile."""
+    tiles = asked.groupBy(*by).agg(F.ceil(F.sum(weight) / TILE).cast("int").alias("__tiles")).filter("__tiles > 1")
+    many = F.coalesce("__tiles", F.lit(1))
+    listed = spans.join(tiles, [*by], "left").withColumn("__tile", F.explode(F.sequence(F.lit(0), many - 1))).drop("__tiles")
+    return listed, asked.join(tiles, [*by], "left").withColumn("__tile", F.pmod(F.xxhash64(one), many).cast("int")).drop("__tiles")
+
+
 def _all_met(spans: DataFrame, requests: DataFrame) -> DataFrame:
     """The same for a table of requests: those of one file are dealt out to tiles, and no side is held whole, however small its files look."""
-    files, asked = ["repo_source", "file_path"], requested(requests)
-    tiles = asked.groupBy(*files).agg(F.ceil(F.count("*") / TILE).cast("int").alias("__tiles")).filter("__tiles > 1")
-    many = F.coalesce("__tiles", F.lit(1))
-    listed = spans.join(tiles, files, "left").withColumn("__tile", F.explode(F.sequence(F.lit(0), many - 1))).drop("__tiles")
-    asked = asked.join(tiles, files, "left").withColumn("__tile", F.pmod(F.xxhash64("request_id"), many).cast("int")).drop("__tiles")
-    return _met(listed, asked, "__tile")
+    return _met(*_dealt(spans, requested(requests), ("repo_source", "file_path"), F.col("request_id"), F.lit(1)), "__tile")
+
+
+def _packed(rows: DataFrame, by: tuple[str, ...], order: str, others: list[Column], size: int, name: str) -> DataFrame:
+    """Rows with the same columns ``by`` as one, ``size`` at most: their other columns are the array ``name`` of structs."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    packed = rows.select(*by, F.struct(*others).alias("__row"), F.floor(place / size).alias("__pack"))
+    return packed.groupBy(*by, "__pack").agg(F.collect_list("__row").alias(name))
 
 
 def blocks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
@@ -81,10 +102,11 @@ def blocks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
 def blocks_of_all(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """The same rows for a table of requests."""
     others = [F.col(f"`{c}`") for c in chunks.columns if c not in _SPAN] or [F.lit(0).alias("__none")]
-    place = F.row_number().over(Window.partitionBy(*_SPAN).orderBy("start_line")) - 1
-    packed = chunks.select(*_SPAN, F.struct(*others).alias("__row")).withColumn("__pack", F.floor(place / PACK))
-    packed = packed.groupBy(*_SPAN, "__pack").agg(F.collect_list("__row").alias("__rows"))  # PACK rows at most
-    return _all_met(packed, requests).select(*_SPAN, "request_id", "from_line", "to_line", F.inline("__rows")).select(*[f"`{c}`" for c in chunks.columns], "request_id", "from_line", "to_line")
+    packed = _packed(chunks, _SPAN, "start_line", others, PACK, "__rows").drop("__pack")
+    asked = _packed(requested(requests), _RANGE, "request_id", [F.col("request_id")], ASKED, "__asked")
+    found = _met(*_dealt(packed, asked, _RANGE[:2], F.struct("from_line", "to_line", "__pack"), F.size("__asked")), "__tile")
+    found = found.select(*_SPAN, "from_line", "to_line", "__rows", F.inline("__asked")).select(*_SPAN, "request_id", "from_line", "to_line", F.inline("__rows"))
+    return found.select(*[f"`{c}`" for c in chunks.columns], "request_id", "from_line", "to_line")
 
 
 def covered(chunks: DataFrame) -> DataFrame:

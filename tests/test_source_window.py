@@ -81,3 +81,18 @@ def test_blocks_with_the_same_lines_cross_the_join_and_the_sort_as_one_row(spark
     every, plainly = made(spark)[0], plain(*made(spark))
     assert sorted(source_window.blocks_of_all(*made(spark)).columns) == sorted(plainly.columns)
     assert rows(source_window.blocks_of_all(every, made(spark)[1]).filter("request_id <> 900 and id <> 9002"), "request_id", "id") == rows(plainly.filter("request_id <> 900 and id <> 9002"), "request_id", "id")
+
+
+def test_requests_for_one_range_cross_the_join_as_one_row_and_its_tasks_stay_many(spark, monkeypatch):
+    monkeypatch.setattr(source_window, "TILE", 64)
+    met, plainly_met = [], source_window._met
+    monkeypatch.setattr(source_window, "_met", lambda *a: met.append(plainly_met(*a)) or met[-1])
+    span = "CAST(1 + id % 3 * 10 AS int) AS start_line", "CAST(4 + id % 3 * 10 AS int) AS end_line"
+    chunks = spark.range(60).selectExpr("id", "IF(id < 0, 's', 'r') AS repo_source", "IF(id < 0, 'g', 'f') AS file_path", *span)
+    asked = "IF(id < 0, 's', 'r') AS repo_source", "IF(id < 0, 'g', 'f') AS file_path", "CAST(1 + id % 2 AS int) AS start_line", "CAST(12 + id % 2 AS int) AS end_line"
+    requests = spark.range(640).selectExpr("IF(id < 600, id, 7) AS request_id", *asked).union(spark.range(4).selectExpr("CAST(NULL AS long) AS request_id", *asked))
+    rows = lambda df: sorted(map(tuple, df.selectExpr("coalesce(request_id, -1)", "id", "start_line", "end_line", "from_line", "to_line").collect()))
+    found = source_window.blocks_of_all(chunks, requests)
+    assert rows(found) == rows(plain(chunks, requests)) and found.count() == 644 * 40
+    assert met[0].count() < 200  # of 644 x 2 pairs of requests and spans
+    assert len({r.task for r in found.withColumn("task", F.spark_partition_id()).select("id", "request_id", "task").collect()}) > 4
