@@ -38,7 +38,9 @@ def _bin(line: Column, level: Column) -> Column:
 #: Blocks with the same lines, and requests for the same range, that one row carries through the join: the rows that come of a pair are held until
 #: the last is made, so few enough to stay in a core's cache.
 PACK, ASKED = 16, 16
-#: Requests of a file in one tile; tasks of a join of tiles to each core, as its result is larger than what it reads.
+#: Rows of a listing that a pack of its entries stands for, about.
+LISTED = 4096
+#: Requests of a file, or for a range, in one tile; tasks of a join of tiles to each core, as its result is larger than what it reads.
 TILE, TASKS = 4096, 32
 _SPAN = ("repo_source", "file_path", "start_line", "end_line")
 _RANGE = ("repo_source", "file_path", "from_line", "to_line")
@@ -147,11 +149,20 @@ def uncovered(chunks: DataFrame, requests: DataFrame) -> DataFrame:
 def listing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """Blocks and gaps in one listing: a request's rows lie together, in order of start line.
 
-    Blocks with the same lines are sorted as one row and told apart behind the sort.
+    The listing is made once for each range that is asked for, blocks with the same lines as one entry, and its entries are cut into packs
+    of about ``LISTED`` rows.  Requests meet the packs of their range, and these are sorted and told apart last.
     """
+    asked = requested(requests).groupBy(*_RANGE, "request_id").agg(F.count("*").alias("__asks"))
+    ranges = asked.select(*_RANGE).distinct().select(F.struct(*_RANGE).alias("request_id"), *_RANGE[:2], F.col("from_line").alias("start_line"), F.col("to_line").alias("end_line"))
     same = chunks.groupBy(*_SPAN).agg(F.count("*").alias("copies"))
-    a = _all_met(same, requests).select("request_id", "start_line", "end_line", F.lit("block").alias("kind"), "copies")
-    both = a.union(uncovered(chunks, requests).select("request_id", "start_line", "end_line", F.lit("gap").alias("kind"), F.lit(1).cast("long"))).repartition("request_id").sortWithinPartitions("request_id", "start_line", "end_line")
-    packs = both.withColumn("pack", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / TILE))))
-    times = F.least(F.col("copies") - F.col("pack") * TILE, F.lit(TILE)).cast("int")
-    return packs.withColumn("one", F.explode(F.array_repeat(F.lit(0), times))).select("request_id", "start_line", "end_line", "kind")
+    both = _all_met(same, ranges).select("request_id", "start_line", "end_line", "copies")
+    both = both.union(uncovered(chunks, ranges).select("request_id", "start_line", "end_line", F.lit(0).cast("long")))  # a gap has no copies
+    cut = both.withColumn("cut", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("copies") - 1, F.lit(0)) / LISTED))))
+    entries = cut.select("request_id", F.struct("start_line", "end_line", F.least(F.col("copies") - F.col("cut") * LISTED, F.lit(LISTED)).cast("int").alias("times")).alias("entry"))
+    before = F.sum(F.greatest("entry.times", F.lit(1))).over(Window.partitionBy("request_id").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1))
+    packs = entries.withColumn("__pack", F.floor(F.coalesce(before, F.lit(0)) / LISTED)).groupBy("request_id", "__pack").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    packs, asked = _dealt(packs.select("request_id.*", "__pack", "entries"), asked.withColumn("__ask", F.explode(F.sequence(F.lit(1), "__asks"))), _RANGE, F.col("request_id"), F.lit(1))
+    met = _tiles_met(asked, packs, [*_RANGE, "__tile"]).select(*_RANGE, "request_id", "__ask", "__pack", "entries").sortWithinPartitions("request_id", *_RANGE, "__ask", "__pack")
+    told = met.select("request_id", "__ask", F.inline("entries")).filter("times > 0 or __ask = 1")  # who asks twice is told the gaps once
+    kind = F.when(F.col("times") > 0, "block").otherwise("gap")
+    return told.select("request_id", "start_line", "end_line", kind.alias("kind"), F.explode(F.array_repeat(F.lit(0), F.greatest("times", F.lit(1))))).select("request_id", "start_line", "end_line", "kind")

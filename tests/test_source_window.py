@@ -96,3 +96,20 @@ def test_requests_for_one_range_cross_the_join_as_one_row_and_its_tasks_stay_man
     assert rows(found) == rows(plain(chunks, requests)) and found.count() == 644 * 40
     assert met[0].count() < 200  # of 644 x 2 pairs of requests and spans
     assert len({r.task for r in found.withColumn("task", F.spark_partition_id()).select("id", "request_id", "task").collect()}) > 4
+
+
+def test_a_listing_is_made_once_for_a_range(spark, monkeypatch):
+    met, plainly_met = [], source_window._met
+    monkeypatch.setattr(source_window, "_met", lambda *a: met.append(plainly_met(*a)) or met[-1])
+    monkeypatch.setattr(source_window, "LISTED", 16, raising=False)
+    place = "IF(id < 0, 's', 'r') AS repo_source", "IF(id < 0, 'g', 'f') AS file_path"
+    chunks = spark.range(120).selectExpr("id", *place, "CAST(1 + id % 3 * 10 AS int) AS start_line", "CAST(4 + id % 3 * 10 AS int) AS end_line")
+    requests = spark.range(200).selectExpr("IF(id = 198, 0, id) AS request_id", *place, "CAST(1 + id % 2 AS int) AS start_line", "CAST(32 + id % 2 AS int) AS end_line")
+    kept = [tuple(r) for r in source_window.listing(chunks, requests).collect()]
+    want = plain(chunks, requests)
+    gaps = source_window.gaps(want, requests).selectExpr("request_id", "start_line", "end_line", "'gap' AS kind")
+    assert sorted(kept) == sorted(map(tuple, want.selectExpr("request_id", "start_line", "end_line", "'block' AS kind").union(gaps).collect()))
+    for k in range(1, 198):
+        assert (mine := [r[1:3] for r in kept if r[0] == k]) == sorted(mine)
+    assert sum(1 for a, b in zip(kept, kept[1:]) if a[0] != b[0]) == 198  # a request's rows lie together
+    assert sum(df.count() for df in met) <= 12  # of 200 x 6 pairs of requests and lines
